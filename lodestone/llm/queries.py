@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hostrules, linededup, lm, packing, simhash, tokenfile, toxicity
+from . import decontam, hostrules, linededup, lm, packing, simhash, suffixdedup, tokenfile, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.perplexity(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_docs", "host_failures", F.round("host_rate", 6).alias("host_rate"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup(table(spark, sf_dir, "documents"), with_kept=False)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"))
 
@@ -49,16 +57,32 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scores": op1_lm_scores,
+    "op2_warc_revisits": op2_warc_revisits,
     "op3_simhash": op3_simhash,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op6_host_rules": op6_host_rules,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_files": op8_token_files,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
 }
 
 SQL = {
+    "op2_warc_revisits": r"""
+WITH b AS (SELECT page_id AS p, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.\-]*://', '') AS u, '"' || md5(coalesce(html, '')) || '"' AS tag, CAST(strlen(coalesce(html, '')) AS VARCHAR) AS size FROM pages),
+q AS (SELECT p, tag, size, regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '') AS host,
+  regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+  list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z_]+|ref|fbclid|gclid)(=|$)'))) AS par FROM b),
+c AS (SELECT p, tag, size, host || path || CASE WHEN len(par) > 0 THEN '?' || array_to_string(par, '&') ELSE '' END AS url FROM q),
+r AS (SELECT p * 3 + 1 AS id, url, p + 1000 AS "at", tag, 1 AS kind FROM c UNION ALL SELECT p * 3 + 2, url, p - 500, tag, 2 FROM c),
+a AS (SELECT r.*, (SELECT max(c.p) FROM c WHERE c.url = r.url AND c.p < r."at") AS rp FROM r),
+j AS (SELECT a.*, c.tag AS rtag, c.size AS rsize, CASE WHEN rp IS NULL THEN 'no_response' WHEN a.tag <> c.tag THEN 'mismatch' ELSE 'resolved' END AS outcome FROM a LEFT JOIN c ON c.p = a.rp)
+SELECT id, url AS canonical_url, "at", rp * 3 AS response_id, outcome, CASE
+  WHEN outcome = 'resolved' AND kind = 1 THEN 'cache-control: max-age=600' || chr(10) || 'content-length: ' || rsize || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || "at" || chr(10) || 'etag: W/' || tag
+  WHEN outcome = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || rsize || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || "at" || chr(10) || 'etag: ' || tag || chr(10) || 'expires: 0'
+  WHEN kind = 1 THEN 'cache-control: max-age=600' || chr(10) || 'content-type: text/plain' || chr(10) || 'date: ' || "at" || chr(10) || 'etag: W/' || tag
+  ELSE 'date: ' || "at" || chr(10) || 'etag: ' || tag || chr(10) || 'expires: 0' END AS headers FROM j""",
     "op6_host_rules": r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
 w AS (SELECT rid, doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
