@@ -1,51 +1,74 @@
-"""Near-duplicates by SimHash: 64-bit fingerprints, compared exactly, tile against tile.
+"""Near-duplicates by SimHash: fingerprints, compared exactly, tile against tile.
 
-Distinct fingerprints are dealt to blocks by the population counts of their parts (halves, or quarters for
-large inputs) and within a block, by a hash, to tiles of bounded size. Two fingerprints within `radius`
-bits have part counts that differ by `radius` in all at most, so tile pairs of blocks farther apart are
-skipped and nothing is lost. A tile pair is compared whole with numpy's exclusive-or and bit counts; of its
-links only a spanning forest leaves the task, so a group of thousands of near copies never becomes pairs.
+Distinct fingerprints are dealt to blocks, and within a block, by a hash, to tiles of bounded size, which are written to the
+shared folder and memory-mapped by the tasks that compare them. Two fingerprints within `radius` bits have population counts,
+also of their halves or quarters, that differ by `radius` at most, so tile pairs of blocks farther apart are skipped and
+nothing is lost. A tile pair is compared whole with numpy's exclusive-or and bit counts; of its links only a spanning forest
+leaves the task, so a group of thousands of near copies never becomes pairs.
+
+`classes` links fingerprints by a radius alone. `keep_one`, for the pipeline, asks for a similarity of shingle sets: pairs
+within a wide radius are compared once more, by a fingerprint of 512 bits whose distance estimates the similarity closely;
+tile pairs are also skipped where the sizes of the sets alone rule the similarity out.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
-from itertools import product, repeat
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, forest, packed, slices, texts
+from .common import checkpoint, components, forest, map_array, new_folder, packed, slices, texts, write_bytes
 
 #: Fingerprints in a tile at most, on average.
 TILE = 8192
 #: Distinct fingerprints from which blocks are made by quarters instead of halves.
 FINE_FROM = 1_000_000
+#: SimHashes in a wide fingerprint, and the radius on the first of them within which wide ones are compared.
+LANES, WIDE_RADIUS = 8, 18
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """The SimHash of a text given as UTF-8: words are lower-cased A-Z; shingles of `width` words, repeats included;
-    a shorter text is one shingle, a text without words gives zero; a bit is set if over half the hashes have it."""
+def _shingles(text: bytes, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of `width` words, A-Z in lower case; of all words where there are fewer; none without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, 42)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - width + 1]
-    ends = ends[width - 1 :]
-    total, n = np.zeros(64, np.int64), len(starts)
-    for i in range(0, n, 65536):
-        parts = map(joined.__getitem__, map(slice, starts[i : i + 65536].tolist(), ends[i : i + 65536].tolist()))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, min(65536, n - i))
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
+    starts = np.concatenate([[0], ends[:-1] + 1])[: max(1, len(words) - width + 1)]
+    ends = ends[min(width, len(words)) - 1 :]
+    parts = map(joined.__getitem__, map(slice, starts.tolist(), ends.tolist()))
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, len(starts))
+
+
+def _majority(hashes: np.ndarray) -> np.uint64:
+    """A bit is set if over half the hashes have it."""
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 65536):
+        total += np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
+def fingerprint(text: bytes, width: int = 4) -> int:
+    """The SimHash of a text given as UTF-8: words are lower-cased A-Z; shingles of `width` words, repeats included;
+    a shorter text is one shingle, a text without words gives zero; a bit is set if over half the hashes have it."""
+    return int(_majority(_shingles(text, width)))
+
+
+def wide_fingerprint(text: bytes, width: int, lanes: int = LANES) -> tuple[int, np.ndarray]:
+    """(shingles, bits) of the set of shingles: `lanes` SimHashes, of the hashes and of independent mixes of them."""
+    h = np.unique(_shingles(text, width))
+    out = [_majority(h)]
+    for i in range(1, lanes):
+        x = (h ^ np.uint64(i * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        out.append(_majority(x ^ (x >> np.uint64(32))))
+    return len(h), np.array(out, np.uint64)
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -60,84 +83,95 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return docs.mapInArrow(run, "k long, fp long")
 
 
+def wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """(k, n, fp, v, w): shingles, the first lane, a hash of all lanes, and all lanes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, raw in slices(b):
+                got = [wide_fingerprint(x, width) for x in raw]
+                w = [x.tobytes() for _, x in got]
+                cols = [part.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array(np.array([x[0] for _, x in got], np.uint64).view(np.int64)), pa.array(np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w)).view(np.int64)), pa.array(w, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["k", "n", "fp", "v", "w"])
+
+    return docs.mapInArrow(run, "k long, n long, fp long, v long, w binary")
+
+
 def _part_counts(parts: int) -> list:
     bits = 64 // parts
     mask = (1 << bits) - 1
     return [F.bit_count(F.shiftrightunsigned("fp", i * bits).bitwiseAND(F.lit(mask if bits < 64 else -1))) for i in range(parts)]
 
 
-def _compare(radius: int):
+def _compare(where: str, radius: int, lanes: int, wide: int):
+    """Links of tile pairs (x, y, same)."""
+
+    def tile(name: str) -> np.ndarray:
+        return map_array(where, name, "<u8").reshape(-1, 1 + lanes)  # v, then the lanes
+
     def links(x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        step = max(1, (1 << 20) // max(1, len(y)))
+        u, v = np.ascontiguousarray(x[:, 1]), np.ascontiguousarray(y[:, 1])
+        step = max(1, (1 << 19) // max(1, len(y)))
         for i in range(0, len(x), step):
-            near = np.bitwise_count(x[i : i + step, None] ^ y[None, :]) <= radius
-            p, q = np.nonzero(near)
+            p, q = np.nonzero(np.bitwise_count(u[i : i + step, None] ^ v[None, :]) <= radius)
             p += i
             if same:
                 p, q = p[p < q], q[p < q]
+            if lanes > 1 and len(p):
+                near = np.bitwise_count(x[p, 1:] ^ y[q, 1:]).sum(axis=1) <= wide
+                p, q = p[near], q[near]
             if len(p):
-                u, v = x[p].view(np.int64), y[q].view(np.int64)
-                a, b = forest(np.concatenate([a, u]), np.concatenate([b, v]))
+                a, b = forest(np.concatenate([a, x[p, 0].view(np.int64)]), np.concatenate([b, y[q, 0].view(np.int64)]))
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            for r in range(t.num_rows):
-                x = t.column(0)[r].values.to_numpy().view(np.uint64)
-                y = t.column(1)[r].values.to_numpy().view(np.uint64)
-                a, b = links(x, y, t.column(2)[r].as_py())
+            for x, y, same in zip(*(t.column(i).to_pylist() for i in range(3)), strict=True):
+                a, b = links(tile(x), tile(y), same)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
 
-def tile_pairs(blocks: dict[tuple, int], radius: int, tile: int) -> Iterator[tuple]:
-    """(block, tile, block, tile, same) to compare, from the number of fingerprints in each block. There are as many blocks
-    as combinations of part counts at most, whatever the input; each pair of tiles comes once."""
-    tiles = {b: max(1, math.ceil(n / tile)) for b, n in blocks.items()}
-    parts = len(next(iter(blocks), ()))
-    moves = [m for m in product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, m)) <= radius]
-    for b in tiles:
-        for m in moves:
-            c = tuple(x + y for x, y in zip(b, m, strict=True))
-            if c in tiles and c >= b:
-                yield b, c, tiles[b], tiles[c], b == c
-
-
-def near_links(fps: DataFrame, radius: int = 4, tile: int = TILE, fine_from: int = FINE_FROM) -> DataFrame:
-    """Links (a, b) that connect the distinct fingerprints `fp` wherever two differ in `radius` bits at most."""
-    spark = fps.sparkSession
-    n = fps.count()
-    parts = 4 if n >= fine_from else 2
-    named = fps.select("fp", *[c.alias(f"p{i}") for i, c in enumerate(_part_counts(parts))])
-    names = [f"p{i}" for i in range(parts)]
-    blocks = {tuple(r[i] for i in range(parts)): r[parts] for r in named.groupBy(*names).count().collect()}
-    pairs = [(*b, *c, x, y, same) for b, c, x, y, same in tile_pairs(blocks, radius, tile)]
-    if not pairs:
+def near_links(nodes: DataFrame, block: list[Column], together: Callable[[tuple, tuple], bool], radius: int, tile: int = TILE, lanes: int = 1, wide: int = 0) -> DataFrame:
+    """Links (a, b) that connect the vertices v of `nodes` (v, fp, and w if lanes > 1) wherever two fingerprints differ in `radius`
+    bits at most, and the wide ones in `wide` bits. `together` tells whether two blocks can hold such a pair; there must be
+    few blocks whatever the input, as their sizes and pairs are handled by the driver. Pairs of tiles are made on the cluster.
+    """
+    spark = nodes.sparkSession
+    names = [f"p{i}" for i in range(len(block))]
+    named = nodes.select("v", "fp", F.col("w") if lanes > 1 else F.lit(None).cast("binary").alias("w"), *[c.cast("int").alias(n) for c, n in zip(block, names, strict=True)])
+    sizes = {tuple(r[i] for i in range(len(block))): r[len(block)] for r in named.groupBy(*names).count().collect()}
+    blocks = sorted(sizes)
+    if not blocks:
         return spark.createDataFrame([], "a long, b long")
-    code = lambda p: sum(int(x) * 65**i for i, x in enumerate(p))
-    sizes = Counter({code(b): max(1, math.ceil(m / tile)) for b, m in blocks.items()})
-    of = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]) if len(sizes) < 2000 else None
-    at = sum((F.col(c).cast("long") * F.lit(65**i) for i, c in enumerate(names)), F.lit(0))
-    if of is None:
-        tiles_of = spark.createDataFrame(list(sizes.items()), "c long, tiles int")
-        named = named.withColumn("c", at).join(F.broadcast(tiles_of), "c")
-    else:
-        named = named.withColumn("c", at).withColumn("tiles", of[F.col("c")])
-    tiled = named.groupBy("c", F.pmod(F.xxhash64("fp"), F.col("tiles")).alias("i")).agg(F.collect_list("fp").alias("x"))
-    tiled = checkpoint(tiled)
-    todo = spark.createDataFrame([(code(p[:parts]), code(p[parts : 2 * parts]), p[-3], p[-2], p[-1]) for p in pairs], "c long, d long, x int, y int, same boolean")
-    todo = todo.repartition(min(len(pairs), 4 * spark.sparkContext.defaultParallelism))
-    todo = todo.select("c", "d", "same", "y", F.explode(F.sequence(F.lit(0), F.col("x") - 1)).alias("i"))
-    todo = todo.select("c", "d", "same", "i", F.explode(F.sequence(F.lit(0), F.col("y") - 1)).alias("j")).where("not same or i <= j")
-    left = tiled.select("c", F.col("i").cast("int").alias("i"), F.col("x").alias("xs"))
-    right = tiled.select(F.col("c").alias("d"), F.col("i").cast("int").alias("j"), F.col("x").alias("ys"))
-    wide = todo.join(left, ["c", "i"]).join(right, ["d", "j"])
-    wide = wide.select("xs", "ys", (F.col("same") & (F.col("i") == F.col("j"))).alias("same"))
-    wide = wide.repartition(max(8, 4 * spark.sparkContext.defaultParallelism, math.ceil(n / 50_000)), F.xxhash64("xs", "ys"))
-    return wide.mapInArrow(_compare(radius), "a long, b long")
+    tiles = [math.ceil(sizes[b] / tile) for b in blocks]
+    of_block = spark.createDataFrame([(*b, i, t) for i, (b, t) in enumerate(zip(blocks, tiles, strict=True))], ", ".join(f"{n} int" for n in names) + ", c int, tiles int")
+    named = named.join(F.broadcast(of_block), names)
+    tiled = named.groupBy("c", F.pmod(F.xxhash64("v"), F.col("tiles")).cast("int").alias("i")).agg(F.collect_list(F.struct("v", "fp", "w")).alias("x"))
+    where = new_folder(spark, "tiles")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for t in batches:
+            for c, i, x in zip(*(t.column(j) for j in range(3)), strict=True):
+                s = x.values
+                v = s.field("v").to_numpy().view(np.uint64)
+                rest = np.frombuffer(b"".join(s.field("w").to_pylist()), np.uint64).reshape(-1, lanes) if lanes > 1 else s.field("fp").to_numpy().view(np.uint64).reshape(-1, 1)
+                write_bytes(where, f"{c}-{i}", [np.column_stack([v, rest]).astype("<u8").tobytes()])
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    tiled.mapInArrow(put, "n long").agg(F.sum("n")).collect()
+    pairs = [(i, j, tiles[i], tiles[j]) for i in range(len(blocks)) for j in range(i, len(blocks)) if together(blocks[i], blocks[j])]
+    todo = spark.createDataFrame(pairs, "c int, d int, x int, y int")
+    todo = todo.select("c", "d", "y", F.explode(F.sequence(F.lit(0), F.col("x") - 1)).alias("i")).select("c", "d", "i", F.explode(F.sequence(F.lit(0), F.col("y") - 1)).alias("j"))
+    todo = todo.where("c <> d or i <= j").withColumn("same", (F.col("c") == F.col("d")) & (F.col("i") == F.col("j")))
+    todo = todo.select(F.concat_ws("-", "c", "i").alias("x"), F.concat_ws("-", "d", "j").alias("y"), "same")
+    todo = todo.repartition(max(24, 4 * spark.sparkContext.defaultParallelism, sum(tiles) // 8), F.xxhash64("x", "y"))
+    return todo.mapInArrow(_compare(where, radius, lanes, wide), "a long, b long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -149,7 +183,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     """
     fp = checkpoint(fingerprints(texts(docs, id_col, text_col), width))
     own = checkpoint(fp.groupBy("fp").agg(F.min("k").alias("low"), F.count("*").alias("n")))
-    roots = components(near_links(own.select("fp"), radius))
+    parts = 4 if own.count() >= FINE_FROM else 2
+    near = lambda b, c: sum(abs(x - y) for x, y in zip(b, c, strict=True)) <= radius
+    roots = components(near_links(own.select(F.col("fp").alias("v"), "fp"), _part_counts(parts), near, radius))
     joined = own.join(roots, own.fp == roots.v, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("component_rows"))
     by_fp = joined.join(least, "root").select("fp", "component_id", "component_rows")
@@ -162,15 +198,30 @@ def _hot_join(many: DataFrame, one: DataFrame, salts: int = 16) -> DataFrame:
     return many.withColumn("s", F.pmod(F.xxhash64("k"), F.lit(salts)).cast("int")).join(one, ["fp", "s"])
 
 
-def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
+def wide_limit(similarity: float, lanes: int = LANES) -> int:
+    """Differing bits up to which two wide fingerprints count as at least so similar: the expected number at that similarity of
+    sets (their cosine is 2s / (1 + s)), and one standard deviation."""
+    share, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * lanes
+    return math.ceil(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS) -> DataFrame:
     """The documents, one of each group of near-duplicates: the row with the smallest id of its component.
 
-    Of repeated rows with that same id one stays (the first by a hash of the whole row); rows without an id stay only
-    if their component has no id, one for each.
+    Near-duplicates are texts whose sets of shingles are similar enough by their wide fingerprints, and texts that are so
+    only over others. Of repeated rows with that smallest id one stays (the first by a hash of the whole row); rows without an
+    id stay only if their component has no other, one for each. All texts without words are one group.
     """
-    c = classes(docs, radius=radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("id")).count()
-    c = checkpoint(c)
+    fp = checkpoint(wide_fingerprints(texts(docs), width))
+    own = checkpoint(fp.groupBy("v").agg(F.first("fp").alias("fp"), F.first("w").alias("w"), F.first("n").alias("n"), F.min("k").alias("low")))
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / math.log(1.05))
+    reach = math.ceil(math.log(1 / similarity) / math.log(1.05)) + 2  # sets of more different sizes can't be so similar; one band for what the estimate adds
+    count = (F.bit_count("fp") / 8).cast("int")
+    near = lambda b, c: abs(b[0] - c[0]) <= reach and 8 * (abs(b[1] - c[1]) - 1) < radius
+    roots = components(near_links(own, [band, count], near, radius, lanes=LANES, wide=wide_limit(similarity)))
+    joined = own.join(roots, "v", "left").select("low", F.coalesce("root", "v").alias("root"))
+    c = checkpoint(joined.groupBy("root").agg(F.min("low").alias("id")))
     kept = packed(docs).join(c, F.col("r.doc_id").eqNullSafe(F.col("id")), "left_semi")
-    if c.where("count > 1").limit(1).count():  # repeated ids: one more pass settles which row stays
+    if fp.groupBy("k").count().where("count > 1").limit(1).count():  # repeated ids: one more pass settles which row stays
         kept = kept.withColumn("h", F.xxhash64("r")).groupBy(F.col("r.doc_id").alias("id")).agg(F.min_by("r", "h").alias("r"))
     return kept.select("r.*")
