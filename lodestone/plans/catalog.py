@@ -1,4 +1,6 @@
 """All registered queries of the library outside the training-data subpackage, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import standards
+
+QUERIES = {**standards.QUERIES}
+SQL = {**standards.SQL}
