@@ -10,8 +10,10 @@ import numpy as np
 
 #: The vocabulary file used unless another path is given.
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-#: Chunks whose ids a worker remembers; the memory is emptied when it is full.
-CACHE = 500_000
+#: Chunks whose ids a worker remembers: of two generations each, the older one goes when the newer is full.
+CACHE = 300_000
+#: ASCII marks that end a piece of letters and begin no contraction.
+_MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
 
 def vocabulary(name: str = DEFAULT_VOCABULARY) -> str:
@@ -30,27 +32,46 @@ class Encoder:
 
     def __init__(self, path: str, by_chunk: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        import tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.by_chunk, self.known = by_chunk, {}
+        self.by_chunk = by_chunk
+        # remembered for the life of the worker process, over its tasks
+        self.memory = vars(tokenizers).setdefault("_lodestone_memory", {}).setdefault(path, [{}, {}])
 
     def _encode(self, raw: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in raw], add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in got]
 
+    def _learn(self, chunks: set[bytes], known: dict[bytes, bytes]) -> None:
+        """Ids of chunks that aren't known. A word and the marks after it are pieces of their own: they are encoded apart."""
+        apart = {}
+        for c in chunks:
+            word = c.rstrip(_MARKS)
+            if word and len(word) < len(c) and word[-1:].isalpha():
+                apart[c] = (word, c[len(word) :])
+        new = [c for c in chunks.difference(apart).union(*apart.values()) if c not in known]
+        for i in range(0, len(new), 20_000):
+            known.update(zip(new[i : i + 20_000], self._encode(new[i : i + 20_000]), strict=True))
+        for c, (word, marks) in apart.items():
+            known[c] = known[word] + known[marks]
+
     def encode(self, raw: list[bytes]) -> list[np.ndarray]:
         if not self.by_chunk:
             return [np.frombuffer(x, self.dtype) for x in self._encode(raw)]
-        chunks = [x.split() for x in raw]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list(set(chain.from_iterable(chunks)) - self.known.keys())
-        for i in range(0, len(new), 20_000):
-            self.known.update(zip(new[i : i + 20_000], self._encode(new[i : i + 20_000]), strict=True))
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, x)), self.dtype) for x in chunks]
+        # the vocabulary is lower case; only special tokens, which begin with <|, are told by case
+        chunks = [(x if b"<|" in x else x.lower()).split() for x in raw]
+        if len(self.memory[0]) > CACHE:
+            self.memory[:] = [{}, self.memory[0]]
+        young, old = self.memory
+        kinds = set(chain.from_iterable(chunks))
+        missing = kinds.difference(young)  # a dict here, not its keys, which would be walked whole
+        back = [c for c in missing if c in old]
+        young.update(zip(back, map(old.__getitem__, back), strict=True))
+        self._learn(missing.difference(back), young)
+        ids = {c: young[c] for c in kinds}.__getitem__
+        return [np.frombuffer(b"".join(map(ids, x)), self.dtype) for x in chunks]
 
 
 def ended(ids: Iterable[np.ndarray], end: int, dtype: np.dtype) -> Iterable[np.ndarray]:
