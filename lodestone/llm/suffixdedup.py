@@ -129,11 +129,11 @@ class BlindTrie:
         parent, node = None, self.root
         while isinstance(node, tuple) and node[0] < common:
             parent, node = node, node[1][self._byte(i, node[0])]
-        if isinstance(node, tuple) and node[0] == common and common < max(len(self.s[i]), len(self.s[j])):
-            node[1][self._byte(i, common)] = [i]
+        if common == len(self.s[i]) == len(self.s[j]):  # equal: to their leaf, which may hang below a node of that very depth
+            (node[1][-1] if isinstance(node, tuple) else node).append(i)
             return
-        if common == len(self.s[i]) == len(self.s[j]):
-            node.append(i)
+        if isinstance(node, tuple) and node[0] == common:
+            node[1][self._byte(i, common)] = [i]
             return
         fork = (common, {self._byte(i, common): [i], self._byte(j, common): node}, j)
         if parent is None:
