@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterable
 from itertools import chain
 
@@ -12,8 +14,15 @@ import numpy as np
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Chunks whose ids a worker remembers: of two generations each, the older one goes when the newer is full.
 CACHE = 300_000
-#: ASCII marks that end a piece of letters and begin no contraction.
-_MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+#: A word of letters that have no other form to be normalised to, and marks after it that begin no contraction.
+_WORD = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{|}~]*)").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from 256 on in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 def vocabulary(name: str = DEFAULT_VOCABULARY) -> str:
@@ -36,7 +45,7 @@ class Encoder:
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.by_chunk = by_chunk
+        self.by_chunk, self.letters = by_chunk, _byte_letters()
         # remembered for the life of the worker process, over its tasks
         self.memory = vars(tokenizers).setdefault("_lodestone_memory", {}).setdefault(path, [{}, {}])
 
@@ -45,17 +54,24 @@ class Encoder:
         return [np.array(x.ids, self.dtype).tobytes() for x in got]
 
     def _learn(self, chunks: set[bytes], known: dict[bytes, bytes]) -> None:
-        """Ids of chunks that aren't known. A word and the marks after it are pieces of their own: they are encoded apart."""
-        apart = {}
+        """Ids of chunks that aren't known. A word of plain letters is one piece of the pre-tokenizer whatever marks follow, so it
+        goes straight to the vocabulary's model and the marks are encoded apart; all else goes through the whole tokenizer."""
+        model, code, rest = self.tokenizer.model.tokenize, self.dtype.char, []
         for c in chunks:
-            word = c.rstrip(_MARKS)
-            if word and len(word) < len(c) and word[-1:].isalpha():
-                apart[c] = (word, c[len(word) :])
-        new = [c for c in chunks.difference(apart).union(*apart.values()) if c not in known]
-        for i in range(0, len(new), 20_000):
-            known.update(zip(new[i : i + 20_000], self._encode(new[i : i + 20_000]), strict=True))
-        for c, (word, marks) in apart.items():
-            known[c] = known[word] + known[marks]
+            m = _WORD(c)
+            if m is None:
+                rest.append(c)
+                continue
+            word, marks = m.groups()
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = array(code, [t.id for t in model(word.decode("latin-1").translate(self.letters))]).tobytes()
+            if marks:
+                if marks not in known:
+                    known[marks] = self._encode([marks])[0]
+                known[c] = ids + known[marks]
+        for i in range(0, len(rest), 20_000):
+            known.update(zip(rest[i : i + 20_000], self._encode(rest[i : i + 20_000]), strict=True))
 
     def encode(self, raw: list[bytes]) -> list[np.ndarray]:
         if not self.by_chunk:
