@@ -1,6 +1,6 @@
 """All registered queries of the library outside the training-data subpackage, and their SQL."""
 
-from . import standards
+from . import retrieval, standards
 
-QUERIES = {**standards.QUERIES}
-SQL = {**standards.SQL}
+QUERIES = {**standards.QUERIES, **retrieval.QUERIES}
+SQL = {**standards.SQL, **retrieval.SQL}
