@@ -1,6 +1,6 @@
 """All registered queries of the library outside the training-data subpackage, and their SQL."""
 
-from . import retrieval, standards
+from . import records, retrieval, standards
 
-QUERIES = {**standards.QUERIES, **retrieval.QUERIES}
-SQL = {**standards.SQL, **retrieval.SQL}
+QUERIES = {**standards.QUERIES, **retrieval.QUERIES, **records.QUERIES}
+SQL = {**standards.SQL, **retrieval.SQL, **records.SQL}
