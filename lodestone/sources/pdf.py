@@ -8,6 +8,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters below which a text is of no use.
 USABLE = 25
@@ -29,7 +30,7 @@ def pdf_text(data: bytes) -> str:
     return " ".join(b" ".join(out).decode("latin-1").split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _texts(data: pd.Series) -> pd.Series:
     return data.map(pdf_text)
 

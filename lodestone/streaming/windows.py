@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """A stream with its watermark, which needs a time with a zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, width: str, late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Counts and sums of `value` per window and event_type; sliding if `slide` is given. On a stream, rows later than `late` are dropped."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
-    g = e.groupBy(F.window("ts", width, slide), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    g = _timed(events, late).groupBy(F.window("ts", width, slide), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return g.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
     """Events of a user that follow each other within `gap`."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
-    g = e.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    g = _timed(events, late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return g.select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "user_id", "n")
 
 
