@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The accepted spellings of an identifier.
 YEAR = r"(?:18|19|20)\d{2}"
 DASH = r"\-.–"
 #: Groups: 1 prefix, 2 number chain, 3 keyword, 4 part, 5 section, 6 year in parentheses, 7-9 the same without parentheses,

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +141,56 @@ def test_stream_windows_agree_with_batch(spark, tmp_path):
     q.awaitTermination()
     assert sorted(map(tuple, spark.sql("SELECT * FROM w").collect())) == sorted(map(tuple, windows.tumbling(e, "1 hour").collect()))
     assert windows.sessions(e, "10 minutes").count() > 0
+
+
+def test_saved_postings_give_the_same_scores(spark, tmp_path):
+    from lodestone.operators import index
+
+    d = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} common".split()) for i in range(30)], "doc_id long, tokens array<string>")
+    q = spark.createDataFrame([(1, ["w1", "common"]), (2, ["w2", "w2", "none"])], "qid long, tokens array<string>")
+    index.save_postings(d, str(tmp_path))
+    rows = lambda x: sorted((r.qid, r.doc_id, round(r.score, 9)) for r in x.collect())
+    assert rows(index.search_postings(spark, str(tmp_path), q)) == rows(R.bm25(d, q))
+
+
+def test_vectors_know_their_maker(spark, tmp_path):
+    from lodestone.operators import index
+
+    index.save_vectors(spark.createDataFrame([(1, [0.5])], "id long, embedding array<float>"), str(tmp_path), index.fingerprint("hash", 1))
+    assert index.load_vectors(spark, str(tmp_path), index.fingerprint("hash", 1)).count() == 1
+    with pytest.raises(index.WrongEmbedder):
+        index.load_vectors(spark, str(tmp_path), index.fingerprint("hash", 2))
+
+
+def test_metrics_gates_and_reports(spark, tmp_path):
+    from lodestone.operators import evaluate
+    from lodestone.sources import reports
+
+    c = spark.createDataFrame([(True, 1), (True, 2), (True, None), (False, None)], "answerable boolean, rank int")
+    m = evaluate.metrics(c)
+    got = {r.metric: r.value for r in m.collect()}
+    assert got["hit@1"] == 0.25 and got["mrr@5"] == 0.375 and got["coverage"] == 0.75 and got["hit@5_covered"] == pytest.approx(2 / 3)
+    assert [r.metric for r in evaluate.gate_failures(m, {"hit@1": (">=", 0.5), "coverage": (">=", 0.5), "none": ("<=", 1)}).collect()] == ["hit@1"]
+    assert {r.delta for r in evaluate.compare(m, m).collect()} == {0.0}
+    odd = spark.createDataFrame([("<b>|",)], "x string")
+    assert "&lt;b&gt;" in reports.render_html({"t": odd}, "a & b") and "a &amp; b" in reports.render_html({}, "a & b")
+    assert "\\|" in reports.markdown({"t": odd}, "x")
+    reports.write_artifacts(str(tmp_path), m, odd, odd, odd)
+    assert spark.read.json(f"{tmp_path}/metrics").count() == m.count()
+
+
+def test_stream_limiter(spark, tmp_path):
+    from lodestone.streaming import limiter as stream
+
+    t = dt.datetime(2024, 1, 1)
+    d = spark.createDataFrame([(i, "a", t + dt.timedelta(seconds=20 * i)) for i in range(8)], "id long, key string, ts timestamp")
+    d.coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = stream.limit(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), most=2, seconds=60)
+    q = s.writeStream.format("memory").queryName("lim").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    for _ in range(60):  # with time-outs a stream has no end of its own
+        got = {r.id: r.accepted for r in spark.sql("SELECT * FROM lim").collect()}
+        if len(got) == 8 or not q.isActive:
+            break
+        time.sleep(1)
+    q.stop()
+    assert [got[i] for i in range(8)] == [True, True, False, True, True, False, True, True]
