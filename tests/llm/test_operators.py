@@ -275,15 +275,15 @@ def test_small_hosts_are_shrunk_and_bad_hosts_fall(spark):
     good, bad = " ".join(f"a{i}" for i in range(30)), "few words"
     rows = [(i, good if i % 10 else bad, "big") for i in range(300)] + [(1000 + i, bad if i else good, "awful") for i in range(200)] + [(2000, bad, "tiny"), (2001, good, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    r = {(x.host, x.base_failed): x for x in hostrules.verdicts(d).collect()}
+    every = hostrules.verdicts(d).collect()
+    r = {(x.host, x.base_failed): x for x in every}
     assert r["big", False].kept and not r["big", True].kept and not r["awful", False].kept
     assert 0.3 < r["tiny", True].host_rate < 1 and r["awful", True].host_rate > 0.9 and (None, False) in r
-    hostrules.BROADCAST_HOSTS, keep = 0, hostrules.BROADCAST_HOSTS
+    hostrules.BROADCAST_HOSTS, most = 0, hostrules.BROADCAST_HOSTS  # the other way to join gives the same
     try:
-        assert sorted(map(str, hostrules.verdicts(d).collect())) == sorted(map(str, r2) if False else map(str, hostrules.verdicts(d).collect()))
-        assert hostrules.verdicts(d).count() == len(rows)
+        assert sorted(map(str, hostrules.verdicts(d).collect())) == sorted(map(str, every))
     finally:
-        hostrules.BROADCAST_HOSTS = keep
+        hostrules.BROADCAST_HOSTS = most
 
 
 # ------------------------------------------------------------------ suffix arrays
