@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, slices, texts
+from .common import checkpoint, crc_remainder, slices, small_batches, texts
 
 #: Confirmed toxic documents and unlabelled documents that the fit uses at most (those with the smallest hash of their id).
 POSITIVES, UNLABELLED = 4_000, 12_000
-#: Words that are features: in at least this many of the positives, and the most frequent ones of those.
-MIN_POSITIVES, WORDS = 5, 20_000
+#: Words that are features: in at least so many of the positives, in a larger share of them than of the unlabelled by at least
+#: so many standard errors, and of those the ones most beyond chance.
+MIN_POSITIVES, ERRORS, WORDS = 3, 4.0, 20_000
 _SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -81,16 +82,23 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
     chosen = rows.join(F.broadcast(ids), "k").select("k", "t", "p")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
+        c, n = (Counter(), Counter()), [0, 0]
         for b in batches:
             for part, raw in slices(b):
                 for x, p in zip(raw, part.column(2).to_pylist(), strict=True):
-                    if p:
-                        c.update(word_set(x))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["w", "n"])
-
-    found = chosen.mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_POSITIVES)
-    words = {bytes(r["w"]): i for i, r in enumerate(found.orderBy(F.desc("n"), "w").limit(WORDS).collect())}
+                    c[p].update(word_set(x))
+                    n[p] += 1
+        keys = [b""] + list(c[0] | c[1])  # no word is empty: under that key go the numbers of documents
+        cols = ([n[1]] + [c[1][w] for w in keys[1:]], [n[0]] + [c[0][w] for w in keys[1:]])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(x, pa.int64()) for x in cols)], names=["w", "p", "u"])
+
+    found = checkpoint(chosen.mapInArrow(count, "w binary, p long, u long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where((F.col("p") >= MIN_POSITIVES) | (F.octet_length("w") == 0)))
+    total = found.where(F.octet_length("w") == 0).first()
+    n_p, n_u = max(1, total["p"] if total else 0), max(1, total["u"] if total else 0)
+    share = (F.col("p") + F.col("u")) / (n_p + n_u)
+    beyond = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n_p + 1 / n_u))
+    best = found.where(F.octet_length("w") > 0).select("w", beyond.alias("z")).where(F.col("z") >= ERRORS).orderBy(F.desc("z"), "w").limit(WORDS)
+    words = {bytes(r["w"]): i for i, r in enumerate(best.collect())}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,6 +135,7 @@ def reject(docs: DataFrame, labels: DataFrame, folds: int = 5, limit: float = 0.
     """The documents whose score is below `limit`; all columns stay. The score is computed row by row beside the row itself, so
     no join and no shuffle of texts is needed."""
     model = fit(docs, labels, folds)
+    small_batches(docs.sparkSession)
     names = list(docs.columns)
     at = names.index("text")
 
