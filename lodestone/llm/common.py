@@ -11,6 +11,7 @@ Conventions, unless an operator says otherwise:
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import uuid
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 #: Bytes that end a word: space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts that a worker turns into Python objects at once, in bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Rows in the Arrow batches of texts; the default of 10,000 rows can be hundreds of MB.
+BATCH_ROWS = 1_000
 
 
 # --------------------------------------------------------------------------- shared folder
@@ -120,9 +123,26 @@ def field(name: str) -> Column:
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only id and text, under our own names `k` and `t`; a null text is empty."""
+    small_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").cast("long").alias("k"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small, from here on in this session, unless it asks for smaller ones already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def _give_back() -> None:
+    """Return free memory to the system: Python workers live on over tasks and stages, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, text: str = "t") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Pieces of an Arrow batch with at most about SLICE_BYTES of text each, and their texts as bytes."""
     col = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
@@ -135,6 +155,7 @@ def slices(batch: pa.RecordBatch, text: str = "t") -> Iterator[tuple[pa.RecordBa
         to = min(to, n)
         yield batch.slice(at, to - at), [b or b"" for b in col.slice(at, to - at).to_pylist()]
         at = to
+    _give_back()
 
 
 def crc_remainder(doc_id: Column, by: int) -> Column:

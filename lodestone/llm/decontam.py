@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import slices, small_batches, texts
 
 #: Bytes of a q-gram: one 64-bit word, compared whole.
 Q = 8
@@ -185,6 +185,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Da
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents without those in which an item occurs; all columns stay. Decided row by row, with no shuffle."""
+    small_batches(docs.sparkSession)
     names = list(docs.columns)
     at = names.index("text")
     for items in _blocks(benchmark, "item_id", "text"):

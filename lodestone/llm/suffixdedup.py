@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, slices
+from .common import new_folder, slices, small_batches
 
 #: Bytes of an anchor string.
 GRAM = 64
@@ -221,6 +221,7 @@ def repeated(parts: list[bytes], anchor: np.ndarray, windows: np.ndarray, group:
 
 # --------------------------------------------------------------------------- on Spark
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))).alias("k"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
     return rows.withColumn("th", F.xxhash64("t"))
 
