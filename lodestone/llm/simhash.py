@@ -112,17 +112,19 @@ def _compare(where: str, radius: int, lanes: int, wide: int):
     def links(x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         u, v = np.ascontiguousarray(x[:, 1]), np.ascontiguousarray(y[:, 1])
-        step = max(1, (1 << 19) // max(1, len(y)))
+        step = max(1, (1 << 18) // max(1, len(y)))
         for i in range(0, len(x), step):
             p, q = np.nonzero(np.bitwise_count(u[i : i + step, None] ^ v[None, :]) <= radius)
             p += i
             if same:
                 p, q = p[p < q], q[p < q]
-            if lanes > 1 and len(p):
-                near = np.bitwise_count(x[p, 1:] ^ y[q, 1:]).sum(axis=1) <= wide
-                p, q = p[near], q[near]
-            if len(p):
-                a, b = forest(np.concatenate([a, x[p, 0].view(np.int64)]), np.concatenate([b, y[q, 0].view(np.int64)]))
+            for j in range(0, len(p), 1 << 15):  # a dense group gives many at once
+                s, t = p[j : j + (1 << 15)], q[j : j + (1 << 15)]
+                if lanes > 1:
+                    near = np.bitwise_count(x[s, 1:] ^ y[t, 1:]).sum(axis=1) <= wide
+                    s, t = s[near], t[near]
+                if len(s):
+                    a, b = forest(np.concatenate([a, x[s, 0].view(np.int64)]), np.concatenate([b, y[t, 0].view(np.int64)]))
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
