@@ -14,6 +14,7 @@ from __future__ import annotations
 import ctypes
 import os
 import shutil
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -143,19 +144,24 @@ def _give_back() -> None:
         pass
 
 
-def slices(batch: pa.RecordBatch, text: str = "t") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Pieces of an Arrow batch with at most about SLICE_BYTES of text each, and their texts as bytes."""
+def slices(batch: pa.RecordBatch, text: str = "t", keep_ids: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Pieces of an Arrow batch with at most about SLICE_BYTES of text each, and their texts as bytes. Ids that an earlier task of
+    this process remembered are forgotten, unless the caller encodes texts itself; for that, pieces are twice as large."""
+    most = SLICE_BYTES * (2 if keep_ids else 1)
+    if not keep_ids and "tokenizers" in sys.modules:
+        vars(sys.modules["tokenizers"]).pop("_lodestone_memory", None)
     col = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
     n, at = batch.num_rows, 0
     if not n:
         return
     ends = np.frombuffer(col.buffers()[1], dtype=np.int64, count=n + 1 + col.offset)[col.offset :]
     while at < n:
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
         to = min(to, n)
         yield batch.slice(at, to - at), [b or b"" for b in col.slice(at, to - at).to_pylist()]
         at = to
-    _give_back()
+    if not keep_ids:
+        _give_back()
 
 
 def crc_remainder(doc_id: Column, by: int) -> Column:

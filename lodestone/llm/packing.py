@@ -30,7 +30,7 @@ def pieces(docs: DataFrame, size: int = 2048, end_id: int = 0, path: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(path, by_chunk)
         for b in batches:
-            for part, raw in slices(b):
+            for part, raw in slices(b, keep_ids=True):
                 rows = ([], [], [], [], [])
                 for k, ids in zip(part.column(0).to_pylist(), ended(enc.encode(raw), end_id, enc.dtype), strict=True):
                     wide = ids.astype("<u4")

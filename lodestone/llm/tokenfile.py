@@ -187,7 +187,7 @@ def write(docs: DataFrame, end_id: int = 2, path: str | None = None, by_chunk: b
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, keys, lens, ids = Encoder(path, by_chunk), [], [], []
         for b in batches:
-            for part, raw in slices(b):
+            for part, raw in slices(b, keep_ids=True):
                 keys.append(part.column(0).to_numpy())
                 got = list(ended(enc.encode(raw), end_id, enc.dtype))
                 lens.append(np.fromiter(map(len, got), np.int64, len(got)))
