@@ -58,6 +58,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return where
 
 
+def drop_folder(where: str) -> None:
+    """Remove a folder of `new_folder` whose files are no longer read."""
+    path = local_path(where)
+    if path:
+        shutil.rmtree(path, ignore_errors=True)
+    else:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(where)
+        store.delete_dir(base)
+
+
 def local_path(where: str) -> str | None:
     """The mounted path of a shared URI, or None where it is in a store without one."""
     if where.startswith("file:"):

@@ -6,9 +6,11 @@ also of their halves or quarters, that differ by `radius` at most, so tile pairs
 nothing is lost. A tile pair is compared whole with numpy's exclusive-or and bit counts; of its links only a spanning forest
 leaves the task, so a group of thousands of near copies never becomes pairs.
 
-`classes` links fingerprints by a radius alone. `keep_one`, for the pipeline, asks for a similarity of shingle sets: pairs
-within a wide radius are compared once more, by a fingerprint of 512 bits whose distance estimates the similarity closely;
-tile pairs are also skipped where the sizes of the sets alone rule the similarity out.
+`classes` links fingerprints by a radius alone. `keep_one`, for the pipeline, asks for a similarity of shingle sets and uses no
+fingerprint: two sets of a Jaccard similarity of s share one of the first n - ceil(s n) + 1 of their n shingles in any order
+common to all sets. The sets are written to the shared folder, those first shingles are shuffled in packed blocks, and sets that
+meet in one are compared whole, so no pair is missed and none is linked below s. Shingles that a sample of the sets shows to be
+common come last in the order; that saves comparisons and decides nothing.
 """
 
 from __future__ import annotations
@@ -23,14 +25,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, forest, map_array, new_folder, packed, slices, texts, write_bytes
+from .common import checkpoint, components, drop_folder, forest, map_array, new_folder, packed, slices, texts, write_bytes
+from .lm import _dealt, _gather, _split, merge, unpack
 
 #: Fingerprints in a tile at most, on average.
 TILE = 8192
 #: Distinct fingerprints from which blocks are made by quarters instead of halves.
 FINE_FROM = 1_000_000
-#: SimHashes in a wide fingerprint, and the radius on the first of them within which wide ones are compared.
-LANES, WIDE_RADIUS = 8, 18
+#: Hashes in a file of shingle sets, hashes or entries that a task holds before it passes them on, and entries in a bucket.
+FILE_HASHES, HELD, BUCKET = 2_000_000, 1_000_000, 500_000
+#: One in so many sets is sampled for common shingles if there are many; those in so many sets, at an estimate, are common; so many are kept.
+SAMPLE, COMMON, MOST_COMMON = 8, 32, 500_000
 
 
 def _shingles(text: bytes, width: int) -> np.ndarray:
@@ -60,17 +65,6 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int(_majority(_shingles(text, width)))
 
 
-def wide_fingerprint(text: bytes, width: int, lanes: int = LANES) -> tuple[int, np.ndarray]:
-    """(shingles, bits) of the set of shingles: `lanes` SimHashes, of the hashes and of independent mixes of them."""
-    h = np.unique(_shingles(text, width))
-    out = [_majority(h)]
-    for i in range(1, lanes):
-        x = (h ^ np.uint64(i * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        out.append(_majority(x ^ (x >> np.uint64(32))))
-    return len(h), np.array(out, np.uint64)
-
-
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """(k, fp) of each document; fp as a signed long."""
 
@@ -83,31 +77,17 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return docs.mapInArrow(run, "k long, fp long")
 
 
-def wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """(k, n, fp, v, w): shingles, the first lane, a hash of all lanes, and all lanes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part, raw in slices(b):
-                got = [wide_fingerprint(x, width) for x in raw]
-                w = [x.tobytes() for _, x in got]
-                cols = [part.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array(np.array([x[0] for _, x in got], np.uint64).view(np.int64)), pa.array(np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w)).view(np.int64)), pa.array(w, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["k", "n", "fp", "v", "w"])
-
-    return docs.mapInArrow(run, "k long, n long, fp long, v long, w binary")
-
-
 def _part_counts(parts: int) -> list:
     bits = 64 // parts
     mask = (1 << bits) - 1
     return [F.bit_count(F.shiftrightunsigned("fp", i * bits).bitwiseAND(F.lit(mask if bits < 64 else -1))) for i in range(parts)]
 
 
-def _compare(where: str, radius: int, lanes: int, wide: int):
+def _compare(where: str, radius: int):
     """Links of tile pairs (x, y, same)."""
 
     def tile(name: str) -> np.ndarray:
-        return map_array(where, name, "<u8").reshape(-1, 1 + lanes)  # v, then the lanes
+        return map_array(where, name, "<u8").reshape(-1, 2)  # v, fp
 
     def links(x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -120,11 +100,7 @@ def _compare(where: str, radius: int, lanes: int, wide: int):
                 p, q = p[p < q], q[p < q]
             for j in range(0, len(p), 1 << 15):  # a dense group gives many at once
                 s, t = p[j : j + (1 << 15)], q[j : j + (1 << 15)]
-                if lanes > 1:
-                    near = np.bitwise_count(x[s, 1:] ^ y[t, 1:]).sum(axis=1) <= wide
-                    s, t = s[near], t[near]
-                if len(s):
-                    a, b = forest(np.concatenate([a, x[s, 0].view(np.int64)]), np.concatenate([b, y[t, 0].view(np.int64)]))
+                a, b = forest(np.concatenate([a, x[s, 0].view(np.int64)]), np.concatenate([b, y[t, 0].view(np.int64)]))
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,14 +113,13 @@ def _compare(where: str, radius: int, lanes: int, wide: int):
     return run
 
 
-def near_links(nodes: DataFrame, block: list[Column], together: Callable[[tuple, tuple], bool], radius: int, tile: int = TILE, lanes: int = 1, wide: int = 0) -> DataFrame:
-    """Links (a, b) that connect the vertices v of `nodes` (v, fp, and w if lanes > 1) wherever two fingerprints differ in `radius`
-    bits at most, and the wide ones in `wide` bits. `together` tells whether two blocks can hold such a pair; there must be
+def near_links(nodes: DataFrame, block: list[Column], together: Callable[[tuple, tuple], bool], radius: int, tile: int = TILE) -> DataFrame:
+    """Links (a, b) that connect the vertices v of `nodes` (v, fp) wherever two fingerprints differ in `radius` bits at most. `together` tells whether two blocks can hold such a pair; there must be
     few blocks whatever the input, as their sizes and pairs are handled by the driver. Pairs of tiles are made on the cluster.
     """
     spark = nodes.sparkSession
     names = [f"p{i}" for i in range(len(block))]
-    named = nodes.select("v", "fp", F.col("w") if lanes > 1 else F.lit(None).cast("binary").alias("w"), *[c.cast("int").alias(n) for c, n in zip(block, names, strict=True)])
+    named = nodes.select("v", "fp", *[c.cast("int").alias(n) for c, n in zip(block, names, strict=True)])
     sizes = {tuple(r[i] for i in range(len(block))): r[len(block)] for r in named.groupBy(*names).count().collect()}
     blocks = sorted(sizes)
     if not blocks:
@@ -152,7 +127,7 @@ def near_links(nodes: DataFrame, block: list[Column], together: Callable[[tuple,
     tiles = [math.ceil(sizes[b] / tile) for b in blocks]
     of_block = spark.createDataFrame([(*b, i, t) for i, (b, t) in enumerate(zip(blocks, tiles, strict=True))], ", ".join(f"{n} int" for n in names) + ", c int, tiles int")
     named = named.join(F.broadcast(of_block), names)
-    tiled = named.groupBy("c", F.pmod(F.xxhash64("v"), F.col("tiles")).cast("int").alias("i")).agg(F.collect_list(F.struct("v", "fp", "w")).alias("x"))
+    tiled = named.groupBy("c", F.pmod(F.xxhash64("v"), F.col("tiles")).cast("int").alias("i")).agg(F.collect_list(F.struct("v", "fp")).alias("x"))
     where = new_folder(spark, "tiles")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +135,7 @@ def near_links(nodes: DataFrame, block: list[Column], together: Callable[[tuple,
         for t in batches:
             for c, i, x in zip(*(t.column(j) for j in range(3)), strict=True):
                 s = x.values
-                v = s.field("v").to_numpy().view(np.uint64)
-                rest = np.frombuffer(b"".join(s.field("w").to_pylist()), np.uint64).reshape(-1, lanes) if lanes > 1 else s.field("fp").to_numpy().view(np.uint64).reshape(-1, 1)
-                write_bytes(where, f"{c}-{i}", [np.column_stack([v, rest]).astype("<u8").tobytes()])
+                write_bytes(where, f"{c}-{i}", [np.column_stack([s.field("v").to_numpy().view(np.uint64), s.field("fp").to_numpy().view(np.uint64)]).astype("<u8").tobytes()])
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
@@ -173,7 +146,7 @@ def near_links(nodes: DataFrame, block: list[Column], together: Callable[[tuple,
     todo = todo.where("c <> d or i <= j").withColumn("same", (F.col("c") == F.col("d")) & (F.col("i") == F.col("j")))
     todo = todo.select(F.concat_ws("-", "c", "i").alias("x"), F.concat_ws("-", "d", "j").alias("y"), "same")
     todo = todo.repartition(max(24, 4 * spark.sparkContext.defaultParallelism, sum(tiles) // 8), F.xxhash64("x", "y"))
-    return todo.mapInArrow(_compare(where, radius, lanes, wide), "a long, b long")
+    return todo.mapInArrow(_compare(where, radius), "a long, b long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -200,29 +173,219 @@ def _hot_join(many: DataFrame, one: DataFrame, salts: int = 16) -> DataFrame:
     return many.withColumn("s", F.pmod(F.xxhash64("k"), F.lit(salts)).cast("int")).join(one, ["fp", "s"])
 
 
-def wide_limit(similarity: float, lanes: int = LANES) -> int:
-    """Differing bits up to which two wide fingerprints count as at least so similar: the expected number at that similarity of
-    sets (their cosine is 2s / (1 + s)), and one standard deviation."""
-    share, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * lanes
-    return math.ceil(bits * share + math.sqrt(bits * share * (1 - share)))
+# --------------------------------------------------------------------------- similarity of shingle sets
+def _store_sets(docs: DataFrame, where: str, width: int) -> DataFrame:
+    """(k, v, n, f, o) of each document: id, hash of the set of shingles, its size, and where it is written:
+    in file f, from place o on, the size and the sorted hashes. A file is named by its content, so a repeated task does no harm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, ids, size = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            n = np.fromiter(map(len, sets), np.int64, len(sets))
+            data = np.concatenate([y for x in sets for y in (np.array([len(x)], np.uint64), x)]).astype("<u8").tobytes()
+            name = xxhash.xxh64_intdigest(data)
+            write_bytes(where, f"{name:016x}", [data])
+            v = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets)).view(np.int64)
+            f = np.full(len(sets), name, np.uint64).view(np.int64)
+            cols = [pa.array(x, pa.int64()) for x in (ids, v, n, f, np.cumsum(n + 1) - n - 1)]
+            return pa.RecordBatch.from_arrays(cols, names=["k", "v", "n", "f", "o"])
+
+        for b in batches:
+            for part, raw in slices(b):
+                got = [np.unique(_shingles(x, width)) for x in raw]
+                sets += got
+                ids.extend(part.column(0).to_pylist())
+                size += sum(map(len, got))
+                if size > FILE_HASHES:
+                    yield out()
+                    sets, ids, size = [], [], 0
+        if sets:
+            yield out()
+
+    return docs.mapInArrow(run, "k long, v long, n long, f long, o long")
+
+
+def _read_sets(where: str, files: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(file number, place, set) of batches of (file number, places)."""
+    for b in batches:
+        for i, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x = np.asarray(map_array(where, files[i], "<u8"))
+            for o in places:
+                yield i, o, x[o + 1 : o + 1 + int(x[o])]
+
+
+def _common_shingles(places: DataFrame, where: str, files: list[str], parts: int, least: int) -> None:
+    """Write the shingles that at least `least` of the sets have, MOST_COMMON at most, and their counts."""
+    bits = (parts - 1).bit_length()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for _, _, x in _read_sets(where, files, batches):
+            held.append(x)
+            n += len(x)
+            if n > HELD:
+                keys, c = np.unique(np.concatenate(held), return_counts=True)
+                yield _split(keys, 64 - bits, c)
+                held, n = [], 0
+        if held:
+            keys, c = np.unique(np.concatenate(held), return_counts=True)
+            yield _split(keys, 64 - bits, c)
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blocks in _gather(batches):
+            keys, c = merge(blocks)
+            keys, c = keys[c >= least], c[c >= least]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(c)], names=["h", "c"])
+
+    got = _dealt(places.mapInArrow(count, "b int, data binary"), parts).mapInArrow(often, "h long, c long").orderBy(F.desc("c"), "h").limit(MOST_COMMON).toArrow()
+    h, c = (got.column(i).to_numpy() for i in range(2))
+    h = h.astype(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    write_bytes(where, "common.h", [h[order].astype("<u8").tobytes()])
+    write_bytes(where, "common.c", [c[order].astype("<u4").tobytes()])
+
+
+def prefix(x: np.ndarray, similarity: float, common: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of a set of n sorted hashes, common ones last; two sets so similar share one of them."""
+    n = len(x)
+    p = n - math.ceil(similarity * n - 1e-9) + 1
+    if not len(common):
+        return x[:p]
+    at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+    known = common[at] == x
+    rare = x[~known]
+    if len(rare) >= p:
+        return rare[:p]
+    last = np.flatnonzero(known)
+    return np.concatenate([rare, x[last[np.argsort(count[at[last]], kind="stable")[: p - len(rare)]]]])
+
+
+def similar_pairs(sets: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs that connect the sets wherever two are as similar as that, and `labels` (of sets connected before) differ."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    order = np.argsort(n, kind="stable")
+    labels, out = labels.copy(), []
+    for at, a in enumerate(order[:-1].tolist()):
+        x, rest = sets[a], order[at + 1 :]
+        rest = rest[(labels[rest] != labels[a]) & (similarity * n[rest] <= n[a] + 1e-9)]
+        found = []
+        for b in rest.tolist():
+            y = sets[b]
+            both = int(np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y))
+            if both >= similarity * (len(x) + len(y) - both) - 1e-9:
+                found.append(b)
+        if found:
+            out += [(a, b) for b in found]
+            labels[np.isin(labels, labels[found])] = labels[a]
+            if (labels == labels[0]).all():
+                break
+    return out
+
+
+def set_links(own: DataFrame, where: str, files: list[str], similarity: float) -> DataFrame:
+    """Links (a, b) that connect the sets `own` (i, o, n) wherever the Jaccard similarity of two is at least `similarity`. A vertex
+    is the number of the file times 2^32 plus the place."""
+    sets = own.where("n > 0")
+    place = lambda d: d.groupBy("i").agg(F.collect_list("o").alias("o"))
+    n, hashes = sets.agg(F.count("*"), F.sum("n")).first()
+    if not n:
+        return own.sparkSession.createDataFrame([], "a long, b long")
+    parts = 1 << max(3, int(hashes * (1 - similarity) // BUCKET).bit_length())
+    one_in = SAMPLE if n > 1000 * SAMPLE else 1
+    _common_shingles(place(sets.where(F.pmod(F.xxhash64("i", "o"), F.lit(one_in)) == 0)), where, files, parts, max(3, COMMON // one_in))
+    shift = 64 - (parts - 1).bit_length()
+
+    def block(keys: list[np.ndarray], at: list[tuple[int, int]]) -> pa.RecordBatch:
+        lens, at = np.fromiter(map(len, keys), np.int64, len(keys)), np.array(at, np.int64).reshape(-1, 2)
+        x = np.concatenate(keys)
+        order = np.argsort(x, kind="stable")
+        return _split(x[order], shift, np.repeat(at[:, 0], lens)[order], np.repeat(at[:, 1], lens)[order])
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, count = (np.asarray(map_array(where, f"common.{c}", t)) for c, t in (("h", "<u8"), ("c", "<u4")))
+        keys, at, size = [], [], 0
+        for i, o, x in _read_sets(where, files, batches):
+            keys.append(prefix(x, similarity, common, count))
+            at.append((i, o))
+            size += len(keys[-1])
+            if size > HELD:
+                yield block(keys, at)
+                keys, at, size = [], [], 0
+        if keys:
+            yield block(keys, at)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps: dict[int, np.ndarray] = {}
+        now, blocks = None, []
+
+        def read(d: int) -> np.ndarray:
+            i, o = d >> 32, d & 0xFFFFFFFF
+            if i not in maps:
+                maps[i] = np.asarray(map_array(where, files[i], "<u8"))
+            return maps[i][o + 1 : o + 1 + int(maps[i][o])]
+
+        def links() -> pa.RecordBatch:
+            keys, d = np.concatenate([b[0] for b in blocks]), np.concatenate([(b[1] << 32) | b[2] for b in blocks])
+            order = np.lexsort((d, keys))
+            keys, d = keys[order], d[order]
+            cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+            many = np.diff(cuts) > 1
+            up: dict[int, int] = {}
+            seen: set[bytes] = set()
+            pairs: list[tuple[int, int]] = []
+
+            def find(x: int) -> int:
+                while (y := up.get(x, x)) != x:
+                    up[x] = x = up.get(y, y)
+                return x
+
+            for a, z in zip(cuts[:-1][many].tolist(), cuts[1:][many].tolist(), strict=True):
+                name = d[a:z].tobytes()
+                if name in seen:
+                    continue
+                seen.add(name)
+                own = d[a:z].tolist()
+                labels = np.array([find(x) for x in own])
+                if (labels == labels[0]).all():
+                    continue
+                for s, t in similar_pairs([read(x) for x in own], labels, similarity):
+                    pairs.append((own[s], own[t]))
+                    up[find(own[s])] = find(own[t])
+            got = np.array(pairs, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+        for t in batches:
+            for b, data in zip(t.column(0).to_pylist(), t.column(1), strict=True):
+                if b != now and blocks:
+                    yield links()
+                    blocks = []
+                now = b
+                blocks.append(unpack(data.as_py()))
+        if blocks:
+            yield links()
+
+    return _dealt(place(sets).mapInArrow(prefixes, "b int, data binary"), parts).mapInArrow(verify, "a long, b long")
 
 
-def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents, one of each group of near-duplicates: the row with the smallest id of its component.
 
-    Near-duplicates are texts whose sets of shingles are similar enough by their wide fingerprints, and texts that are so
-    only over others. Of repeated rows with that smallest id one stays (the first by a hash of the whole row); rows without an
-    id stay only if their component has no other, one for each. All texts without words are one group.
+    Near-duplicates are texts whose sets of shingles have a Jaccard similarity of at least `similarity`, and texts that are so
+    only over others; all texts without words are one group. A null id is never the smallest while another id is in the
+    component. Of repeated rows with the smallest id one stays (the first by a hash of the whole row).
     """
-    fp = checkpoint(wide_fingerprints(texts(docs), width))
-    own = checkpoint(fp.groupBy("v").agg(F.first("fp").alias("fp"), F.first("w").alias("w"), F.first("n").alias("n"), F.min("k").alias("low")))
-    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / math.log(1.05))
-    reach = math.ceil(math.log(1 / similarity) / math.log(1.05)) + 2  # sets of more different sizes can't be so similar; one band for what the estimate adds
-    count = (F.bit_count("fp") / 8).cast("int")
-    near = lambda b, c: abs(b[0] - c[0]) <= reach and 8 * (abs(b[1] - c[1]) - 1) < radius
-    roots = components(near_links(own, [band, count], near, radius, lanes=LANES, wide=wide_limit(similarity)))
-    joined = own.join(roots, "v", "left").select("low", F.coalesce("root", "v").alias("root"))
+    where = new_folder(docs.sparkSession, "sets")
+    fp = checkpoint(_store_sets(texts(docs), where, width))
+    names = sorted(r["f"] for r in fp.select("f").distinct().collect())  # one per file of sets
+    files = [f"{f % 2**64:016x}" for f in names]
+    number = docs.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "f long, i long")
+    own = fp.groupBy("v", "n").agg(F.min(F.struct("f", "o")).alias("at"), F.min("k").alias("low"))
+    own = checkpoint(own.select("n", "low", F.col("at.f").alias("f"), F.col("at.o").alias("o")).join(F.broadcast(number), "f").withColumn("d", F.shiftleft("i", 32).bitwiseOR(F.col("o"))))
+    roots = components(set_links(own, where, files, similarity))
+    joined = own.join(roots, own.d == roots.v, "left").select("low", F.coalesce("root", "d").alias("root"))
     c = checkpoint(joined.groupBy("root").agg(F.min("low").alias("id")))
+    drop_folder(where)
     kept = packed(docs).join(c, F.col("r.doc_id").eqNullSafe(F.col("id")), "left_semi")
     if fp.groupBy("k").count().where("count > 1").limit(1).count():  # repeated ids: one more pass settles which row stays
         kept = kept.withColumn("h", F.xxhash64("r")).groupBy(F.col("r.doc_id").alias("id")).agg(F.min_by("r", "h").alias("r"))

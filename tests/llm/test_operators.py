@@ -184,6 +184,28 @@ def test_keep_one_of_each_group(docs, empty):
     assert simhash.keep_one(empty).count() == 0 and simhash.classes(empty).count() == 0
 
 
+def with_jaccard(rnd, n, changed):
+    """Two texts of n shingles of which `changed` are changed at each one's end: the similarity is (n - changed) / (n + changed)."""
+    words = [f"u{rnd.randrange(10**9)}" for _ in range(n + 4)]
+    return " ".join(words), " ".join(words[: n + 4 - changed] + [f"u{rnd.randrange(10**9)}" for _ in range(changed)])
+
+
+def test_pairs_are_near_duplicates_from_the_very_similarity_on(spark):
+    rnd = random.Random(8)
+    rows, want = [], set()
+    for n in (9, 18, 45, 90, 180, 270):  # (n - c) / (n + c) = 0.8 for n = 9 c
+        for c in (n // 9, n // 9 + 1):
+            for _ in range(6):
+                a, b = with_jaccard(rnd, n, c)
+                want |= {len(rows)} | ({len(rows) + 1} if c > n // 9 else set())
+                rows += [(len(rows), a), (len(rows) + 1, b)]
+    for _ in range(20):  # four shingles in five, and three in four
+        a, b = with_jaccard(rnd, 5, 0)[0], with_jaccard(rnd, 4, 0)[0]
+        want |= {len(rows), len(rows) + 2, len(rows) + 3}
+        rows += [(len(rows), a), (len(rows) + 1, a.rsplit(" ", 1)[0]), (len(rows) + 2, b), (len(rows) + 3, b.rsplit(" ", 1)[0])]
+    assert {r.doc_id for r in simhash.keep_one(frame(spark, rows)).select("doc_id").collect()} == want
+
+
 # ------------------------------------------------------------------ decontamination
 def edit_distance_within(p, t):
     row = [0] * (len(t) + 1)
