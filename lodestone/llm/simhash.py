@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, drop_folder, forest, map_array, new_folder, packed, slices, texts, write_bytes
+from .common import checkpoint, components, drop_folder, field, forest, map_array, new_folder, packed, slices, texts, write_bytes
 from .lm import _dealt, _gather, _split, merge, unpack
 
 #: Fingerprints in a tile at most, on average.
@@ -175,11 +175,11 @@ def _hot_join(many: DataFrame, one: DataFrame, salts: int = 16) -> DataFrame:
 
 # --------------------------------------------------------------------------- similarity of shingle sets
 def _store_sets(docs: DataFrame, where: str, width: int) -> DataFrame:
-    """(k, v, n, f, o) of each document: id, hash of the set of shingles, its size, and where it is written:
+    """(k, h, v, n, f, o) of each document: id, hash of the text, hash of the set of shingles, its size, and where it is written:
     in file f, from place o on, the size and the sorted hashes. A file is named by its content, so a repeated task does no harm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, ids, size = [], [], 0
+        sets, ids, size = [], ([], []), 0
 
         def out() -> pa.RecordBatch:
             n = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -188,22 +188,23 @@ def _store_sets(docs: DataFrame, where: str, width: int) -> DataFrame:
             write_bytes(where, f"{name:016x}", [data])
             v = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets)).view(np.int64)
             f = np.full(len(sets), name, np.uint64).view(np.int64)
-            cols = [pa.array(x, pa.int64()) for x in (ids, v, n, f, np.cumsum(n + 1) - n - 1)]
-            return pa.RecordBatch.from_arrays(cols, names=["k", "v", "n", "f", "o"])
+            cols = [pa.array(x, pa.int64()) for x in (*ids, v, n, f, np.cumsum(n + 1) - n - 1)]
+            return pa.RecordBatch.from_arrays(cols, names=["k", "h", "v", "n", "f", "o"])
 
         for b in batches:
             for part, raw in slices(b):
                 got = [np.unique(_shingles(x, width)) for x in raw]
                 sets += got
-                ids.extend(part.column(0).to_pylist())
+                ids[0].extend(part.column(0).to_pylist())
+                ids[1].extend(part.column(2).to_pylist())
                 size += sum(map(len, got))
                 if size > FILE_HASHES:
                     yield out()
-                    sets, ids, size = [], [], 0
+                    sets, ids, size = [], ([], []), 0
         if sets:
             yield out()
 
-    return docs.mapInArrow(run, "k long, v long, n long, f long, o long")
+    return docs.select("k", "t", F.xxhash64("t").alias("h")).mapInArrow(run, "k long, h long, v long, n long, f long, o long")
 
 
 def _read_sets(where: str, files: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -373,20 +374,22 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
 
     Near-duplicates are texts whose sets of shingles have a Jaccard similarity of at least `similarity`, and texts that are so
     only over others; all texts without words are one group. A null id is never the smallest while another id is in the
-    component. Of repeated rows with the smallest id one stays (the first by a hash of the whole row).
+    component. Of the rows of a component with its smallest id (or none) that with the smallest hash of the text stays, and of
+    those with equal texts the first by a hash of the whole row; components that share an id, or have none, each keep a row.
     """
     where = new_folder(docs.sparkSession, "sets")
     fp = checkpoint(_store_sets(texts(docs), where, width))
     names = sorted(r["f"] for r in fp.select("f").distinct().collect())  # one per file of sets
     files = [f"{f % 2**64:016x}" for f in names]
     number = docs.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "f long, i long")
-    own = fp.groupBy("v", "n").agg(F.min(F.struct("f", "o")).alias("at"), F.min("k").alias("low"))
+    own = fp.groupBy("v", "n").agg(F.min(F.struct("f", "o")).alias("at"), F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h")).alias("low"))
     own = checkpoint(own.select("n", "low", F.col("at.f").alias("f"), F.col("at.o").alias("o")).join(F.broadcast(number), "f").withColumn("d", F.shiftleft("i", 32).bitwiseOR(F.col("o"))))
     roots = components(set_links(own, where, files, similarity))
     joined = own.join(roots, own.d == roots.v, "left").select("low", F.coalesce("root", "d").alias("root"))
-    c = checkpoint(joined.groupBy("root").agg(F.min("low").alias("id")))
+    c = checkpoint(joined.groupBy("root").agg(F.min("low").alias("low")).select("low.k", "low.h"))
     drop_folder(where)
-    kept = packed(docs).join(c, F.col("r.doc_id").eqNullSafe(F.col("id")), "left_semi")
-    if fp.groupBy("k").count().where("count > 1").limit(1).count():  # repeated ids: one more pass settles which row stays
-        kept = kept.withColumn("h", F.xxhash64("r")).groupBy(F.col("r.doc_id").alias("id")).agg(F.min_by("r", "h").alias("r"))
+    rows = packed(docs).withColumn("h", F.xxhash64(F.coalesce(field("text"), F.lit(""))))
+    kept = rows.join(c.withColumnRenamed("h", "ch"), field("doc_id").cast("long").eqNullSafe(F.col("k")) & (F.col("h") == F.col("ch")), "left_semi")
+    if fp.groupBy("k", "h").count().where("count > 1").limit(1).count():  # repeated rows: one more pass settles which stays
+        kept = kept.withColumn("x", F.xxhash64("r")).groupBy(field("doc_id").alias("k"), "h").agg(F.min_by("r", "x").alias("r"))
     return kept.select("r.*")

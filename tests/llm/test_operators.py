@@ -206,6 +206,16 @@ def test_pairs_are_near_duplicates_from_the_very_similarity_on(spark):
     assert {r.doc_id for r in simhash.keep_one(frame(spark, rows)).select("doc_id").collect()} == want
 
 
+def test_each_component_keeps_a_row_of_its_own(spark):
+    rnd = random.Random(9)
+    t = [with_jaccard(rnd, 30, 0)[0] for _ in range(9)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[1]), (None, t[2]), (None, t[3] + " more"), (3, t[3]), (5, t[4]), (5, t[5]), (1, t[5] + " more"), (6, t[6]), (6, t[7]), (6, t[7]), (None, None), (None, " ")]
+    got = Counter((r.doc_id, r.text) for r in simhash.keep_one(frame(spark, rows)).select("doc_id", "text").collect())
+    blank = [x for x in got if not (x[1] or "").strip()]
+    assert len(blank) == 1 and got.pop(blank[0]) == 1
+    assert got == Counter([(None, t[0]), (None, t[1]), (None, t[2]), (3, t[3]), (5, t[4]), (1, t[5] + " more"), (6, t[6]), (6, t[7])])
+
+
 # ------------------------------------------------------------------ decontamination
 def edit_distance_within(p, t):
     row = [0] * (len(t) + 1)
