@@ -22,7 +22,7 @@ from .common import slices, small_batches, texts
 Q = 8
 #: Edits allowed as a share of an item's length.
 RATE = 0.08
-#: Items of fewer bytes in plain form are too short to tell and never match.
+#: Items of fewer bytes in plain form match without edits and as whole words only.
 SHORTEST = 24
 #: Bytes of items that go to the workers at once; more items take more passes over the documents.
 BLOCK_BYTES = 8 << 20
@@ -64,10 +64,14 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int,
 class Finder:
     """Items ready for search."""
 
-    def __init__(self, items: list[tuple[int, bytes]], rate: float = RATE):
+    def __init__(self, items: list[tuple[int | None, bytes]], rate: float = RATE):
         kept = [(i, plain(t)) for i, t in items]
+        short = [(i, t) for i, t in kept if 0 < len(t) < SHORTEST]
         kept = [(i, t) for i, t in kept if len(t) >= SHORTEST]
-        self.ids = np.array([i for i, _ in kept], np.int64)
+        self.ids = [i for i, _ in kept + short]
+        self.by_word: dict[bytes, list[tuple[int, bytes]]] = {}  # short items by their first word
+        for n, (_, t) in enumerate(short, len(kept)):
+            self.by_word.setdefault(t.split()[0], []).append((n, b" " + t + b" "))
         self.items = [np.frombuffer(t, np.uint8) for _, t in kept]
         m = np.array([len(t) for _, t in kept], np.int64)
         self.m, self.k = m, np.minimum((rate * m).astype(np.int64), m // Q - 1)  # the bound stays 1 at least
@@ -95,8 +99,9 @@ class Finder:
         begin = np.concatenate([[0], np.cumsum(lens + Q)])[:-1]
         x = np.frombuffer(bytes(Q).join(docs), np.uint8)
         code = words64(x)
-        if not len(code) or not len(self.ids):
-            return []
+        out = self._short(docs)
+        if not len(code) or not self.items:
+            return out
         pos = np.flatnonzero(self.seen[self._slot(code)])
         code = code[pos]
         which = np.searchsorted(self.codes, code)
@@ -124,7 +129,6 @@ class Finder:
                 hit = self._verify(i, docs[d], low - int(begin[d]) - k, high - int(begin[d]) + k)
                 if hit and hit not in found.setdefault((d, i), []):
                     found[d, i].append(hit)
-        out = []
         for (d, i), hits in found.items():
             kept: list[tuple[int, int, int]] = []
             for h in sorted(hits):
@@ -133,6 +137,18 @@ class Finder:
             out += [(d, i, *h) for h in kept]
         return out
 
+    def _short(self, docs: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+        out = []
+        for d, doc in enumerate(docs) if self.by_word else ():
+            padded = b" " + doc + b" "
+            for w in self.by_word.keys() & set(doc.split()):
+                for i, item in self.by_word[w]:
+                    at = padded.find(item)
+                    while at >= 0:
+                        out.append((d, i, 0, at, at + len(item) - 2))
+                        at = padded.find(item, at + len(item) - 1)
+        return out
+
     def _verify(self, i: int, doc: bytes, low: int, high: int) -> tuple[int, int, int] | None:
         own, k = self.items[i], int(self.k[i])
         low, high = max(low, -k), min(high, len(doc) - len(own) + k)
@@ -150,21 +166,21 @@ class Finder:
         return edits, end - back, end
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, bytes]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, bytes]]]:
     """The items in blocks of about BLOCK_BYTES; their size is asked for first."""
     own = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
     total = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
     for b in range(n):
         part = own if n == 1 else own.where(F.pmod(F.xxhash64("t"), F.lit(n)) == b)
-        yield [(r["i"], r["t"].encode()) for r in part.where("i is not null").distinct().collect()]
+        yield [(r["i"], r["t"].encode()) for r in part.distinct().collect()]
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, item_id, edits, start, end: one row per occurrence of an item in a row's text; places in the plain form.
 
-    A null or empty text, and an item that is null or shorter than SHORTEST bytes, have none. Repeated rows each give their
-    rows; items with the same text each match. Extra columns are ignored.
+    A null or empty text or item has none; an item of fewer than SHORTEST bytes occurs without edits, as whole words. Repeated
+    rows each give their rows; items with the same text each match, also those without an id. Extra columns are ignored.
     """
     out = None
     for items in _blocks(benchmark, "item_id", "text"):
@@ -175,7 +191,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Da
                 for part, raw in slices(b):
                     hits = finder.search(raw)
                     k = part.column(0).to_pylist()
-                    cols = ([k[h[0]] for h in hits], [int(finder.ids[h[1]]) for h in hits], [h[2] for h in hits], [h[3] for h in hits], [h[4] for h in hits])
+                    cols = ([k[h[0]] for h in hits], [finder.ids[h[1]] for h in hits], [h[2] for h in hits], [h[3] for h in hits], [h[4] for h in hits])
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "edits", "start", "end"])
 
         found = texts(docs).mapInArrow(run, "doc_id long, item_id long, edits long, start long, end long")

@@ -261,6 +261,14 @@ def test_decontaminate(spark, docs, empty):
     assert decontam.occurrences(empty, bench).count() == 0 and decontam.decontaminate(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_short_items_and_items_without_an_id(spark):
+    d = frame(spark, [(1, "So: who WAS Ada?  Yes, who was Ada."), (2, "whoever was ada"), (3, "long ago " * 5), (4, "of no use"), (5, "A"), (6, None)])
+    bench = spark.createDataFrame([(7, "Who was Ada"), (None, "no use"), (None, "ago long ago long ago long"), (8, ""), (9, "a")], "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.edits, r.start, r.end) for r in decontam.occurrences(d, bench).collect()), key=key)
+    assert got == [(1, 7, 0, 3, 14), (1, 7, 0, 19, 30), (3, None, 0, 5, 31), (4, None, 0, 3, 9), (5, 9, 0, 0, 1)]
+    assert sorted(r.doc_id for r in decontam.decontaminate(d, bench).collect()) == [2, 6]
+
+
 # ------------------------------------------------------------------ toxicity
 def test_held_out_accuracy_and_rejection(spark):
     rnd = random.Random(7)
