@@ -126,9 +126,9 @@ class Finder:
                     break
                 if lens[d] < m - k or begin[d] + lens[d] < low:
                     continue
-                hit = self._verify(i, docs[d], low - int(begin[d]) - k, high - int(begin[d]) + k)
-                if hit and hit not in found.setdefault((d, i), []):
-                    found[d, i].append(hit)
+                for hit in self._verify(i, docs[d], low - int(begin[d]) - k, high - int(begin[d]) + k, 0, len(docs[d])):
+                    if hit not in found.setdefault((d, i), []):
+                        found[d, i].append(hit)
         for (d, i), hits in found.items():
             kept: list[tuple[int, int, int]] = []
             for h in sorted(hits):
@@ -149,21 +149,24 @@ class Finder:
                         at = padded.find(item, at + len(item) - 1)
         return out
 
-    def _verify(self, i: int, doc: bytes, low: int, high: int) -> tuple[int, int, int] | None:
+    def _verify(self, i: int, doc: bytes, low: int, high: int, a: int, z: int) -> list[tuple[int, int, int]]:
+        """The occurrences in doc[a:z] on diagonals low to high, none over another: one, and those before and after it."""
         own, k = self.items[i], int(self.k[i])
-        low, high = max(low, -k), min(high, len(doc) - len(own) + k)
+        low, high = max(low, a - k), min(high, z - len(own) + k)
         if low > high:
-            return None
-        same = doc.find(own.tobytes(), max(0, low), max(0, high) + len(own))
-        if same >= 0:
-            return 0, same, same + len(own)
-        text = np.frombuffer(doc, np.uint8)
-        edits, end = align(own, text, low, high)
-        if edits > k:
-            return None
-        a = max(0, end - len(own) - k)
-        _, back = align(own[::-1], text[a:end][::-1], -k, k)  # the start, from the end backwards
-        return edits, end - back, end
+            return []
+        edits, start = 0, doc.find(own.tobytes(), max(a, low), min(z, max(a, high) + len(own)))
+        end = start + len(own)
+        if start < 0:
+            text = np.frombuffer(doc, np.uint8)[a:z]
+            edits, end = align(own, text, low - a, high - a)
+            if edits > k:
+                return []
+            least = max(0, end - len(own) - k)
+            _, back = align(own[::-1], text[least:end][::-1], -k, k)  # the start, from the end backwards
+            start, end = a + end - back, a + end
+        before = self._verify(i, doc, low, min(high, start - len(own) + k), a, start)
+        return [*before, (edits, start, end), *self._verify(i, doc, max(low, end - k), high, end, z)]
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, bytes]]]:

@@ -269,6 +269,20 @@ def test_short_items_and_items_without_an_id(spark):
     assert sorted(r.doc_id for r in decontam.decontaminate(d, bench).collect()) == [2, 6]
 
 
+def test_occurrences_close_together_all_count():
+    item = b"the quick brown fox jumps over it"  # 33 bytes
+    once = bytearray(item)
+    once[10] = ord("x")
+    f = decontam.Finder([(1, item)])
+    for parts in ([item] * 5, [item, bytes(once), item], [bytes(once)] * 3, [b"some words", bytes(once), item, b"and", bytes(once), b"more"]):
+        want, at = [], 0
+        for p in parts:
+            if len(p) == len(item):
+                want.append((0, 0, int(p != item), at, at + len(p)))
+            at += len(p) + 1
+        assert sorted(f.search([b" ".join(parts)]), key=lambda h: h[3]) == want
+
+
 # ------------------------------------------------------------------ toxicity
 def test_held_out_accuracy_and_rejection(spark):
     rnd = random.Random(7)
