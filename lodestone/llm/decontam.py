@@ -24,6 +24,8 @@ Q = 8
 RATE = 0.08
 #: Items of fewer bytes in plain form match without edits and as whole words only.
 SHORTEST = 24
+#: Bytes of the windows in which a longer item is also searched for by `decontaminate`; they overlap by half.
+WINDOW = 160
 #: Bytes of items that go to the workers at once; more items take more passes over the documents.
 BLOCK_BYTES = 8 << 20
 _SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -179,8 +181,19 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield [(r["i"], r["t"].encode()) for r in part.distinct().collect()]
 
 
+def passages(items: list[tuple[int | None, bytes]]) -> list[tuple[int | None, bytes]]:
+    """The items, and the windows of those longer than a window: any part of WINDOW * 3 / 2 bytes holds one whole."""
+    out = list(items)
+    for i, t in items:
+        p = plain(t)
+        if len(p) > WINDOW:
+            out += [(i, p[min(a, len(p) - WINDOW) :][:WINDOW]) for a in range(0, len(p) - WINDOW // 2, WINDOW // 2)]
+    return out
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """doc_id, item_id, edits, start, end: one row per occurrence of an item in a row's text; places in the plain form.
+    """doc_id, item_id, edits, start, end: one row per occurrence of a whole item in a row's text; places in the plain form.
+    Parts of an item have no row.
 
     A null or empty text or item has none; an item of fewer than SHORTEST bytes occurs without edits, as whole words. Repeated
     rows each give their rows; items with the same text each match, also those without an id. Extra columns are ignored.
@@ -203,12 +216,13 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Da
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents without those in which an item occurs; all columns stay. Decided row by row, with no shuffle."""
+    """The documents without those in which an item occurs, or a window of WINDOW bytes of a longer one, each within the edits
+    allowed for its length; all columns stay. Decided row by row, with no shuffle."""
     small_batches(docs.sparkSession)
     names = list(docs.columns)
     at = names.index("text")
     for items in _blocks(benchmark, "item_id", "text"):
-        finder = Finder(items, rate)
+        finder = Finder(passages(items), rate)
 
         def run(batches: Iterator[pa.RecordBatch], finder=finder) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -283,6 +283,17 @@ def test_occurrences_close_together_all_count():
         assert sorted(f.search([b" ".join(parts)]), key=lambda h: h[3]) == want
 
 
+def test_parts_of_long_items_count(spark):
+    rnd = random.Random(10)
+    word = lambda: "".join(rnd.choices("abcdefghijkl", k=rnd.randrange(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    item = text(150)
+    rows = [(0, text(60) + " " + item[: len(item) // 2] + " " + text(50)), (1, item[-len(item) // 3 :] + " " + text(9)), (2, item[101 : 101 + decontam.WINDOW * 3 // 2]), (3, text(80) + item[40:80] + text(80)), (4, text(200))]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.decontaminate(frame(spark, rows), bench).collect()) == [3, 4]
+    assert decontam.occurrences(frame(spark, rows), bench).count() == 0
+
+
 # ------------------------------------------------------------------ toxicity
 def test_held_out_accuracy_and_rejection(spark):
     rnd = random.Random(7)
