@@ -21,6 +21,9 @@ from .common import checkpoint, crc_remainder, slices, small_batches, texts
 
 #: Confirmed toxic documents and unlabelled documents that the fit uses at most (those with the smallest hash of their id).
 POSITIVES, UNLABELLED = 4_000, 12_000
+#: Distinct words that a task counts before it passes them on; words of the positives that the workers that count them elsewhere
+#: hold at most (all words are counted where there are more); positive ids that are broadcast at most.
+HELD_WORDS, KNOWN_WORDS, BROADCAST_IDS = 300_000, 1_000_000, 1_000_000
 #: Words that are features: in at least so many of the positives, in a larger share of them than of the unlabelled by at least
 #: so many standard errors, and of those the ones most beyond chance.
 MIN_POSITIVES, ERRORS, WORDS = 3, 4.0, 20_000
@@ -67,32 +70,49 @@ def nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: f
     return theta[:-1] * scale, float(theta[-1])
 
 
+def count_words(rows: DataFrame, known: set[bytes] | None = None) -> DataFrame:
+    """(w, n): of `rows` (k, t), how many have each word, or each of the known ones; under the empty word how many rows there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["w", "n"])
+
+        for b in batches:
+            for _, raw in slices(b):
+                for x in raw:
+                    c.update(word_set(x) if known is None else known & word_set(x))
+                c[b""] += len(raw)
+                if len(c) > HELD_WORDS:
+                    yield out()
+                    c.clear()
+        yield out()
+
+    return rows.mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
-    """A model from the rows whose fold isn't 0. The bounds on rows are parameters of this module; what reaches the driver is
-    at most WORDS words and, of the sampled rows, the numbers of these words in them."""
+    """A model from the rows whose fold isn't 0. Words are counted over all positive and all unlabelled ones; the bounds on the
+    rows that weights are fitted to are parameters of this module. What reaches the driver is at most KNOWN_WORDS words and, of
+    the sampled rows, the numbers of the chosen words in them."""
     rows = texts(docs)
     train = crc_remainder(F.col("k"), folds) != 0
     own = labels.select(F.col("doc_id").cast("long").alias("k"), F.col("toxic")).where(train & F.col("k").isNotNull() & F.col("toxic").isNotNull())
     n, n_toxic = own.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
     prior = min(max((n_toxic or 0) / n if n else 0.0, 1e-3), 0.5)
-    pos = own.where("toxic = 1").select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(POSITIVES)
+    toxic = own.where("toxic = 1").select("k").distinct()
+    pos = toxic.orderBy(F.xxhash64("k"), "k").limit(POSITIVES)
     any_ = rows.select("k").where(train & F.col("k").isNotNull()).distinct().orderBy(F.xxhash64(F.lit("u"), F.col("k")), "k").limit(UNLABELLED)
     # at most POSITIVES + UNLABELLED ids
     ids = pos.withColumn("p", F.lit(True)).union(any_.withColumn("p", F.lit(False)))
     chosen = rows.join(F.broadcast(ids), "k").select("k", "t", "p")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, n = (Counter(), Counter()), [0, 0]
-        for b in batches:
-            for part, raw in slices(b):
-                for x, p in zip(raw, part.column(2).to_pylist(), strict=True):
-                    c[p].update(word_set(x))
-                    n[p] += 1
-        keys = [b""] + list(c[0] | c[1])  # no word is empty: under that key go the numbers of documents
-        cols = ([n[1]] + [c[1][w] for w in keys[1:]], [n[0]] + [c[0][w] for w in keys[1:]])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(x, pa.int64()) for x in cols)], names=["w", "p", "u"])
-
-    found = checkpoint(chosen.mapInArrow(count, "w binary, p long, u long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where((F.col("p") >= MIN_POSITIVES) | (F.octet_length("w") == 0)))
+    learned = rows.where(train & F.col("k").isNotNull())
+    in_p = count_words(learned.join(F.broadcast(toxic) if (n_toxic or 0) <= BROADCAST_IDS else toxic, "k"))
+    in_p = checkpoint(in_p.where((F.col("n") >= MIN_POSITIVES) | (F.octet_length("w") == 0)).withColumnRenamed("n", "p"))
+    known = {bytes(r["w"]) for r in in_p.collect()} if in_p.count() <= KNOWN_WORDS else None
+    found = checkpoint(in_p.join(count_words(learned, known).withColumnRenamed("n", "u"), "w", "left").select("w", "p", F.coalesce("u", F.lit(0)).alias("u")))
     total = found.where(F.octet_length("w") == 0).first()
     n_p, n_u = max(1, total["p"] if total else 0), max(1, total["u"] if total else 0)
     share = (F.col("p") + F.col("u")) / (n_p + n_u)

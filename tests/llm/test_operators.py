@@ -319,6 +319,24 @@ def test_held_out_accuracy_and_rejection(spark):
     assert toxicity.classify(d, lab.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_words_are_counted_over_all_training_rows(spark, monkeypatch):
+    rnd = random.Random(12)
+    vocab = [f"v{i}" for i in range(50)]
+    rows = [(i, " ".join(rnd.choices(vocab, k=20) + (["vile"] if i % 5 == 0 else []) + (["rare"] if i % 40 == 0 else []))) for i in range(1200)]
+    d, lab = frame(spark, rows), spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(1200)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "POSITIVES", 8)
+    monkeypatch.setattr(toxicity, "UNLABELLED", 40)
+    assert set(toxicity.fit(d, lab).words) >= {b"vile", b"rare"}
+    learned = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    got = {bytes(r.w): r.n for r in toxicity.count_words(common.texts(d).where(common.crc_remainder(F.col("k"), 5) != 0)).collect()}
+    assert got[b""] == len(learned) and got[b"rare"] == sum("rare" in t for t in learned)
+    whole = toxicity.fit(d, lab).words
+    monkeypatch.setattr(toxicity, "KNOWN_WORDS", 0)
+    monkeypatch.setattr(toxicity, "HELD_WORDS", 10)
+    monkeypatch.setattr(toxicity, "BROADCAST_IDS", 0)
+    assert toxicity.fit(d, lab).words == whole
+
+
 # ------------------------------------------------------------------ host rules
 def test_digests_against_brute_force(docs, empty):
     def one(t):
