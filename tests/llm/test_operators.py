@@ -206,6 +206,34 @@ def test_pairs_are_near_duplicates_from_the_very_similarity_on(spark):
     assert {r.doc_id for r in simhash.keep_one(frame(spark, rows)).select("doc_id").collect()} == want
 
 
+def test_keep_one_against_all_pairs(spark, monkeypatch):
+    rnd = random.Random(11)
+    passage, group = with_jaccard(rnd, 26, 0)[0], with_jaccard(rnd, 120, 0)[0].split()
+    rows = [(i, with_jaccard(rnd, rnd.randrange(20, 60), 0)[0] + " " + passage) for i in range(50)]
+    for _ in range(45):  # copies of one text with words changed, near and less near
+        w = list(group)
+        for _ in range(rnd.randrange(0, 5)):
+            w[rnd.randrange(len(w))] = f"u{rnd.randrange(10**9)}"
+        rows.append((len(rows), " ".join(w)))
+    for n in (1, 4, 5, 8, 20, 60):
+        for c in {0, 1, n // 14, n // 10, n // 8, n // 7}:
+            rows += [(len(rows) + i, t) for i, t in enumerate(with_jaccard(rnd, n, c))]
+    rows += [(len(rows), "one"), (len(rows) + 1, "One two"), (len(rows) + 2, "ONE"), (None, rows[3][1]), (None, "alone here"), (None, "alone there"), (7, "an id of two texts"), (7, None), (None, "")]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for _, t in rows)]
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if comp[i] != comp[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = comp[i], comp[j]
+                comp = [b if c == a else c for c in comp]
+    want = Counter(min((rows[i][0] is None, rows[i][0]) for i in range(len(rows)) if comp[i] == c)[1] for c in set(comp))
+    for most in (simhash.MOST_COMMON, 3):  # how many shingles are known to be common changes nothing
+        monkeypatch.setattr(simhash, "MOST_COMMON", most)
+        monkeypatch.setattr(simhash, "HELD", 500)
+        monkeypatch.setattr(simhash, "FILE_HASHES", 500)
+        assert Counter(r.doc_id for r in simhash.keep_one(frame(spark, rows)).select("doc_id").collect()) == want
+
+
 def test_each_component_keeps_a_row_of_its_own(spark):
     rnd = random.Random(9)
     t = [with_jaccard(rnd, 30, 0)[0] for _ in range(9)]
