@@ -11,11 +11,15 @@ Conventions, unless an operator says otherwise:
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import os
 import shutil
 import sys
+import tempfile
+import types
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +33,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 2 << 20
 #: Rows in the Arrow batches of texts; the default of 10,000 rows can be hundreds of MB.
 BATCH_ROWS = 1_000
+#: Files that a process keeps mapped at once.
+MAPS = 4_096
 
 
 # --------------------------------------------------------------------------- shared folder
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI or path: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share, as a URI or path: spark.checkpoint.dir. Where that is unset, one of our own if
+    all runs on this machine; on a cluster that is an error, as no folder would be the same on all its machines."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "/tmp/checkpoints/" + spark.sparkContext.applicationId
         spark.conf.set("spark.checkpoint.dir", where)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -49,17 +58,38 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_folders: set[str] = set()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one, for files that workers write and other workers read."""
+    """A fresh folder below the shared one, for files that workers write and other workers read. It is removed by `drop_folder`
+    or, as results are computed late, when the driver's Python ends."""
     where = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     path = local_path(where)
     if path:
         os.makedirs(path, exist_ok=True)
+    if not _folders:
+        atexit.register(_drop_all)
+    _folders.add(where)
     return where
 
 
+def keep_folder(where: str) -> None:
+    """Leave a folder of `new_folder` where it is: its files are a result."""
+    _folders.discard(where)
+
+
+def _drop_all() -> None:
+    for where in list(_folders):
+        try:
+            drop_folder(where)
+        except OSError:  # the store may be gone by then
+            pass
+
+
 def drop_folder(where: str) -> None:
     """Remove a folder of `new_folder` whose files are no longer read."""
+    _folders.discard(where)
     path = local_path(where)
     if path:
         shutil.rmtree(path, ignore_errors=True)
@@ -101,29 +131,46 @@ def write_bytes(where: str, name: str, chunks: list[bytes | memoryview]) -> str:
 
 
 def map_array(where: str, name: str, dtype: str) -> np.ndarray:
-    """A file of the shared folder as a memory-mapped array. From a store without a mount it is first copied to the
-    worker's own temporary folder, which serves as a cache of that worker only and is never shared."""
+    """A file of the shared folder as a memory-mapped array. From a store without a mount it is first copied to a nameless
+    temporary file of this process, whose space is free again as soon as the array is dropped."""
     path = local_path(where)
     if path is None:
-        import tempfile
-
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(where)
-        own = os.path.join(tempfile.gettempdir(), uuid.uuid5(uuid.NAMESPACE_URL, f"{where}/{name}").hex)
-        if not os.path.exists(own):
-            part = f"{own}.{uuid.uuid4().hex}"
-            with store.open_input_stream(f"{base}/{name}") as src, open(part, "wb") as dst:
-                shutil.copyfileobj(src, dst)
-            os.replace(part, own)
-        path = own
-    else:
-        path = f"{path}/{name}"
+        with tempfile.TemporaryFile() as own:
+            with store.open_input_stream(f"{base}/{name}") as src:
+                shutil.copyfileobj(src, own)
+            own.flush()
+            return np.memmap(own, dtype=dtype, mode="r") if os.fstat(own.fileno()).st_size else np.zeros(0, dtype)
+    path = f"{path}/{name}"
     if os.path.getsize(path) == 0:
         return np.zeros(0, dtype)
     return np.memmap(path, dtype=dtype, mode="r")
 
 
+class Maps:
+    """Arrays of a folder, mapped when first asked for; the one that was not asked for longest goes when there are too many."""
+
+    def __init__(self, where: str, most: int = MAPS):
+        self.where, self.most, self.open = where, most, OrderedDict()
+
+    def __call__(self, name: str, dtype: str) -> np.ndarray:
+        if name in self.open:
+            self.open.move_to_end(name)
+            return self.open[name]
+        if len(self.open) >= self.most:
+            self.open.popitem(last=False)
+        got = self.open[name] = map_array(self.where, name, dtype)
+        return got
+
+
+def process_state() -> types.ModuleType:
+    """A module of our own in which a Python worker keeps things over its tasks: functions reach workers by value, and so their
+    modules' variables don't last."""
+    return sys.modules.setdefault("_lodestone_state", types.ModuleType("_lodestone_state"))
+
+
 # --------------------------------------------------------------------------- rows
 def packed(df: DataFrame) -> DataFrame:
     """All columns of the caller in one struct `r`, so that no later column can clash with them."""
@@ -160,8 +207,8 @@ def slices(batch: pa.RecordBatch, text: str = "t", keep_ids: bool = False) -> It
     """Pieces of an Arrow batch with at most about SLICE_BYTES of text each, and their texts as bytes. Ids that an earlier task of
     this process remembered are forgotten, unless the caller encodes texts itself; for that, pieces are twice as large."""
     most = SLICE_BYTES * (2 if keep_ids else 1)
-    if not keep_ids and "tokenizers" in sys.modules:
-        vars(sys.modules["tokenizers"]).pop("_lodestone_memory", None)
+    if not keep_ids:
+        vars(process_state()).pop("ids", None)
     col = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
     n, at = batch.num_rows, 0
     if not n:

@@ -174,8 +174,8 @@ def _batch(*cols: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["k", "start", "n_tokens", "ids_crc32"])
 
 
-def write(docs: DataFrame, end_id: int = 2, path: str | None = None, by_chunk: bool = True, where: str | None = None) -> TokenFiles:
-    """Encode all documents and write shards and index. A null text is the end id alone; rows with a null id come first,
+def write(docs: DataFrame, end_id: int = 2, path: str | None = None, by_chunk: bool | None = None, where: str | None = None) -> TokenFiles:
+    """Encode all documents and write shards and index, to `where` or to a folder that lasts as long as the driver's Python. A null text is the end id alone; rows with a null id come first,
     under NULL_KEY; repeated rows are stored each, next to each other. A task that is run again writes the same files."""
     spark = docs.sparkSession
     where, path = where or new_folder(spark, "tokens"), path or vocabulary()

@@ -10,6 +10,8 @@ from itertools import chain
 
 import numpy as np
 
+from .common import process_state
+
 #: The vocabulary file used unless another path is given.
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Chunks whose ids a worker remembers: of two generations each, the older one goes when the newer is full.
@@ -35,19 +37,20 @@ class Encoder:
     """Ids as little-endian unsigned integers: 16 bits if the vocabulary allows, else 32.
 
     `by_chunk`: encode each run of non-space bytes once and remember it. That gives the library's own result for
-    vocabularies whose pre-tokenizer drops white space and never reaches across it, as the default one; for any other
-    vocabulary set it to False, and texts are encoded whole.
+    vocabularies whose pre-tokenizer drops white space and never reaches across it, as the default one, and so is done for
+    that file only unless asked for; with any other vocabulary texts are encoded whole.
     """
 
-    def __init__(self, path: str, by_chunk: bool = True):
+    def __init__(self, path: str, by_chunk: bool | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.by_chunk, self.letters = by_chunk, _byte_letters()
+        self.by_chunk = os.path.basename(path) == DEFAULT_VOCABULARY if by_chunk is None else by_chunk
+        self.letters = _byte_letters()
         # remembered for the life of the worker process, over its tasks
-        self.memory = vars(tokenizers).setdefault("_lodestone_memory", {}).setdefault(path, [{}, {}])
+        self.memory = vars(process_state()).setdefault("ids", {}).setdefault(path, [{}, {}])
 
     def _encode(self, raw: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in raw], add_special_tokens=False)
