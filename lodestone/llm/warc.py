@@ -3,19 +3,20 @@
 For each revisit, the latest full response to the same canonical URL that is strictly earlier (an as-of join), a check that
 the validators of both agree, and the response's headers with those updates that a 304 may carry.
 
-The as-of join is a running window over narrow rows (URL, time, id). A URL may hold a third of all captures, so windows run
-within blocks of time, and what the blocks before left as their last response is carried in from one row per block.
+All captures of a URL at one time have the same answer, so the as-of join is a running window over the distinct times of a URL,
+however many captures fall on one of them. It runs within blocks of time that hold a bounded number of distinct times, and what
+the blocks before left as their last response is carried in from one row per block.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Captures in a block of time, on average, over all URLs together.
-BLOCK_ROWS = 20_000
+#: Units of time in a block, so distinct times of a URL that one window holds at most.
+BLOCK = 20_000
+#: Stands for a null time: before all others.
+NEVER = -(2**62)
 #: Header fields that a 304 response may update (RFC 9110, 15.4.5).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
 #: Query parameters that do not change what is served.
@@ -38,36 +39,43 @@ def weak(etag: Column) -> Column:
     return F.nullif(F.regexp_replace(F.trim(etag), r"^W/", ""), F.lit(""))
 
 
-def resolve(captures: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per revisit: id, canonical_url, at, response_id, outcome, headers.
+def lower_names(headers: Column) -> Column:
+    """A map with names in lower case; of names that differ in case only, the value of the first in order of the name as written."""
+    entries = F.array_sort(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))))
+    names = F.transform(entries, lambda e: F.lower(e["key"]))
+    kept = F.array_distinct(names)
+    return F.map_from_arrays(kept, F.transform(kept, lambda n: F.get(entries, (F.array_position(names, n) - 1).cast("int"))["value"]))
+
+
+def resolve(captures: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row per revisit row: id, canonical_url, at, response_id, outcome, headers.
 
-    captures: id (long, unique), url, at (long), revisit (boolean), headers (map of strings, names in any case). Validators are
-    the headers etag and last-modified. outcome: `resolved` (those that both have agree, and there is one), `unverified` (none
-    is in both), `mismatch`, `no_response`. Only the first two give merged headers; else the revisit's own stay.
-    Responses at the same time: the largest id counts. A null URL matches nothing; a null time is before all others, so such a
-    revisit finds nothing; a null map has no headers; null `revisit` counts as a response. Extra columns are ignored.
+    captures: id (long), url, at (long), revisit (boolean), headers (map of strings, names in any case: see `lower_names`).
+    Validators are the headers etag and last-modified. outcome: `resolved` (those that both have agree, and there is one),
+    `unverified` (none is in both), `mismatch`, `no_response`. Only the first two give merged headers; else the revisit's own
+    stay. Responses at the same time: the largest id counts (a null one is the smallest), of equal ids that with the largest
+    hash of its headers. Ids need not be unique: repeated revisits each get their row, repeated responses are one. A response
+    without an id is found like any other, with a null response_id. A null URL matches nothing; a null time is before all
+    others, so such a revisit finds nothing; a null map has no headers; null `revisit` counts as a response. Extra columns are
+    ignored.
     """
-    low = F.map_from_entries(F.transform(F.array_sort(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>")))), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"])))
-    c = captures.select(F.col("id").cast("long"), canonical_url(F.col("url")).alias("url"), F.coalesce(F.col("at").cast("long"), F.lit(-(2**62))).alias("at"), F.coalesce("revisit", F.lit(False)).alias("revisit"), low.alias("headers"))
-    n, first, last = c.where("url is not null").agg(F.count("*"), F.min(F.when(F.col("at") > -(2**62), F.col("at"))), F.max("at")).first()
-    blocks = max(1, math.ceil((n or 0) / block_rows))
-    width = max(1, -(-((last or 0) - (first or 0) + 1) // blocks))
-    narrow = c.where("url is not null").select("url", "at", "id", "revisit").withColumn("block", F.greatest(F.lit(-1), F.floor((F.col("at") - F.lit(first or 0)) / width)))
-    own = F.when(~F.col("revisit"), F.col("id"))
-    # at equal times revisits come first, so that they see strictly earlier responses only
-    within = Window.partitionBy("url", "block").orderBy("at", F.col("revisit").cast("int").desc(), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = narrow.withColumn("here", F.last(own, ignorenulls=True).over(within)).where("revisit")
-    ends = narrow.groupBy("url", "block").agg(F.max_by(own, F.when(~F.col("revisit"), F.struct("at", "id"))).alias("end"))
+    c = captures.select(F.col("id").cast("long").alias("id"), canonical_url(F.col("url")).alias("url"), F.coalesce(F.col("at").cast("long"), F.lit(NEVER)).alias("at"), F.coalesce("revisit", F.lit(False)).alias("revisit"), lower_names(F.col("headers")).alias("headers"))
+    # which of the responses at one time counts
+    place = F.when(~F.col("revisit"), F.struct(F.coalesce("id", F.lit(-(2**63))), F.xxhash64(F.map_entries("headers"))))
+    times = c.where("url is not null").groupBy("url", "at").agg(F.max_by(F.struct("id", "headers"), place).alias("r"), F.bool_or("revisit").alias("asked"))
+    times = times.withColumn("block", F.floor(F.col("at") / block))
+    within = Window.partitionBy("url", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    seen = times.withColumn("here", F.last("r", ignorenulls=True).over(within)).where("asked").select("url", "block", "at", "here")
+    ends = times.groupBy("url", "block").agg(F.max_by("r", F.when(F.col("r").isNotNull(), F.col("at"))).alias("end"))
     before = Window.partitionBy("url").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.withColumn("carried", F.last("end", ignorenulls=True).over(before)).select("url", "block", "carried")
-    found = seen.join(carried, ["url", "block"], "left").select("id", F.coalesce("here", "carried").alias("response_id"))
-    revisits = c.where("revisit").select("id", F.col("url").alias("canonical_url"), F.nullif("at", F.lit(-(2**62))).alias("at"), F.col("headers").alias("own"))
-    responses = c.where("not revisit").select(F.col("id").alias("response_id"), F.col("headers").alias("theirs"))
-    both = revisits.join(found, "id", "left").join(responses, "response_id", "left")
+    carried = ends.select("url", "block", F.last("end", ignorenulls=True).over(before).alias("carried"))
+    found = seen.join(carried, ["url", "block"], "left").select("url", "at", F.coalesce("here", "carried").alias("r"))
+    revisits = c.where("revisit").select("id", "url", "at", F.col("headers").alias("own"))
+    both = revisits.join(found, ["url", "at"], "left").withColumn("theirs", F.col("r.headers"))
     tags = [weak(F.col(x)["etag"]) for x in ("own", "theirs")]
     times = [F.nullif(F.trim(F.col(x)["last-modified"]), F.lit("")) for x in ("own", "theirs")]
     outcome = (
-        F.when(F.col("response_id").isNull(), "no_response")
+        F.when(F.col("r").isNull(), "no_response")
         .when((tags[0] != tags[1]) | (times[0] != times[1]), "mismatch")
         .when((tags[0] == tags[1]) | (times[0] == times[1]), "resolved")
         .otherwise("unverified")
@@ -75,7 +83,8 @@ def resolve(captures: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     update = F.map_filter("own", lambda k, _: k.isin(PERMITTED))
     merged = F.map_concat(F.map_filter("theirs", lambda k, _: ~F.array_contains(F.map_keys(update), k)), update)
     both = both.withColumn("outcome", outcome)
-    return both.select("id", "canonical_url", "at", "response_id", "outcome", F.when(F.col("outcome").isin("resolved", "unverified"), merged).otherwise(F.col("own")).alias("headers"))
+    headers = F.when(F.col("outcome").isin("resolved", "unverified"), merged).otherwise(F.col("own"))
+    return both.select("id", F.col("url").alias("canonical_url"), F.nullif("at", F.lit(NEVER)).alias("at"), F.col("r.id").alias("response_id"), "outcome", headers.alias("headers"))
 
 
 def captures_of(pages: DataFrame, early: int = 500, late: int = 1000) -> DataFrame:
