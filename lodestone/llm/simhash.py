@@ -16,13 +16,13 @@ common come last in the order; that saves comparisons and decides nothing.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, components, drop_folder, field, forest, map_array, new_folder, packed, slices, texts, write_bytes
@@ -113,22 +113,24 @@ def _compare(where: str, radius: int):
     return run
 
 
-def near_links(nodes: DataFrame, block: list[Column], together: Callable[[tuple, tuple], bool], radius: int, tile: int = TILE) -> DataFrame:
-    """Links (a, b) that connect the vertices v of `nodes` (v, fp) wherever two fingerprints differ in `radius` bits at most. `together` tells whether two blocks can hold such a pair; there must be
-    few blocks whatever the input, as their sizes and pairs are handled by the driver. Pairs of tiles are made on the cluster.
+def near_links(nodes: DataFrame, where: str, parts: int, radius: int, tile: int = TILE) -> DataFrame:
+    """Links (a, b) that connect the vertices v of `nodes` (v, fp) wherever two fingerprints differ in `radius` bits at most.
+
+    A block has the fingerprints with the same population counts of their `parts` parts, and is dealt into tiles. Two blocks can
+    hold such a pair only if their counts differ by `radius` in all; these pairs, and those of their tiles, come from a join on
+    the counts, so nothing about blocks is handled by the driver. Tiles are written to the folder `where`, which must last until
+    the links are used.
     """
     spark = nodes.sparkSession
-    names = [f"p{i}" for i in range(len(block))]
-    named = nodes.select("v", "fp", *[c.cast("int").alias(n) for c, n in zip(block, names, strict=True)])
-    sizes = {tuple(r[i] for i in range(len(block))): r[len(block)] for r in named.groupBy(*names).count().collect()}
-    blocks = sorted(sizes)
-    if not blocks:
+    names = [f"p{i}" for i in range(parts)]
+    named = nodes.select("v", "fp", *[c.cast("int").alias(n) for c, n in zip(_part_counts(parts), names, strict=True)])
+    # one row per block: at most (64 / parts + 1) ^ parts of them, whatever the input
+    blocks = named.groupBy(*names).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).withColumn("c", sum(F.col(n) * 65**i for i, n in enumerate(names)))
+    blocks = checkpoint(blocks)
+    total = blocks.agg(F.sum("tiles")).first()[0]
+    if not total:
         return spark.createDataFrame([], "a long, b long")
-    tiles = [math.ceil(sizes[b] / tile) for b in blocks]
-    of_block = spark.createDataFrame([(*b, i, t) for i, (b, t) in enumerate(zip(blocks, tiles, strict=True))], ", ".join(f"{n} int" for n in names) + ", c int, tiles int")
-    named = named.join(F.broadcast(of_block), names)
-    tiled = named.groupBy("c", F.pmod(F.xxhash64("v"), F.col("tiles")).cast("int").alias("i")).agg(F.collect_list(F.struct("v", "fp")).alias("x"))
-    where = new_folder(spark, "tiles")
+    tiled = named.join(F.broadcast(blocks), names).groupBy("c", F.pmod(F.xxhash64("v"), F.col("tiles")).cast("int").alias("i")).agg(F.collect_list(F.struct("v", "fp")).alias("x"))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
@@ -140,12 +142,16 @@ def near_links(nodes: DataFrame, block: list[Column], together: Callable[[tuple,
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     tiled.mapInArrow(put, "n long").agg(F.sum("n")).collect()
-    pairs = [(i, j, tiles[i], tiles[j]) for i in range(len(blocks)) for j in range(i, len(blocks)) if together(blocks[i], blocks[j])]
-    todo = spark.createDataFrame(pairs, "c int, d int, x int, y int")
-    todo = todo.select("c", "d", "y", F.explode(F.sequence(F.lit(0), F.col("x") - 1)).alias("i")).select("c", "d", "i", F.explode(F.sequence(F.lit(0), F.col("y") - 1)).alias("j"))
-    todo = todo.where("c <> d or i <= j").withColumn("same", (F.col("c") == F.col("d")) & (F.col("i") == F.col("j")))
-    todo = todo.select(F.concat_ws("-", "c", "i").alias("x"), F.concat_ws("-", "d", "j").alias("y"), "same")
-    todo = todo.repartition(max(24, 4 * spark.sparkContext.defaultParallelism, sum(tiles) // 8), F.xxhash64("x", "y"))
+    # each block with all counts within the radius: part by part, with what is left of it
+    moved = blocks.withColumn("left", F.lit(radius))
+    for n in names:
+        moved = moved.withColumn("d", F.explode(F.sequence(-F.col("left"), F.col("left")))).withColumn("left", F.col("left") - F.abs("d")).withColumn(n, F.col(n) + F.col("d"))
+    moved = moved.select("c", F.col("tiles").alias("x"), *names)
+    todo = moved.join(blocks.withColumnsRenamed({"c": "e", "tiles": "y"}), names).where("c <= e").select("c", "x", "e", "y")
+    todo = todo.select("c", "e", "y", F.explode(F.sequence(F.lit(0), F.col("x") - 1)).alias("i")).select("c", "e", "i", F.explode(F.sequence(F.lit(0), F.col("y") - 1)).alias("j"))
+    todo = todo.where("c <> e or i <= j").withColumn("same", (F.col("c") == F.col("e")) & (F.col("i") == F.col("j")))
+    todo = todo.select(F.concat_ws("-", "c", "i").alias("x"), F.concat_ws("-", "e", "j").alias("y"), "same")
+    todo = todo.repartition(max(24, 4 * spark.sparkContext.defaultParallelism, total // 8), F.xxhash64("x", "y"))
     return todo.mapInArrow(_compare(where, radius), "a long, b long")
 
 
@@ -159,8 +165,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     fp = checkpoint(fingerprints(texts(docs, id_col, text_col), width))
     own = checkpoint(fp.groupBy("fp").agg(F.min("k").alias("low"), F.count("*").alias("n")))
     parts = 4 if own.count() >= FINE_FROM else 2
-    near = lambda b, c: sum(abs(x - y) for x, y in zip(b, c, strict=True)) <= radius
-    roots = components(near_links(own.select(F.col("fp").alias("v"), "fp"), _part_counts(parts), near, radius))
+    where = new_folder(docs.sparkSession, "tiles")
+    roots = components(near_links(own.select(F.col("fp").alias("v"), "fp"), where, parts, radius))
+    drop_folder(where)
     joined = own.join(roots, own.fp == roots.v, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("component_rows"))
     by_fp = joined.join(least, "root").select("fp", "component_id", "component_rows")
