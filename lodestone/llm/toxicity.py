@@ -1,6 +1,7 @@
 """Toxicity from confirmed toxic examples and unlabelled text: non-negative positive-unlabelled learning (Kiryo et al., 2017).
 
-A linear classifier on the presence of words is fitted with numpy to the risk
+A linear classifier on the presence of words and of word beginnings (inflected and compound forms share them) is fitted with
+numpy to the risk
     prior * mean_P loss(s) + max(0, mean_U loss(-s) - prior * mean_P loss(-s))
 with the logistic loss: what unlabelled text seems to cost as the negative class is corrected by the share of it that is
 toxic, and held at zero where the model would overfit below it. No document is taken as a confirmed clean one.
@@ -27,6 +28,8 @@ HELD_WORDS, KNOWN_WORDS, BROADCAST_IDS = 300_000, 1_000_000, 1_000_000
 #: Words that are features: in at least so many of the positives, in a larger share of them than of the unlabelled by at least
 #: so many standard errors, and of those the ones most beyond chance.
 MIN_POSITIVES, ERRORS, WORDS = 3, 4.0, 20_000
+#: Bytes of the word beginnings that count as features of longer words.
+STEMS = (4, 5, 6, 7, 8)
 _SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -42,12 +45,15 @@ class Model:
 
 
 def word_set(text: bytes) -> set[bytes]:
-    """The distinct words of a text: A-Z in lower case, other ASCII than letters and digits taken as space."""
-    return set(text.lower().translate(_SPACE).split())
+    """The distinct words of a text, in lower case, other ASCII than letters and digits taken as space, and the beginnings of
+    longer ones, marked by a `*`, which no word holds."""
+    words = set(text.decode("utf-8", "replace").lower().encode().translate(_SPACE).split())
+    return words.union(*({w[:n] + b"*" for w in words if len(w) > n} for n in STEMS))
 
 
 def nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-4, slack: float = 0.0) -> tuple[np.ndarray, float]:
-    """Weights and bias from rows of feature numbers; `positive` marks P, the rest is U. Full-batch Adam, from zero."""
+    """Weights and bias from rows of feature numbers; `positive` marks P, the rest is U. Full-batch Adam, from zero; the mean of the
+    last half of the steps counts, as the correction makes them swing about the bound."""
     lens = np.fromiter(map(len, rows), np.int64, len(rows))
     feat, owner = (np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)), np.repeat(np.arange(len(rows)), lens)
     scale = 1 / np.sqrt(np.maximum(1, np.bincount(feat, minlength=n_features) / max(1, len(rows)) * 100))  # frequent words learn slower
@@ -56,6 +62,7 @@ def nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: f
         return np.zeros(n_features), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     theta, m, v = np.zeros(n_features + 1), np.zeros(n_features + 1), np.zeros(n_features + 1)
     theta[-1] = np.log(prior / (1 - prior))
+    mean = np.zeros_like(theta)
     val = scale[feat]
     for t in range(1, steps + 1):
         s = np.bincount(owner, weights=theta[feat] * val, minlength=len(rows)) + theta[-1]
@@ -67,7 +74,9 @@ def nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: f
         grad = np.concatenate([np.bincount(feat, weights=g[owner] * val, minlength=n_features), [g.sum()]]) + l2 * np.append(theta[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return theta[:-1] * scale, float(theta[-1])
+        if t > steps // 2:
+            mean += theta / (steps - steps // 2)
+    return mean[:-1] * scale, float(mean[-1])
 
 
 def count_words(rows: DataFrame, known: set[bytes] | None = None) -> DataFrame:
