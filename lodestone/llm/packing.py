@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from .common import checkpoint, slices, texts
 from .tokens import Encoder, ended, vocabulary
 
-#: Pieces of one length that are ranked in one task at most, on average.
-RANKED = 50_000
+#: Pieces of one length are ranked in parts: one in so many of all pieces, but neither fewer nor more than these.
+SHARE, LEAST, RANKED = 2_000, 250, 50_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, size: int = 2048, end_id: int = 0, path: str | None = None, by_chunk: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, size: int = 2048, end_id: int = 0, path: str | None = None, by_chunk: bool | None = None) -> DataFrame:
     """One row per piece of each document: its ids and the end id, cut at `size`; only longer documents are cut."""
     path = path or vocabulary()
 
@@ -80,7 +80,7 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, in
     return runs
 
 
-def pack(docs: DataFrame, size: int = 2048, end_id: int = 0, path: str | None = None, by_chunk: bool = True) -> DataFrame:
+def pack(docs: DataFrame, size: int = 2048, end_id: int = 0, path: str | None = None, by_chunk: bool | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece of every row once.
 
     A null text is one end id. Repeated rows are packed each on its own; equal pieces take slots in any order. Extra columns
@@ -90,7 +90,8 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 0, path: str | None =
     cut = checkpoint(pieces(docs, size, end_id, path, by_chunk))
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most `size` rows
     runs = spark.createDataFrame(plan(counts, size), "length long, a long, n long, per long, first long, at long")
-    salts = spark.createDataFrame([(k, -(-n // RANKED)) for k, n in counts.items()], "length long, salts int")
+    part = min(max(sum(counts.values()) // SHARE, LEAST), RANKED)
+    salts = spark.createDataFrame([(k, -(-n // part)) for k, n in counts.items()], "length long, salts int")
     rows = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts")))
     before = rows.groupBy("length", "salt").count()
     before = before.withColumn("base", F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
