@@ -5,15 +5,20 @@ at all, and only their suffixes are sorted:
 
 1. Each window of `length` bytes has an anchor: the least hash of its GRAM-byte strings, the leftmost of equal ones. Equal
    windows have equal anchors at equal distances. Neighbouring windows with the same anchor form one segment. Identical
-   segments are folded to one with a count, whatever the number of copies.
-2. Segments whose anchor string occurs in no other segment can't repeat. Those left are dealt out by anchor string.
+   segments are folded to one with a count, whatever the number of copies; two of them go on, so that they meet in the order.
+2. Segments whose anchor string occurs in no other segment can't repeat. Those left are dealt out by anchor string. A window
+   has half of its other bytes, at least, on one side of its anchor string, so a group of more than SPLIT segments is dealt out
+   twice over: by the hash of those bytes to the right, for the windows that have them there, and of those to the left.
 3. There the suffixes that start at anchors are sorted, and so are the reversed prefixes that end at them, by deep-shallow
-   sorting: multikey quicksort, eight bytes a character, to SHALLOW bytes; groups that still tie are ordered by blind tries,
-   which branch on single bytes and compare whole strings once for each insertion.
+   sorting: multikey quicksort (three-way partitions, eight bytes a character) to SHALLOW bytes; groups that still tie are
+   ordered by blind tries, which branch on single bytes and compare whole strings once for each insertion.
 4. A window at distance d before its anchor repeats if another segment shares d bytes to the left and length - d bytes to the
    right of it: for each d, both orders are cut where neighbours share less, and segments in the same two classes match.
    That takes length - GRAM steps over the segments and never their pairs.
 5. Repeated windows go back to all copies of their segment and are merged into spans.
+
+What an order of bounded size can't hold, an anchor string in more than HOT different segments, is left to an exact count of its
+windows by their 128-bit hashes, spread over all tasks.
 """
 
 from __future__ import annotations
@@ -33,8 +38,8 @@ from .common import new_folder, slices, small_batches
 GRAM = 64
 #: Depth in bytes to which the multikey quicksort goes.
 SHALLOW = 128
-#: Segments that a task sorts at once; a larger group of one anchor string is sorted whole up to HOT segments.
-AT_ONCE, HOT = 40_000, 200_000
+#: Segments that a task sorts at once; groups of one anchor string that are dealt out by more bytes; and that are counted instead.
+AT_ONCE, SPLIT, HOT = 40_000, 500, 200_000
 #: Bytes hashed at once; places in such a block take the low bits of an anchor's sort key.
 BLOCK, PLACE = 1 << 20, np.uint64(21)
 
@@ -151,60 +156,84 @@ class BlindTrie:
                 yield from node
 
 
+def multikey_quicksort(char: np.ndarray, lens: np.ndarray, group: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first, tied): strings by group, then by their bytes up to `shallow`; whether a place starts a run of equals, and
+    whether the run there ties at that depth with bytes left to compare.
+
+    `char` has the strings eight bytes a character. Three-way partitions of all groups go side by side: each part takes a pivot,
+    what is smaller or larger stays at its character, what is equal goes on to the next one, until it ends there or is deep enough.
+    """
+    n = len(lens)
+    order = np.argsort(group, kind="stable")
+    first = np.concatenate([[True], group[order][1:] != group[order][:-1]])[:n]
+    depth, ended = np.zeros(n, np.int64), np.zeros(n, bool)  # of the part that a place is in
+    rng = np.random.default_rng(11)
+    while True:
+        start = np.flatnonzero(first)
+        size = np.diff(np.append(start, n))
+        live = (size > 1) & ~ended[start] & (depth[start] < shallow)
+        if not live.any():
+            break
+        start, size = start[live], size[live]
+        part = np.repeat(np.arange(len(start)), size)
+        place = np.arange(len(part)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+        own, at = order[place], depth[place]
+        c, left = char[own, at // 8], np.clip(lens[own] - at, 0, 8)
+        pivot = np.cumsum(size) - size + (rng.random(len(size)) * size).astype(np.int64)
+        pc, pleft = c[pivot][part], left[pivot][part]
+        side = np.where(c == pc, np.sign(left - pleft), np.where(c < pc, -1, 1))
+        sub = np.argsort(3 * part + side, kind="stable")
+        order[place] = own[sub]
+        side, pleft = side[sub], pleft[sub]
+        first[place[1:]] |= (side[1:] != side[:-1]) & (part[1:] == part[:-1])
+        equal = side == 0
+        depth[place[equal & (pleft == 8)]] += 8
+        ended[place[equal & (pleft < 8)]] = True
+    return order, first, ~ended
+
+
 def deep_shallow(strings: list[bytes], group: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """(order, shared): the strings of each group in order, and what each shares with the one before; -1 at a group's first."""
     n = len(strings)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     lens = np.fromiter(map(len, strings), np.int64, n)
-    width = -(-max(int(lens.max(initial=0)), shallow) // 8) * 8
+    width = -(-max(int(lens.max()), shallow) // 8) * 8
     flat = np.zeros((n, width), np.uint8)
-    if n:
-        flat[np.repeat(np.arange(n), lens), np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)] = np.frombuffer(b"".join(strings), np.uint8)
-    order = np.argsort(group, kind="stable")
-    rank = np.unique(group, return_inverse=True)[1][order]
-    # shallow: refine all groups by their next eight bytes, then by whether the string ends there; only ties go on
-    for depth in range(0, shallow, 8):
-        tied = np.concatenate([[False], rank[1:] == rank[:-1]]) if n else np.zeros(0, bool)
-        tied |= np.append(tied[1:], False)
-        places = np.flatnonzero(tied)
-        if not len(places):
-            break
-        own = order[places]
-        char = flat[own, depth : depth + 8].copy().view(">u8").reshape(-1).astype(np.uint64)
-        short = np.minimum(lens[own] - depth, 8)
-        sub = np.lexsort((short, char, rank[places]))
-        order[places] = own[sub]
-        char, short, was = char[sub], short[sub], rank[places][sub]
-        new = np.concatenate([[True], (char[1:] != char[:-1]) | (short[1:] != short[:-1]) | (was[1:] != was[:-1])])
-        fresh = np.concatenate([[True], rank[1:] != rank[:-1]])
-        fresh[places] = new
-        rank = np.cumsum(fresh)
-    # deep: blind tries
-    cuts = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1], [True]])) if n else np.zeros(1, np.int64)
-    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if z - a > 1:
-            trie = BlindTrie(strings)
-            for i in order[a:z].tolist():
-                trie.add(i)
-            order[a:z] = list(trie.order())
+    flat[np.repeat(np.arange(n), lens), np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)] = np.frombuffer(b"".join(strings), np.uint8)
+    order, first, tied = multikey_quicksort(flat[:, : -(-shallow // 8) * 8].view(">u8").astype(np.uint64), lens, group, shallow)
+    start = np.flatnonzero(first)
+    size = np.diff(np.append(start, n))
+    deep = (size > 1) & tied[start]
+    for a, z in zip(start[deep].tolist(), (start + size)[deep].tolist(), strict=True):
+        trie = BlindTrie(strings)
+        for i in order[a:z].tolist():
+            trie.add(i)
+        order[a:z] = list(trie.order())
     common = np.full(n, -1, np.int64)
     for a in range(1, n, 4096):
         z = min(n, a + 4096)
         x, y = order[a:z], order[a - 1 : z - 1]
         differ = flat[x] != flat[y]
-        first = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-        common[a:z] = np.where(group[x] == group[y], np.minimum(first, np.minimum(lens[x], lens[y])), -1)
+        least = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        common[a:z] = np.where(group[x] == group[y], np.minimum(least, np.minimum(lens[x], lens[y])), -1)
     return order, common
 
 
-def repeated(parts: list[bytes], anchor: np.ndarray, windows: np.ndarray, group: np.ndarray, length: int, gram: int = GRAM, shallow: int = SHALLOW) -> np.ndarray:
-    """For distinct segments: which of their windows (by start, row by row) another segment of the group has as well."""
+def repeated(parts: list[bytes], anchor: np.ndarray, windows: np.ndarray, group: np.ndarray, length: int, gram: int = GRAM, shallow: int = SHALLOW, side: np.ndarray | None = None) -> np.ndarray:
+    """For segments: which of their windows (by start, row by row) another segment of the group has as well. `side`: 0 where all
+    windows of a segment are asked for, 1 and 2 where only those that reach enough bytes to the right or left of the anchor string."""
     n = len(parts)
     at = anchor.tolist()
+    low, high = np.zeros(n, np.int64), np.full(n, length - gram)
+    if side is not None:
+        half = reach(length, gram)
+        high[side == 1], low[side == 2] = half, half + 1
     right_order, right = deep_shallow([p[a:] for p, a in zip(parts, at, strict=True)], group, shallow)
     left_order, left = deep_shallow([p[:a][::-1] for p, a in zip(parts, at, strict=True)], group, shallow)
     found = np.zeros((n, length - gram + 1), bool)
     for d in range(length - gram + 1):
-        own = np.flatnonzero((anchor >= d) & (anchor - d < windows))
+        own = np.flatnonzero((anchor >= d) & (anchor - d < windows) & (low <= d) & (d <= high))
         if len(own) < 2:
             continue
         r, s = np.empty(n, np.int64), np.empty(n, np.int64)
@@ -219,6 +248,21 @@ def repeated(parts: list[bytes], anchor: np.ndarray, windows: np.ndarray, group:
     return found
 
 
+def reach(length: int, gram: int) -> int:
+    """Windows that start at most so far before their anchor string are dealt out by the bytes after it, others by those before it."""
+    return (length - gram) // 2
+
+
+def deals(text: bytes, anchor: int, windows: int, length: int, gram: int) -> list[tuple[int, int]]:
+    """(side, hash) of the groups of a segment that is dealt out by more than its anchor string."""
+    half, out = reach(length, gram), []
+    if anchor - windows < half:  # a window starts `half` bytes before the anchor or less, so it ends length - half after that at least
+        out.append((1, _signed(xxhash.xxh3_64_intdigest(text[anchor : anchor + length - half], 1))))
+    if anchor > half:
+        out.append((2, _signed(xxhash.xxh3_64_intdigest(text[anchor - half - 1 : anchor], 2))))
+    return out
+
+
 # --------------------------------------------------------------------------- on Spark
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     small_batches(docs.sparkSession)
@@ -233,7 +277,7 @@ def _ints(*cols) -> list[pa.Array]:
 SEGMENT = "k long, th long, start long, n long, anchor long, key long, h1 long, h2 long"
 
 
-def spans(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def spans(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = HOT, split: int = SPLIT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, found): rows are (k, t, th); found has for each (k, th) with repeats `w`, the runs (first, last) of repeated windows."""
     spark = docs.sparkSession
     rows = _texts(docs, id_col, text_col)
@@ -257,34 +301,35 @@ def spans(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = HOT,
     alive = kinds.withColumn("s", F.pmod("h1", F.lit(8)).cast("int")).join(of_key, ["key", "s"]).drop("s")
     alive.write.parquet(f"{where}/alive")
     alive = spark.read.parquet(f"{where}/alive")
-    whole = alive.where("copies > 1").select("h1", "h2", F.lit(0).cast("long").alias("a"), (F.col("n") - 1).alias("z"))
-    wanted = alive.where("variants > 1").groupBy("k", "th").agg(F.collect_list(F.struct("key", "h1", "h2", "start", "n", "anchor", "copies", (F.col("variants") > hot).alias("hot"))).alias("w"))
+    how = F.when(F.col("variants") > hot, 2).when(F.col("variants") > split, 1).otherwise(0)
+    wanted = alive.groupBy("k", "th").agg(F.collect_list(F.struct("key", "h1", "h2", "start", "n", "anchor", F.least("copies", F.lit(2)).alias("copies"), how.alias("how"))).alias("w"))
     joined = rows.join(wanted, ["k", "th"], "left").select("k", "t", "w")
+    names = ["key", "h1", "h2", "x", "y", "c", "side", "b"]
 
     def bring(batches: Iterator[pa.RecordBatch], want_hot: bool) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # a repeated row brings its segments again
         for b in batches:
             asked = b.filter(b.column(2).is_valid())
             for part, raw in slices(asked):
-                out: list[list] = [[] for _ in range(7)]
+                out: list[tuple] = []
                 for text, ws in zip(raw, part.column(2).to_pylist(), strict=True):
                     for w in ws:
-                        if w["hot"] != want_hot or (w["h1"], w["h2"]) in seen:
+                        if (w["how"] == 2) != want_hot or (w["h1"], w["h2"]) in seen:
                             continue
                         seen.add((w["h1"], w["h2"]))
                         own = text[w["start"] : w["start"] + w["n"] + length - 1]
                         if want_hot:
                             for i in range(w["n"]):
                                 x = xxhash.xxh3_128_intdigest(own[i : i + length])
-                                for col, v in zip(out, (0, w["h1"], w["h2"], _signed(x >> 64), _signed(x & (2**64 - 1)), i, b""), strict=True):
-                                    col.append(v)
+                                out.append((0, w["h1"], w["h2"], _signed(x >> 64), _signed(x & (2**64 - 1)), i, 0, b""))
                         else:
-                            for col, v in zip(out, (w["key"], w["h1"], w["h2"], w["anchor"], w["n"], w["copies"], own), strict=True):
-                                col.append(v)
+                            for side, key in deals(own, w["anchor"], w["n"], length, gram) if w["how"] else [(0, 0)]:
+                                out.append((w["key"] ^ key, w["h1"], w["h2"], w["anchor"], w["n"], w["copies"], side, own))
                     if len(seen) > 200_000:
                         seen.clear()
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:6]), pa.array(out[6], pa.binary())], names=["key", "h1", "h2", "x", "y", "c", "b"])
+                if out:
+                    cols = list(zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary())], names=names)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -300,14 +345,17 @@ def spans(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = HOT,
         if held:
             yield from _sorted(held, length, gram)
 
-    alive_n, hot_n = alive.where("variants > 1").agg(F.count("*"), F.sum((F.col("variants") > hot).cast("long"))).first()
+    schema = "key long, h1 long, h2 long, x long, y long, c long, side long, b binary"
+    alive_n, hot_n = alive.agg(F.count("*"), F.sum((F.col("variants") > hot).cast("long"))).first()
     parts = max(spark.sparkContext.defaultParallelism, -(-(alive_n or 0) // AT_ONCE))
-    brought = joined.mapInArrow(lambda it: bring(it, False), "key long, h1 long, h2 long, x long, y long, c long, b binary")
-    found = brought.repartition(parts, "key").sortWithinPartitions("key", "h1", "h2").mapInArrow(sort, "h1 long, h2 long, a long, z long").union(whole)
+    brought = joined.mapInArrow(lambda it: bring(it, False), schema)
+    found = brought.repartition(parts, "key").sortWithinPartitions("key", "side", "h1", "h2").mapInArrow(sort, "h1 long, h2 long, a long, z long")
     if hot_n:  # anchor strings in more than `hot` different segments: windows one by one, counted by hash, never in one task
-        each = joined.mapInArrow(lambda it: bring(it, True), "key long, h1 long, h2 long, x long, y long, c long, b binary").select("h1", "h2", "x", "y", F.col("c").alias("a")).distinct()
+        each = joined.mapInArrow(lambda it: bring(it, True), schema).select("h1", "h2", "x", "y", F.col("c").alias("a")).distinct()
         twice = each.groupBy("x", "y").count().where("count > 1").select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("s"))
         found = found.union(each.withColumn("s", F.pmod("h1", F.lit(8)).cast("int")).join(twice, ["x", "y", "s"]).select("h1", "h2", "a", F.col("a").alias("z")))
+        whole = alive.where((F.col("variants") > hot) & (F.col("copies") > 1))
+        found = found.union(whole.select("h1", "h2", F.lit(0).cast("long").alias("a"), (F.col("n") - 1).alias("z")))
     placed = every.join(found, ["h1", "h2"]).select("k", "th", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("z")).alias("z"))
     return rows, placed.groupBy("k", "th").agg(F.collect_set(F.struct("a", "z")).alias("w"))
 
@@ -327,24 +375,28 @@ def _pieces(keys: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _sorted(held: list[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     t = pa.Table.from_batches(held)
-    key, h1, h2, anchor, n = (t.column(i).to_numpy() for i in range(5))
-    one = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (key[1:] != key[:-1])]))
-    key, h1, h2, anchor, n = key[one], h1[one], h2[one], anchor[one], n[one]
-    hit = repeated(t.column(6).take(pa.array(one)).to_pylist(), anchor, n, key, length, gram)
+    key, h1, h2, anchor, n, copies, side = (t.column(i).to_numpy() for i in range(7))
+    new = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (key[1:] != key[:-1]) | (side[1:] != side[:-1])
+    one = np.flatnonzero(np.concatenate([[True], new]))
+    one = np.repeat(one, copies[one])  # of copies, two
+    key, h1, h2, anchor, n, side = key[one], h1[one], h2[one], anchor[one], n[one], side[one]
+    group = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (side[1:] != side[:-1])]))
+    hit = repeated(t.column(7).take(pa.array(one)).to_pylist(), anchor, n, group, length, gram, side=side)
+    hit[1:][one[1:] == one[:-1]] = False  # the second of two copies has what the first has
     edge = np.diff(hit.astype(np.int8), axis=1, prepend=0, append=0)
     row, first = np.nonzero(edge == 1)
     last = np.nonzero(edge == -1)[1] - 1
     yield pa.RecordBatch.from_arrays(_ints(h1[row], h2[row], first, last), names=["h1", "h2", "a", "z"])
 
 
-def dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = HOT, with_kept: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 400, gram: int = GRAM, hot: int = HOT, split: int = SPLIT, with_kept: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, `kept`: the remaining bytes of each row's text.
 
     Matches never cross documents; strings are judged on the input, not on what is left. A null text is empty; texts shorter
     than `length` bytes are never changed. Repeated rows are copies of each other like any others. Cutting bytes may split
     characters, so `kept` is binary. Extra columns are ignored.
     """
-    rows, found = spans(docs, length, gram, hot)
+    rows, found = spans(docs, length, gram, hot, split)
     joined = rows.join(found, ["k", "th"], "left").select("k", "t", "w")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
