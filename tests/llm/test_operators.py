@@ -105,8 +105,8 @@ def test_revisits_against_brute_force(spark):
         rows.append((i, rnd.choice(urls), rnd.choice([None, *range(40)]), rnd.choice([True, False, None]), head if rnd.random() < 0.95 else None))
     canon = {urls[0]: "a.org/x", urls[1]: "a.org/x", urls[2]: "a.org/x", urls[3]: "b.org?a=1&b=2", urls[4]: "b.org?a=1&b=2", None: None}
     c = spark.createDataFrame(rows, "id long, url string, at long, revisit boolean, headers map<string,string>").withColumn("block", F.lit(1))
-    for size in (20_000, 7):  # one block of time, and many
-        got = {r.id: r for r in warc.resolve(c, size).collect()}
+    for block in (20_000, 7):  # one block of time, and many
+        got = {r.id: r for r in warc.resolve(c, block).collect()}
         assert set(got) == {r[0] for r in rows if r[3]}
         for i, url, at, revisit, head in rows:
             if not revisit:
@@ -125,6 +125,41 @@ def test_revisits_against_brute_force(spark):
             assert got[i].headers == (own if outcome == "mismatch" else {**theirs, **{k: v for k, v in own.items() if k in warc.PERMITTED}})
 
 
+def test_captures_that_repeat_or_lack_an_id(spark):
+    rows = [
+        (1, "a.org", 1, False, {"ETag": "x", "Server": "one"}),
+        (1, "a.org", 1, False, {"ETag": "x", "Server": "one"}),  # the same response twice
+        (None, "b.org", 1, False, {"etag": "y"}),  # a response without an id
+        (None, "a.org", 2, True, {"etag": "x", "date": "2"}),
+        (None, "a.org", 3, True, {"ETag": "z"}),
+        (7, "b.org", 2, True, {"ETag": "y", "etag": "other", "Etag": "third"}),
+        (7, "b.org", 2, True, {"ETag": "y", "etag": "other", "Etag": "third"}),
+        (8, "c.org", 2, True, {"etag": "y"}),
+        (9, None, 2, True, None),
+        (10, "a.org", None, True, None),
+    ]
+    got = warc.resolve(spark.createDataFrame(rows, "id long, url string, at long, revisit boolean, headers map<string,string>")).collect()
+    found = sorted(((r.id, r.canonical_url, r.at, r.response_id, r.outcome, tuple(sorted(r.headers.items()))) for r in got), key=key)
+    want = [
+        (None, "a.org", 2, 1, "resolved", (("date", "2"), ("etag", "x"), ("server", "one"))),
+        (None, "a.org", 3, 1, "mismatch", (("etag", "z"),)),
+        *[(7, "b.org", 2, None, "resolved", (("etag", "y"),))] * 2,
+        (8, "c.org", 2, None, "no_response", (("etag", "y"),)),
+        (9, None, 2, None, "no_response", ()),
+        (10, "a.org", None, None, "no_response", ()),
+    ]
+    assert found == sorted(want, key=key)
+
+
+def test_many_captures_of_one_url_at_one_time(spark):
+    c = spark.range(3000).select("id", F.lit("a.org").alias("url"), F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 2).cast("long").alias("at"), (F.col("id") % 5 == 0).alias("revisit"), F.create_map(F.lit("etag"), F.lit("x")).alias("headers"))
+    got = {r.id: (r.response_id, r.outcome) for r in warc.resolve(c, 1).collect()}
+    last = lambda t: max(i for i in range(3000) if i % 5 and (i % 3 == 0 if t is None else i % 3 and i % 2 == t))
+    for i in range(0, 3000, 5):
+        want = None if i % 3 == 0 else last(None) if i % 2 == 0 else last(0)
+        assert got[i] == (want, "no_response" if want is None else "resolved")
+
+
 def test_no_captures(spark):
     c = spark.createDataFrame([], "id long, url string, at long, revisit boolean, headers map<string,string>")
     assert warc.resolve(c).count() == 0
@@ -159,9 +194,8 @@ def test_many_small_tiles_lose_no_link(spark):
     near = base ^ (np.uint64(1) << rnd.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rnd.integers(0, 64, 300).astype(np.uint64))
     fps = np.unique(np.concatenate([base, near]))
     d = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").withColumn("v", F.col("fp"))
-    together = lambda b, c: sum(abs(x - y) for x, y in zip(b, c)) <= 4
     for parts in (2, 4):
-        links = simhash.near_links(d, simhash._part_counts(parts), together, 4, tile=16)
+        links = simhash.near_links(d, common.new_folder(spark, "tiles"), parts, 4, tile=16)
         got = {r.v: r.root for r in common.components(links).collect()}
         near_ = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
         lab = fps.view(np.int64).copy()
@@ -347,6 +381,44 @@ def test_held_out_accuracy_and_rejection(spark):
     assert toxicity.classify(d, lab.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_fit_against_a_slow_reference():
+    """The risk's gradient, document by document, and the same steps."""
+    rnd = random.Random(3)
+    rows = [np.array(sorted(rnd.sample(range(1, 8), rnd.randrange(0, 5)) + [0] * (i % 4 == 0)), np.int64) for i in range(40)]
+    pos, turned = np.array([i % 4 == 0 for i in range(40)]), 0
+    for prior in (0.1, 0.45):  # the second one overfits below zero
+        scale = [1 / math.sqrt(max(1, sum(f in r for r in rows) / 40 * 100)) for f in range(8)]
+        theta, m, v, mean = [0.0] * 8 + [math.log(prior / (1 - prior))], [0.0] * 9, [0.0] * 9, [0.0] * 9
+        for t in range(1, 301):
+            s = [theta[8] + sum(theta[f] * scale[f] for f in r) for r in rows]
+            sig = [1 / (1 + math.exp(-x)) for x in s]
+            n_p, n_u = sum(pos), 40 - sum(pos)
+            negative = sum(math.log1p(math.exp(x)) for x, p in zip(s, pos) if not p) / n_u - prior * sum(math.log1p(math.exp(x)) for x, p in zip(s, pos) if p) / n_p
+            turned += negative < 0
+            grad = [1e-4 * x for x in theta[:8]] + [0.0]
+            for r, y, p in zip(rows, sig, pos):
+                g_neg = -prior * y / n_p if p else y / n_u
+                g = (prior * (y - 1) / n_p if p else 0) + g_neg if negative >= 0 else -g_neg
+                for f in r:
+                    grad[f] += g * scale[f]
+                grad[8] += g
+            for j in range(9):
+                m[j], v[j] = 0.9 * m[j] + 0.1 * grad[j], 0.999 * v[j] + 0.001 * grad[j] ** 2
+                theta[j] -= 0.05 * (m[j] / (1 - 0.9**t)) / (math.sqrt(v[j] / (1 - 0.999**t)) + 1e-8)
+                mean[j] += theta[j] / 150 if t > 150 else 0
+        w, bias = toxicity.nnpu(rows, pos, 8, prior, steps=300)
+        assert w.tolist() == pytest.approx([mean[f] * scale[f] for f in range(8)], rel=1e-6, abs=1e-9) and bias == pytest.approx(mean[8], rel=1e-6)
+    assert turned  # the correction was at work
+
+
+def test_held_out_recall_on_the_tables(spark):
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.classify(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    r = got.where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
+    share = {x.toxic: x.p for x in r}
+    assert share[1] >= 0.9 and share[0] <= 0.02
+
+
 def test_words_are_counted_over_all_training_rows(spark, monkeypatch):
     rnd = random.Random(12)
     vocab = [f"v{i}" for i in range(50)]
@@ -424,8 +496,8 @@ def test_order_of_deep_shallow_sorting():
             assert common_[a] == (suffixdedup.shared(s[x], s[y]) if g[x] == g[y] else -1)
 
 
-@pytest.mark.parametrize("hot", [200_000, 2])
-def test_removed_bytes_against_brute_force(spark, docs, hot):
+@pytest.mark.parametrize(("hot", "split"), [(200_000, 500), (200_000, 1), (2, 500)])
+def test_removed_bytes_against_brute_force(spark, docs, hot, split):
     rnd = random.Random(8)
     base = [bytes(rnd.choices(b"abcdefgh ", k=1500)) for _ in range(3)]
     rows = []
@@ -437,7 +509,7 @@ def test_removed_bytes_against_brute_force(spark, docs, hot):
         rows.append((i, bytes(rnd.choices(b"abc", k=rnd.randrange(200))) + bytes(y)))
     rows += [(100, b"a" * 900), (101, b"ab" * 400), (102, b""), (103, b"x" * 119), (104, b"xyz" * 60), (105, base[0]), (105, base[0]), (106, ("é" * 200).encode()), (None, base[1][:300])]
     d = frame(spark, [(k, t.decode()) for k, t in rows] + [(500, None)])
-    got = suffixdedup.dedup(d, length=120, gram=32, hot=hot)
+    got = suffixdedup.dedup(d, length=120, gram=32, hot=hot, split=split)
     assert sorted(key((*tuple(r)[:5], bytes(r.kept))) for r in got.collect()) == brute_repeats([*rows, (500, b"")], 120)
 
 
