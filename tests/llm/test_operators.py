@@ -49,36 +49,66 @@ def test_components_are_those_of_union_find(spark):
 
 
 # ------------------------------------------------------------------ language model
-def test_scores_are_those_of_the_formula(docs):
+def kneser_ney(train, order):
+    """p(history, word) by the formulas, from plain dictionaries; <s> stands before a text."""
+    raw = [Counter() for _ in range(order + 1)]
+    for s in train:
+        x = [b"", *s]
+        for k in range(1, order + 1):
+            raw[k].update(tuple(x[i : i + k]) for i in range(len(x) - k + 1))
+    adj = {order: raw[order]}
+    for k in range(order - 1, 0, -1):
+        adj[k] = Counter(g[1:] for g in adj[k + 1])
+        adj[k].update({g: c for g, c in raw[k].items() if g[0] == b"" and k > 1})
+    discount = {k: lm._discounts([sum(c == i for c in adj[k].values()) for i in (1, 2, 3, 4)]) for k in adj}
+    follow = {k: defaultdict(lambda: [0, 0, 0, 0]) for k in adj}
+    for k in adj:
+        for g, c in adj[k].items():
+            f = follow[k][g[:-1]]
+            f[0] += c
+            f[min(c, 3)] += 1
+    v = sum(1 for g in raw[1] if g != (b"",))
+
+    def p(history, w, k=order):
+        history = tuple(history[max(0, len(history) - k + 1) :])
+        if k == 0:
+            return 1 / (v + 1)
+        if len(history) < k - 1 or not follow[k][history][0]:
+            return p(history, w, k - 1)
+        c, f, d = adj[k][(*history, w)], follow[k][history], discount[k]
+        return (max(c - d[min(c, 3) - 1], 0) if c else 0) / f[0] + sum(a * b for a, b in zip(f[1:], d)) / f[0] * p(history, w, k - 1)
+
+    return p
+
+
+@pytest.mark.parametrize(("order", "key_bits"), [(2, 64), (2, 10), (3, 64), (3, 10), (4, 64), (4, 20)])
+def test_scores_are_those_of_the_formula(docs, monkeypatch, order, key_bits):
+    monkeypatch.setattr(lm, "KEY_BITS", key_bits)  # from which on keys are hashes
+    monkeypatch.setattr(lm, "HELD_GRAMS", 500)
     seqs = [(k, [w for w in (t or "").encode().lower().split()] + [b"\n"]) for k, t in documents()]
     held = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 10 == 0
     train = [s for k, s in seqs if not held(k)]
-    uni, pairs = Counter(w for s in train for w in s), Counter(p for s in train for p in zip([b""] + s, s))
+    uni = Counter(w for s in train for w in s)
     n, v = sum(uni.values()), len(uni)
-    ctx, kinds, ends = Counter(), defaultdict(lambda: [0, 0, 0]), Counter()
-    for (a, b), c in pairs.items():
-        ctx[a] += c
-        kinds[a][min(c, 3) - 1] += 1
-        ends[b] += 1
-    d1, d0 = (lm._discounts([sum(c == i for c in x.values()) for i in (1, 2, 3, 4)]) for x in (pairs, ends))
-    mass = sum(d0[min(c, 3) - 1] for c in ends.values()) / len(pairs)
-    low = lambda w: (max(ends[w] - d0[min(ends[w], 3) - 1], 0) / len(pairs) if ends[w] else 0) + mass / (v + 1)
-
-    def p(a, b):
-        if not ctx[a]:
-            return low(b)
-        c = pairs[a, b]
-        return (max(c - d1[min(c, 3) - 1], 0) if c else 0) / ctx[a] + sum(x * y for x, y in zip(kinds[a], d1)) / ctx[a] * low(b)
-
-    assert sum(p(b"w1", w) for w in uni) + p(b"w1", b"?") == pytest.approx(1)
+    p = kneser_ney(train, order)
+    some = [b"", b"w1", b"w2"]
+    assert sum(p(some, w) for w in uni) + p(some, b"?") == pytest.approx(1)
     want = sorted(
-        (key((k, held(k), len(s), sum(w in uni for w in s), n)), sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in s), sum(math.log10(p(a, b)) for a, b in zip([b""] + s, s))) for k, s in seqs
+        (key((k, held(k), len(s), sum(w in uni for w in s), n)), sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in s), sum(math.log10(p([b"", *s[:i]], w)) for i, w in enumerate(s))) for k, s in seqs
     )
-    got = sorted((key(tuple(r)[:5]), r.base_score, r.score) for r in lm.perplexity(docs).collect())
+    got = sorted((key(tuple(r)[:5]), r.base_score, r.score) for r in lm.perplexity(docs, order=order).collect())
     assert [g[0] for g in got] == [w[0] for w in want]
     assert [x for g in got for x in g[1:]] == pytest.approx([x for w in want for x in w[1:]], rel=1e-9)
 
 
+def test_keys_are_a_bijection():
+    for bits in (1, 2, 7, 12):
+        x = lm._scatter(np.arange(1 << bits, dtype=np.uint64), bits)
+        assert sorted(x.tolist()) == list(range(1 << bits)) and lm._unscatter(x, bits).tolist() == list(range(1 << bits))
+    x = np.random.default_rng(1).integers(0, 2**63, 1000, dtype=np.uint64)
+    assert (lm._unscatter(lm._scatter(x, 64), 64) == x).all()
+
+
 def test_nothing_to_learn_from(spark, empty):
     assert lm.perplexity(empty).count() == 0
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
