@@ -39,7 +39,7 @@ GRAM = 64
 #: Depth in bytes to which the multikey quicksort goes.
 SHALLOW = 128
 #: Segments that a task sorts at once; groups of one anchor string that are dealt out by more bytes; and that are counted instead.
-AT_ONCE, SPLIT, HOT = 40_000, 500, 200_000
+AT_ONCE, SPLIT, HOT = 20_000, 500, 200_000
 #: Bytes hashed at once; places in such a block take the low bits of an anchor's sort key.
 BLOCK, PLACE = 1 << 20, np.uint64(21)
 
