@@ -219,8 +219,7 @@ def slices(batch: pa.RecordBatch, text: str = "t", keep_ids: bool = False) -> It
         to = min(to, n)
         yield batch.slice(at, to - at), [b or b"" for b in col.slice(at, to - at).to_pylist()]
         at = to
-    if not keep_ids:
-        _give_back()
+    _give_back()
 
 
 def crc_remainder(doc_id: Column, by: int) -> Column:

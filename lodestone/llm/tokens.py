@@ -15,7 +15,7 @@ from .common import process_state
 #: The vocabulary file used unless another path is given.
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Chunks whose ids a worker remembers: of two generations each, the older one goes when the newer is full.
-CACHE = 300_000
+CACHE = 200_000
 #: A word of letters that have no other form to be normalised to, and marks after it that begin no contraction.
 _WORD = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{|}~]*)").fullmatch
 

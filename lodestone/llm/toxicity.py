@@ -29,7 +29,7 @@ HELD_WORDS, KNOWN_WORDS, BROADCAST_IDS = 300_000, 1_000_000, 1_000_000
 #: so many standard errors, and of those the ones most beyond chance.
 MIN_POSITIVES, ERRORS, WORDS = 3, 4.0, 20_000
 #: Bytes of the word beginnings that count as features of longer words.
-STEMS = (4, 5, 6, 7, 8)
+STEMS = (4, 6)
 _SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -48,7 +48,9 @@ def word_set(text: bytes) -> set[bytes]:
     """The distinct words of a text, in lower case, other ASCII than letters and digits taken as space, and the beginnings of
     longer ones, marked by a `*`, which no word holds."""
     words = set(text.decode("utf-8", "replace").lower().encode().translate(_SPACE).split())
-    return words.union(*({w[:n] + b"*" for w in words if len(w) > n} for n in STEMS))
+    for n in STEMS:
+        words |= {w[:n] + b"*" for w in words if len(w) > n and w[-1] != 42}
+    return words
 
 
 def nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-4, slack: float = 0.0) -> tuple[np.ndarray, float]:
