@@ -194,7 +194,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return free memory to the system: Python workers live on over tasks and stages, beside the JVM."""
     pa.default_memory_pool().release_unused()
     try:
@@ -203,10 +203,10 @@ def _give_back() -> None:
         pass
 
 
-def slices(batch: pa.RecordBatch, text: str = "t", keep_ids: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Pieces of an Arrow batch with at most about SLICE_BYTES of text each, and their texts as bytes. Ids that an earlier task of
+def slices(batch: pa.RecordBatch, text: str = "t", keep_ids: bool = False, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Pieces of an Arrow batch with at most about `most` bytes of text each, and their texts as bytes. Ids that an earlier task of
     this process remembered are forgotten, unless the caller encodes texts itself; for that, pieces are twice as large."""
-    most = SLICE_BYTES * (2 if keep_ids else 1)
+    most *= 2 if keep_ids else 1
     if not keep_ids:
         vars(process_state()).pop("ids", None)
     col = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
@@ -219,7 +219,7 @@ def slices(batch: pa.RecordBatch, text: str = "t", keep_ids: bool = False) -> It
         to = min(to, n)
         yield batch.slice(at, to - at), [b or b"" for b in col.slice(at, to - at).to_pylist()]
         at = to
-    _give_back()
+    give_back()
 
 
 def crc_remainder(doc_id: Column, by: int) -> Column:

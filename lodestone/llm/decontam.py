@@ -28,6 +28,8 @@ SHORTEST = 24
 WINDOW = 160
 #: Bytes of items that go to the workers at once; more items take more passes over the documents.
 BLOCK_BYTES = 8 << 20
+#: Bytes of texts that are searched at once; each takes some fifty bytes of arrays.
+SEARCHED = 1 << 19
 _SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -204,7 +206,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Da
 
         def run(batches: Iterator[pa.RecordBatch], finder=finder) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for part, raw in slices(b):
+                for part, raw in slices(b, most=SEARCHED):
                     hits = finder.search(raw)
                     k = part.column(0).to_pylist()
                     cols = ([k[h[0]] for h in hits], [finder.ids[h[1]] for h in hits], [h[2] for h in hits], [h[3] for h in hits], [h[4] for h in hits])
@@ -227,7 +229,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
         def run(batches: Iterator[pa.RecordBatch], finder=finder) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 t = b.rename_columns(["t" if i == at else f"c{i}" for i in range(b.num_columns)])
-                for part, raw in slices(t):
+                for part, raw in slices(t, most=SEARCHED):
                     keep = np.ones(len(raw), bool)
                     keep[[h[0] for h in finder.search(raw)]] = False
                     yield part.filter(pa.array(keep)).rename_columns(names)

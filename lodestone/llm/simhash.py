@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, drop_folder, field, forest, map_array, new_folder, packed, slices, texts, write_bytes
+from .common import checkpoint, components, drop_folder, field, forest, give_back, map_array, new_folder, packed, slices, texts, write_bytes
 from .lm import _dealt, _gather, _split, merge, unpack
 
 #: Fingerprints in a tile at most, on average.
@@ -33,7 +33,7 @@ TILE = 8192
 #: Distinct fingerprints from which blocks are made by quarters instead of halves.
 FINE_FROM = 1_000_000
 #: Hashes in a file of shingle sets, hashes or entries that a task holds before it passes them on, and entries in a bucket.
-FILE_HASHES, HELD, BUCKET = 2_000_000, 1_000_000, 500_000
+FILE_HASHES, HELD, BUCKET = 1_000_000, 500_000, 250_000
 #: One in so many sets is sampled for common shingles if there are many; those in so many sets, at an estimate, are common; so many are kept.
 SAMPLE, COMMON, MOST_COMMON = 8, 32, 500_000
 
@@ -236,6 +236,7 @@ def _common_shingles(places: DataFrame, where: str, files: list[str], parts: int
                 keys, c = np.unique(np.concatenate(held), return_counts=True)
                 yield _split(keys, 64 - bits, c)
                 held, n = [], 0
+                give_back()
         if held:
             keys, c = np.unique(np.concatenate(held), return_counts=True)
             yield _split(keys, 64 - bits, c)
@@ -368,6 +369,7 @@ def set_links(own: DataFrame, where: str, files: list[str], similarity: float) -
                 if b != now and blocks:
                     yield links()
                     blocks = []
+                    give_back()
                 now = b
                 blocks.append(unpack(data.as_py()))
         if blocks:
