@@ -73,9 +73,9 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != "")
 
 
-def chunks(c: Column, size: int = 100, overlap: int = 20) -> Column:
-    """Windows of `size` words that begin every `size - overlap` words, as texts."""
-    w = words(c)
+def chunks(w: Column, size: int = 100, overlap: int = 20) -> Column:
+    """Windows of `size` words that begin every `size - overlap` words, as texts. `w`: a column of words, made before, as an
+    expression would be worked out again for each window."""
     starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " "))
 

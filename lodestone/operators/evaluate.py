@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,3 +31,51 @@ def gate_failures(measured: DataFrame, targets: dict[str, tuple[str, float]]) ->
 def compare(full: DataFrame, baseline: DataFrame) -> DataFrame:
     """(metric, full, baseline, delta)."""
     return full.withColumnRenamed("value", "full").join(baseline.withColumnRenamed("value", "baseline"), "metric", "full").withColumn("delta", F.col("full") - F.col("baseline"))
+
+
+def failure_reasons() -> list[Column]:
+    """What can be wrong with a case (blank, rejection, declined, answerable, rank, ahead, shown): a name each, or null."""
+    own, rank = ~F.col("rejection"), F.col("rank")
+    none, held = rank.isNull(), F.col("answerable")
+    return [
+        F.when(F.col("blank"), "error"),
+        F.when(F.col("rejection") & ~F.col("declined"), "out_of_scope_answered"),
+        F.when(own & none & held, "miss"),
+        F.when(own & none & ~held, "standard_not_in_corpus"),
+        F.when(own & (rank > 5), "ranked_below_5"),
+        F.when(own & F.col("ahead"), "superseded_ranked_first"),
+        F.when(own & F.col("shown"), "superseded_recommended"),
+        F.when(own & held & (rank > 1), "edition_not_exact"),
+    ]
+
+
+def rejections(cases: DataFrame) -> DataFrame:
+    """One row: of the out-of-scope cases how many were declined, the best score that one got, the worst top score of a covered
+    case with a hit, and whether the two are apart."""
+    out, hit = F.col("rejection"), ~F.col("rejection") & F.col("answerable")
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    m = cases.agg(
+        F.coalesce(count(out), F.lit(0)).alias("n_rejections"), F.coalesce(count(out & F.col("declined")), F.lit(0)).alias("n_declined"),
+        F.round(F.coalesce(F.max(F.when(out, F.col("top_score"))), F.lit(0.0)), 6).alias("max_negative_score"),
+        F.round(F.coalesce(F.min(F.when(hit & F.col("rank").isNotNull(), F.col("top_score"))), F.lit(0.0)), 6).alias("min_positive_score"), count(hit).alias("n"),
+    )
+    share = F.when(F.col("n_rejections") == 0, 0.0).otherwise(F.round(F.col("n_declined") / F.col("n_rejections"), 6))
+    apart = (F.col("n_rejections") > 0) & (F.col("n") > 0) & (F.col("min_positive_score") > F.col("max_negative_score"))
+    return m.select("n_rejections", "n_declined", share.alias("rejection_accuracy"), "max_negative_score", "min_positive_score", apart.alias("scores_separate"))
+
+
+def ablation(configs: dict, search_factory: Callable[[object], DataFrame], truth: DataFrame, baseline: str) -> DataFrame:
+    """(config, hit1, mrr5, delta, gate): `search_factory` makes the (qid, doc_id, rank) of each configuration; all are held against
+    the same truth (qid, doc_id)."""
+    runs = None
+    for name, config in configs.items():
+        x = search_factory(config).select(F.lit(name).alias("config"), "qid", "doc_id", "rank")
+        runs = x if runs is None else runs.unionByName(x)
+    h = runs.join(truth, ["qid", "doc_id"]).groupBy("config", "qid").agg(F.min("rank").alias("rank"))
+    per = h.groupBy("config").agg(F.sum((F.col("rank") <= 1).cast("long")).alias("h"), F.sum(F.when(F.col("rank") <= 5, 1.0 / F.col("rank")).otherwise(0.0)).alias("r"))
+    names = truth.sparkSession.createDataFrame([(n,) for n in configs], "config string")
+    n = F.broadcast(truth.agg(F.countDistinct("qid").alias("n")))  # one row
+    zero = lambda c: F.coalesce(c, F.lit(0)) / F.col("n")
+    m = names.join(per, "config", "left").join(n).select("config", zero("h").alias("hit1"), zero("r").alias("mrr5"))
+    base = F.max(F.when(F.col("config") == baseline, F.col("mrr5"))).over(Window.partitionBy())  # a row per configuration
+    return m.select("config", F.round("hit1", 6).alias("hit1"), F.round("mrr5", 6).alias("mrr5"), F.round(F.col("mrr5") - base, 6).alias("delta"), (F.col("hit1") >= 0.5).alias("gate"))

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from .retrieval import B, K1
 
+#: Postings in a bucket, on average; features of queries that one broadcast carries at most.
+BUCKET_ROWS, FEATURE_BLOCK = 2_000_000, 500_000
+
 
 class WrongEmbedder(ValueError):
     """The vectors were made by another embedder than the one that asks."""
@@ -19,24 +26,123 @@ def fingerprint(name: str, dim: int, version: str = "1") -> str:
     return hashlib.sha256(f"{name}/{dim}/{version}".encode()).hexdigest()[:16]
 
 
-def save_postings(docs: DataFrame, where: str) -> None:
-    """postings (doc_id, term, tf, dl) sorted by term within files, so that a term's rows are few row groups; vocab (term, df, idf);
-    stats (n, avgdl). docs: (doc_id, tokens)."""
-    post = docs.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-    post.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{where}/postings")
-    docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl")).write.mode("overwrite").parquet(f"{where}/stats")
+def state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """When a file or folder last changed and how large it is, whatever store it is in."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getFileStatus(p).getModificationTime(), fs.getContentSummary(p).getLength()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see: spark.checkpoint.dir; where all runs on this machine, one of our own."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = f"/tmp/lodestone-index/{spark.sparkContext.applicationId}"
+    return f"{where.rstrip('/')}/index-{uuid.uuid4().hex}"
+
+
+@dataclass
+class Index:
+    """Terms of a corpus: tokenised and weighed once, probed by any number of queries.
+
+    Tables below `where`: `docs` (the rows with `tokens`, `dl`: their number, and `tf_len`: the length of the TF-IDF vector),
+    `vocab` (f, df, idf, tf_idf; f is a term, or two neighbours joined by `_`), `stats` (n, avgdl), and the bucketed `postings`
+    (doc_id, f, tf, bm: the BM25 part of one query term, tv: the TF-IDF weight over the vector's length).
+
+    Postings are bucketed by document, as search engines shard them: a bucket scores its own documents whole, so probing
+    shuffles only the best of each bucket, never postings. Within a bucket they are sorted by term.
+    """
+
+    spark: SparkSession
+    where: str
+    table: str
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.where}/{name}")
+
+    @property
+    def docs(self) -> DataFrame:
+        return self.read("docs")
+
+    @property
+    def vocab(self) -> DataFrame:
+        return self.read("vocab")
+
+    @property
+    def stats(self) -> DataFrame:
+        """One row."""
+        return self.read("stats")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def features(self, queries: DataFrame) -> DataFrame:
+        """(qid, f, qn, qw, part) of queries (qid, tokens): how often a query has a term, nothing for two neighbours; its TF-IDF weight
+        over the vector's length, where terms that no document has count with an idf of 1; and, of terms of three letters at
+        least, the share of all of them by idf."""
+        own = queries.select("qid", F.explode(F.concat(F.transform("tokens", lambda t: F.struct(t.alias("f"), F.lit(1).alias("one"))), F.transform(X.bigrams(F.col("tokens")), lambda t: F.struct(t.alias("f"), F.lit(0).alias("one"))))).alias("x")).select("qid", "x.*")
+        own = own.groupBy("qid", "f").agg(F.sum("one").alias("qn"), F.count("*").alias("tf"))
+        unseen = F.log(1 + (F.col("n") + 0.5) / 0.5)
+        w = own.join(self.vocab.select("f", "idf", "tf_idf"), "f", "left").join(F.broadcast(self.stats)).withColumn("w", F.col("tf") * F.coalesce("tf_idf", F.lit(1.0)))
+        w = w.withColumn("key", F.when((F.col("qn") > 0) & (F.length("f") >= 3), F.coalesce("idf", unseen)).otherwise(0.0))
+        lens = w.groupBy("qid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"), F.sum("key").alias("keys"))
+        return w.join(lens, "qid").select("qid", "f", "qn", (F.col("w") / F.col("len")).alias("qw"), F.when(F.col("keys") > 0, F.col("key") / F.col("keys")).otherwise(0.0).alias("part"))
+
+    def probe(self, queries: DataFrame) -> DataFrame:
+        """(qid, doc_id, bm25, tfidf, coverage) of the documents that share a term with a query: both scores, and the share of the
+        query's terms, by idf, that the document has. Features go out by broadcast, in blocks of a checked size."""
+        f, out = self.features(queries), None
+        blocks = max(1, math.ceil(f.count() / FEATURE_BLOCK))
+        for i in range(blocks):
+            part = f if blocks == 1 else f.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+            hit = self.postings.join(F.broadcast(part), "f").groupBy("qid", "doc_id")
+            got = hit.agg(F.sum(F.when(F.col("qn") > 0, F.col("qn") * F.col("bm"))).alias("bm25"), F.sum(F.col("qw") * F.col("tv")).alias("tfidf"), F.sum("part").alias("coverage"))
+            out = got if out is None else out.union(got)
+        return out
+
+
+def build(docs: DataFrame, fields: dict[str, float] = {}, per_bucket: int = BUCKET_ROWS) -> Index:
+    """Index `docs` (doc_id, tokens, fields and any other columns). A term that is a word of one of `fields` is boosted in BM25."""
     spark = docs.sparkSession
-    n = F.broadcast(spark.read.parquet(f"{where}/stats"))  # one row
-    vocab = spark.read.parquet(f"{where}/postings").groupBy("term").agg(F.count("*").alias("df")).join(n)
-    vocab.select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).write.mode("overwrite").parquet(f"{where}/vocab")
-
-
-def search_postings(spark: SparkSession, where: str, queries: DataFrame) -> DataFrame:
-    """(qid, doc_id, score) of BM25 over saved postings; queries (qid, tokens)."""
-    terms = queries.select("qid", F.explode("tokens").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qn"))
-    hit = spark.read.parquet(f"{where}/postings").join(terms, "term").join(spark.read.parquet(f"{where}/vocab").select("term", "idf"), "term").join(F.broadcast(spark.read.parquet(f"{where}/stats")))
-    part = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
+    me = Index(spark, shared_folder(spark), f"lodestone_{uuid.uuid4().hex}")
+    put = lambda df, name: df.write.mode("overwrite").parquet(f"{me.where}/{name}")
+    # by document, so that counting a document's terms moves nothing
+    put(docs.repartition("doc_id").withColumn("dl", F.size("tokens")), "tokens")
+    tokens = me.read("tokens")
+    put(tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "stats")
+    n = F.broadcast(me.stats)  # one row
+    boost = F.lit(1.0)
+    for f, by in fields.items():
+        boost = boost * F.when(F.array_contains(F.split(F.lower(f), "[^a-z0-9]+"), F.col("f")), by).otherwise(1.0)
+    both = F.concat(F.transform("tokens", lambda t: F.struct(t.alias("f"), F.lit(True).alias("one"))), F.transform(X.bigrams(F.col("tokens")), lambda t: F.struct(t.alias("f"), F.lit(False).alias("one"))))
+    each = tokens.repartition("doc_id").select("doc_id", "dl", *fields, F.explode(both).alias("x")).select("doc_id", "dl", *fields, "x.*")
+    put(each.groupBy("doc_id", "f").agg(F.count("*").alias("tf"), F.first("one").alias("one"), F.first("dl").alias("dl"), F.first(boost).alias("boost")), "counts")
+    counts = me.read("counts")
+    vocab = counts.groupBy("f").agg(F.count("*").alias("df"), F.first("one").alias("one")).join(n)
+    put(vocab.select("f", "one", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("tf_idf")).sort("f"), "vocab")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * F.col("boost")
+    weighed = counts.join(me.vocab.select("f", "idf", "tf_idf"), "f").join(n).select("doc_id", "f", "tf", F.when(F.col("one"), part).alias("bm"), (F.col("tf") * F.col("tf_idf")).alias("w"))
+    put(weighed, "weighed")
+    weighed = me.read("weighed")
+    lens = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("tf_len"))
+    put(tokens.join(lens, "doc_id", "left"), "docs")
+    buckets = max(spark.sparkContext.defaultParallelism, math.ceil(weighed.count() / per_bucket))
+    final = weighed.join(me.docs.select("doc_id", "tf_len"), "doc_id").select("doc_id", "f", "tf", "bm", (F.col("w") / F.col("tf_len")).alias("tv"))
+    final.repartition(buckets, "doc_id").write.option("path", f"{me.where}/postings").bucketBy(buckets, "doc_id").sortBy("f").saveAsTable(me.table)
+    return me
+
+
+_open: dict[tuple, Index] = {}
+
+
+def opened(key: tuple, make) -> Index:
+    """The index that this application has built under a key, or the one that `make` builds now."""
+    if key not in _open:
+        _open[key] = make()
+    return _open[key]
 
 
 def save_vectors(rows: DataFrame, where: str, made_by: str) -> None:

@@ -6,7 +6,11 @@ All rankings are by scores rounded to six places, then by id, so that the order
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ from ..functions import text as X
 K1, B = 1.5, 0.75
 #: Queries that one broadcast carries at most; more are searched block by block.
 QUERY_BLOCK = 5_000
+#: Items whose keys one broadcast carries at most.
+ITEM_BLOCK = 200_000
 
 
 def top(rows: DataFrame, k: int, query: str = "qid", item: str = "doc_id", score: str = "score") -> DataFrame:
@@ -23,76 +29,76 @@ def top(rows: DataFrame, k: int, query: str = "qid", item: str = "doc_id", score
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float] = {}) -> DataFrame:
-    """(qid, doc_id, score): docs (doc_id, tokens, fields), queries (qid, tokens). A query's repeated terms count each time; a
-    term that is a word of one of `fields` is boosted. Only postings of query terms are shuffled."""
-    terms = queries.select("qid", F.explode("tokens").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qn"))
-    sizes = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))  # one row
-    boost = F.lit(1.0)
-    for f, by in fields.items():
-        boost = boost * F.when(F.array_contains(F.split(F.lower(f), "[^a-z0-9]+"), F.col("term")), by).otherwise(1.0)
-    each = docs.select("doc_id", *fields, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    post = each.groupBy("doc_id", "term", "dl", *fields).agg(F.count("*").alias("tf")).withColumn("boost", boost)
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    s = post.join(df, "term").join(F.broadcast(sizes)).join(terms, "term")
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qn") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * F.col("boost")
-    return s.groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
-
-
-def tfidf(docs: DataFrame, queries: DataFrame, floor: float = 0.05) -> DataFrame:
-    """(qid, doc_id, score): cosine over terms and bigrams, smooth idf; terms that no document has count 1 in a query's length."""
-    feats = lambda d, k: d.select(k, F.explode(F.concat("tokens", X.bigrams(F.col("tokens")))).alias("f")).groupBy(k, "f").agg(F.count("*").alias("tf"))
-    d, q = feats(docs, "doc_id"), feats(queries, "qid")
-    n = F.broadcast(docs.agg(F.count("*").alias("n_docs")))  # one row
-    idf = d.groupBy("f").agg(F.count("*").alias("df")).join(n).select("f", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    dw = d.join(idf, "f").withColumn("w", F.col("tf") * F.col("idf"))
-    qw = q.join(idf, "f", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
-    length = lambda x, k: x.groupBy(k).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"{k}_len"))
-    dot = dw.select("doc_id", "f", F.col("w").alias("a")).join(qw.select("qid", "f", F.col("w").alias("b")), "f").groupBy("qid", "doc_id").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
-    s = dot.join(length(dw, "doc_id"), "doc_id").join(length(qw, "qid"), "qid")
-    return s.select("qid", "doc_id", (F.col("dot") / (F.col("doc_id_len") * F.col("qid_len"))).alias("score")).where(F.round("score", 6) > floor)
-
-
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """(qid, vec_id, score, rank): exact cosine search. vectors (vec_id, embedding, ...), queries (qid, q). The filter comes first.
-    Queries go out by broadcast, in blocks of a checked size; all rows are scanned for each block."""
-    rows = vectors.where(where) if where is not None else vectors
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+def dense(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, floor: float | None = None) -> DataFrame:
+    """(qid, vec_id, score, rank): exact cosine search. vectors (vec_id, embedding, ...), queries (qid, q). The filter comes before
+    ranking, and so does the floor: scores below it are no results. A vector is no result of a query with its own id.
+
+    Queries are normalised once and go out in blocks of a checked size; each batch of vectors is multiplied by all of them and
+    only its k best of each query go on. A null vector, or one of another width, is left out; one of length zero scores 0.
+    """
+    rows = (vectors.where(where) if where is not None else vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    qs = queries.select(F.col("qid").cast("long").alias("qid"), F.col("q").cast("array<double>").alias("q")).where("q is not null")
+    blocks = max(1, math.ceil(qs.count() / QUERY_BLOCK))
     out = None
     for i in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
-        got = top(rows.join(F.broadcast(part), F.col("vec_id") != F.col("qid")).select("qid", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score")), k, item="vec_id")
+        t = (qs if blocks == 1 else qs.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)).orderBy("qid").toArrow()  # QUERY_BLOCK rows
+        ids, width = t.column(0).to_numpy(), len(t.column(1)[0]) if t.num_rows else 0
+        own = _unit(np.array(t.column(1).to_pylist(), dtype=np.float64).reshape(len(ids), width))
+
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, own=own, width=width) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                b = b.filter(pc.fill_null(pc.equal(pc.list_value_length(b.column(1)), width), False))
+                if not b.num_rows or not len(ids):
+                    continue
+                vec = b.column(0).to_numpy()
+                s = np.round(_unit(np.asarray(b.column(1).flatten()).reshape(len(vec), width)) @ own.T, 6)
+                s[vec[:, None] == ids[None, :]] = -2
+                least = np.partition(s, max(0, len(vec) - k), axis=0)[max(0, len(vec) - k)]  # the k-th best of each query
+                row, q = np.nonzero((s >= np.maximum(least, -1 if floor is None else floor)[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(vec[row]), pa.array(s[row, q])], names=["qid", "vec_id", "score"])
+
+        got = top(rows.mapInArrow(run, "qid long, vec_id long, score double"), k, item="vec_id")
         out = got if out is None else out.union(got)
     return out
 
 
-def rrf(legs: dict[str, DataFrame], current: DataFrame | None = None, weights: dict[str, float] = {}, k: int = 60, boost: float = 1.15) -> DataFrame:
-    """(qid, doc_id, score, legs): the sum of weight / (k + rank) over legs, times `boost` for current documents."""
-    all_legs = None
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n > 0, n, 1)
+
+
+def stacked(legs: dict[str, DataFrame]) -> DataFrame:
+    """(leg, qid, doc_id, score, rank) of several legs."""
+    out = None
     for name, leg in legs.items():
-        x = leg.select("qid", "doc_id", F.lit(name).alias("leg"), (F.lit(weights.get(name, 1.0)) / (k + F.col("rank"))).alias("part"))
-        all_legs = x if all_legs is None else all_legs.unionByName(x)
-    s = all_legs.groupBy("qid", "doc_id").agg(F.sum("part").alias("score"), F.array_join(F.array_sort(F.collect_list("leg")), "+").alias("legs"))
+        x = leg.select(F.lit(name).alias("leg"), "qid", "doc_id", "score", "rank")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def rrf(legs: DataFrame, current: DataFrame | None = None, weights: dict[str, float] = {}, k: int = 60, boost: float = 1.15) -> DataFrame:
+    """(qid, doc_id, score, legs) from stacked legs: the sum of weight / (k + rank), times `boost` for current documents."""
+    weight = F.lit(1.0)
+    for name, by in weights.items():
+        weight = F.when(F.col("leg") == name, by).otherwise(weight)
+    parts = legs.select("leg", "qid", "doc_id", (weight / (k + F.col("rank"))).alias("part"))
+    s = parts.groupBy("qid", "doc_id").agg(F.sum("part").alias("score"), F.array_join(F.array_sort(F.collect_list("leg")), "+").alias("legs"))
     if current is None:
         return s
     return s.join(current, "doc_id", "left").withColumn("score", F.col("score") * F.when(F.coalesce("is_current", F.lit(True)), boost).otherwise(1.0)).drop("is_current")
 
 
-def score_fusion(legs: dict[str, DataFrame]) -> DataFrame:
-    """(qid, doc_id, score): scores scaled to 0..1 within each leg's list of a query, summed; a list of one scores 0."""
-    all_legs = None
-    for leg in legs.values():
-        w = Window.partitionBy("qid")
-        lo, hi = F.min("score").over(w), F.max("score").over(w)
-        x = leg.select("qid", "doc_id", ((F.col("score") - lo) / F.when(hi - lo == 0, 1.0).otherwise(hi - lo)).alias("part"))
-        all_legs = x if all_legs is None else all_legs.unionByName(x)
-    return all_legs.groupBy("qid", "doc_id").agg(F.sum("part").alias("score"))
+def score_fusion(legs: DataFrame) -> DataFrame:
+    """(qid, doc_id, score) from stacked legs: scores scaled to 0..1 within each leg's list of a query, summed; a list of one scores 0."""
+    w = Window.partitionBy("leg", "qid")
+    lo, hi = F.min("score").over(w), F.max("score").over(w)
+    parts = legs.select("qid", "doc_id", ((F.col("score") - lo) / F.when(hi - lo == 0, 1.0).otherwise(hi - lo)).alias("part"))
+    return parts.groupBy("qid", "doc_id").agg(F.sum("part").alias("score"))
 
 
 def rerank_score(query: Column, passage: Column, title: Column) -> Column:
@@ -119,13 +125,33 @@ def diversify(ranked: DataFrame, key: str, per_key: int = 3, limit: int = 10) ->
     return kept.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("rank")).cast("long")).where(F.col("pos") <= limit).drop("nth")
 
 
+def pack_context(rows: DataFrame, context: str, order: list[str], size: str, budget: int, per: int = 2, salts: int = 64) -> DataFrame:
+    """(context, columns of `order`, pos, cum): the leading rows of each context whose sizes, with `per` more for each, fit the
+    budget, up to the first that doesn't. A row of a context can only be among them if it fits among those of its own salt, so
+    parts are cut first, and what is left of a context is at most budget / per rows for each salt."""
+    rows = rows.select(context, *order, *([size] if size not in order else []), F.pmod(F.xxhash64(*order), F.lit(salts)).alias("salt"))
+    cum = F.sum(F.col(size) + per)
+    part = Window.partitionBy(context, "salt").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(context).orderBy(*order)
+    few = rows.withColumn("cum", cum.over(part)).where(F.col("cum") <= budget).drop("cum", "salt")
+    done = few.select("*", F.row_number().over(whole).cast("long").alias("pos"), cum.over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cum"))
+    return done.where(F.col("cum") <= budget).select(context, *[c for c in order if c != size], "pos", "cum")
+
+
 def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(qid, doc_id) where a document's text holds an item's text. Joined on the item's longest inner word, then compared, so no
-    pair is formed that shares no such word; items without an inner word are compared with all documents by broadcast."""
+    """(qid, doc_id) where a document's text holds an item's text. Only (document, word) rows are joined, on the item's longest
+    inner word; texts are fetched for the few documents that have it. Items without an inner word, and so of two words at most,
+    are looked for in all documents, in blocks of a checked number."""
     w = F.slice(X.words(F.col("q_text")), 2, F.greatest(F.size(X.words(F.col("q_text"))) - 2, F.lit(0)))
     longest = F.element_at(F.array_sort(F.transform(w, lambda x: F.struct(F.length(x).alias("n"), x.alias("w")))), -1)["w"]
-    keyed = items.withColumn("key", F.when(F.size(w) > 0, longest))
-    at = docs.select("doc_id", "text", F.explode(F.array_distinct(X.words(F.col("text")))).alias("key"))
-    hit = at.join(keyed.where("key is not null"), "key").where(F.contains("text", "q_text")).select("qid", "doc_id")
-    short = docs.join(F.broadcast(keyed.where("key is null")), F.contains("text", "q_text")).select("qid", "doc_id")
-    return hit.union(short)
+    keyed = items.select("qid", "q_text", F.when(F.size(w) > 0, longest).alias("key"))
+    by_key = keyed.where("key is not null")
+    small = lambda df, most: F.broadcast(df) if df.count() <= most else df
+    at = docs.select("doc_id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("key")).join(small(by_key.select("key", "qid"), ITEM_BLOCK), "key")
+    near = at.select("doc_id", "qid").join(small(by_key.select("qid", "q_text"), QUERY_BLOCK), "qid")
+    hit = docs.select("doc_id", "text").join(near, "doc_id").where(F.contains("text", "q_text")).select("qid", "doc_id")
+    short = keyed.where("key is null and q_text is not null").select("qid", "q_text")
+    for i in range(blocks := math.ceil(short.count() / QUERY_BLOCK)):
+        part = F.broadcast(short.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i))
+        hit = hit.union(docs.join(part, F.contains("text", "q_text")).select("qid", "doc_id"))
+    return hit

@@ -7,13 +7,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import answers as A
+from ..operators import evaluate as E
+from ..operators import index as I
 from ..operators import retrieval as R
 from .standards import table
 
 QUERIES, SQL = {}, {}
 FIELDS = {"source": 3.0, "lang": 2.0}
-
-TOK = f"""tok AS MATERIALIZED (SELECT d.doc_id, d.lang, d.source, d.text, {X.tokenize_sql('d.text')} AS t, coalesce(quality, 1) = 1 AS is_current FROM documents d LEFT JOIN labels l USING (doc_id)), qs AS MATERIALIZED (SELECT item_id AS qid, text AS q_text, {X.tokenize_sql('text')} AS t FROM benchmark)"""
+#: What a vector must score to be a result; the share of a query's keywords, by idf, that some result must have.
+DENSE_FLOOR, COVERAGE_FLOOR = 0.2, 0.2
+#: The legs and how they are joined, whether results are reranked: configurations that are compared.
+CONFIGS = {
+    "tfidf_only": (["tfidf"], "rrf", False),
+    "bm25_only": (["bm25"], "rrf", False),
+    "dense_only": (["dense"], "rrf", False),
+    "bm25_dense": (["bm25", "dense"], "score", False),
+    "bm25_dense_rrf": (["bm25", "dense"], "rrf", False),
+    "bm25_dense_rrf_rerank": (["bm25", "dense"], "rrf", True),
+}
+
+# queries that nothing in the corpus answers: of no known word, or of a few
+QUESTION = "CASE item_id % 16 WHEN 7 THEN md5(text) WHEN 15 THEN left(text, 12) || ' ' || md5(text) ELSE text END"
+TOK = f"""tok AS MATERIALIZED (SELECT d.doc_id, d.lang, d.source, d.text, {X.tokenize_sql('d.text')} AS t, coalesce(quality, 1) = 1 AS is_current FROM documents d LEFT JOIN labels l USING (doc_id)), qs AS MATERIALIZED (SELECT qid, q_text, {X.tokenize_sql('q_text')} AS t FROM (SELECT item_id AS qid, {QUESTION} AS q_text FROM benchmark))"""
 BM = TOK + """, sizes AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok), qt AS (SELECT qid, term, count(*) AS qn FROM (SELECT qid, unnest(t) AS term FROM qs) GROUP BY ALL),
 post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) WHERE term IN (SELECT term FROM qt) GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 bm AS MATERIALIZED (SELECT qid, doc_id, sum(qn * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avgdl)) * CASE WHEN list_contains(regexp_split_to_array(lower(source), '[^a-z0-9]+'), term) THEN 3.0 ELSE 1.0 END * CASE WHEN list_contains(regexp_split_to_array(lower(lang), '[^a-z0-9]+'), term) THEN 2.0 ELSE 1.0 END) AS score
@@ -25,16 +41,41 @@ idf AS MATERIALIZED (SELECT f, ln((1 + (SELECT count(*) FROM tok)) / (1 + count(
 dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM dw GROUP BY 1), qn2 AS (SELECT qid, sqrt(sum(w * w)) AS n FROM qw GROUP BY 1), dp AS (SELECT qid, doc_id, sum(a.w * b.w) AS dot FROM dw a JOIN qw b USING (f) GROUP BY ALL),
 tfs AS (SELECT qid, doc_id, dot / (dn.n * qn2.n) AS score FROM dp JOIN dn USING (doc_id) JOIN qn2 USING (qid) WHERE round(dot / (dn.n * qn2.n), 6) > 0.05),
 tfr AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank FROM tfs) WHERE rank <= 50)"""
-RRF = TF + """, lg AS (SELECT qid, doc_id, 'bm25' AS leg, 1.0::DOUBLE / (60 + rank) AS part FROM bmr UNION ALL SELECT qid, doc_id, 'tfidf', 1.0::DOUBLE / (60 + rank) FROM tfr),
-fu AS MATERIALIZED (SELECT qid, doc_id, sum(part) * CASE WHEN any_value(is_current) THEN 1.15::DOUBLE ELSE 1.0 END AS score, array_to_string(list_sort(list(leg)), '+') AS legs FROM lg JOIN tok USING (doc_id) GROUP BY ALL),
-fr AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank FROM fu) WHERE rank <= 50)"""
-RER = RRF + """, rq AS (SELECT qid, list_distinct(list_filter(t, lambda x: length(x) > 2)) AS q FROM qs), re AS MATERIALIZED (SELECT fr.*, source, lang, is_current, CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, list_distinct(list_concat(t, [lang])))) / len(q) +
-  CASE WHEN len(list_filter(list_intersect(q, t), lambda x: regexp_matches(x, '^is[0-9]+(\\.[0-9]+)?$'))) > 0 THEN 2.5 ELSE 0 END + 1.5 * len(list_intersect(q, [lang])) / len(q) END AS rerank FROM fr JOIN tok USING (doc_id) JOIN rq USING (qid)),
-rr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank > 30, CASE WHEN rank <= 30 THEN round(rerank, 6) END DESC, rank) AS new_rank FROM re)"""
+COVER = TF + f""", wt AS (SELECT qid, term, ln(1 + ((SELECT n FROM sizes) - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf FROM (SELECT DISTINCT qid, term FROM (SELECT qid, unnest(t) AS term FROM qs) WHERE length(term) >= 3) LEFT JOIN dfs USING (term)),
+tt AS (SELECT qid, sum(idf) AS total FROM wt GROUP BY 1), hits AS (SELECT c.qid, c.doc_id, sum(idf) AS hit FROM (SELECT qid, doc_id FROM bmr UNION SELECT qid, doc_id FROM tfr) c JOIN wt USING (qid) JOIN post ON post.doc_id = c.doc_id AND post.term = wt.term GROUP BY ALL),
+cov AS MATERIALIZED (SELECT qid, coalesce((SELECT max(hit) FROM hits WHERE hits.qid = qs.qid) / (SELECT total FROM tt WHERE tt.qid = qs.qid), 0) AS coverage, qid IN (SELECT qid FROM bmr UNION SELECT qid FROM tfr) AS lexical FROM qs),
+dcl AS MATERIALIZED (SELECT qid, lexical, coverage, NOT lexical OR round(coverage, 6) < {COVERAGE_FLOOR} AS declined FROM cov)"""
+LEGS = COVER + f""", qv AS (SELECT b.item_id AS qid, CAST(e.embedding AS DOUBLE[]) AS q FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id), dns AS (SELECT qid, vec_id AS doc_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS score FROM embeddings JOIN tok ON tok.doc_id = vec_id AND is_current JOIN qv ON vec_id <> qid),
+dnr AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank FROM dns WHERE round(score, 6) >= {DENSE_FLOOR}) WHERE rank <= 50),
+lgs AS MATERIALIZED (SELECT a.* FROM (SELECT 'bm25' AS leg, qid, doc_id, score, rank FROM bmr UNION ALL SELECT 'tfidf', qid, doc_id, score, rank FROM tfr UNION ALL SELECT 'dense', qid, doc_id, score, rank FROM dnr) a WHERE qid IN (SELECT qid FROM dcl WHERE NOT declined))"""
+
+
+def fuse_sql(name: str, legs: list[str]) -> str:
+    """The best 50 of some legs by reciprocal ranks."""
+    return f""", {name}0 AS (SELECT qid, doc_id, sum(1.0::DOUBLE / (60 + rank)) * CASE WHEN any_value(is_current) THEN 1.15::DOUBLE ELSE 1.0 END AS score, array_to_string(list_sort(list(leg)), '+') AS legs FROM lgs JOIN tok USING (doc_id) WHERE leg IN ({', '.join(f"'{x}'" for x in legs)}) GROUP BY qid, doc_id),
+{name} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank FROM {name}0) WHERE rank <= 50)"""
+
+
+def scale_sql(name: str, legs: list[str], where: str = "lgs") -> str:
+    """The same by scaled scores."""
+    return f""", {name}0 AS (SELECT qid, doc_id, (score - min(score) OVER w) / CASE WHEN max(score) OVER w - min(score) OVER w = 0 THEN 1 ELSE max(score) OVER w - min(score) OVER w END AS part FROM {where} WHERE leg IN ({', '.join(f"'{x}'" for x in legs)}) WINDOW w AS (PARTITION BY leg, qid)),
+{name} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank FROM (SELECT qid, doc_id, sum(part) AS score FROM {name}0 GROUP BY ALL)) WHERE rank <= 50)"""
+
+
+def rerank_sql(name: str, of: str) -> str:
+    return f""", {name}0 AS MATERIALIZED (SELECT x.*, source, lang, is_current, CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, list_distinct(list_concat(t, [lang])))) / len(q) +
+  CASE WHEN len(list_filter(list_intersect(q, t), lambda x: regexp_matches(x, '^is[0-9]+(\\.[0-9]+)?$'))) > 0 THEN 2.5 ELSE 0 END + 1.5 * len(list_intersect(q, [lang])) / len(q) END AS rerank FROM {of} x JOIN tok USING (doc_id) JOIN (SELECT qid, list_distinct(list_filter(t, lambda x: length(x) > 2)) AS q FROM qs) rq USING (qid)),
+{name} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank > 30, CASE WHEN rank <= 30 THEN round(rerank, 6) END DESC, rank) AS new_rank FROM {name}0)"""
+
+
+RRF = LEGS + fuse_sql("fr", ["bm25", "tfidf", "dense"])
+RER = RRF + rerank_sql("rr", "fr")
 DIV = RER + """, dv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY new_rank) AS nth FROM rr) WHERE nth <= 3), hy AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY new_rank) AS pos FROM dv) WHERE pos <= 10)"""
-TRUTH = "tr AS MATERIALIZED (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
-CASES = DIV + f""", {TRUTH}, cs AS MATERIALIZED (SELECT b.item_id AS qid, len(b.text) AS n, CASE WHEN len(b.text) < 200 THEN 'easy' WHEN len(b.text) < 300 THEN 'medium' ELSE 'hard' END AS difficulty, (SELECT count(*) FROM tr WHERE tr.qid = b.item_id) > 0 AS answerable,
-  (SELECT min(pos) FROM hy JOIN tr ON tr.qid = hy.qid AND tr.doc_id = hy.doc_id WHERE hy.qid = b.item_id) AS rank, (SELECT max(score) FROM hy WHERE hy.qid = b.item_id) AS top_score FROM benchmark b)"""
+TRUTH = "tr AS MATERIALIZED (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE item_id % 8 <> 7)"
+CASES = DIV + f""", {TRUTH}, byk AS (SELECT qid, source, min(pos) FILTER (WHERE is_current) AS c, min(pos) FILTER (WHERE NOT is_current) AS s FROM hy WHERE pos <= 5 GROUP BY ALL), sup AS (SELECT qid, bool_or(coalesce(s < c, false)) AS ahead, bool_or(s IS NOT NULL) AS shown FROM byk GROUP BY qid),
+cs AS MATERIALIZED (SELECT b.item_id AS qid, b.item_id % 8 = 7 AS rejection, CASE WHEN len(b.text) < 200 THEN 'easy' WHEN len(b.text) < 300 THEN 'medium' ELSE 'hard' END AS difficulty, ['civil', 'food', 'textiles'][b.item_id % 3 + 1] AS sector, [CASE WHEN b.item_id % 2 = 0 THEN 'even' ELSE 'odd' END, CASE WHEN len(b.text) < 250 THEN 'short' ELSE 'long' END] AS tags,
+  'IS ' || (b.item_id // 4 + 1) AS wanted, (SELECT count(*) FROM tr WHERE tr.qid = b.item_id) > 0 AS answerable, (SELECT min(pos) FROM hy JOIN tr ON tr.qid = hy.qid AND tr.doc_id = hy.doc_id WHERE hy.qid = b.item_id) AS rank, (SELECT max(score) FROM hy WHERE hy.qid = b.item_id) AS top_score, dcl.declined, coalesce(ahead, false) AS ahead, coalesce(shown, false) AS shown
+  FROM benchmark b JOIN dcl ON dcl.qid = b.item_id LEFT JOIN sup ON sup.qid = b.item_id)"""
 
 
 def query(sql: str | None = None):
@@ -47,27 +88,61 @@ def query(sql: str | None = None):
     return put
 
 
-def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return d.select("doc_id", "lang", "source", "text", X.tokenize(F.col("text")).alias("tokens"), (F.coalesce("quality", F.lit(1)) == 1).alias("is_current"))
+def index(spark: SparkSession, sf: str) -> I.Index:
+    """The corpus tokenised and weighed, once for the application."""
+
+    def make() -> I.Index:
+        d = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+        return I.build(d.select("doc_id", "lang", "source", X.tokenize(F.col("text")).alias("tokens"), (F.coalesce("quality", F.lit(1)) == 1).alias("is_current")), FIELDS)
+
+    return I.opened((spark.sparkContext.applicationId, sf, I.state(spark, f"{sf}/documents.parquet")), make)
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("q_text"), X.tokenize(F.col("text")).alias("tokens"))
+    n = F.col("item_id") % 16
+    q = F.when(n == 7, F.md5(F.col("text").cast("binary"))).when(n == 15, F.concat(F.left("text", F.lit(12)), F.lit(" "), F.md5(F.col("text").cast("binary")))).otherwise(F.col("text"))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), q.alias("q_text")).withColumn("tokens", X.tokenize(F.col("q_text")))
+
+
+def lexical(spark, sf) -> DataFrame:
+    """(leg, qid, doc_id, score, rank, coverage) of the two term legs, 50 of each; both scores come from one probe of the index."""
+    p = index(spark, sf).probe(questions(spark, sf))
+    each = p.select("qid", "doc_id", "coverage", F.explode(F.array(F.struct(F.lit("bm25").alias("leg"), F.col("bm25").alias("score")), F.struct(F.lit("tfidf").alias("leg"), F.col("tfidf").alias("score")))).alias("x"))
+    each = each.select("x.leg", "qid", "doc_id", "x.score", "coverage").where(F.col("score").isNotNull() & ((F.col("leg") == "bm25") | (F.round("score", 6) > 0.05)))
+    w = Window.partitionBy("leg", "qid").orderBy(F.round("score", 6).desc(), "doc_id")
+    return each.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 50")
+
+
+def declines(spark, sf, lex: DataFrame) -> DataFrame:
+    """(qid, lexical, coverage, declined): a query is declined if no term of it is found, or too small a part of its keywords."""
+    best = lex.groupBy("qid").agg(F.max("coverage").alias("coverage"))
+    d = questions(spark, sf).select("qid").join(best, "qid", "left").select("qid", F.col("coverage").isNotNull().alias("lexical"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+    return d.withColumn("declined", ~F.col("lexical") | (F.round("coverage", 6) < COVERAGE_FLOOR))
 
 
-def legs(spark, sf) -> dict[str, DataFrame]:
-    c, q = corpus(spark, sf), questions(spark, sf)
-    return {"bm25": R.top(R.bm25(c, q, FIELDS), 50), "tfidf": R.top(R.tfidf(c, q), 50)}
+def vector_leg(spark, sf) -> DataFrame:
+    """Current documents by the stored vectors, above the floor; a query's own vector is that with its id."""
+    e = table(spark, sf, "embeddings")
+    vectors = e.join(index(spark, sf).docs.select(F.col("doc_id").alias("vec_id"), "is_current"), "vec_id")
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid")).join(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), "qid")
+    return R.dense(vectors, q, 50, F.col("is_current"), DENSE_FLOOR).withColumnRenamed("vec_id", "doc_id")
+
+
+def legs(spark, sf) -> DataFrame:
+    """The stacked legs of all queries that aren't declined."""
+    lex = lexical(spark, sf)
+    every = R.stacked({"dense": vector_leg(spark, sf)}).unionByName(lex.drop("coverage"))
+    return every.join(F.broadcast(declines(spark, sf, lex).where("not declined").select("qid")), "qid")  # a row per query, as its features are
 
 
-def fused(spark, sf) -> DataFrame:
-    return R.top(R.rrf(legs(spark, sf), corpus(spark, sf).select("doc_id", "is_current")), 50)
+def fused(spark, sf, of: DataFrame | None = None) -> DataFrame:
+    return R.top(R.rrf(legs(spark, sf) if of is None else of, index(spark, sf).docs.select("doc_id", "is_current")), 50)
 
 
-def reranked(spark, sf) -> DataFrame:
-    c, q = corpus(spark, sf), questions(spark, sf)
-    both = fused(spark, sf).join(c.select("doc_id", "source", "lang", "is_current", F.array_distinct("tokens").alias("p")), "doc_id").join(q.select("qid", F.col("tokens").alias("q")), "qid")
+def reranked(spark, sf, of: DataFrame | None = None) -> DataFrame:
+    c, q = index(spark, sf).docs, questions(spark, sf)
+    ranked = fused(spark, sf) if of is None else of
+    both = ranked.join(c.select("doc_id", "source", "lang", "is_current", F.array_distinct("tokens").alias("p")), "doc_id").join(q.select("qid", F.col("tokens").alias("q")), "qid")
     return R.rerank(both.withColumn("rerank", R.rerank_score(F.col("q"), F.col("p"), F.array("lang"))).drop("p", "q"))
 
 
@@ -75,15 +150,34 @@ def hybrid(spark, sf) -> DataFrame:
     return R.diversify(reranked(spark, sf).withColumn("rank", F.col("new_rank")), "source")
 
 
+def truths(spark, sf) -> DataFrame:
+    """(qid, doc_id): the documents that answer a query, once for the application."""
+    b = table(spark, sf, "benchmark").where("item_id % 8 <> 7").select(F.col("item_id").alias("qid"), F.col("text").alias("q_text"))
+    return R.containment(table(spark, sf, "documents").select("doc_id", "text"), b)
+
+
 def cases(spark, sf) -> DataFrame:
-    """One row per query: length class, whether any document answers it, the first correct place, the best score."""
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("q_text"))
-    truth = R.containment(table(spark, sf, "documents").select("doc_id", "text"), b).withColumn("true", F.lit(True))
-    h = hybrid(spark, sf).select("qid", "doc_id", "pos", "score").join(truth, ["qid", "doc_id"], "left")
-    best = h.groupBy("qid").agg(F.min(F.when(F.col("true"), F.col("pos"))).alias("rank"), F.max("score").alias("top_score"))
+    """One row per case: its classes, whether any document answers it, the first correct place, the best score, whether the query
+    was declined, and whether withdrawn rows are ahead of current ones of their source, or there at all, among the first five."""
+    b = table(spark, sf, "benchmark")
+    truth = truths(spark, sf).withColumn("true", F.lit(True))
+    h = hybrid(spark, sf).select("qid", "doc_id", "pos", "score", "source", "is_current").join(truth, ["qid", "doc_id"], "left")
+    five = F.col("pos") <= 5
+    by_key = h.groupBy("qid", "source").agg(
+        F.min(F.when(F.col("true"), F.col("pos"))).alias("rank"), F.max("score").alias("top_score"),
+        F.min(F.when(five & F.col("is_current"), F.col("pos"))).alias("c"), F.min(F.when(five & ~F.col("is_current"), F.col("pos"))).alias("s"),
+    )
+    best = by_key.groupBy("qid").agg(F.min("rank").alias("rank"), F.max("top_score").alias("top_score"), F.bool_or(F.coalesce(F.col("s") < F.col("c"), F.lit(False))).alias("ahead"), F.bool_or(F.col("s").isNotNull()).alias("shown"))
     any_ = truth.groupBy("qid").agg(F.lit(True).alias("answerable"))
-    n = F.length("q_text")
-    return b.select("qid", F.when(n < 200, "easy").when(n < 300, "medium").otherwise("hard").alias("difficulty")).join(any_, "qid", "left").join(best, "qid", "left").withColumn("answerable", F.coalesce("answerable", F.lit(False)))
+    n, i = F.length("text"), F.col("item_id")
+    own = b.select(
+        i.alias("qid"), (i % 8 == 7).alias("rejection"), F.when(n < 200, "easy").when(n < 300, "medium").otherwise("hard").alias("difficulty"),
+        F.get(F.array(F.lit("civil"), F.lit("food"), F.lit("textiles")), (i % 3).cast("int")).alias("sector"), F.array(F.when(i % 2 == 0, "even").otherwise("odd"), F.when(n < 250, "short").otherwise("long")).alias("tags"),
+        F.concat(F.lit("IS "), (F.floor(i / 4) + 1).cast("long").cast("string")).alias("wanted"),
+    )
+    d = declines(spark, sf, lexical(spark, sf)).select("qid", "declined")
+    false = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return own.join(any_, "qid", "left").join(best, "qid", "left").join(d, "qid").select("qid", "rejection", "difficulty", "sector", "tags", "wanted", false("answerable"), "rank", "top_score", "declined", false("ahead"), false("shown"))
 
 
 r6 = lambda c: F.round(c, 6).alias(c)
@@ -91,30 +185,28 @@ r6 = lambda c: F.round(c, 6).alias(c)
 
 @query(f"WITH {TOK} SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_terms, md5(array_to_string(t, ' ')) AS tokens_md5 FROM tok")
 def token_stats(spark, sf):
-    return corpus(spark, sf).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.size(F.array_distinct("tokens")).cast("long").alias("n_terms"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("tokens_md5"))
+    return index(spark, sf).docs.select("doc_id", F.col("dl").cast("long").alias("n_tokens"), F.size(F.array_distinct("tokens")).cast("long").alias("n_terms"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("tokens_md5"))
 
 
 @query(f"WITH {TOK}, v AS (SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(t)) AS term FROM tok) GROUP BY term) SELECT term, df, round(ln(1 + ((SELECT count(*) FROM tok) - df + 0.5) / (df + 0.5)), 6) AS idf FROM v")
 def vocab_idf(spark, sf):
-    c = corpus(spark, sf)
-    n = F.broadcast(c.agg(F.count("*").alias("n")))  # one row
-    v = c.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(n)
-    return v.select("term", "df", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
+    return index(spark, sf).vocab.where("one").select(F.col("f").alias("term"), "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {BM} SELECT qid, doc_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 10")
 def bm25_topk(spark, sf):
-    return R.top(R.bm25(corpus(spark, sf), questions(spark, sf), FIELDS), 10).select("qid", "doc_id", r6("score"), "rank")
+    return lexical(spark, sf).where("leg = 'bm25' and rank <= 10").select("qid", "doc_id", r6("score"), "rank")
 
 
 @query(f"WITH {BM} SELECT qid, count(*) AS n_docs, round(sum(score), 3) AS total, round(max(score), 6) AS best FROM bm GROUP BY qid")
 def term_score_sum(spark, sf):
-    return R.bm25(corpus(spark, sf), questions(spark, sf), FIELDS).groupBy("qid").agg(F.count("*").alias("n_docs"), F.round(F.sum("score"), 3).alias("total"), F.round(F.max("score"), 6).alias("best"))
+    p = index(spark, sf).probe(questions(spark, sf)).where("bm25 is not null")
+    return p.groupBy("qid").agg(F.count("*").alias("n_docs"), F.round(F.sum("bm25"), 3).alias("total"), F.round(F.max("bm25"), 6).alias("best"))
 
 
 @query(f"WITH {TF} SELECT qid, doc_id, round(score, 6) AS score, rank FROM tfr WHERE rank <= 10")
 def tfidf_topk(spark, sf):
-    return R.top(R.tfidf(corpus(spark, sf), questions(spark, sf)), 10).select("qid", "doc_id", r6("score"), "rank")
+    return lexical(spark, sf).where("leg = 'tfidf' and rank <= 10").select("qid", "doc_id", r6("score"), "rank")
 
 
 @query(f"WITH {RRF} SELECT qid, doc_id, round(score, 6) AS score, legs, rank FROM fr")
@@ -122,11 +214,9 @@ def rrf_fusion(spark, sf):
     return fused(spark, sf).select("qid", "doc_id", r6("score"), "legs", "rank")
 
 
-@query(f"""WITH {TF}, nl AS (SELECT qid, doc_id, (score - min(score) OVER w) / CASE WHEN max(score) OVER w - min(score) OVER w = 0 THEN 1 ELSE max(score) OVER w - min(score) OVER w END AS part FROM bmr WINDOW w AS (PARTITION BY qid) UNION ALL
-SELECT qid, doc_id, (score - min(score) OVER w) / CASE WHEN max(score) OVER w - min(score) OVER w = 0 THEN 1 ELSE max(score) OVER w - min(score) OVER w END FROM tfr WINDOW w AS (PARTITION BY qid)), s AS (SELECT qid, doc_id, sum(part) AS score FROM nl GROUP BY ALL)
-SELECT qid, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
+@query(f"WITH {LEGS}{scale_sql('sf', ['bm25', 'tfidf'])} SELECT qid, doc_id, round(score, 6) AS score, rank FROM sf WHERE rank <= 10")
 def score_fusion(spark, sf):
-    return R.top(R.score_fusion(legs(spark, sf)), 10).select("qid", "doc_id", r6("score"), "rank")
+    return R.top(R.score_fusion(legs(spark, sf).where("leg <> 'dense'")), 10).select("qid", "doc_id", r6("score"), "rank")
 
 
 @query(f"WITH {RER} SELECT qid, doc_id, rank, round(rerank, 6) AS rerank, new_rank FROM rr")
@@ -146,24 +236,28 @@ def hybrid_search(spark, sf):
 
 @query(f"WITH {BM} SELECT qid, doc_id, round(greatest(0, least(1, score / max(score) OVER (PARTITION BY qid))), 6) AS strength FROM bmr WHERE rank <= 10")
 def match_strength(spark, sf):
-    t = R.top(R.bm25(corpus(spark, sf), questions(spark, sf), FIELDS), 10)
+    t = lexical(spark, sf).where("leg = 'bm25' and rank <= 10")
     return t.select("qid", "doc_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") / F.max("score").over(Window.partitionBy("qid")))), 6).alias("strength"))
 
 
-@query(f"""WITH {DIV}, kw AS (SELECT DISTINCT qid, term FROM (SELECT qid, unnest(t) AS term FROM qs) WHERE length(term) >= 3), wt AS (SELECT qid, term, ln(1 + ((SELECT n FROM sizes) - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf FROM kw LEFT JOIN dfs USING (term)),
-tt AS (SELECT qid, sum(idf) AS total FROM wt GROUP BY 1), hits AS (SELECT hy.qid, hy.doc_id, sum(idf) AS hit FROM hy JOIN wt USING (qid) JOIN tok ON tok.doc_id = hy.doc_id WHERE list_contains(tok.t, wt.term) GROUP BY ALL)
-SELECT qid, round(coalesce((SELECT max(hit) FROM hits WHERE hits.qid = tt.qid), 0) / total, 6) AS coverage FROM tt""")
+@query(f"WITH {COVER} SELECT qid, round(coverage, 6) AS coverage FROM cov")
 def query_coverage(spark, sf):
-    """The largest idf-weighted share of a query's keywords in one of its results."""
-    c, q = corpus(spark, sf), questions(spark, sf)
-    kw = q.select("qid", F.explode(F.array_distinct("tokens")).alias("term")).where(F.length("term") >= 3)
-    df = c.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).join(kw.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    n = F.broadcast(c.agg(F.count("*").alias("n")))
-    d = F.coalesce("df", F.lit(0))
-    wt = kw.join(df, "term", "left").join(n).select("qid", "term", F.log(1 + (F.col("n") - d + 0.5) / (d + 0.5)).alias("idf"))
-    held = hybrid(spark, sf).select("qid", "doc_id").join(c.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")), "doc_id")
-    hit = held.join(wt, ["qid", "term"]).groupBy("qid", "doc_id").agg(F.sum("idf").alias("hit")).groupBy("qid").agg(F.max("hit").alias("hit"))
-    return wt.groupBy("qid").agg(F.sum("idf").alias("total")).join(hit, "qid", "left").select("qid", F.round(F.coalesce("hit", F.lit(0.0)) / F.col("total"), 6).alias("coverage"))
+    """The largest idf-weighted share of a query's keywords in one of the documents that its terms find."""
+    return declines(spark, sf, lexical(spark, sf)).select("qid", F.round("coverage", 6).alias("coverage"))
+
+
+@query(f"WITH {COVER} SELECT qid, lexical, round(coverage, 6) AS coverage, declined, CASE WHEN NOT lexical THEN 'no term of the query occurs' WHEN declined THEN 'too few keywords of the query occur' ELSE '' END AS note FROM dcl")
+def decline(spark, sf):
+    """Which queries get no answer, and why."""
+    d = declines(spark, sf, lexical(spark, sf))
+    note = F.when(~F.col("lexical"), "no term of the query occurs").when(F.col("declined"), "too few keywords of the query occur").otherwise("")
+    return d.select("qid", "lexical", F.round("coverage", 6).alias("coverage"), "declined", note.alias("note"))
+
+
+@query(f"WITH {LEGS} SELECT leg, qid, doc_id, round(score, 6) AS score, rank FROM lgs WHERE leg = 'dense'")
+def dense_leg(spark, sf):
+    """The vector leg of the hybrid search: current documents only, before ranking, above a floor."""
+    return legs(spark, sf).where("leg = 'dense'").select("leg", "qid", "doc_id", r6("score"), "rank")
 
 
 @query("WITH q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT qid, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS score FROM embeddings JOIN q ON vec_id <> qid) SELECT qid, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, vec_id) AS rank FROM s) WHERE rank <= 10")
@@ -194,22 +288,21 @@ CH = """w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), la
 
 @query(f"WITH {CH} SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, length(chunk) AS n, md5(chunk) AS chunk_md5 FROM ch WHERE length(chunk) >= 40")
 def chunk_windows(spark, sf):
-    c = table(spark, sf, "documents").select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("chunk_index", "chunk"))
+    w = table(spark, sf, "documents").select("doc_id", X.words(F.col("text")).alias("w"))
+    c = w.select("doc_id", F.posexplode(X.chunks(F.col("w"))).alias("chunk_index", "chunk"))
     return c.where(F.length("chunk") >= 40).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.length("chunk").cast("long").alias("n"), F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
 @query(f"WITH {TOK} SELECT bigram, count(*) AS n FROM (SELECT t[i] || '_' || t[i + 1] AS bigram FROM tok, unnest(range(1, len(t))) AS u(i)) GROUP BY bigram ORDER BY n DESC, bigram LIMIT 100")
 def bigram_counts(spark, sf):
-    b = corpus(spark, sf).select(F.explode(X.bigrams(F.col("tokens"))).alias("bigram"))
+    b = index(spark, sf).docs.select(F.explode(X.bigrams(F.col("tokens"))).alias("bigram"))
     return b.groupBy("bigram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bigram").limit(100)
 
 
 @query("WITH r AS (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS pos FROM documents), c AS (SELECT *, sum(n_chars + 2) OVER (PARTITION BY lang ORDER BY pos) AS cum FROM r) SELECT lang, doc_id, pos, CAST(cum AS BIGINT) AS cum FROM c WHERE cum <= 6000")
 def context_pack(spark, sf):
     """The leading documents of each context that fit the character budget, up to the first that doesn't."""
-    w = Window.partitionBy("lang").orderBy("n_chars", "doc_id")
-    d = table(spark, sf, "documents").select("lang", "doc_id", "n_chars", F.row_number().over(w).cast("long").alias("pos"))
-    return d.withColumn("cum", F.sum(F.col("n_chars") + 2).over(Window.partitionBy("lang").orderBy("pos"))).where("cum <= 6000").select("lang", "doc_id", "pos", "cum")
+    return R.pack_context(table(spark, sf, "documents").select("lang", "doc_id", "n_chars"), "lang", ["n_chars", "doc_id"], "n_chars", 6000)
 
 
 EMB = """SELECT d.doc_id, 'IS Code: ' || source || chr(10) || 'Division: ' || lang || chr(10) || CASE WHEN quality IS NOT NULL THEN 'Year: ' || (2000 + quality) || chr(10) ELSE '' END || 'Status: ' || CASE WHEN coalesce(quality, 1) = 1 THEN 'current' ELSE 'superseded' END || chr(10) || 'Content: ' || text AS x FROM documents d LEFT JOIN labels USING (doc_id)"""
@@ -246,27 +339,68 @@ def hash_embed_topk(spark, sf):
 
 
 # ------------------------------------------------------------------ evaluation
-@query(f"""WITH {CASES}, g AS (SELECT 'all' AS grp, * FROM cs UNION ALL SELECT difficulty, * FROM cs) SELECT grp, count(*) AS n, count(*) FILTER (WHERE answerable) AS covered, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS hit1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS hit5,
+@query(f"""WITH {CASES}, g AS (SELECT unnest(list_concat(['all', 'difficulty:' || difficulty, 'sector:' || sector], list_transform(tags, lambda t: 'tag:' || t))) AS grp, * FROM cs WHERE NOT rejection) SELECT grp, count(*) AS n, count(*) FILTER (WHERE answerable) AS covered, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS hit1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS hit5,
 round(avg(CASE WHEN rank <= 5 THEN 1.0 / rank ELSE 0 END), 6) AS mrr5, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END) FILTER (WHERE answerable), 6) AS hit5_covered FROM g GROUP BY grp""")
 def retrieval_metrics(spark, sf):
-    c = cases(spark, sf)
-    g = c.select(F.explode(F.array(F.lit("all"), F.col("difficulty"))).alias("grp"), "answerable", "rank")
+    """Over all cases, and by difficulty, sector and each tag."""
+    c = cases(spark, sf).where("not rejection")
+    kinds = F.concat(F.array(F.lit("all"), F.concat(F.lit("difficulty:"), "difficulty"), F.concat(F.lit("sector:"), "sector")), F.transform("tags", lambda t: F.concat(F.lit("tag:"), t)))
+    g = c.select(F.explode(kinds).alias("grp"), "answerable", "rank")
     hit = lambda k: F.when(F.col("rank") <= k, 1.0).otherwise(0.0)
     mrr = F.when(F.col("rank") <= 5, 1.0 / F.col("rank")).otherwise(0.0)
     return g.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.col("answerable").cast("long")).alias("covered"), F.round(F.avg(hit(1)), 6).alias("hit1"), F.round(F.avg(hit(5)), 6).alias("hit5"), F.round(F.avg(mrr), 6).alias("mrr5"), F.round(F.avg(F.when(F.col("answerable"), hit(5))), 6).alias("hit5_covered"))
 
 
-@query(f"WITH {CASES} SELECT difficulty, count(*) AS n, array_to_string(list_sort(list(qid)), ',') AS wanting FROM cs WHERE NOT answerable GROUP BY difficulty")
+@query(f"WITH {CASES}, m AS (SELECT wanted, count(*) AS n, array_to_string(list_sort(list(qid)), ',') AS wanting FROM cs WHERE NOT answerable AND NOT rejection GROUP BY wanted) SELECT wanted, n, wanting, row_number() OVER (ORDER BY n DESC, wanted) AS place FROM m")
 def missing_standards(spark, sf):
-    return cases(spark, sf).where("not answerable").groupBy("difficulty").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("qid")).cast("array<string>"), ",").alias("wanting"))
+    """What is wanted and not held, with the cases that want it, the most wanted first."""
+    m = cases(spark, sf).where("not answerable and not rejection").groupBy("wanted").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("qid")).cast("array<string>"), ",").alias("wanting"))
+    return m.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "wanted")).cast("long"))  # a row per wanted name of the cases
 
 
-@query(f"""WITH {CASES}, f AS (SELECT qid, list_filter([CASE WHEN NOT answerable THEN 'not_in_corpus' END, CASE WHEN answerable AND rank IS NULL THEN 'miss' END, CASE WHEN rank > 5 THEN 'ranked_below_5' END, CASE WHEN NOT answerable AND top_score IS NOT NULL THEN 'out_of_scope_answered' END], lambda x: x IS NOT NULL) AS r FROM cs) SELECT qid, array_to_string(r, ',') AS reasons FROM f WHERE len(r) > 0""")
+@query(f"""WITH {CASES}, f AS (SELECT c.qid, list_filter([CASE WHEN trim(coalesce(b.text, '')) = '' THEN 'error' END, CASE WHEN rejection AND NOT declined THEN 'out_of_scope_answered' END, CASE WHEN NOT rejection AND rank IS NULL AND answerable THEN 'miss' END, CASE WHEN NOT rejection AND rank IS NULL AND NOT answerable THEN 'standard_not_in_corpus' END, CASE WHEN NOT rejection AND rank > 5 THEN 'ranked_below_5' END,
+CASE WHEN NOT rejection AND ahead THEN 'superseded_ranked_first' END, CASE WHEN NOT rejection AND shown THEN 'superseded_recommended' END, CASE WHEN NOT rejection AND answerable AND rank > 1 THEN 'edition_not_exact' END], lambda x: x IS NOT NULL) AS r FROM cs c JOIN benchmark b ON b.item_id = c.qid) SELECT qid, array_to_string(r, ',') AS reasons FROM f WHERE len(r) > 0""")
 def failure_reasons(spark, sf):
-    c = cases(spark, sf)
-    no = ~F.col("answerable")
-    r = F.concat_ws(",", F.when(no, "not_in_corpus"), F.when(F.col("answerable") & F.col("rank").isNull(), "miss"), F.when(F.col("rank") > 5, "ranked_below_5"), F.when(no & F.col("top_score").isNotNull(), "out_of_scope_answered"))
-    return c.select("qid", r.alias("reasons")).where("reasons <> ''")
+    """Every case worth a second look, with all that is wrong with it."""
+    c = cases(spark, sf).join(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), (F.trim(F.coalesce("text", F.lit(""))) == "").alias("blank")), "qid")
+    return c.select("qid", F.concat_ws(",", *E.failure_reasons()).alias("reasons")).where("reasons <> ''")
+
+
+@query(f"""WITH {CASES}, m AS (SELECT count(*) FILTER (WHERE rejection) AS n_rejections, count(*) FILTER (WHERE rejection AND declined) AS n_declined, coalesce(max(top_score) FILTER (WHERE rejection), 0) AS hi, coalesce(min(top_score) FILTER (WHERE NOT rejection AND answerable AND rank IS NOT NULL), 0) AS lo, count(*) FILTER (WHERE NOT rejection AND answerable) AS n_answerable FROM cs)
+SELECT n_rejections, n_declined, round(CASE WHEN n_rejections = 0 THEN 0 ELSE n_declined / n_rejections END, 6) AS rejection_accuracy, round(hi, 6) AS max_negative_score, round(lo, 6) AS min_positive_score, n_rejections > 0 AND n_answerable > 0 AND round(lo, 6) > round(hi, 6) AS scores_separate FROM m""")
+def rejection_metrics(spark, sf):
+    """How many out-of-scope queries are declined, and whether scores tell them from the others."""
+    return E.rejections(cases(spark, sf))
+
+
+@query(f"""WITH {CASES}, p AS (SELECT * FROM cs WHERE NOT rejection AND answerable) SELECT count(*) AS n, round(coalesce(avg(CASE WHEN ahead THEN 1.0 ELSE 0 END), 0), 6) AS superseded_violation_rate, round(coalesce(avg(CASE WHEN shown THEN 1.0 ELSE 0 END), 0), 6) AS superseded_exposure_rate, round(coalesce(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END), 0), 6) AS edition_exact_rate,
+(SELECT round(coalesce(avg(CASE WHEN hy.doc_id IS NULL THEN 1.0 ELSE 0 END), 0), 6) FROM (SELECT qid, doc_id FROM hy UNION ALL SELECT qid, doc_id + 1000000000 FROM hy WHERE qid % 4 = 0 AND pos = 1) c LEFT JOIN hy ON hy.qid = c.qid AND hy.doc_id = c.doc_id) AS invalid_citation_rate FROM p""")
+def answer_metrics(spark, sf):
+    """Withdrawn rows ahead or shown, exact first places, and citations of answers that no result supports."""
+    p = cases(spark, sf).where("answerable and not rejection")
+    rate = lambda c: F.round(F.coalesce(F.avg(F.coalesce(c, F.lit(False)).cast("double")), F.lit(0.0)), 6)
+    own = p.agg(F.count("*").alias("n"), rate(F.col("ahead")).alias("superseded_violation_rate"), rate(F.col("shown")).alias("superseded_exposure_rate"), rate(F.col("rank") == 1).alias("edition_exact_rate"))
+    cited = answers(spark, sf).select(F.explode("checked").alias("c"))
+    return own.join(F.broadcast(cited.agg(rate(~F.col("c.supported")).alias("invalid_citation_rate"))))  # one row each
+
+
+def invented(results: DataFrame) -> DataFrame:
+    """A generator that quotes its results and, every fourth time, cites what it never saw."""
+    a = A.extractive(results)
+    more = results.where("qid % 4 = 0 and pos = 1").select("qid", (F.col("doc_id") + 1_000_000_000).alias("extra"))
+    return a.join(more, "qid", "left").select("qid", "answer", F.when(F.col("extra").isNotNull(), F.concat("citations", F.array("extra"))).otherwise(F.col("citations")).alias("citations"))
+
+
+def answers(spark, sf) -> DataFrame:
+    return A.grounded(hybrid(spark, sf).select("qid", "doc_id", "source", "pos"), invented)
+
+
+@query(f"WITH {DIV}, c AS (SELECT qid, doc_id FROM hy UNION ALL SELECT qid, doc_id + 1000000000 FROM hy WHERE qid % 4 = 0 AND pos = 1), k AS (SELECT c.qid, c.doc_id, hy.doc_id IS NOT NULL AS ok FROM c LEFT JOIN hy ON hy.qid = c.qid AND hy.doc_id = c.doc_id) SELECT qid, count(*) AS n_cited, coalesce(array_to_string(list_sort(list(doc_id) FILTER (WHERE NOT ok)), ','), '') AS unsupported, bool_and(ok) AS grounded FROM k GROUP BY qid")
+def grounded_answer(spark, sf):
+    """Answers with each citation checked against what was retrieved."""
+    a = answers(spark, sf)
+    bad = F.transform(F.filter("checked", lambda c: ~c["supported"]), lambda c: c["cite"])
+    return a.select("qid", F.size("checked").cast("long").alias("n_cited"), F.array_join(F.array_sort(bad).cast("array<string>"), ",").alias("unsupported"), "grounded")
 
 
 @query(f"WITH {CASES} SELECT qid, difficulty, answerable, rank, round(top_score, 6) AS top_score, coalesce(rank = 1, false) AS exact FROM cs")
@@ -279,35 +413,32 @@ def golden_hits(spark, sf):
     return cases(spark, sf).select("qid", (~F.col("answerable") | F.col("rank").isNotNull()).alias("passed"))
 
 
-@query(f"""WITH {RRF}, {TRUTH}, l AS (SELECT 'bm25' AS config, qid, doc_id, rank FROM bmr UNION ALL SELECT 'tfidf', qid, doc_id, rank FROM tfr UNION ALL SELECT 'rrf', qid, doc_id, rank FROM fr), h AS (SELECT config, qid, min(rank) AS rank FROM l JOIN tr USING (qid, doc_id) GROUP BY ALL), b AS (SELECT count(DISTINCT qid) AS n FROM tr), m AS (SELECT config, count(*) FILTER (WHERE rank <= 1) / any_value(n) AS hit1, sum(CASE WHEN rank <= 5 THEN 1.0 / rank ELSE 0 END) / any_value(n) AS mrr5 FROM h, b GROUP BY config)
-SELECT config, round(hit1, 6) AS hit1, round(mrr5, 6) AS mrr5, round(mrr5 - (SELECT mrr5 FROM m WHERE config = 'bm25'), 6) AS delta, hit1 >= 0.5 AS gate FROM m""")
+_ABL = "".join(fuse_sql(f"c_{n}", c[0]) if c[1] == "rrf" else scale_sql(f"c_{n}", c[0]) for n, c in CONFIGS.items()) + "".join(rerank_sql(f"r_{n}", f"c_{n}") for n, c in CONFIGS.items() if c[2])
+_RUNS = " UNION ALL ".join(f"SELECT '{n}' AS config, qid, doc_id, {'new_rank' if c[2] else 'rank'} AS rank FROM {'r' if c[2] else 'c'}_{n}" for n, c in CONFIGS.items())
+
+
+@query(f"""WITH {LEGS}{_ABL}, {TRUTH}, l AS ({_RUNS}), h AS (SELECT config, qid, min(rank) AS rank FROM l JOIN tr USING (qid, doc_id) GROUP BY ALL), b AS (SELECT count(DISTINCT qid) AS n FROM tr), cf AS (SELECT DISTINCT config FROM l), m AS (SELECT config, count(*) FILTER (WHERE rank <= 1) / any_value(n) AS hit1, coalesce(sum(CASE WHEN rank <= 5 THEN 1.0 / rank ELSE 0 END), 0) / any_value(n) AS mrr5 FROM cf LEFT JOIN h USING (config), b GROUP BY config)
+SELECT config, round(hit1, 6) AS hit1, round(mrr5, 6) AS mrr5, round(mrr5 - (SELECT mrr5 FROM m WHERE config = 'bm25_only'), 6) AS delta, hit1 >= 0.5 AS gate FROM m""")
 def ablation(spark, sf):
-    """Each leg alone and their fusion against the same truth, with the difference from the first and a gate."""
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("q_text"))
-    truth = R.containment(table(spark, sf, "documents").select("doc_id", "text"), b)
-    l = {**legs(spark, sf), "rrf": fused(spark, sf)}  # noqa: E741
-    every = None
-    for name, x in l.items():
-        y = x.select(F.lit(name).alias("config"), "qid", "doc_id", "rank")
-        every = y if every is None else every.union(y)
-    h = every.join(truth, ["qid", "doc_id"]).groupBy("config", "qid").agg(F.min("rank").alias("rank"))
-    n = F.broadcast(truth.agg(F.countDistinct("qid").alias("n")))
-    m = h.groupBy("config").agg(F.sum((F.col("rank") <= 1).cast("long")).alias("h"), F.sum(F.when(F.col("rank") <= 5, 1.0 / F.col("rank")).otherwise(0.0)).alias("r")).join(n).select("config", (F.col("h") / F.col("n")).alias("hit1"), (F.col("r") / F.col("n")).alias("mrr5"))
-    base = F.max(F.when(F.col("config") == "bm25", F.col("mrr5"))).over(Window.partitionBy())
-    return m.select("config", r6("hit1"), r6("mrr5"), F.round(F.col("mrr5") - base, 6).alias("delta"), (F.col("hit1") >= 0.5).alias("gate"))
-
-
-@query(f"WITH {RRF}, a AS (SELECT qid, doc_id, 0 AS seg, rank FROM bmr WHERE rank <= 5 UNION ALL SELECT qid, doc_id, 1, rank FROM fr WHERE rank <= 10 AND (qid, doc_id) NOT IN (SELECT (qid, doc_id) FROM bmr WHERE rank <= 5)) SELECT qid, doc_id, CAST(seg AS INT) AS seg, row_number() OVER (PARTITION BY qid ORDER BY seg, rank) AS pos FROM a")
+    """Six configurations of legs, fusion and reranking against the same truth, with the difference from terms alone and a gate."""
+    return E.ablation(CONFIGS, lambda config: search(spark, sf, *config), truths(spark, sf), "bm25_only")
+
+
+def search(spark, sf, names: list[str], fusion: str, rerank: bool) -> DataFrame:
+    """(qid, doc_id, rank) of one configuration."""
+    own = legs(spark, sf).where(F.col("leg").isin(names))
+    got = fused(spark, sf, own) if fusion == "rrf" else R.top(R.score_fusion(own), 50)
+    return reranked(spark, sf, got).select("qid", "doc_id", F.col("new_rank").alias("rank")) if rerank else got.select("qid", "doc_id", "rank")
+
+
+@query(f"WITH {RRF}, a AS (SELECT qid, doc_id, 0 AS seg, rank FROM lgs WHERE leg = 'bm25' AND rank <= 5 UNION ALL SELECT qid, doc_id, 1, rank FROM fr WHERE rank <= 10 AND (qid, doc_id) NOT IN (SELECT (qid, doc_id) FROM lgs WHERE leg = 'bm25' AND rank <= 5)) SELECT qid, doc_id, CAST(seg AS INT) AS seg, row_number() OVER (PARTITION BY qid ORDER BY seg, rank) AS pos FROM a")
 def ranked_concat(spark, sf):
     """Best term matches in front, then the fused list without them."""
-    head = legs(spark, sf)["bm25"].where("rank <= 5").select("qid", "doc_id", F.lit(0).alias("seg"), "rank")
+    head = legs(spark, sf).where("leg = 'bm25' and rank <= 5").select("qid", "doc_id", F.lit(0).alias("seg"), "rank")
     tail = fused(spark, sf).where("rank <= 10").select("qid", "doc_id", F.lit(1).alias("seg"), "rank").join(head.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
     return head.union(tail).select("qid", "doc_id", "seg", F.row_number().over(Window.partitionBy("qid").orderBy("seg", "rank")).cast("long").alias("pos"))
 
 
 @query(f"WITH {DIV} SELECT qid, 'Found ' || count(*) || ' documents: ' || array_to_string(list('[' || pos || '] ' || source || '/' || hy.doc_id ORDER BY pos), '; ') AS answer FROM hy GROUP BY qid")
 def extractive_answer(spark, sf):
-    h = hybrid(spark, sf)
-    line = F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("] "), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
-    g = h.groupBy("qid").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))).alias("x"))
-    return g.select("qid", F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(" documents: "), F.array_join(F.transform("x", lambda e: e["l"]), "; ")).alias("answer"))
+    return A.extractive(hybrid(spark, sf).select("qid", "doc_id", "source", "pos")).select("qid", "answer")

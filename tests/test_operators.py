@@ -1,5 +1,7 @@
 import datetime as dt
+import math
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,13 +35,14 @@ def test_editions_without_dates_stay_current(spark):
 
 def test_fusion_rewards_agreement(spark):
     leg = lambda *ids: spark.createDataFrame([(1, d, i + 1) for i, d in enumerate(ids)], "qid int, doc_id int, rank int")
-    s = {r.doc_id: r.score for r in R.rrf({"a": leg(1, 2), "b": leg(3, 2)}).collect()}
+    both = R.stacked({n: x.withColumn("score", F.lit(0.5)) for n, x in (("a", leg(1, 2)), ("b", leg(3, 2)))})
+    s = {r.doc_id: r.score for r in R.rrf(both).collect()}
     assert max(s, key=s.get) == 2
 
 
 def test_single_candidate_scores_zero(spark):
-    one = spark.createDataFrame([(1, 7, 3.5)], "qid int, doc_id int, score double")
-    assert R.score_fusion({"a": one}).first().score == 0.0
+    one = spark.createDataFrame([("a", 1, 7, 3.5)], "leg string, qid int, doc_id int, score double")
+    assert R.score_fusion(one).first().score == 0.0
 
 
 def test_diversity(spark):
@@ -143,14 +146,67 @@ def test_stream_windows_agree_with_batch(spark, tmp_path):
     assert windows.sessions(e, "10 minutes").count() > 0
 
 
-def test_saved_postings_give_the_same_scores(spark, tmp_path):
+def test_index_scores_are_those_of_the_formulas(spark):
     from lodestone.operators import index
 
-    d = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} common".split()) for i in range(30)], "doc_id long, tokens array<string>")
-    q = spark.createDataFrame([(1, ["w1", "common"]), (2, ["w2", "w2", "none"])], "qid long, tokens array<string>")
-    index.save_postings(d, str(tmp_path))
-    rows = lambda x: sorted((r.qid, r.doc_id, round(r.score, 9)) for r in x.collect())
-    assert rows(index.search_postings(spark, str(tmp_path), q)) == rows(R.bm25(d, q))
+    texts = {i: f"w{i % 7} w{i % 3} common".split() for i in range(30)}
+    queries = {1: ["w1", "common"], 2: ["w2", "w2", "none"], 3: ["none"]}
+    d = spark.createDataFrame([(i, t, "w1 x" if i % 2 else "y") for i, t in texts.items()], "doc_id long, tokens array<string>, title string")
+    q = spark.createDataFrame(list(queries.items()), "qid long, tokens array<string>")
+    feats = lambda t: Counter(t + [f"{a}_{b}" for a, b in zip(t, t[1:])])
+    df, n = Counter(f for t in texts.values() for f in feats(t)), len(texts)
+    avgdl = sum(map(len, texts.values())) / n
+    idf = lambda f: math.log(1 + (n - df[f] + 0.5) / (df[f] + 0.5))
+    tf_idf = lambda c: {f: x * (math.log((1 + n) / (1 + df[f])) + 1 if df[f] else 1.0) for f, x in c.items()}
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = {}
+    for k, terms in queries.items():
+        qv, keys = tf_idf(feats(terms)), {t for t in terms if len(t) >= 3}
+        for i, t in texts.items():
+            c, dv = Counter(t), tf_idf(feats(t))
+            if not set(terms) & set(t):
+                continue
+            bm = sum(idf(x) * c[x] * 2.5 / (c[x] + 1.5 * (0.25 + 0.75 * len(t) / avgdl)) * (3.0 if i % 2 and x == "w1" else 1.0) for x in terms if c[x])
+            part = sum(idf(x) for x in keys & set(t)) / sum(map(idf, keys)) if keys else 0.0
+            want[k, i] = pytest.approx((bm, sum(qv[f] * dv[f] for f in qv if f in dv) / length(qv) / length(dv), part))
+    own = index.build(d, {"title": 3.0}, per_bucket=20)
+    got = {(r.qid, r.doc_id): (r.bm25, r.tfidf, r.coverage) for r in own.probe(q).collect()}
+    assert got == want
+    assert index.opened(("k",), lambda: own) is index.opened(("k",), lambda: None)
+
+
+def test_dense_search(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0], True), (2, [0.6, 0.8], True), (3, [0.0, 1.0], True), (4, [1.0, 0.1], False), (5, None, True), (6, [1.0], True), (7, [0.0, 0.0], True)], "vec_id long, embedding array<float>, ok boolean")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (9, [2.0, 0.0]), (10, None)], "qid long, q array<float>")
+    got = lambda **o: [(r.qid, r.vec_id, r.score) for r in R.dense(v, q, 2, **o).orderBy("qid", "rank").collect()]
+    assert got(where=F.col("ok")) == [(1, 2, 0.6), (1, 3, 0.0), (9, 1, 1.0), (9, 2, 0.6)]
+    assert got(where=F.col("ok"), floor=0.7) == [(9, 1, 1.0)]
+    assert R.dense(v.limit(0), q, 2).count() == 0 and R.dense(v, q.limit(0), 2).count() == 0
+
+
+def test_context_is_packed_up_to_the_first_that_overflows(spark):
+    rows = [(c, i, 7 * i % 23 + 1) for c in "ab" for i in range(200)]
+    d = spark.createDataFrame(rows, "c string, id long, n long")
+    want = []
+    for c in "ab":
+        cum = 0
+        for pos, (n, i) in enumerate(sorted((n, i) for k, i, n in rows if k == c), 1):
+            cum += n + 2
+            if cum > 120:
+                break
+            want.append((c, i, pos, cum))
+    got = R.pack_context(d, "c", ["n", "id"], "n", 120, salts=4).collect()
+    assert sorted((r.c, r.id, r.pos, r.cum) for r in got) == sorted(want)
+
+
+def test_answers_are_checked(spark):
+    from lodestone.operators import answers
+
+    r = spark.createDataFrame([(1, 5, "s", 1), (1, 6, "s", 2)], "qid long, doc_id long, source string, pos long")
+    a = answers.grounded(r).first()
+    assert a.answer == "Found 2 documents: [1] s/5; [2] s/6" and a.grounded and len(a.checked) == 2
+    bad = answers.grounded(r, lambda x: answers.extractive(x).withColumn("citations", F.array(F.lit(5).cast("long"), F.lit(7).cast("long")))).first()
+    assert not bad.grounded and [(c.cite, c.supported) for c in bad.checked] == [(5, True), (7, False)]
 
 
 def test_vectors_know_their_maker(spark, tmp_path):
