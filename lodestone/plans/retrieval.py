@@ -129,10 +129,9 @@ def vector_leg(spark, sf) -> DataFrame:
 
 
 def legs(spark, sf) -> DataFrame:
-    """The stacked legs of all queries that aren't declined."""
-    lex = lexical(spark, sf)
-    every = R.stacked({"dense": vector_leg(spark, sf)}).unionByName(lex.drop("coverage"))
-    return every.join(F.broadcast(declines(spark, sf, lex).where("not declined").select("qid")), "qid")  # a row per query, as its features are
+    """The stacked legs of all queries that aren't declined, as `declines` tells it; the index is probed once."""
+    every = lexical(spark, sf).unionByName(R.stacked({"dense": vector_leg(spark, sf)}), allowMissingColumns=True)
+    return every.withColumn("coverage", F.max("coverage").over(Window.partitionBy("qid"))).where(F.round("coverage", 6) >= COVERAGE_FLOOR).drop("coverage")
 
 
 def fused(spark, sf, of: DataFrame | None = None) -> DataFrame:
@@ -167,7 +166,8 @@ def cases(spark, sf) -> DataFrame:
         F.min(F.when(F.col("true"), F.col("pos"))).alias("rank"), F.max("score").alias("top_score"),
         F.min(F.when(five & F.col("is_current"), F.col("pos"))).alias("c"), F.min(F.when(five & ~F.col("is_current"), F.col("pos"))).alias("s"),
     )
-    best = by_key.groupBy("qid").agg(F.min("rank").alias("rank"), F.max("top_score").alias("top_score"), F.bool_or(F.coalesce(F.col("s") < F.col("c"), F.lit(False))).alias("ahead"), F.bool_or(F.col("s").isNotNull()).alias("shown"))
+    # a query has results unless it is declined
+    best = by_key.groupBy("qid").agg(F.lit(False).alias("declined"), F.min("rank").alias("rank"), F.max("top_score").alias("top_score"), F.bool_or(F.coalesce(F.col("s") < F.col("c"), F.lit(False))).alias("ahead"), F.bool_or(F.col("s").isNotNull()).alias("shown"))
     any_ = truth.groupBy("qid").agg(F.lit(True).alias("answerable"))
     n, i = F.length("text"), F.col("item_id")
     own = b.select(
@@ -175,9 +175,9 @@ def cases(spark, sf) -> DataFrame:
         F.get(F.array(F.lit("civil"), F.lit("food"), F.lit("textiles")), (i % 3).cast("int")).alias("sector"), F.array(F.when(i % 2 == 0, "even").otherwise("odd"), F.when(n < 250, "short").otherwise("long")).alias("tags"),
         F.concat(F.lit("IS "), (F.floor(i / 4) + 1).cast("long").cast("string")).alias("wanted"),
     )
-    d = declines(spark, sf, lexical(spark, sf)).select("qid", "declined")
     false = lambda c: F.coalesce(c, F.lit(False)).alias(c)
-    return own.join(any_, "qid", "left").join(best, "qid", "left").join(d, "qid").select("qid", "rejection", "difficulty", "sector", "tags", "wanted", false("answerable"), "rank", "top_score", "declined", false("ahead"), false("shown"))
+    both = own.join(any_, "qid", "left").join(best, "qid", "left")
+    return both.select("qid", "rejection", "difficulty", "sector", "tags", "wanted", false("answerable"), "rank", "top_score", F.coalesce("declined", F.lit(True)).alias("declined"), false("ahead"), false("shown"))
 
 
 r6 = lambda c: F.round(c, 6).alias(c)
@@ -421,12 +421,13 @@ _RUNS = " UNION ALL ".join(f"SELECT '{n}' AS config, qid, doc_id, {'new_rank' if
 SELECT config, round(hit1, 6) AS hit1, round(mrr5, 6) AS mrr5, round(mrr5 - (SELECT mrr5 FROM m WHERE config = 'bm25_only'), 6) AS delta, hit1 >= 0.5 AS gate FROM m""")
 def ablation(spark, sf):
     """Six configurations of legs, fusion and reranking against the same truth, with the difference from terms alone and a gate."""
-    return E.ablation(CONFIGS, lambda config: search(spark, sf, *config), truths(spark, sf), "bm25_only")
+    every, truth = legs(spark, sf).persist(), truths(spark, sf).persist()  # 150 rows a query at most, and its few answers
+    return E.ablation(CONFIGS, lambda config: search(spark, sf, every, *config), truth, "bm25_only")
 
 
-def search(spark, sf, names: list[str], fusion: str, rerank: bool) -> DataFrame:
-    """(qid, doc_id, rank) of one configuration."""
-    own = legs(spark, sf).where(F.col("leg").isin(names))
+def search(spark, sf, every: DataFrame, names: list[str], fusion: str, rerank: bool) -> DataFrame:
+    """(qid, doc_id, rank) of one configuration, from the stacked legs."""
+    own = every.where(F.col("leg").isin(names))
     got = fused(spark, sf, own) if fusion == "rrf" else R.top(R.score_fusion(own), 50)
     return reranked(spark, sf, got).select("qid", "doc_id", F.col("new_rank").alias("rank")) if rerank else got.select("qid", "doc_id", "rank")
 
