@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +17,8 @@ _TAIL = rf"(?:\s*[:{DASH}]\s*({YEAR})|\s+({YEAR})(?![\d.]))?(?:\s*\(\s*Reaffirm(
 FULL = rf"(?i){_HEAD}{_PART}{_TAIL}\s*$"
 SCAN = rf"(?i){_HEAD}{_PART}{_TAIL}(?!\s*\d)(?!\s*(?:part|sec(?:tion)?|reaffirm(?:ed|ation)?|:|-)\b)"
 
+SCRAPE = r"\bIS\s+(\d{1,5})(?:\s*\(Part\s*\d+\))?:(\d{4})"
+
 STRUCT = T.StructType([T.StructField("prefix", T.StringType())] + [T.StructField(n, T.IntegerType()) for n in ("number", "part", "section", "year", "reaffirmed")])
 
 
@@ -105,15 +104,13 @@ def of_identifier(c: Column, start: str = "gov.in.is.") -> Column:
     return F.when(digits, made)
 
 
-_SCAN = re.compile(SCAN)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _mentions(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [m.group(0).strip() for m in _SCAN.finditer(t or "")])
-
-
 def find_all(c: Column) -> Column:
     """All identifiers in a text, in order, each once; those that contradict themselves are left out."""
-    parsed = F.transform(_mentions(c), lambda m: render(parse(m)))
-    return F.array_distinct(F.filter(parsed, lambda x: x.isNotNull()))
+    found = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(SCAN), F.lit(0)), F.trim)
+    return F.array_distinct(F.filter(F.transform(found, lambda m: render(parse(m))), lambda x: x.isNotNull()))
+
+
+def scrape(c: Column) -> Column:
+    """The dated identifiers of a page, by a plain pattern: `IS 269:2015`. A part is read over and left out; repeats stay."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(SCRAPE), F.lit(0))
+    return F.transform(found, lambda m: F.concat(F.lit("IS "), F.regexp_extract(m, SCRAPE, 1), F.lit(":"), F.regexp_extract(m, SCRAPE, 2)))

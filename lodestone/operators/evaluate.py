@@ -79,3 +79,24 @@ def ablation(configs: dict, search_factory: Callable[[object], DataFrame], truth
     m = names.join(per, "config", "left").join(n).select("config", zero("h").alias("hit1"), zero("r").alias("mrr5"))
     base = F.max(F.when(F.col("config") == baseline, F.col("mrr5"))).over(Window.partitionBy())  # a row per configuration
     return m.select("config", F.round("hit1", 6).alias("hit1"), F.round("mrr5", 6).alias("mrr5"), F.round(F.col("mrr5") - base, 6).alias("delta"), (F.col("hit1") >= 0.5).alias("gate"))
+
+
+def percentiles(rows: DataFrame, key: str, value: str, shares: list[float], bins: int = 1024) -> DataFrame:
+    """(key, share, value): exact percentiles, linear between closest ranks, of the non-null values of each key. A histogram of `bins`
+    equal ranges tells in which ranges the asked ranks are; only values there are sorted, range by range."""
+    v = rows.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where("v is not null")
+    ends = F.broadcast(v.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))) if (few := v.select("k").distinct().limit(10_001).count() <= 10_000) else v.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    span = F.col("hi") - F.col("lo")
+    v = v.join(ends, "k").withColumn("bin", F.when(span > 0, F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / span * bins))).otherwise(0).cast("int"))
+    h = v.groupBy("k", "bin", "n").agg(F.count("*").alias("c"))
+    h = h.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("k").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = F.explode(F.array(*[F.struct(F.lit(p).alias("share"), (F.lit(p) * (F.col("n") - 1)).alias("at")) for p in shares]))
+    asked = h.select("k", "bin", "c", "before", at.alias("x")).select("k", "bin", "c", "before", "x.*")
+    asked = asked.select("k", "bin", "before", "c", "share", "at", F.explode(F.array(F.struct(F.floor("at").alias("rank")), F.struct(F.ceil("at").alias("rank")))).alias("r")).select("k", "bin", "before", "c", "share", "at", "r.rank")
+    asked = asked.where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c"))).distinct()
+    wanted = asked.select("k", "bin").distinct()
+    near = v.select("k", "bin", "v").join(F.broadcast(wanted) if few else wanted, ["k", "bin"])
+    placed = near.withColumn("rn", F.row_number().over(Window.partitionBy("k", "bin").orderBy("v")) - 1)
+    got = asked.join(placed, (asked.k == placed.k) & (asked.bin == placed.bin) & (asked.rank - asked.before == placed.rn)).select(asked.k, "share", "at", "rank", "v")
+    g = got.groupBy("k", "share", "at").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    return g.select(F.col("k").alias(key), "share", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("value"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .retrieval import B, K1
+from .retrieval import B, K1, top
 
 #: Postings in a bucket, on average; features of queries that one broadcast carries at most.
 BUCKET_ROWS, FEATURE_BLOCK = 2_000_000, 500_000
@@ -132,9 +132,26 @@ def build(docs: DataFrame, fields: dict[str, float] = {}, per_bucket: int = BUCK
     buckets = max(spark.sparkContext.defaultParallelism, math.ceil(weighed.count() / per_bucket))
     final = weighed.join(me.docs.select("doc_id", "tf_len"), "doc_id").select("doc_id", "f", "tf", "bm", (F.col("w") / F.col("tf_len")).alias("tv"))
     final.repartition(buckets, "doc_id").write.option("path", f"{me.where}/postings").bucketBy(buckets, "doc_id").sortBy("f").saveAsTable(me.table)
+    spark.createDataFrame([(buckets,)], "buckets int").write.json(f"{me.where}/meta")
     return me
 
 
+def load(spark: SparkSession, where: str) -> Index:
+    """An index that was built before, by this application or another."""
+    buckets = spark.read.schema("buckets int").json(f"{where}/meta").first()[0]
+    me = Index(spark, where, f"lodestone_{uuid.uuid4().hex}")
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(f"{where}/postings").schema.fields)
+    spark.sql(f"CREATE TABLE {me.table} ({columns}) USING parquet CLUSTERED BY (doc_id) SORTED BY (f) INTO {int(buckets)} BUCKETS LOCATION '{where}/postings'")
+    return me
+
+
+def verify(me: Index, probes: DataFrame, k: int = 5) -> DataFrame:
+    """(qid, expected, rank, found) of probes (qid, tokens, expected: a document id) after a build: where each is among its best k."""
+    best = top(me.probe(probes.select("qid", "tokens")).withColumn("score", F.col("bm25")), k)
+    hit = best.select("qid", F.col("doc_id").alias("expected"), "rank")
+    return probes.select("qid", "expected").join(hit, ["qid", "expected"], "left").withColumn("found", F.col("rank").isNotNull())
+
+
 _open: dict[tuple, Index] = {}
 
 
@@ -156,3 +173,24 @@ def load_vectors(spark: SparkSession, where: str, made_by: str) -> DataFrame:
     if have != made_by:
         raise WrongEmbedder(f"vectors of {have}, wanted {made_by}")
     return spark.read.parquet(f"{where}/vectors")
+
+
+#: What tells a backend of stored vectors: the entry of its folder that only it has, and how it is read.
+BACKENDS = {
+    "parquet": ("vectors", lambda spark, where: spark.read.parquet(f"{where}/vectors")),
+    "json": ("vectors.jsonl", lambda spark, where: spark.read.schema("id long, embedding array<double>").json(f"{where}/vectors.jsonl")),
+}
+
+
+def detect(spark: SparkSession, where: str, backends: dict = BACKENDS) -> str:
+    """The name of the backend whose entry is in the folder; the first of several."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name, (entry, _) in backends.items():
+        p = jvm.org.apache.hadoop.fs.Path(f"{where}/{entry}")
+        if p.getFileSystem(conf).exists(p):
+            return name
+    raise FileNotFoundError(f"{where}: no vectors of {', '.join(backends)}")
+
+
+def open_vectors(spark: SparkSession, where: str, backends: dict = BACKENDS) -> DataFrame:
+    return backends[detect(spark, where, backends)][1](spark, where)

@@ -91,3 +91,81 @@ def matches(where: dict) -> Column:
             elif test:
                 out = out & F.coalesce(test(), F.lit(False))
     return out
+
+
+def where_of(divisions: list[str] = (), committees: list[str] = (), current_only: bool = False, year_from: int | None = None, year_to: int | None = None) -> dict | None:
+    """The predicate that a question implies; one year if both bounds are the same, none if it says nothing."""
+    parts = [{"division": {"$in": list(divisions)}}] if divisions else []
+    parts += [{"committee": {"$in": list(committees)}}] if committees else []
+    parts += [{"is_current": True}] if current_only else []
+    if year_from and year_from == year_to:
+        parts.append({"year": year_from})
+    else:
+        parts += [{"year": {"$gte": year_from}}] if year_from else []
+        parts += [{"year": {"$lte": year_to}}] if year_to else []
+    return None if not parts else parts[0] if len(parts) == 1 else {"$and": parts}
+
+
+def where_json(divisions: Column, committees: Column, current_only: Column, year_from: Column, year_to: Column) -> Column:
+    """The same predicate for each row of a frame of questions, as JSON; null if a question says nothing."""
+    names = lambda f, c: F.when(F.size(c) > 0, F.concat(F.lit(f'{{"{f}":{{"$in":'), F.to_json(c), F.lit("}}")))
+    bound = lambda op, c: F.when(c.isNotNull() & ~year_from.eqNullSafe(year_to), F.concat(F.lit(f'{{"year":{{"${op}":'), c.cast("string"), F.lit("}}")))
+    one = F.when(year_from == year_to, F.concat(F.lit('{"year":'), year_from.cast("string"), F.lit("}")))
+    parts = F.array_compact(F.array(names("division", divisions), names("committee", committees), F.when(current_only, '{"is_current":true}'), one, bound("gte", year_from), bound("lte", year_to)))
+    return F.when(F.size(parts) == 1, F.get(parts, F.lit(0))).when(F.size(parts) > 1, F.concat(F.lit('{"$and":['), F.array_join(parts, ","), F.lit("]}")))
+
+
+def constrains(where: dict | None, field: str) -> bool:
+    """Whether a predicate asks for a field anywhere."""
+    if not isinstance(where, dict):
+        return False
+    return any(any(constrains(x, field) for x in v) if k in ("$and", "$or") else k == field for k, v in where.items())
+
+
+def first_filled(*tiers: tuple[str, DataFrame]) -> DataFrame:
+    """The rows of the first tier that has any, with its name as `tier`; the last one whatever it has. Asks for one row of each."""
+    for name, df in tiers[:-1]:
+        if df.limit(1).count():
+            return df.withColumn("tier", F.lit(name))
+    return tiers[-1][1].withColumn("tier", F.lit(tiers[-1][0]))
+
+
+def by_prefix(queries: DataFrame, rows: DataFrame, q: str, name: str) -> DataFrame:
+    """(q, name): for each text the first name, in order of the alphabet, that begins with it, whatever the case. An equality join on
+    the beginnings of names, which are few for each; of rows with the same beginning only the first goes on."""
+    low = F.upper(name)
+    heads = rows.where(F.length(name) > 0).select(F.col(name).alias("_name"), F.explode(F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.substr(low, F.lit(1), i))).alias("_head"))
+    first = heads.groupBy("_head").agg(F.min("_name").alias("_name"))
+    return queries.select(F.col(q).alias("_q")).distinct().join(first, F.upper("_q") == F.col("_head")).select(F.col("_q").alias(q), F.col("_name").alias(name))
+
+
+def numbered(rows: DataFrame, key: str, order: str, width: int = 100_000) -> DataFrame:
+    """`pos`: the place of each row among those of its key, by a whole-numbered `order`. Ranked within ranges of it, to which the
+    counts of earlier ranges are added, so no task takes a key whole."""
+    cut = rows.withColumn("_range", F.floor(F.col(order) / width))
+    n = cut.groupBy(key, "_range").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = n.select(key, "_range", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base"))
+    rn = F.row_number().over(Window.partitionBy(key, "_range").orderBy(order))
+    return cut.withColumn("_rn", rn).join(base, [key, "_range"]).withColumn("pos", (F.col("_base") + F.col("_rn")).cast("long")).drop("_range", "_rn", "_base")
+
+
+def chains(editions: DataFrame, name: str = "designation", by: str = "superseded_by") -> DataFrame:
+    """(base, n, chain): of each document that lost editions, oldest first, how many and what replaced each. Editions of one document
+    are few."""
+    old = editions.where(F.coalesce(by, F.lit("")) != "").select(F.split(name, ":")[0].alias("base"), "year", F.col(name).alias("o"), F.col(by).alias("n"))
+    g = old.groupBy("base").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("year", "o", "n"))).alias("x"))
+    return g.select("base", "n", F.transform("x", lambda e: F.concat(e["o"], F.lit(" -> "), e["n"])).alias("chain"))
+
+
+def temporal_statistics(editions: DataFrame) -> DataFrame:
+    """One row: earliest and latest year, rows in all, current and superseded ones, the mean year cut to a whole number."""
+    c = F.col("is_current").cast("long")
+    return editions.agg(F.min("year").cast("long").alias("earliest_year"), F.max("year").cast("long").alias("latest_year"), F.count("*").alias("total"), F.sum(c).alias("current"), F.sum(1 - c).alias("superseded"), F.floor(F.avg("year")).cast("long").alias("average_year"))
+
+
+def attributes(text: Column) -> dict[str, Column]:
+    """Grades and sizes that a product description names."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    every = lambda p: F.regexp_extract_all(t, F.lit(p), F.lit(1))
+    return {"grade": every(r"\b(33|43|53)\s+grade\b"), "concrete_grade": every(r"\b(m\d{2}|m\d{3})\b"), "size": every(r"\b(\d+)\s*mm\b")}

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import designation as D
 from ..functions import text as X
 from ..functions import values as V
 from ..operators import limiter
+from ..operators import standards as S
+from ..operators.evaluate import percentiles
 from .standards import table
 
 QUERIES, SQL = {}, {}
@@ -46,15 +49,26 @@ def intent(q):
     )
 
 
+#: The ways in which a question bounds the year; the first group is the year, of BETWEEN also the second.
+BETWEEN = r"\bbetween\s+(\d{4})\s+and\s+(\d{4})\b"
+FROM_YEAR = [r"\b(\d{4})\s+or\s+(?:later|newer|above)\b", r"\b(?:from|after|since|later\s+than|newer\s+than)\s+(\d{4})\b"]
+TO_YEAR = [r"\b(\d{4})\s+or\s+(?:earlier|older|before)\b", r"\b(?:before|until|up\s+to|earlier\s+than|older\s+than)\s+(\d{4})\b"]
+BARE_YEAR = r"\b(19[2-9]\d|20[0-4]\d)\b"
+
+
 def years(q) -> tuple:
     """(from, to): the years that a question asks for."""
     t = F.lower(q)
     got = lambda p, g=1: F.nullif(F.regexp_extract(t, p, g), F.lit("")).cast("int")
-    two = r"\bbetween\s+(\d{4})\s+and\s+(\d{4})\b"
-    low = F.coalesce(got(r"\b(\d{4})\s+or\s+(?:later|newer|above)\b"), got(r"\b(?:from|after|since|later\s+than|newer\s+than)\s+(\d{4})\b"))
-    high = F.coalesce(got(r"\b(\d{4})\s+or\s+(?:earlier|older|before)\b"), got(r"\b(?:before|until|up\s+to|earlier\s+than|older\s+than)\s+(\d{4})\b"))
-    bare = F.when(low.isNull() & high.isNull() & t.rlike(SUPERSESSION), got(r"\b(19[2-9]\d|20[0-4]\d)\b"))
-    return F.coalesce(got(two), low, bare), F.coalesce(got(two, 2), F.when(got(two).isNull(), high))
+    low, high = F.coalesce(*map(got, FROM_YEAR)), F.coalesce(*map(got, TO_YEAR))
+    bare = F.when(low.isNull() & high.isNull() & t.rlike(SUPERSESSION), got(BARE_YEAR))
+    return F.coalesce(got(BETWEEN), low, bare), F.coalesce(got(BETWEEN, 2), F.when(got(BETWEEN).isNull(), high))
+
+
+def _year_sql(t: str) -> str:
+    """The same over a lower-case column, as b1, b2, lo, hi, bare."""
+    got = lambda p, g=1: f"CAST(nullif(regexp_extract({t}, '{p}', {g}), '') AS INT)"
+    return f"{got(BETWEEN)} AS b1, {got(BETWEEN, 2)} AS b2, coalesce({', '.join(map(got, FROM_YEAR))}) AS lo, coalesce({', '.join(map(got, TO_YEAR))}) AS hi, CASE WHEN regexp_matches({t}, '{SUPERSESSION}') THEN {got(BARE_YEAR)} END AS bare"
 
 
 _PRE = " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PREFIXES))
@@ -62,10 +76,7 @@ _PRE = " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PREFIXES))
 
 @query(f"""WITH q AS (SELECT conv_id, turn, lower(CASE (conv_id + turn) % {len(PREFIXES)} {_PRE} END || text) AS t FROM conversations), i AS (SELECT *, regexp_matches(t, '{NAMED}') AS named FROM q),
 k AS (SELECT *, CASE WHEN regexp_matches(t, '{COMPLIANCE}') THEN 'compliance' WHEN regexp_matches(t, '{SUPERSESSION}') THEN CASE WHEN regexp_matches(t, '{LATEST}') THEN 'latest' ELSE 'supersession' END WHEN regexp_matches(t, '{EXPLAIN}') AND named THEN 'explain' WHEN named THEN 'lookup' WHEN regexp_matches(t, '{LISTING}') THEN 'list_by_domain' ELSE 'topic_search' END AS intent,
-  CAST(nullif(regexp_extract(t, '\\bbetween\\s+(\\d{{4}})\\s+and\\s+(\\d{{4}})\\b', 1), '') AS INT) AS b1, CAST(nullif(regexp_extract(t, '\\bbetween\\s+(\\d{{4}})\\s+and\\s+(\\d{{4}})\\b', 2), '') AS INT) AS b2,
-  CAST(coalesce(nullif(regexp_extract(t, '\\b(\\d{{4}})\\s+or\\s+(?:later|newer|above)\\b', 1), ''), nullif(regexp_extract(t, '\\b(?:from|after|since|later\\s+than|newer\\s+than)\\s+(\\d{{4}})\\b', 1), '')) AS INT) AS lo,
-  CAST(coalesce(nullif(regexp_extract(t, '\\b(\\d{{4}})\\s+or\\s+(?:earlier|older|before)\\b', 1), ''), nullif(regexp_extract(t, '\\b(?:before|until|up\\s+to|earlier\\s+than|older\\s+than)\\s+(\\d{{4}})\\b', 1), '')) AS INT) AS hi,
-  CASE WHEN regexp_matches(t, '{SUPERSESSION}') THEN CAST(nullif(regexp_extract(t, '\\b(19[2-9]\\d|20[0-4]\\d)\\b', 1), '') AS INT) END AS bare FROM i)
+  {_year_sql('t')} FROM i)
 SELECT conv_id, turn, intent, coalesce(b1, lo, CASE WHEN lo IS NULL AND hi IS NULL THEN bare END) AS year_from, coalesce(b2, CASE WHEN b1 IS NULL THEN hi END) AS year_to, NOT (intent IN ('supersession', 'compliance') OR regexp_matches(t, '{HISTORY}')) AS current_only,
   CASE WHEN intent = 'supersession' THEN 'history' WHEN intent IN ('compliance', 'latest', 'list_by_domain') THEN 'recommend' ELSE 'search' END AS mode FROM k""")
 def intent_classify(spark, sf):
@@ -88,10 +99,15 @@ def ordered_distinct(spark, sf):
     return g.select("conv_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join(F.transform("s", lambda e: e["x"]), " ").cast("binary")).alias("words_md5"))
 
 
-@query("""SELECT page_id, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page, regexp_extract(url, '[?&]ref=([^&#]*)', 1) AS ref, regexp_extract(url, '[?&]utm_source=([^&#]*)', 1) AS utm_source FROM pages""")
+@query("""SELECT doc_id, source AS number, CASE WHEN doc_id % 3 > 0 THEN lang || ' text' END AS title, CAST(1950 + doc_id % 60 AS VARCHAR) AS year FROM documents""")
 def label_value_parse(spark, sf):
-    p = table(spark, sf, "pages")
-    return p.select("page_id", *[F.regexp_extract("url", rf"[?&]{k}=([^&#]*)", 1).alias(k) for k in ("page", "ref", "utm_source")])
+    """Values of a run-on description, each up to the next label; one label is missing in every third row."""
+    from ..sources.items import labelled
+
+    i = F.col("doc_id")
+    text = F.concat(F.lit("Number: "), "source", F.when(i % 3 == 0, "").otherwise(F.concat(F.lit(" TITLE : "), "lang", F.lit(" text"))), F.lit(" Year:"), (1950 + i % 60).cast("string"))
+    m = labelled(text, ["Number", "Title", "Year"])
+    return table(spark, sf, "documents").select("doc_id", m.alias("m")).select("doc_id", F.col("m.Number").alias("number"), F.col("m.Title").alias("title"), F.col("m.Year").alias("year"))
 
 
 FLAT = "trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
@@ -103,10 +119,14 @@ def html_strip(spark, sf):
     return p.select("page_id", F.length("t").cast("long").alias("n"), F.md5(F.col("t").cast("binary")).alias("text_md5"), X.snippet(F.col("t")).alias("snippet"))
 
 
-@query("""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{3}[- ][0-9]{4}')) AS found FROM documents) SELECT found, count(*) AS n, count(DISTINCT doc_id) AS docs FROM m GROUP BY found""")
+@query("""WITH m AS (SELECT page_id, 'IS ' || (page_id % 50 + 1) || ':' || (1950 + page_id % 60) AS found FROM pages UNION ALL SELECT page_id, 'IS ' || (page_id % 7) || ':1999' FROM pages WHERE page_id % 2 = 0) SELECT found, count(*) AS n, count(DISTINCT page_id) AS pages FROM m GROUP BY found""")
 def regex_scrape(spark, sf):
-    m = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]{3}[- ][0-9]{4}"), F.lit(0))).alias("found"))
-    return m.groupBy("found").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    """Dated identifiers on pages, with the part read over, and on how many pages each is."""
+    i = F.col("page_id")
+    text = lambda c: c.cast("string")
+    body = F.concat(F.lit("<li>IS  "), text(i % 50 + 1), F.lit(" (Part 2):"), text(1950 + i % 60), F.lit("</li>"), F.when(i % 2 == 0, F.concat(F.lit("<b>IS "), text(i % 7), F.lit(":1999</b>"))).otherwise("THIS 1:99"))
+    m = table(spark, sf, "pages").select("page_id", F.explode(D.scrape(body)).alias("found"))
+    return m.groupBy("found").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
 
 
 @query("""WITH f AS (SELECT doc_id, [{'name': 'a.pdf', 'format': 'PDF', 'private': doc_id % 2 = 0}, {'name': 'a.txt', 'format': 'Text', 'private': doc_id % 3 = 0}, {'name': 'a_djvu.txt', 'format': 'DjVuTXT', 'private': doc_id % 5 = 0}] AS files FROM documents),
@@ -121,15 +141,21 @@ def derivative_pick(spark, sf):
     return d.select("doc_id", best_file(F.col("files"), ["DjVuTXT", "Text"]).alias("text_file"), best_file(F.col("files"), ["PDF"]).alias("pdf_file"), is_restricted(F.col("files")).alias("restricted"))
 
 
-@query("""WITH h AS (SELECT page_id, list_filter(regexp_split_to_array(coalesce(nullif(regexp_extract(html, '<h1[^>]*>([^<]*)', 1), ''), 'none'), '\\s+'), lambda x: x <> '') AS c FROM pages), n AS (SELECT page_id, c, list_position(list_transform(c, lambda x: contains(lower(x), 'the')), true) AS p FROM h)
-SELECT page_id, CAST(coalesce(p, 0) AS BIGINT) AS target, list_sort(list_transform(range(1, len(c) + 1), lambda i: {'n': -length(c[i]), 'i': i}))[1].i - 1 AS longest FROM n""")
+HEADINGS = [["Sl. No", "IS No.", "Product"], ["Product Category", "Indian Standard", "Remarks"], ["Remarks", "IS Number", "IS"], ["Sl No", "Remarks", ""]]
+
+
+@query("""SELECT page_id, CAST(CASE page_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 1 END AS BIGINT) AS target, 'IS ' || (page_id % 900 + 1) AS spelling, 'longest plain text of the row' AS context FROM pages""")
 def column_infer(spark, sf):
-    """The first heading cell that names the target, and the longest cell (the first of equals)."""
-    raw = F.coalesce(F.nullif(F.regexp_extract("html", "<h1[^>]*>([^<]*)", 1), F.lit("")), F.lit("none"))
-    h = table(spark, sf, "pages").select("page_id", X.words(raw).alias("c"))
-    hit = F.array_position(F.transform("c", lambda x: F.lower(x).contains("the")), True)
-    longest = F.array_min(F.transform(F.col("c"), lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"))))
-    return h.select("page_id", F.coalesce(hit, F.lit(0)).cast("long").alias("target"), longest["i"].cast("long").alias("longest"))
+    """The column of identifiers by the headings of a page's table, the cell that holds one, and the longest other cell."""
+    from ..sources import rest
+
+    i = F.col("page_id")
+    heads = F.get(F.array(*[F.lit("".join(f"<th>{x}</th>" for x in h)) for h in HEADINGS]), (i % 4).cast("int"))
+    html = F.concat(F.lit("<table><tr>"), heads, F.lit("</tr><tr><td>12.5</td><td>IS&nbsp;"), (i % 900 + 1).cast("string"), F.lit("</td><td>short</td><td>longest plain <b>text</b> of the row</td></tr></table>"))
+    pages = table(spark, sf, "pages").select("page_id", html.alias("html"))
+    target = rest.table_rows(pages).where("header").select(F.col("page").alias("page_id"), rest.infer_column(F.col("cells")).cast("long").alias("target"))
+    found = rest.table_items(pages).select(F.col("page").alias("page_id"), "spelling", "context")
+    return target.join(found, "page_id")
 
 
 @query("""WITH r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN 'nan' ELSE lang END AS a, source AS b, n_chars || '.0' AS y, CASE doc_id % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'withdrawn' ELSE 'maybe' END AS f FROM documents)
@@ -157,9 +183,11 @@ def text_formatting(spark, sf):
 
 @query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf):
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    g = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), p.alias("p"), F.avg("value").alias("m"))
-    return g.select("event_type", "n", *[F.round(F.get("p", F.lit(i)), 6).alias(k) for i, k in enumerate(("p50", "p95", "p99"))], F.round("m", 6).alias("mean"))
+    e = table(spark, sf, "events")
+    p = percentiles(e, "event_type", "value", [0.5, 0.95, 0.99])
+    wide = p.groupBy("event_type").agg(*[F.round(F.max(F.when(F.col("share") == x, F.col("value"))), 6).alias(n) for x, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
+    g = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return g.join(wide, "event_type", "left").select("event_type", "n", "p50", "p95", "p99", "mean")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, '{\"id\":' || event_id || ',\"kind\":\"' || event_type || '\"}' AS doc FROM events")
@@ -180,3 +208,20 @@ def event_windows(spark, sf):
     from ..streaming.windows import tumbling
 
     return tumbling(table(spark, sf, "events"), "1 hour")
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, lower(CASE (conv_id + turn) % {len(PREFIXES)} {_PRE} END || CASE turn % 3 WHEN 0 THEN 'small items ' WHEN 1 THEN 'LARGE and Small ' ELSE '' END) AS t FROM conversations), y AS (SELECT conv_id, turn, t, {_year_sql('t')} FROM q),
+r AS (SELECT conv_id, turn, t, coalesce(b1, lo, CASE WHEN lo IS NULL AND hi IS NULL THEN bare END) AS a, coalesce(b2, CASE WHEN b1 IS NULL THEN hi END) AS z, list_filter(['LARGE', 'SMALL'], lambda d: contains(t, lower(d))) AS dv FROM y),
+c AS (SELECT conv_id, turn, list_filter([CASE WHEN len(dv) > 0 THEN '{{"division":{{"$in":["' || array_to_string(dv, '","') || '"]}}}}' END, CASE WHEN NOT regexp_matches(t, '{SUPERSESSION}') AND NOT regexp_matches(t, '{COMPLIANCE}') AND NOT regexp_matches(t, '{HISTORY}') THEN '{{"is_current":true}}' END, CASE WHEN a = z THEN '{{"year":' || a || '}}' END, CASE WHEN a IS NOT NULL AND a IS DISTINCT FROM z THEN '{{"year":{{"$gte":' || a || '}}}}' END, CASE WHEN z IS NOT NULL AND a IS DISTINCT FROM z THEN '{{"year":{{"$lte":' || z || '}}}}' END], lambda x: x IS NOT NULL) AS p FROM r)
+SELECT conv_id, turn, CASE WHEN len(p) = 0 THEN NULL WHEN len(p) = 1 THEN p[1] ELSE '{{"$and":[' || array_to_string(p, ',') || ']}}' END AS predicate, len(list_filter(p, lambda x: contains(x, '"year"'))) > 0 AS by_year FROM c""")
+def filter_synthesis(spark, sf):
+    """The metadata predicate that each question implies, as JSON, and whether it asks for a year."""
+    i, turn = F.col("conv_id"), F.col("turn")
+    pre = F.get(F.array(*[F.lit(p) for p in PREFIXES]), ((i + turn) % len(PREFIXES)).cast("int"))
+    q = F.concat(pre, F.when(turn % 3 == 0, "small items ").when(turn % 3 == 1, "LARGE and Small ").otherwise(""))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", q.alias("q"))
+    low, high = years(F.col("q"))
+    c = c.withColumn("a", low).withColumn("z", high).withColumn("dv", F.filter(F.array(F.lit("LARGE"), F.lit("SMALL")), lambda d: F.contains(F.lower("q"), F.lower(d))))
+    back = intent(F.col("q")).isin("supersession", "latest", "compliance") | F.lower("q").rlike(HISTORY)
+    p = S.where_json(F.col("dv"), F.array().cast("array<string>"), ~back, F.col("a"), F.col("z"))
+    return c.select("conv_id", "turn", p.alias("predicate"), (F.col("a").isNotNull() | F.col("z").isNotNull()).alias("by_year"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import designation as D
 from ..functions import text as X
 from ..functions import values as V
+from ..operators import retrieval as R
 from ..operators import standards as S
 
 QUERIES, SQL = {}, {}
@@ -77,9 +78,16 @@ def number_range_buckets(spark, sf):
 
 @query("SELECT count(*) AS n, count(DISTINCT text) AS texts, count(DISTINCT lang) AS langs, count(DISTINCT source) AS sources, min(n_chars) AS low, max(n_chars) AS high, (SELECT count(*) FROM labels WHERE toxic = 1) AS toxic FROM documents")
 def corpus_summary(spark, sf):
-    d = table(spark, sf, "documents").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"), F.countDistinct("lang").alias("langs"), F.countDistinct("source").alias("sources"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"))
-    toxic = table(spark, sf, "labels").where("toxic = 1").agg(F.count("*").alias("toxic"))  # one row, as is the other side
-    return d.join(F.broadcast(toxic))
+    """Distinct texts are told by 128 bits of hashes, so that no text is shuffled; names come together in groups of their own."""
+    docs = table(spark, sf, "documents")
+    d = docs.agg(F.count("*").alias("n"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"))
+    texts = docs.where("text is not null").select(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")).distinct().agg(F.count("*").alias("texts"))
+    kinds = docs.select(F.explode(F.array(F.struct(F.lit("lang").alias("f"), F.col("lang").alias("v")), F.struct(F.lit("source").alias("f"), F.col("source").alias("v")))).alias("x")).select("x.*").where("v is not null").distinct()
+    kinds = kinds.agg(F.sum((F.col("f") == "lang").cast("long")).alias("langs"), F.sum((F.col("f") == "source").cast("long")).alias("sources"))
+    toxic = table(spark, sf, "labels").where("toxic = 1").agg(F.count("*").alias("toxic"))
+    for one in (texts, kinds, toxic):  # one row each
+        d = d.join(F.broadcast(one))
+    return d
 
 
 @query("""WITH j AS (SELECT d.*, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id)), u AS (SELECT unnest(['text', 'lang', 'quality', 'toxic']) AS field, unnest([text, lang, CAST(quality AS VARCHAR), CAST(toxic AS VARCHAR)]) AS v FROM j)
@@ -109,11 +117,19 @@ def facet_text_filter(spark, sf):
     return standards(spark, sf).where((F.col("division") == "SMALL") & (has(F.col("title")) | has(F.col("designation")) | has(F.col("committee")))).select("seq", "designation")
 
 
-@query("""WITH g AS (SELECT lang AS group_key, list(doc_id ORDER BY doc_id) AS ids FROM documents GROUP BY 1 UNION ALL SELECT source, list(doc_id ORDER BY doc_id) FROM documents GROUP BY 1)
-SELECT group_key, CAST(len(ids) AS BIGINT) AS n, md5(array_to_string(ids, ',')) AS members FROM g""")
+@query("""WITH g AS (SELECT lang AS group_key, doc_id FROM documents UNION ALL SELECT source, doc_id FROM documents) SELECT group_key, doc_id // 1000 AS part, count(*) AS n, md5(array_to_string(list(doc_id ORDER BY doc_id), ',')) AS members FROM g GROUP BY ALL""")
 def cross_reference_lists(spark, sf):
+    """Inverted lists of languages and sources, cut by ranges of a thousand ids: a list of any length has no row of its own."""
     d = table(spark, sf, "documents").select(F.explode(F.array("lang", "source")).alias("group_key"), "doc_id")
-    return d.groupBy("group_key").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").cast("binary")).alias("members"))
+    g = d.groupBy("group_key", F.floor(F.col("doc_id") / 1000).alias("part"))
+    return g.agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").cast("binary")).alias("members"))
+
+
+@query("WITH w AS (SELECT DISTINCT w, p_partkey FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part)) SELECT w AS keyword, count(*) AS n FROM w GROUP BY w HAVING count(*) >= 2")
+def keyword_concepts(spark, sf):
+    """Keywords that at least two rows have."""
+    w = table(spark, sf, "part").select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("keyword"))
+    return w.groupBy("keyword").agg(F.count("*").alias("n")).where("n >= 2")
 
 
 @query("SELECT source, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM documents GROUP BY source")
@@ -258,8 +274,8 @@ SWAP = ED + ", pos AS (SELECT division AS qid, seq, key, is_current, row_number(
 
 
 def _positions(spark, sf):
-    w = Window.partitionBy("division").orderBy("seq")
-    return editions(spark, sf).select(F.col("division").alias("qid"), "seq", "key", "is_current", "designation", "superseded_by", F.row_number().over(w).cast("long").alias("pos"))
+    e = editions(spark, sf).select(F.col("division").alias("qid"), "seq", "key", "is_current", "designation", "superseded_by")
+    return S.numbered(e, "qid", "seq")
 
 
 @query(f"""WITH {SWAP}, m AS (SELECT *, min(pos) FILTER (WHERE is_current) OVER (PARTITION BY qid, key) AS c, min(pos) FILTER (WHERE NOT is_current) OVER (PARTITION BY qid, key) AS s FROM pos)
@@ -309,6 +325,35 @@ def mandatory_overlay(spark, sf):
     return editions(spark, sf).join(m, "key", "left").select("seq", "designation", F.coalesce("m", F.lit(False)).alias("mandatory"))
 
 
+@query(f"""WITH {ED} SELECT split_part(designation, ':', 1) AS base, count(*) AS n, string_agg(designation || ' -> ' || superseded_by, '; ' ORDER BY year, designation, superseded_by) AS chain FROM ed WHERE superseded_by IS NOT NULL GROUP BY 1""")
+def edition_chains(spark, sf):
+    """How the editions of each document followed each other."""
+    return S.chains(editions(spark, sf)).select("base", "n", F.array_join("chain", "; ").alias("chain"))
+
+
+@query(f"WITH {ED} SELECT CAST(min(year) AS BIGINT) AS earliest_year, CAST(max(year) AS BIGINT) AS latest_year, count(*) AS total, count(*) FILTER (WHERE is_current) AS current, count(*) FILTER (WHERE NOT is_current) AS superseded, CAST(floor(avg(year)) AS BIGINT) AS average_year FROM ed")
+def temporal_statistics(spark, sf):
+    return S.temporal_statistics(editions(spark, sf))
+
+
+@query(f"WITH {STD}, q AS (SELECT DISTINCT 'is ' || (o_orderkey % 600 + 1) AS q FROM orders), m AS (SELECT q, min(designation) AS designation FROM q JOIN std ON starts_with(upper(designation), upper(q)) GROUP BY q) SELECT q, designation FROM m")
+def designation_prefix(spark, sf):
+    """The first designation that begins with what was typed."""
+    q = table(spark, sf, "orders").select(F.concat(F.lit("is "), (F.col("o_orderkey") % 600 + 1).cast("string")).alias("q"))
+    return S.by_prefix(q, standards(spark, sf).select("designation"), "q", "designation")
+
+
+SEED = [("IS|269|None|None", "cement"), ("IS|694|None|None", "cables")]
+
+
+@query(f"""WITH {STD} SELECT DISTINCT key, 'merged' AS tier FROM std WHERE part IS NULL AND number % 3 = 0""")
+def mandatory_tiers(spark, sf):
+    """The mandatory list of the best source that has any: scraped, else what merged rows say, else a fixed seed. Nothing was scraped."""
+    scraped = mandatory(spark, sf).where("product is null").select("key")
+    merged = standards(spark, sf).where("part is null and number % 3 = 0").select("key").distinct()
+    return S.first_filled(("scraped", scraped), ("merged", merged), ("seed", spark.createDataFrame(SEED, "key string, product string").select("key")))
+
+
 # ------------------------------------------------------------------ products and compliance
 SECT = "kw(sector, word) AS (VALUES " + ", ".join(f"('{s}', '{w}')" for s, ws in SECTORS.items() for w in ws) + ")"
 SECTOR_SQL = f"{SECT}, sc AS (SELECT p_partkey AS seq, sector, sum(length(word)) AS score FROM part JOIN kw ON contains(lower(p_name), word) GROUP BY ALL), sector AS (SELECT seq, sector, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, sector) AS rn FROM sc) WHERE rn = 1)"
@@ -466,6 +511,31 @@ def vocab_match(spark, sf):
     return w.join(v, F.col("w") == F.lower("name")).select("qid", "name")
 
 
+@query("WITH v AS (SELECT DISTINCT p_type AS name FROM part), q AS (SELECT o_orderkey AS qid, 'show ' || lower(['small', 'LARGE', 'economy-grade', 'none'][o_orderkey % 4 + 1]) || ' and promotions' AS q FROM orders) SELECT qid, name FROM q JOIN v ON contains(lower(q.q), lower(name))")
+def division_match(spark, sf):
+    """Names of divisions anywhere in a query, also inside its words."""
+    v = table(spark, sf, "part").select(F.col("p_type").alias("qid"), F.lower("p_type").alias("q_text")).distinct()
+    word = F.get(F.array(*[F.lit(x) for x in ("small", "LARGE", "economy-grade", "none")]), (F.col("o_orderkey") % 4).cast("int"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lower(F.concat(F.lit("show "), word, F.lit(" and promotions"))).alias("text"))
+    return R.containment(o, v).select(F.col("doc_id").alias("qid"), F.col("qid").alias("name"))
+
+
+ALIASES = TITLED + """, al AS (SELECT DISTINCT regexp_extract(lower(full_title), '^(.*) specification$', 1) AS phrase FROM ro), ds AS (SELECT s_suppkey AS id, 'supply of ' || lower(a.p_name) || 's, 43 grade, with ' || upper(b.p_name) || ' of ' || (s_suppkey % 90) || ' mm and M25' AS d FROM supplier JOIN part a ON a.p_partkey = s_suppkey % 200 JOIN part b ON b.p_partkey = (s_suppkey * 7 + 3) % 200)"""
+
+
+@query(f"""WITH {ALIASES}, h AS (SELECT id, phrase FROM ds JOIN al ON contains(lower(d), phrase) WHERE phrase <> '') SELECT id, phrase, row_number() OVER (PARTITION BY id ORDER BY length(phrase) DESC, phrase) AS place, '43' AS grades, 'm25' AS concrete, CAST(id % 90 AS VARCHAR) AS sizes FROM h""")
+def product_phrase_match(spark, sf):
+    """Product phrases anywhere in free descriptions, the longest first, with the grades and sizes that a description names."""
+    a, b = (table(spark, sf, "part").select(F.col("p_partkey").alias(k), F.col("p_name").alias(n)) for k, n in (("ka", "a"), ("kb", "b")))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 200).alias("ka"), ((F.col("s_suppkey") * 7 + 3) % 200).alias("kb")).join(a, "ka").join(b, "kb")
+    d = s.select("id", F.concat(F.lit("supply of "), F.lower("a"), F.lit("s, 43 grade, with "), F.upper("b"), F.lit(" of "), (F.col("id") % 90).cast("string"), F.lit(" mm and M25")).alias("d"))
+    phrases = titled(spark, sf).select(F.regexp_extract(F.lower("full_title"), "^(.*) specification$", 1).alias("q_text")).where("q_text <> ''").distinct().select(F.col("q_text").alias("qid"), "q_text")
+    hit = R.containment(d.select(F.col("id").alias("doc_id"), F.lower("d").alias("text")), phrases).select(F.col("doc_id").alias("id"), F.col("qid").alias("phrase"))
+    hit = hit.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.length("phrase")), "phrase")).cast("long"))
+    named = S.attributes(F.col("d"))
+    return hit.join(d.select("id", *[F.array_join(named[n], ",").alias(k) for n, k in (("grade", "grades"), ("concrete_grade", "concrete"), ("size", "sizes"))]), "id")
+
+
 STATIC = [("IS 269", "cement", 12), ("IS 1786", "steel", 9), ("IS 694", "cables", 7), ("IS 14543", "water", 5), ("IS 4151", "helmets", 4)]
 
 

@@ -6,10 +6,13 @@ import re
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.designation import find_all
+from ..functions.text import collapse
+
 #: Characters below which a text is of no use.
 USABLE = 25
 _STREAM, _SHOW, _PART = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S), re.compile(rb"\[(.*?)\]\s*TJ|(\((?:\\.|[^\\()])*\))\s*(?:Tj|'|\")", re.S), re.compile(rb"\(((?:\\.|[^\\()])*)\)", re.S)
@@ -35,7 +38,14 @@ def _texts(data: pd.Series) -> pd.Series:
     return data.map(pdf_text)
 
 
-def extract(content: Column, most: int = 20_000) -> Column:
-    """The text of a PDF's bytes; null if there is too little."""
-    t = F.left(_texts(content), F.lit(most))
+def extract(content: Column, most: int | None = None) -> Column:
+    """The text of a PDF's bytes, its first `most` characters if that is given; null if there is too little."""
+    t = _texts(content) if most is None else F.left(_texts(content), F.lit(most))
     return F.when(F.length(t) >= USABLE, t)
+
+
+def queries(pdfs: DataFrame, head: int = 2_000) -> DataFrame:
+    """(path, q_text, designations) of `pdfs` (path, content): the identifiers that the text names, each once, lead the query, as they
+    are exact; then the head of the text. Files without a usable text have no row."""
+    t = pdfs.select("path", extract(F.col("content")).alias("t")).where("t is not null").withColumn("designations", find_all(F.col("t")))
+    return t.select("path", F.concat_ws(" ", F.array_join("designations", " "), F.left(collapse(F.col("t")), F.lit(head))).alias("q_text"), "designations")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import html
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import standards as S
+
 #: Rows that a report shows at most; how many there are is said in it.
 ROWS = 1_000
 
@@ -43,6 +45,29 @@ def write_artifacts(out: str, metrics: DataFrame, failures: DataFrame, missing:
         ablation.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/ablation")
 
 
+def provenance(spark: SparkSession, root: str, documents: int, marker: str = "FIXTURE", least: int = 50) -> dict:
+    """Where data come from: whether a marker file says that they are made up (and what it says), whether there are suspiciously few
+    documents, and so whether figures on them may be certified."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{marker}")
+    made_up = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    detail = "\n".join(r[0] for r in spark.read.text(f"{root}/{marker}").limit(ROWS).collect()) if made_up else ""
+    small = 0 < documents < least
+    return {"fixture": made_up, "detail": detail, "documents": documents, "suspiciously_small": small, "certifiable": not made_up and documents >= least}
+
+
+def write_semantic(out: str, rows: DataFrame) -> None:
+    """Five JSON documents over `rows` (designation, division, committee, year, is_current, superseded_by): category_hierarchy,
+    cross_references, domain_ontology, temporal_index, search_facets. A line for each group, never a whole index in one row."""
+    each = lambda k: rows.groupBy(F.col(k).alias("key")).agg(F.count("*").alias("n"), F.min("year").alias("first_year"), F.max("year").alias("last_year")).withColumn("by", F.lit(k))
+    put = lambda df, name: df.write.mode("overwrite").json(f"{out}/{name}")
+    put(rows.groupBy("division", "committee").agg(F.count("*").alias("n")), "category_hierarchy")
+    put(S.chains(rows), "cross_references")
+    put(rows.groupBy("division").agg(F.count("*").alias("n"), F.countDistinct("committee").alias("committees"), F.sum(F.col("is_current").cast("long")).alias("current")), "domain_ontology")
+    decade = rows.withColumn("decade", (F.floor(F.col("year") / 10) * 10).cast("long"))
+    put(decade.groupBy("decade", "year").agg(F.count("*").alias("n")).join(F.broadcast(S.temporal_statistics(rows).select(F.struct("*").alias("statistics")))), "temporal_index")
+    put(each("division").unionByName(each("committee")), "search_facets")
+
+
 def health(available: DataFrame, standards: DataFrame, least: int = 50) -> DataFrame:
     """One row: datasets present and missing, documents, and whether figures on them may be certified (enough documents)."""
     a = available.agg(F.sum(F.col("present").cast("long")).alias("present"), F.array_sort(F.collect_list(F.when(~F.col("present"), F.col("name")))).alias("missing"))

@@ -1,4 +1,4 @@
-"""The sliding-window limiter on a stream: state is the accepted times of a key, dropped when the key has been silent for a window."""
+"""The sliding-window limiter on a stream: state is the accepted times of a key, dropped when event time is a window past the last."""
 
 from __future__ import annotations
 
@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def limit(requests: DataFrame, most: int = 100, seconds: int = 60) -> DataFrame:
-    """(id, key, accepted) of requests (id long, key string, ts timestamp). Within a micro-batch requests are taken in time order."""
+def limit(requests: DataFrame, most: int = 100, seconds: int = 60, late: str = "1 minute") -> DataFrame:
+    """(id, key, accepted) of requests (id long, key string, ts timestamp). Within a micro-batch requests are taken in time order.
+    State goes by event time: a key is forgotten when the watermark (`late` behind the latest time) is a window past its last
+    accepted request, so results don't depend on when batches run. Requests later than the watermark are dropped."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -25,7 +27,8 @@ def limit(requests: DataFrame, most: int = 100, seconds: int = 60) -> DataFrame:
             if out[-1]:
                 held.append(int(t))
         state.update((held,))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max([*held, int(rows.ts.max().value // 1000)], default=0) // 1000 + seconds * 1000)
         yield pd.DataFrame({"id": rows.id.to_numpy(), "key": key[0], "accepted": out})
 
-    return requests.groupBy("key").applyInPandasWithState(step, "id long, key string, accepted boolean", "held array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = requests.withWatermark("ts", late)
+    return timed.groupBy("key").applyInPandasWithState(step, "id long, key string, accepted boolean", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)

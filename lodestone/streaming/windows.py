@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 
 def _timed(events: DataFrame, late: str) -> DataFrame:
@@ -37,3 +41,39 @@ def append_log(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 def stage_totals(rows: DataFrame) -> DataFrame:
     """Accumulated time of each stage."""
     return rows.groupBy("stage").agg(F.sum("ms").alias("ms"), F.count("*").alias("n"))
+
+
+class Progress(StreamingQueryListener):
+    """Calls back with (rows so far, rows of the batch) after each micro-batch of any query; add it by `spark.streams.addListener`."""
+
+    def __init__(self, on_progress: Callable[[int, int], None]):
+        self.on_progress, self.total = on_progress, 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.total += event.progress.numInputRows
+        self.on_progress(self.total, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+class Stopwatch:
+    """Adds up the time of stages by name: `with watch("sparse"): ...`, as often as a stage runs."""
+
+    def __init__(self, clock: Callable[[], float] = time.perf_counter):
+        self.clock, self.ms, self.n = clock, {}, {}
+
+    @contextmanager
+    def __call__(self, stage: str) -> Iterator[None]:
+        began = self.clock()
+        try:
+            yield
+        finally:
+            self.ms[stage] = self.ms.get(stage, 0.0) + (self.clock() - began) * 1000
+            self.n[stage] = self.n.get(stage, 0) + 1

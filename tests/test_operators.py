@@ -1,8 +1,12 @@
 import datetime as dt
+import io
+import json
 import math
 import time
+import urllib.error
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,7 +66,7 @@ def test_jsonl_and_cases(spark, tmp_path):
     p.write_text('{"a": 1}\n\n[1]\n{"a": 2}\n')
     assert sorted(r.a for r in files.read_jsonl(spark, str(p), "a int").collect()) == [1, 2]
     p.write_text('{"a": 1}\n{"a": \n')
-    with pytest.raises(files.BadRecord):
+    with pytest.raises(files.BadRecord, match=r"a\.jsonl:2: "):
         files.read_jsonl(spark, str(p), "a int")
     p.write_text('# note\n{"id": "x", "query": "q"}\n{"id": "x", "query": "r"}\n')
     with pytest.raises(files.BadRecord):
@@ -112,6 +116,180 @@ def test_retry_delay():
     assert rest.delay(0, after="7") == 7 and rest.delay(9, most=60, after="x") <= 75 and rest.delay(1, jitter=0) == 2
 
 
+class Web:
+    """Answers in a row: bytes, (bytes, tag), a status, or an error; what was asked is kept."""
+
+    def __init__(self, *answers):
+        self.answers, self.asked, self.slept, self.now = list(answers), [], [], 0.0
+
+    def open_(self, request, timeout):
+        self.asked.append((request.full_url, request.get_header("If-none-match"), timeout))
+        a = self.answers.pop(0)
+        if isinstance(a, Exception):
+            raise a
+        if isinstance(a, int):
+            raise urllib.error.HTTPError(request.full_url, a, "status", {"Retry-After": "3"} if a == 429 else {}, None)
+        body, tag = a if isinstance(a, tuple) else (a, None)
+        reply = io.BytesIO(body)
+        reply.headers = {"ETag": tag} if tag else {}
+        return reply
+
+    def sleep(self, s):
+        self.slept.append(s)
+        self.now += s
+
+    def client(self, **o):
+        return rest.Client(open_=self.open_, sleep=self.sleep, clock=lambda: self.now, **o)
+
+
+def test_connection_errors_are_tried_again():
+    w = Web(urllib.error.URLError("refused"), TimeoutError(), ConnectionResetError(), b"ok")
+    assert w.client(timeout=5).get("http://x/") == b"ok" and len(w.slept) == 3 and {a[2] for a in w.asked} == {5}
+    w = Web(429, b"ok")
+    assert w.client().get("http://x/") == b"ok" and w.slept == [3]
+    for answers, error in (([404], urllib.error.HTTPError), ([urllib.error.URLError("no")] * 2, urllib.error.URLError), ([503] * 2, urllib.error.HTTPError)):
+        with pytest.raises(error):
+            Web(*answers).client(tries=2).get("http://x/")
+
+
+def test_requests_are_spaced():
+    w = Web(b"a", b"b")
+    c = w.client(interval=2)
+    assert (c.get("http://x/"), c.get("http://x/")) == (b"a", b"b") and w.slept == [2]
+
+
+def test_bodies_are_revalidated(tmp_path):
+    w = Web((b"one", '"t1"'), 304, (b"two", '"t2"'), 304, b"other")
+    c = w.client(cache=str(tmp_path))
+    assert [c.get("http://x/", {"b": 1, "a": 2}) for _ in range(4)] == [b"one", b"one", b"two", b"two"]
+    assert [a[1] for a in w.asked] == [None, '"t1"', '"t1"', '"t2"'] and w.asked[0][0] == "http://x/?b=1&a=2"
+    assert c.get("http://x/", {"b": 2}) == b"other" and w.asked[-1][1] is None
+
+
+def test_dead_pages_do_not_stop_the_others(spark, tmp_path):
+    (tmp_path / "a.html").write_text("<p>1</p><p>2</p>")
+    urls = spark.createDataFrame([(f"file://{tmp_path}/a.html",), (f"file://{tmp_path}/none.html",), ("strange",)], "url string")
+    got = {r.url.rpartition("/")[2]: (r.body, bool(r.error)) for r in rest.read_urls(urls, rest.Client(tries=1)).collect()}
+    assert got == {"a.html": (b"<p>1</p><p>2</p>", False), "none.html": (None, True), "strange": (None, True)}
+    pages = rest.read_urls(urls, rest.Client(tries=1))
+    rows = rest.extract_pages(pages, lambda body: ({"n": int(x)} for x in body.decode().replace("<p>", "").split("</p>") if x), "n int")
+    assert sorted(r.n for r in rows.collect()) == [1, 2]
+
+
+def test_column_by_headings(spark):
+    heads = [["Sl No", "IS No"], ["a", "the is no of it"], ["Product", "Standard"], ["Remarks", "Anything"], ["Product", ""], []]
+    d = spark.createDataFrame([(i, h) for i, h in enumerate(heads)], "i int, h array<string>")
+    assert [r[0] for r in d.orderBy("i").select(rest.infer_column(F.col("h"))).collect()] == [1, 1, 1, 1, None, None]
+
+
+def test_documents_tables_and_arrays(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"a": 1, "more": 2},\n {"a": null}]')
+    assert [r.a for r in files.read_json(spark, str(tmp_path / "a.json"), "a int").collect()] == [1, None]
+    (tmp_path / "a.csv").write_text('a,b,c\n1,NaN,"x ""y"""\n ,2.5,z\n')
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "a.csv"), "b double, a int, c string, d int").collect()] == [(None, 1, 'x "y"', None), (2.5, None, "z", None)]
+    d = spark.createDataFrame([(1, 'say "hi"', ["p", "q"]), (2, None, None)], "i int, t string, l array<string>").coalesce(1)
+    files.write_json_arrays(d, str(tmp_path / "arrays"))
+    files.write_json_arrays(d.limit(0), str(tmp_path / "none"))
+    read = lambda n: [json.loads(f.read_text()) for f in sorted((tmp_path / n).glob("part-*")) if f.stat().st_size]
+    assert read("arrays") == [[{"i": 1, "t": 'say "hi"', "l": ["p", "q"]}, {"i": 2, "t": None, "l": None}]] and not any(read("none"))
+    files.write_csv(d, str(tmp_path / "csv"), F.col("i") == 1, ["t", "l"])
+    assert [f.read_text() for f in (tmp_path / "csv").glob("part-*") if f.stat().st_size] == ['"t","l"\n"say ""hi""","p; q"\n']
+
+
+def test_questions_from_pdfs(spark):
+    stream = lambda t: b"%PDF-1.4\nstream\n(" + t + b") Tj\nendstream"
+    d = spark.createDataFrame([("a", stream(b"Pumps to IS 8123:1987 and IS 77, as in IS 8123:1987, for water")), ("b", b"")], "path string, content binary")
+    got = pdf.queries(d, 21).collect()
+    assert [(r.path, r.designations, r.q_text) for r in got] == [("a", ["IS 8123:1987", "IS 77"], "IS 8123:1987 IS 77 Pumps to IS 8123:1987")]
+
+
+def test_predicates_of_questions(spark):
+    w = standards.where_of
+    assert w() is None and w(year_from=1990, year_to=1990) == {"year": 1990}
+    both = w(["A"], ["C 1"], True, 1980, 1990)
+    assert both == {"$and": [{"division": {"$in": ["A"]}}, {"committee": {"$in": ["C 1"]}}, {"is_current": True}, {"year": {"$gte": 1980}}, {"year": {"$lte": 1990}}]}
+    assert standards.constrains(both, "year") and not standards.constrains(w(["A"]), "year") and not standards.constrains(None, "year")
+    assert standards.constrains({"$or": [{"a": 1}, {"$and": [{"year": 2}]}]}, "year")
+    d = spark.createDataFrame([(1, "A", "C 1", True, 1985), (2, "A", "C 1", True, 1995), (3, "B", "C 1", True, 1985)], "i int, division string, committee string, is_current boolean, year int")
+    assert [r.i for r in d.where(standards.matches(both)).collect()] == [1]
+
+
+def test_tiers_prefixes_and_places(spark):
+    a, none = spark.createDataFrame([(1,)], "i int"), spark.createDataFrame([], "i int")
+    assert [r.tier for r in standards.first_filled(("x", none), ("y", a), ("z", a)).collect()] == ["y"]
+    assert standards.first_filled(("x", none), ("y", none)).count() == 0
+    d = spark.createDataFrame([("IS 45:1",), ("IS 4:2",), ("is 450",), (None,), ("",)], "n string")
+    q = spark.createDataFrame([("is 4",), ("IS 45",), ("IS 9",), (None,)], "q string")
+    assert sorted(tuple(r) for r in standards.by_prefix(q, d, "q", "n").collect()) == [("IS 45", "IS 45:1"), ("is 4", "IS 45:1")]
+    n = spark.createDataFrame([(k, 7 * i % 101) for k in "ab" for i in range(100)], "k string, o long")
+    assert all(r.pos == sorted(7 * i % 101 for i in range(100)).index(r.o) + 1 for r in standards.numbered(n, "k", "o", width=10).collect())
+
+
+def test_percentiles_are_exact(spark):
+    from lodestone.operators import evaluate
+
+    rng = np.random.default_rng(2)
+    values = {"a": rng.normal(size=500), "b": np.full(40, 3.0), "c": np.array([5.0]), "d": np.append(np.zeros(300), rng.random(7))}
+    d = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("e", None)], "k string, v double")
+    for bins in (1024, 3):
+        got = {(r.k, r.share): r.value for r in evaluate.percentiles(d, "k", "v", [0.0, 0.5, 0.95, 1.0], bins).collect()}
+        assert got == {(k, p): pytest.approx(np.quantile(v, p)) for k, v in values.items() for p in (0.0, 0.5, 0.95, 1.0)}
+
+
+def test_embedders_and_rerankers(spark):
+    from lodestone.operators import embed
+
+    d = spark.createDataFrame([(1, "abc"), (2, None)], "i int, t string")
+    own = embed.FunctionEmbedder(lambda ts: [[len(t), 1.0] for t in ts], 2)
+    assert [r[0] for r in d.orderBy("i").select(embed.embed(F.col("t"), own, batch=1)).collect()] == [[3.0, 1.0], [0.0, 1.0]]
+    w = Web(503, ConnectionResetError(), json.dumps({"data": [{"embedding": [1, 2]}]}).encode())
+    api = embed.HttpEmbedder("http://x/", "m", 2, query_prefix="query: ", open_=w.open_, sleep=w.sleep)
+    assert api.encode(["a"], True).tolist() == [[1.0, 2.0]] and len(w.slept) == 2
+    with pytest.raises(ValueError):
+        embed.HttpEmbedder("http://x/", "m", 3, open_=Web(json.dumps({"data": [{"embedding": [1, 2]}]}).encode()).open_).encode(["a"], False)
+    r = spark.createDataFrame([(1, "q", i, "x" * i, i) for i in range(1, 5)], "qid int, q_text string, doc_id long, text string, rank int")
+    got = embed.rerank_with(r, lambda q, ts: [float(-len(t)) for t in ts], head=3)
+    assert sorted((x.doc_id, x.rerank) for x in got.collect() if x.rerank is not None) == [(1, -1.0), (2, -2.0), (3, -3.0)] and got.count() == 4
+
+
+def test_index_is_opened_again_and_verified(spark, tmp_path):
+    from lodestone.operators import index
+
+    d = spark.createDataFrame([(i, [f"w{i % 5}", "x"]) for i in range(20)], "doc_id long, tokens array<string>")
+    q = spark.createDataFrame([(1, ["w3"])], "qid long, tokens array<string>")
+    a = index.build(d)
+    b = index.load(spark, a.where)
+    rows = lambda x: sorted(map(tuple, x.probe(q).collect()))
+    assert rows(a) == rows(b) and len(rows(a)) == 4
+    probes = spark.createDataFrame([(1, ["w3"], 3), (2, ["w3"], 4)], "qid long, tokens array<string>, expected long")
+    assert {r.qid: r.found for r in index.verify(a, probes).collect()} == {1: True, 2: False}
+    (tmp_path / "vectors.jsonl").write_text('{"id": 1, "embedding": [0.5]}\n')
+    assert index.detect(spark, str(tmp_path)) == "json" and index.open_vectors(spark, str(tmp_path)).first().embedding == [0.5]
+    with pytest.raises(FileNotFoundError):
+        index.detect(spark, str(tmp_path / "none"))
+
+
+def test_semantic_documents_and_provenance(spark, tmp_path):
+    from lodestone.sources import reports
+
+    d = spark.createDataFrame([("IS 1:1990", "D", "C 1", 1990, False, "IS 1:2000"), ("IS 1:2000", "D", "C 1", 2000, True, None)], "designation string, division string, committee string, year int, is_current boolean, superseded_by string")
+    reports.write_semantic(str(tmp_path / "s"), d)
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == ["category_hierarchy", "cross_references", "domain_ontology", "search_facets", "temporal_index"]
+    assert spark.read.json(str(tmp_path / "s" / "cross_references")).first().chain == ["IS 1:1990 -> IS 1:2000"]
+    assert reports.provenance(spark, str(tmp_path), 60)["certifiable"] and reports.provenance(spark, str(tmp_path), 9)["suspiciously_small"]
+    (tmp_path / "FIXTURE").write_text("made up")
+    assert reports.provenance(spark, str(tmp_path), 60)["detail"] == "made up" and not reports.provenance(spark, str(tmp_path), 60)["certifiable"]
+
+
+def test_stopwatch_adds_up():
+    t = iter([0.0, 0.5, 1.0, 1.25])
+    watch = windows.Stopwatch(lambda: next(t))
+    for _ in range(2):
+        with watch("a"):
+            pass
+    assert watch.ms == {"a": 750.0} and watch.n == {"a": 2}
+
+
 def test_pdf_text():
     import zlib
 
