@@ -106,8 +106,8 @@ def of_identifier(c: Column, start: str = "gov.in.is.") -> Column:
 
 def find_all(c: Column) -> Column:
     """All identifiers in a text, in order, each once; those that contradict themselves are left out."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(SCAN), F.lit(0)), F.trim)
-    return F.array_distinct(F.filter(F.transform(found, lambda m: render(parse(m))), lambda x: x.isNotNull()))
+    found = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(SCAN), F.lit(0)), lambda m: F.trim(m))  # by itself, trim would take the position as what to trim
+    return F.array_distinct(F.array_compact(F.transform(F.transform(found, parse), render)))
 
 
 def scrape(c: Column) -> Column:

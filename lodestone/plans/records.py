@@ -196,10 +196,12 @@ def json_props(spark, sf):
     return e.select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"), F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))).alias("doc"))
 
 
-@query(None)
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+g AS (SELECT event_id, user_id, rn, true AS accepted, [t] AS held FROM e WHERE rn = 1 UNION ALL SELECT event_id, user_id, rn, len(h) < 3, CASE WHEN len(h) < 3 THEN list_append(h, t) ELSE h END FROM (SELECT e.*, list_filter(g.held, lambda x: x > e.t - 86400000000) AS h FROM g JOIN e ON e.user_id = g.user_id AND e.rn = g.rn + 1))
+SELECT event_id, user_id, accepted FROM g""")
 def rate_limit(spark, sf):
-    """Accepted or denied, event by event: at most 3 accepted in any 600 s of a user."""
-    return limiter.limit(table(spark, sf, "events"), "user_id", "ts", "event_id", most=3, seconds=600)
+    """Accepted or denied, event by event: at most 3 accepted in any day of a user, which denies a quarter."""
+    return limiter.limit(table(spark, sf, "events"), "user_id", "ts", "event_id", most=3, seconds=86_400)
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -185,7 +185,7 @@ def identifier_parse(spark, sf):
     return d.select("seq", "ident", F.col("d.number"), F.col("d.part"), F.col("d.year"))
 
 
-@query(None)
+@query(f"WITH {PARSED} SELECT seq, CASE WHEN number IS NULL OR {RENDER} || coalesce(':' || year, '') = 'IS 456:2000' THEN '' ELSE {RENDER} || coalesce(':' || year, '') || '; ' END || 'IS 456:2000; SP 7:2026' AS refs FROM pd")
 def find_all_refs(spark, sf):
     t = spellings(spark, sf).withColumn("body", F.concat(F.lit("see "), F.col("spelling"), F.lit(", and IS 456:2000; also SP 7 : 2026.")))
     return t.select("seq", F.array_join(D.find_all(F.col("body")), "; ").alias("refs"))

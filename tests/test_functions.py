@@ -34,6 +34,7 @@ def test_identifiers_and_yearless(spark):
 
 def test_find_all(spark):
     assert column(spark, ["see IS 8123:1987, IS 77 (Part 1) and IS 8123:1987; IS x", None], D.find_all) == [["IS 8123:1987", "IS 77 (Part 1)"], []]
+    assert column(spark, ["IS 456:2000; IS 11:2011, IS 3:1972 (Reaffirmed 2002)", "IS 90"], D.find_all) == [["IS 456:2000", "IS 11:2011", "IS 3:1972 (Reaffirmed 2002)"], ["IS 90"]]
     assert column(spark, ["IS 12:1990 IS  7 (Part 3):2001, this 4:1999, IS 5:20", None], D.scrape) == [["IS 12:1990", "IS 7:2001"], []]
 
 
