@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import phrases as P
 
 K1, B = 1.5, 0.75
 #: Queries that one broadcast carries at most; more are searched block by block.
@@ -141,7 +142,7 @@ def pack_context(rows: DataFrame, context: str, order: list[str], size: str, bud
 def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(qid, doc_id) where a document's text holds an item's text. Only (document, word) rows are joined, on the item's longest
     inner word; texts are fetched for the few documents that have it. Items without an inner word, and so of two words at most,
-    are looked for in all documents, in blocks of a checked number."""
+    are looked for in all documents by one automaton. An empty item is in nothing."""
     w = F.slice(X.words(F.col("q_text")), 2, F.greatest(F.size(X.words(F.col("q_text"))) - 2, F.lit(0)))
     longest = F.element_at(F.array_sort(F.transform(w, lambda x: F.struct(F.length(x).alias("n"), x.alias("w")))), -1)["w"]
     keyed = items.select("qid", "q_text", F.when(F.size(w) > 0, longest).alias("key"))
@@ -150,8 +151,6 @@ def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
     at = docs.select("doc_id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("key")).join(small(by_key.select("key", "qid"), ITEM_BLOCK), "key")
     near = at.select("doc_id", "qid").join(small(by_key.select("qid", "q_text"), QUERY_BLOCK), "qid")
     hit = docs.select("doc_id", "text").join(near, "doc_id").where(F.contains("text", "q_text")).select("qid", "doc_id")
-    short = keyed.where("key is null and q_text is not null").select("qid", "q_text")
-    for i in range(blocks := math.ceil(short.count() / QUERY_BLOCK)):
-        part = F.broadcast(short.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i))
-        hit = hit.union(docs.join(part, F.contains("text", "q_text")).select("qid", "doc_id"))
-    return hit
+    short = keyed.where("key is null and q_text <> ''").select("qid", "q_text")
+    found = P.find(docs, short, phrase_col="q_text")
+    return hit.union(found.join(short, found["phrase"] == short["q_text"]).select("qid", F.col("doc").alias("doc_id")))

@@ -105,12 +105,10 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lexical(spark, sf) -> DataFrame:
-    """(leg, qid, doc_id, score, rank, coverage) of the two term legs, 50 of each; both scores come from one probe of the index."""
-    p = index(spark, sf).probe(questions(spark, sf))
-    each = p.select("qid", "doc_id", "coverage", F.explode(F.array(F.struct(F.lit("bm25").alias("leg"), F.col("bm25").alias("score")), F.struct(F.lit("tfidf").alias("leg"), F.col("tfidf").alias("score")))).alias("x"))
-    each = each.select("x.leg", "qid", "doc_id", "x.score", "coverage").where(F.col("score").isNotNull() & ((F.col("leg") == "bm25") | (F.round("score", 6) > 0.05)))
-    w = Window.partitionBy("leg", "qid").orderBy(F.round("score", 6).desc(), "doc_id")
-    return each.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 50")
+    """(leg, qid, doc_id, score, rank, coverage) of the two term legs, 50 of each."""
+    me, q = index(spark, sf), questions(spark, sf)
+    one = lambda leg, floor: me.search(q, 50, leg, floor).select(F.lit(leg).alias("leg"), "qid", "doc_id", "score", "coverage", "rank")
+    return one("bm25", None).unionByName(one("tfidf", 0.05))
 
 
 def declines(spark, sf, lex: DataFrame) -> DataFrame:
@@ -195,7 +193,7 @@ def vocab_idf(spark, sf):
 
 @query(f"WITH {BM} SELECT qid, doc_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 10")
 def bm25_topk(spark, sf):
-    return lexical(spark, sf).where("leg = 'bm25' and rank <= 10").select("qid", "doc_id", r6("score"), "rank")
+    return index(spark, sf).search(questions(spark, sf), 10).select("qid", "doc_id", r6("score"), "rank")
 
 
 @query(f"WITH {BM} SELECT qid, count(*) AS n_docs, round(sum(score), 3) AS total, round(max(score), 6) AS best FROM bm GROUP BY qid")
@@ -206,7 +204,7 @@ def term_score_sum(spark, sf):
 
 @query(f"WITH {TF} SELECT qid, doc_id, round(score, 6) AS score, rank FROM tfr WHERE rank <= 10")
 def tfidf_topk(spark, sf):
-    return lexical(spark, sf).where("leg = 'tfidf' and rank <= 10").select("qid", "doc_id", r6("score"), "rank")
+    return index(spark, sf).search(questions(spark, sf), 10, "tfidf", 0.05).select("qid", "doc_id", r6("score"), "rank")
 
 
 @query(f"WITH {RRF} SELECT qid, doc_id, round(score, 6) AS score, legs, rank FROM fr")
@@ -236,7 +234,7 @@ def hybrid_search(spark, sf):
 
 @query(f"WITH {BM} SELECT qid, doc_id, round(greatest(0, least(1, score / max(score) OVER (PARTITION BY qid))), 6) AS strength FROM bmr WHERE rank <= 10")
 def match_strength(spark, sf):
-    t = lexical(spark, sf).where("leg = 'bm25' and rank <= 10")
+    t = index(spark, sf).search(questions(spark, sf), 10)
     return t.select("qid", "doc_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") / F.max("score").over(Window.partitionBy("qid")))), 6).alias("strength"))
 
 
