@@ -8,6 +8,7 @@ import math
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,11 +19,10 @@ from .retrieval import B, K1, top
 #: Postings in a bucket, on average; features of queries that one broadcast carries at most.
 BUCKET_ROWS, FEATURE_BLOCK = 2_000_000, 500_000
 #: Documents of a block; the terms, by falling frequency, whose statistics a build broadcasts.
-BLOCK_DOCS, FREQUENT = 64, 50_000
-#: Slots that a scan names one by one, so that other buckets aren't read; more are nearly all of them anyway.
-NAMED_SLOTS = 20_000
-#: Blocks of each query that are scored first, to learn what the k-th best result is worth at least.
-SEEDS = 4
+BLOCK_DOCS, FREQUENT = 16, 50_000
+#: Slots that a scan names one by one, so that other buckets aren't read: so many at most, and so many for each bucket, as with
+#: more nearly all buckets are read anyway.
+NAMED_SLOTS, SLOTS_A_BUCKET = 20_000, 3
 #: Scores are compared after rounding to six places: what a bound may lack.
 SLACK = 2e-6
 
@@ -61,15 +61,16 @@ class Index:
     vector), `vocab` (f, df, idf, tf_idf, shards; f is a term, or two neighbours joined by `_`), `stats` (n, avgdl), and the
     bucketed postings of single terms and of neighbours, `words` and `pairs`.
 
-    A row of postings is a block: what one term has in up to 64 documents that stand together in the order of the fields, so
+    A row of postings is a block: what one term has in up to 16 documents that stand together in the order of the fields, so
     that they score alike. It holds `hits` (doc_id, tf, bm: the BM25 part of one query term, tv: the TF-IDF weight over the
-    vector's length) and the largest `bm` and `tv` of them. Blocks are bucketed by `slot`: the term, and for frequent terms
+    vector's length) and the largest `bm` and `tv` of them, with the documents they stand in. Blocks are bucketed by `slot`: the term, and for frequent terms
     one of several shards, so that a probe reads the buckets of its terms only and no bucket grows with a single term.
     """
 
     spark: SparkSession
     where: str
     table: str
+    buckets: int = 0
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.where}/{name}")
@@ -106,18 +107,26 @@ class Index:
         lens = w.groupBy("qid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"), F.sum("key").alias("keys"))
         return w.join(lens, "qid").select("qid", "f", "qn", (F.col("w") / F.col("len")).alias("qw"), F.when(F.col("keys") > 0, F.col("key") / F.col("keys")).otherwise(0.0).alias("part"), "shards")
 
-    def _asked(self, queries: DataFrame, pairs: bool) -> list[tuple[DataFrame, DataFrame]]:
-        """Features (with `slot`) of queries as local rows, in parts of a checked size, each with the blocks of their buckets."""
+    def ask(self, queries: DataFrame) -> list[pa.Table]:
+        """The features of queries (qid, tokens) as local rows with `slot`, in parts of a checked size: what `search` starts from, for
+        several searches of the same queries."""
         most = queries.agg(F.sum(F.size("tokens") * 2)).first()[0] or 0  # no fewer than there are features
         parts, out = max(1, math.ceil(most / FEATURE_BLOCK)), []
         for i in range(parts):
             own = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i)
             f = self.features(own, True).where("shards is not null")
-            f = f if pairs else f.where("qn > 0")
-            rows = f.withColumn("slot", F.explode(_slots(F.col("f"), F.col("shards")))).drop("shards").toArrow()  # FEATURE_BLOCK rows, and shards
+            out.append(f.withColumn("slot", F.explode(_slots(F.col("f"), F.col("shards")))).drop("shards").toArrow())  # FEATURE_BLOCK rows, and shards
+        return out
+
+    def _asked(self, queries: DataFrame | list[pa.Table], pairs: bool) -> list[tuple[DataFrame, DataFrame]]:
+        """Features as frames, each with the blocks of its buckets."""
+        out = []
+        for rows in queries if isinstance(queries, list) else self.ask(queries):
+            rows = rows if pairs else rows.filter(pc.greater(rows.column("qn"), 0))
             names = pc.unique(rows.column("slot")).to_pylist()
             blocks = self.blocks(pairs)
-            out.append((self.spark.createDataFrame(rows), blocks.where(F.col("slot").isin(names)) if len(names) <= NAMED_SLOTS else blocks))
+            few = len(names) <= min(NAMED_SLOTS, SLOTS_A_BUCKET * self.buckets)
+            out.append((self.spark.createDataFrame(rows), blocks.where(F.col("slot").isin(names)) if few else blocks))
         return out
 
     def probe(self, queries: DataFrame) -> DataFrame:
@@ -129,24 +138,30 @@ class Index:
             out = got if out is None else out.union(got)
         return out
 
-    def search(self, queries: DataFrame, k: int, by: str = "bm25", floor: float | None = None) -> DataFrame:
+    def search(self, queries: DataFrame | list[pa.Table], k: int, by: str = "bm25", floor: float | None = None) -> DataFrame:
         """(qid, doc_id, score, coverage, rank): the k best of `probe` by "bm25" or "tfidf", of those above `floor`.
 
         Blocks are bounded before they are opened: a document of a block scores at most the sum of its terms' largest values
-        there. The blocks of the highest bounds are scored first; the k-th best of them is what the others' bounds must
-        reach. Bounds read four columns, and only hits of blocks that are left are opened. BM25 reads single terms only.
+        there. And a document in which some of these values stand scores at least their sum; the k-th best of such sums is
+        what a block's bound must reach. Both read a few columns; hits are opened once, of the blocks that are left. BM25
+        reads single terms only. `queries`: a frame (qid, tokens), or what `ask` made of one.
         """
-        weight, most = {"bm25": ("qn", "bm_max"), "tfidf": ("qw", "tv_max")}[by]
+        weight, most, best = {"bm25": ("qn", "bm_max", "bm_doc"), "tfidf": ("qw", "tv_max", "tv_doc")}[by]
         out = None
         for f, blocks in self._asked(queries, by == "tfidf"):
             asked = F.broadcast(f)
-            bound = blocks.select("slot", "block", most).join(asked.select("slot", "qid", weight), "slot").groupBy("qid", "block").agg(F.sum(F.col(weight) * F.col(most)).alias("bound"))
-            bound = bound if floor is None else bound.where(F.col("bound") > floor - SLACK)
-            first = bound.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bound"), "block"))).where(F.col("nth") <= SEEDS).select("qid", "block")
-            opened = lambda some: _scored(blocks.join(asked, "slot").join(some, ["qid", "block"], "left_semi"))  # noqa: E731, B023
-            least = top(opened(first).withColumn("score", F.col(by)).where("score is not null"), k).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
-            left = bound.join(least, "qid", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK)).select("qid", "block")
-            got = opened(left).withColumn("score", F.col(by)).where(F.col("score").isNotNull() & (F.lit(True) if floor is None else F.round("score", 6) > floor))
+            parts = blocks.select("slot", "block", most, F.col(best).alias("best")).join(asked.select("slot", "qid", weight), "slot")
+            parts = _checkpoint(parts.groupBy("qid", "block", "best").agg(F.sum(F.col(weight) * F.col(most)).alias("score")))
+            least = top(parts.withColumn("doc_id", F.col("best")), k).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
+            bound = parts.groupBy("qid", "block").agg(F.sum("score").alias("bound")).join(least, "qid", "left")
+            left = bound.where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - SLACK)
+            left = (left if floor is None else left.where(F.col("bound") > floor - SLACK)).select("qid", "block")
+            if parts.count() <= FEATURE_BLOCK:  # no fewer than blocks
+                got = blocks.join(asked, "slot").join(F.broadcast(left), ["qid", "block"], "left_semi")
+            else:  # no hits move for a query
+                pairs = blocks.select("slot", "block").join(asked, "slot").join(left, ["qid", "block"], "left_semi")
+                got = blocks.select("slot", "block", "hits").join(pairs, ["slot", "block"])
+            got = _scored(got).withColumn("score", F.col(by)).where(F.col("score").isNotNull() & (F.lit(True) if floor is None else F.round("score", 6) > floor))
             got = top(got, k).select("qid", "doc_id", "score", "coverage", "rank")
             out = got if out is None else out.union(got)
         return out
@@ -183,6 +198,20 @@ def _files(df: DataFrame) -> list[str]:
     return out
 
 
+def _largest(name: str) -> list[Column]:
+    """The largest value of the hits and the document it is in, the first of several."""
+    one = F.array_max(F.transform("hits", lambda h: F.struct(h[name].alias("v"), (-h["doc_id"]).alias("d"))))
+    return [one["v"].alias(f"{name}_max"), (-one["d"]).alias(f"{name}_doc")]
+
+
+def _checkpoint(df: DataFrame) -> DataFrame:
+    """Written to the shared folder, so that what is used twice is worked out once."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession).rpartition("/")[0])
+    return df.checkpoint()
+
+
 def _slots(f: Column, shards: Column) -> Column:
     return F.when(shards == 1, F.array(f)).otherwise(F.transform(F.sequence(F.lit(0), shards - 1), lambda i: F.concat_ws("#", f, i.cast("string"))))
 
@@ -237,8 +266,9 @@ def weigh(tokens: DataFrame, counts: DataFrame, where: str, order: list[str] = [
     for kind, one in (("words", True), ("pairs", False)):
         made[kind] = max(spark.sparkContext.defaultParallelism, math.ceil(sizes.get(one, 0) / per_bucket))
         rows = final.where(F.col("one") == one).repartition(made[kind], "slot").groupBy("slot", "f", "block").agg(F.array_sort(F.collect_list("h")).alias("hits"))
-        rows = rows.select("slot", "f", "block", F.array_max("hits.bm").alias("bm_max"), F.array_max("hits.tv").alias("tv_max"), "hits")
+        rows = rows.select("slot", "f", "block", *_largest("bm"), *_largest("tv"), "hits")
         rows.write.option("path", f"{where}/{kind}").bucketBy(made[kind], "slot").sortBy("slot", "block").saveAsTable(f"{me.table}_{kind}")
+    me.buckets = sum(made.values())
     spark.createDataFrame([(made["words"], made["pairs"])], "words int, pairs int").coalesce(1).write.mode("overwrite").json(f"{where}/meta")
     for name in ("weighed", "placed"):
         _remove(spark, f"{where}/{name}")
@@ -283,7 +313,7 @@ def _remove(spark: SparkSession, where: str) -> None:
 def load(spark: SparkSession, where: str) -> Index:
     """An index that was built before, by this application or another."""
     buckets = spark.read.schema("words int, pairs int").json(f"{where}/meta").first()
-    me = Index(spark, where, f"lodestone_{uuid.uuid4().hex}")
+    me = Index(spark, where, f"lodestone_{uuid.uuid4().hex}", sum(buckets))
     for kind in ("words", "pairs"):
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(f"{where}/{kind}").schema.fields)
         spark.sql(f"CREATE TABLE {me.table}_{kind} ({columns}) USING parquet CLUSTERED BY (slot) SORTED BY (slot, block) INTO {int(buckets[kind])} BUCKETS LOCATION '{where}/{kind}'")

@@ -11,12 +11,15 @@ from ..operators import answers as A
 from ..operators import evaluate as E
 from ..operators import index as I
 from ..operators import retrieval as R
+from ..operators import vectors as VX
 from .standards import table
 
 QUERIES, SQL = {}, {}
 FIELDS = {"source": 3.0, "lang": 2.0}
 #: What a vector must score to be a result; the share of a query's keywords, by idf, that some result must have.
 DENSE_FLOOR, COVERAGE_FLOOR = 0.2, 0.2
+#: Queries that the vector index is calibrated with.
+CALIBRATED = 200
 #: The legs and how they are joined, whether results are reranked: configurations that are compared.
 CONFIGS = {
     "tfidf_only": (["tfidf"], "rrf", False),
@@ -106,7 +109,8 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 def lexical(spark, sf) -> DataFrame:
     """(leg, qid, doc_id, score, rank, coverage) of the two term legs, 50 of each."""
-    me, q = index(spark, sf), questions(spark, sf)
+    me = index(spark, sf)
+    q = me.ask(questions(spark, sf))
     one = lambda leg, floor: me.search(q, 50, leg, floor).select(F.lit(leg).alias("leg"), "qid", "doc_id", "score", "coverage", "rank")
     return one("bm25", None).unionByName(one("tfidf", 0.05))
 
@@ -265,6 +269,25 @@ def dense_topk(spark, sf):
     return R.dense(e, q, 10).select("qid", "vec_id", r6("score"), "rank")
 
 
+def vector_index(spark: SparkSession, sf: str) -> VX.VectorIndex:
+    """The stored vectors in lists, with as many probes as the recall on their own queries asks for; once for the application."""
+
+    def make() -> VX.VectorIndex:
+        e = table(spark, sf, "embeddings")
+        me = VX.build(e, ["label"])
+        me.calibrate(e.where("vec_id % 100 = 0").orderBy("vec_id").limit(CALIBRATED).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")))
+        return me
+
+    return I.opened((spark.sparkContext.applicationId, "vectors", sf, I.state(spark, f"{sf}/embeddings.parquet")), make)
+
+
+@query(None)
+def ivf_topk(spark, sf):
+    """The ten nearest vectors by the inverted file, of those whose id is divisible by 100 against all; recall is held by a test."""
+    q = table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    return vector_index(spark, sf).search(q, 10).select("qid", "vec_id", r6("score"), "rank")
+
+
 @query("WITH q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT qid, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS score FROM embeddings JOIN q ON vec_id <> qid WHERE label IN (1, 2)) SELECT qid, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, vec_id) AS rank FROM s) WHERE rank <= 10")
 def dense_filtered_topk(spark, sf):
     from ..operators.standards import matches

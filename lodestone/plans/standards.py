@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import designation as D
 from ..functions import text as X
 from ..functions import values as V
+from ..operators import overlap as O
 from ..operators import retrieval as R
 from ..operators import standards as S
 
@@ -375,16 +376,35 @@ def sector_detect(spark, sf):
 PTOK = "list_transform(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda t: CASE WHEN length(t) > 4 AND t LIKE '%s' AND NOT t LIKE '%ss' THEN left(t, length(t) - 1) ELSE t END)"
 
 
-@query(f"""WITH e AS (SELECT DISTINCT p_type || ' ' || p_name AS product FROM part), ew AS (SELECT DISTINCT product, unnest({PTOK.format(x='product')}) AS w FROM e), q AS (SELECT DISTINCT p_name AS q FROM part), qw AS (SELECT DISTINCT q, w FROM (SELECT q, unnest({PTOK.format(x='q')}) AS w FROM q) WHERE length(w) > 3 OR regexp_matches(w, '^[0-9]+$')),
-s AS (SELECT q, product, count(*) AS overlap FROM qw JOIN ew USING (w) GROUP BY ALL) SELECT q, product, overlap, rn FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY overlap DESC, product) AS rn FROM s) WHERE rn <= 5""")
-def product_match(spark, sf):
+PROD = f"""e AS (SELECT DISTINCT p_type || ' ' || p_name AS product FROM part), ew AS (SELECT DISTINCT product, unnest({PTOK.format(x='product')}) AS w FROM e), q AS (SELECT DISTINCT p_name AS q FROM part UNION SELECT DISTINCT 'spare ' || p_brand || ' ' || split_part(p_name, ' ', 1) FROM part UNION SELECT DISTINCT p_type FROM part UNION SELECT s_name FROM supplier),
+qw AS (SELECT DISTINCT q, w FROM (SELECT q, unnest({PTOK.format(x='q')}) AS w FROM q) WHERE length(w) > 3 OR regexp_matches(w, '^[0-9]+$')), s AS MATERIALIZED (SELECT q, product, count(*) AS overlap FROM qw JOIN ew USING (w) GROUP BY ALL)"""
+
+
+def product_sets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Descriptions (q) and entries (product) with their tokens. Descriptions are the names of parts, brands with the first word of a
+    name, types, and suppliers' names."""
     p = table(spark, sf, "part")
-    e = p.select(F.concat_ws(" ", "p_type", "p_name").alias("product")).distinct().select("product", F.explode(F.array_distinct(X.product_tokens(F.col("product")))).alias("w"))
-    q = p.select(F.col("p_name").alias("q")).distinct().select("q", F.explode(F.array_distinct(X.product_tokens(F.col("q")))).alias("w")).where((F.length("w") > 3) | F.col("w").rlike("^[0-9]+$"))
-    s = q.join(e, "w").groupBy("q", "product").agg(F.count("*").alias("overlap"))
+    e = p.select(F.concat_ws(" ", "p_type", "p_name").alias("product")).distinct().withColumn("tokens", X.product_tokens(F.col("product")))
+    names = [p.select("p_name"), p.select(F.concat_ws(" ", F.lit("spare"), "p_brand", F.split_part("p_name", F.lit(" "), F.lit(1)))), p.select("p_type"), table(spark, sf, "supplier").select("s_name")]
+    q = names[0].union(names[1]).union(names[2]).union(names[3]).toDF("q").distinct()
+    return q.withColumn("tokens", F.filter(X.product_tokens(F.col("q")), lambda w: (F.length(w) > 3) | w.rlike("^[0-9]+$"))), e
+
+
+@query(f"WITH {PROD} SELECT q, product, overlap, rn FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY overlap DESC, product) AS rn FROM s WHERE overlap >= 2) WHERE rn <= 5")
+def product_match(spark, sf):
+    """The five entries that share most tokens with a description, two at least."""
+    q, e = product_sets(spark, sf)
+    s = O.overlap_join(q, e, 2, "q", "product")
     return s.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("overlap"), "product")).cast("long")).where("rn <= 5")
 
 
+@query(f"""WITH {PROD}, b AS (SELECT *, max(overlap) OVER (PARTITION BY q) AS best, row_number() OVER (PARTITION BY q ORDER BY overlap DESC, product) AS rn FROM s), t AS (SELECT *, count(*) OVER (PARTITION BY q) AS n FROM b WHERE overlap = best AND best >= 2)
+SELECT q, product, overlap, CASE WHEN n = 1 THEN 'identified' ELSE 'ambiguous' END AS verdict FROM t UNION ALL SELECT q, product, overlap, 'weak' FROM b WHERE best < 2 AND rn <= 5 UNION ALL SELECT q, NULL, 0, 'none' FROM q WHERE q NOT IN (SELECT q FROM s)""")
+def product_identify(spark, sf):
+    """What each description identifies: one entry, several that fit equally well, a few offered for want of tokens, or nothing."""
+    return O.identify(*product_sets(spark, sf), 2, 5, "q", "product")
+
+
 COMP = ED + f""", {MAND}, ex AS (SELECT division, ed.key, bool_or(ed.is_current) AS has_current FROM ed JOIN mand ON mand.key = ed.key GROUP BY ALL),
 cn AS (SELECT division, count(*) FILTER (WHERE n > 1) AS conflicts FROM (SELECT division, key, count(*) AS n FROM ed GROUP BY ALL) GROUP BY division),
 dv AS (SELECT division, count(*) AS resolved, count(*) FILTER (WHERE is_current) AS current FROM ed GROUP BY division), tot AS (SELECT count(DISTINCT key) AS expected FROM mand),
