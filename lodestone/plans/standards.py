@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import designation as D
 from ..functions import text as X
 from ..functions import values as V
+from ..operators import chains as C
 from ..operators import overlap as O
 from ..operators import retrieval as R
 from ..operators import standards as S
@@ -332,6 +333,21 @@ def edition_chains(spark, sf):
     return S.chains(editions(spark, sf)).select("base", "n", F.array_join("chain", "; ").alias("chain"))
 
 
+NEXT = """nx AS (SELECT seq, coalesce(lead(seq) OVER w, CASE WHEN number % 50 = 0 THEN nth_value(seq, 2) OVER (PARTITION BY key ORDER BY year, seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END) AS nxt FROM std WINDOW w AS (PARTITION BY key ORDER BY year, seq)), e AS MATERIALIZED (SELECT seq AS s, nxt AS t FROM nx WHERE nxt IS NOT NULL AND nxt <> seq)"""
+
+
+@query(f"""WITH RECURSIVE {STD}, {NEXT}, w AS (SELECT s, t, 1 AS hops FROM e UNION ALL SELECT w.s, e.t, hops + 1 FROM w JOIN e ON e.s = w.t WHERE hops < 100), d AS (SELECT s, t, hops FROM w WHERE t NOT IN (SELECT s FROM e))
+SELECT s AS seq, d.t AS last, d.hops, CASE WHEN d.s IS NULL THEN CASE WHEN s IN (SELECT s FROM w WHERE w.t = w.s) THEN 'on' ELSE 'into' END END AS cycle FROM e LEFT JOIN d USING (s)""")
+def supersession_walk(spark, sf):
+    """Every edition names the next one only; where its chain ends, how many steps on, and which editions stand on or lead to a cycle
+    (of some keys the newest names the second oldest)."""
+    w = Window.partitionBy("key").orderBy("year", "seq")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    back = F.when(F.col("number") % 50 == 0, F.nth_value("seq", 2).over(whole))
+    edges = standards(spark, sf).select("seq", F.coalesce(F.lead("seq").over(w), back).alias("next"))
+    return C.follow(edges, "seq", "next")
+
+
 @query(f"WITH {ED} SELECT CAST(min(year) AS BIGINT) AS earliest_year, CAST(max(year) AS BIGINT) AS latest_year, count(*) AS total, count(*) FILTER (WHERE is_current) AS current, count(*) FILTER (WHERE NOT is_current) AS superseded, CAST(floor(avg(year)) AS BIGINT) AS average_year FROM ed")
 def temporal_statistics(spark, sf):
     return S.temporal_statistics(editions(spark, sf))
