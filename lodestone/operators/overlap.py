@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .index import _checkpoint
+
 #: Sets with a token beyond which those of the other side are dealt out over several tasks.
 SPREAD = 5_000
 
@@ -61,7 +63,7 @@ def identify(descriptions: DataFrame, entries: DataFrame, least: int = 2, offere
     each token, by id, can be among those offered, unless entries share several, so a frequent token stays cheap.
     """
     names = descriptions.select(left_id).distinct()
-    strong = overlap_join(descriptions, entries, least, left_id, right_id, tokens)
+    strong = _checkpoint(overlap_join(descriptions, entries, least, left_id, right_id, tokens))
     best = strong.groupBy(left_id).agg(F.max("overlap").alias("best"))
     top = strong.join(best, left_id).where(F.col("overlap") == F.col("best")).select(left_id, right_id, "overlap").distinct()
     tied = top.groupBy(left_id).agg(F.count("*").alias("n"))
@@ -77,6 +79,6 @@ def identify(descriptions: DataFrame, entries: DataFrame, least: int = 2, offere
         weak = each(left, left_id).join(few, "t").select(left_id, right_id, F.lit(1).cast("long").alias("overlap")).distinct()
     order = Window.partitionBy(left_id).orderBy(F.desc("overlap"), right_id)
     weak = weak.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= offered).select(left_id, right_id, "overlap", F.lit("weak").alias("verdict"))
-    found = sure.unionByName(weak)
+    found = _checkpoint(sure.unionByName(weak))
     nothing = names.join(found.select(left_id).distinct(), left_id, "left_anti")
     return found.unionByName(nothing.select(left_id, F.lit(None).cast(entries.schema[right_id].dataType).alias(right_id), F.lit(0).cast("long").alias("overlap"), F.lit("none").alias("verdict")))

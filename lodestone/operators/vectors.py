@@ -144,6 +144,17 @@ class VectorIndex:
 
         def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, to_list, adds, asks = held.value
+            kept, n = [], 0
+
+            def best() -> tuple:
+                """The `head` best of each query of what the task has seen."""
+                who, vec, slot, s = (np.concatenate(x) for x in zip(*kept, strict=True))
+                order = np.lexsort((vec, -s, who))
+                who, vec, slot, s = who[order], vec[order], slot[order], s[order]
+                begin = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+                nth = np.arange(len(who)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(who)]])))
+                return tuple(x[nth < head] for x in (who, vec, slot, s))
+
             for b in batches:
                 lists, vec, slot = (b.column(c).to_numpy() for c in (0, 1, 3))
                 code = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, adds.shape[0])
@@ -154,12 +165,18 @@ class VectorIndex:
                         at = own[a : a + step]
                         s = to_list[mine, x][None, :] + sum(adds[j][code[at, j]][:, mine] for j in range(adds.shape[0]))
                         s[vec[at][:, None] == ids[mine][None, :]] = -9
-                        if len(at) > head:
-                            least = np.partition(s, len(at) - head, axis=0)[len(at) - head]
-                            row, col = np.nonzero((s >= least[None, :]) & (s > -9))
-                        else:
-                            row, col = np.nonzero(s > -9)
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[mine[col]]), pa.array(vec[at[row]]), pa.array(slot[at[row]]), pa.array(s[row, col])], names=["qid", "vec_id", "slot", "score"])
+                        least = np.partition(s, len(at) - head, axis=0)[len(at) - head] if len(at) > head else np.full(len(mine), -9.0)
+                        row, col = np.nonzero((s >= least[None, :]) & (s > -9))
+                        kept.append((mine[col], vec[at[row]], slot[at[row]], s[row, col]))
+                        n += len(row)
+                    if n > CELLS:
+                        kept = [best()]
+                        n = len(kept[0][0])
+                        if n > CELLS // 2:  # of so many queries that the best of all don't fit: they go on as they are
+                            yield _found(ids, *kept[0])
+                            kept, n = [], 0
+            if kept:
+                yield _found(ids, *best())
 
         names = self._slots(np.unique(near))
         codes = self.codes.where(F.col("slot").isin(names))
@@ -203,6 +220,10 @@ class VectorIndex:
         _remove(self.spark, self.where)
 
 
+def _found(ids: np.ndarray, who: np.ndarray, vec: np.ndarray, slot: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(vec), pa.array(slot), pa.array(s)], names=["qid", "vec_id", "slot", "score"])
+
+
 def _bytes(spark: SparkSession, files: list[str]) -> int:
     total, conf = 0, spark._jsc.hadoopConfiguration()
     for f in set(files):

@@ -6,12 +6,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import designation as D
 from ..functions import text as X
 from ..operators import answers as A
 from ..operators import evaluate as E
 from ..operators import index as I
 from ..operators import retrieval as R
+from ..operators import search as W
+from ..operators import standards as S
 from ..operators import vectors as VX
+from . import records as C5
 from .standards import table
 
 QUERIES, SQL = {}, {}
@@ -236,6 +240,80 @@ def hybrid_search(spark, sf):
     return hybrid(spark, sf).select("qid", "doc_id", r6("score"), "legs", "is_current", "pos")
 
 
+#: How the questions of the whole search begin; the rest is a benchmark text.
+ASKS = ["is IS 3 mandatory since 2004? ", "latest edition of IS 5 between 2003 and 2008 ", "what is IS 12:2006 ", "", "list all standards before 2006 ", "withdrawn in 2004 ", "IS 7 ", "items in en ", "is it compulsory "]
+_ASK = " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(ASKS))
+UND = f"""aq0 AS (SELECT item_id AS qid, CASE item_id % {len(ASKS)} {_ASK} END || text AS q_text FROM benchmark), aq1 AS (SELECT *, lower(q_text) AS t FROM aq0), aq2 AS (SELECT *, {C5._year_sql('t')}, regexp_extract_all(q_text, '\\bIS [0-9]+(:[0-9]{{4}})?') AS names, regexp_matches(t, '{C5.NAMED}') AS named, contains(q_text, 'items in en ') AS en FROM aq1),
+aq3 AS (SELECT *, CASE WHEN regexp_matches(t, '{C5.COMPLIANCE}') THEN 'compliance' WHEN regexp_matches(t, '{C5.SUPERSESSION}') THEN CASE WHEN regexp_matches(t, '{C5.LATEST}') THEN 'latest' ELSE 'supersession' END WHEN regexp_matches(t, '{C5.EXPLAIN}') AND named THEN 'explain' WHEN named THEN 'lookup' WHEN regexp_matches(t, '{C5.LISTING}') THEN 'list_by_domain' ELSE 'topic_search' END AS intent,
+  coalesce(b1, lo, CASE WHEN lo IS NULL AND hi IS NULL THEN bare END) AS y1, coalesce(b2, CASE WHEN b1 IS NULL THEN hi END) AS y2 FROM aq2),
+aq AS MATERIALIZED (SELECT *, CASE WHEN intent = 'supersession' THEN 'history' WHEN intent IN ('compliance', 'latest', 'list_by_domain') THEN 'recommend' ELSE 'search' END AS mode, NOT (intent IN ('supersession', 'compliance') OR regexp_matches(t, '{C5.HISTORY}')) AS current_only FROM aq3)"""
+
+
+def understood(spark: SparkSession, sf: str) -> DataFrame:
+    """What each question asks for, in one row: intent, mode, years, whether only current editions, designations that it names,
+    divisions, the predicate of all that, the terms to look for and the topic words."""
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.get(F.array(*[F.lit(a) for a in ASKS]), (F.col("item_id") % len(ASKS)).cast("int")), "text").alias("q_text"))
+    low, high = C5.years(F.col("q_text"))
+    q = q.withColumn("intent", C5.intent(F.col("q_text"))).withColumn("year_from", low).withColumn("year_to", high).withColumn("names", D.find_all(F.col("q_text")))
+    back = F.col("intent").isin("supersession", "compliance") | F.lower("q_text").rlike(C5.HISTORY)
+    mode = F.when(F.col("intent") == "supersession", "history").when(F.col("intent").isin("compliance", "latest", "list_by_domain"), "recommend").otherwise("search")
+    divisions = F.filter(F.array(*[F.lit(x) for x in ("en", "fr", "de", "es")]), lambda d: F.contains("q_text", F.concat(F.lit("items in "), d, F.lit(" "))))
+    q = q.withColumn("current_only", ~back).withColumn("mode", mode).withColumn("divisions", divisions)
+    predicate = S.where_json(F.col("divisions"), F.array().cast("array<string>"), F.col("current_only"), F.col("year_from"), F.col("year_to"))
+    return q.withColumn("predicate", predicate).withColumn("tokens", X.tokenize(F.col("q_text"))).withColumn("rerank_tokens", F.concat("tokens", F.transform("names", lambda n: F.concat(F.lit("is"), F.regexp_extract(n, r"\d+", 0))))).withColumn("keywords", X.query_keywords(F.col("q_text")))
+
+
+@query(f"""WITH {UND} SELECT qid, intent, mode, y1 AS year_from, y2 AS year_to, current_only, array_to_string(names, '; ') AS names, CASE WHEN en THEN 'en' ELSE '' END AS divisions FROM aq""")
+def question_parts(spark, sf):
+    """One result per question with all that it asks for."""
+    return understood(spark, sf).select("qid", "intent", "mode", "year_from", "year_to", "current_only", F.array_join("names", "; ").alias("names"), F.array_join("divisions", "; ").alias("divisions"))
+
+
+def search_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as editions: the source gives the designation, ten years of each, the last five current; withdrawn rows name the newest current edition of
+    their source, but for a third of them, whose replacement isn't known."""
+    d = index(spark, sf).docs
+    nth = F.floor(F.col("doc_id") / 20) % 10
+    year = (2000 + nth).cast("int")
+    key = F.regexp_replace("source", "^src", "IS ")
+    d = d.select("doc_id", key.alias("key"), F.concat(key, F.lit(":"), year.cast("string")).alias("designation"), year.alias("year"), F.col("lang").alias("division"), (nth >= 5).alias("is_current"), F.array_distinct("tokens").alias("terms"), F.array("lang", F.lower(F.replace(key, F.lit(" "), F.lit("")))).alias("title_terms"))
+    newest = d.where("is_current").groupBy("key").agg(F.max("year").alias("newest"))
+    by = F.when(~F.col("is_current") & (F.col("doc_id") % 3 != 0), F.concat("key", F.lit(":"), F.col("newest").cast("string")))
+    return d.join(newest, "key", "left").withColumn("superseded_by", by).drop("newest")
+
+
+def whole_search(spark: SparkSession, sf: str, stages: W.Stages = W.Stages()) -> DataFrame:
+    corpus, q = search_corpus(spark, sf), understood(spark, sf)
+    e = table(spark, sf, "embeddings")
+    vectors = e.join(corpus.select(F.col("doc_id").alias("vec_id"), "year", "division", "is_current"), "vec_id")
+    own = q.select("qid", "predicate").join(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), "qid")
+    return W.search(index(spark, sf), q, corpus, W.vector_leg(vectors, own, stages, DENSE_FLOOR), stages)
+
+
+WHOLE = BM.replace(f"SELECT item_id AS qid, {QUESTION} AS q_text FROM benchmark", "SELECT qid, q_text FROM aq").replace("tok AS MATERIALIZED", f"{UND}, tok AS MATERIALIZED", 1).replace("coalesce(quality, 1) = 1 AS is_current", "d.doc_id // 20 % 10 >= 5 AS is_current", 1)
+WHOLE = WHOLE.rsplit("bmr AS", 1)[0] + """md0 AS (SELECT doc_id, 'IS ' || regexp_replace(source, '^src', '') AS key, 2000 + doc_id // 20 % 10 AS year, lang AS division, is_current, t, lang FROM tok), md AS MATERIALIZED (SELECT md0.*, key || ':' || year AS designation, CASE WHEN NOT is_current AND doc_id % 3 <> 0 THEN key || ':' || (SELECT max(year) FROM md0 o WHERE o.key = md0.key AND o.is_current) END AS superseded_by FROM md0),
+ok AS MATERIALIZED (SELECT qid, doc_id FROM aq, md WHERE (NOT en OR division = 'en') AND (NOT current_only OR is_current) AND (y1 IS NULL OR CASE WHEN y1 = y2 THEN year = y1 ELSE year >= y1 END) AND (y2 IS NULL OR y1 IS NOT DISTINCT FROM y2 OR year <= y2)),
+bmr AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm JOIN ok USING (qid, doc_id)) WHERE rank <= 50)""" + TF[len(BM):].replace("FROM tfs)", "FROM tfs JOIN ok USING (qid, doc_id))") + COVER[len(TF):] + """,
+ex0 AS (SELECT qid, n, generate_subscripts(names, 1) AS place FROM (SELECT qid, names, unnest(names) AS n FROM aq) LIMIT 0), exn AS (SELECT qid, names[i] AS n, i AS place FROM aq, unnest(range(1, len(names) + 1)) AS u(i)),
+exw AS (SELECT qid, place, coalesce((SELECT min(doc_id) FROM md WHERE designation = n), (SELECT min(doc_id) FROM md WHERE designation = (SELECT min(designation) FROM md WHERE starts_with(designation, n)))) AS doc_id FROM exn), ex AS MATERIALIZED (SELECT qid, doc_id, min(place) AS rank FROM exw WHERE doc_id IS NOT NULL GROUP BY ALL),
+qv AS (SELECT b.item_id AS qid, CAST(e.embedding AS DOUBLE[]) AS q FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id), dns AS (SELECT qv.qid, vec_id AS doc_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS score FROM embeddings JOIN qv ON vec_id <> qv.qid JOIN ok ON ok.qid = qv.qid AND ok.doc_id = vec_id),
+dnr AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank FROM (SELECT qid, doc_id, score FROM dns) WHERE round(score, 6) >= 0.2) WHERE rank <= 50),
+lgs AS MATERIALIZED (SELECT a.* FROM (SELECT 'bm25' AS leg, qid, doc_id, rank FROM bmr UNION ALL SELECT 'tfidf', qid, doc_id, rank FROM tfr UNION ALL SELECT 'dense', qid, doc_id, rank FROM dnr) a WHERE qid IN (SELECT qid FROM cov WHERE lexical AND round(coverage, 6) >= 0.2 UNION SELECT qid FROM ex))""" + fuse_sql("wf", ["bm25", "tfidf", "dense"]) + """,
+wx AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY exact DESC, r) AS rank FROM (SELECT qid, doc_id, 1.0::DOUBLE AS score, rank AS r, true AS exact FROM ex UNION ALL SELECT qid, doc_id, score, rank, false FROM wf WHERE (qid, doc_id) NOT IN (SELECT (qid, doc_id) FROM ex)))""" + rerank_sql("wr", "wx").replace("list_intersect(q, t)", "list_intersect(q, list_concat(t, [lang]))").replace("[lang]", "[lang, 'is' || regexp_replace(source, '^src', '')]").replace("list_filter(t,", "list_filter(list_concat(t, list_transform(names, lambda n: 'is' || regexp_extract(n, '[0-9]+'))),").replace("FROM qs) rq", "FROM qs JOIN (SELECT qid, names FROM aq) USING (qid)) rq") + """,
+wd AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY new_rank) AS pos FROM (SELECT wr.qid, wr.doc_id, wr.score, exact, rerank, new_rank, md.key, md.is_current, md.superseded_by, row_number() OVER (PARTITION BY qid, md.key ORDER BY new_rank) AS nth FROM wr JOIN md USING (doc_id)) WHERE nth <= 3),
+wm AS (SELECT wd.*, intent, mode, current_only, len(names) > 0 AS has_names, row_number() OVER (PARTITION BY qid ORDER BY intent = 'compliance' AND NOT current_only AND NOT is_current, pos) AS p1 FROM wd JOIN aq USING (qid) WHERE pos <= 10),
+ws AS (SELECT *, min(p1) FILTER (WHERE is_current) OVER w AS c, min(p1) FILTER (WHERE NOT is_current) OVER w AS s FROM wm WINDOW w AS (PARTITION BY qid, key)),
+wp AS (SELECT *, CASE WHEN intent IN ('supersession', 'latest') OR current_only THEN p1 WHEN s < c AND p1 = s THEN c WHEN s < c AND p1 = c THEN s ELSE p1 END AS p2, CASE WHEN mode = 'recommend' AND NOT has_names AND NOT is_current THEN 'separated' ELSE 'primary' END AS section FROM ws WHERE NOT (mode = 'search' AND NOT is_current AND superseded_by IS NULL))"""
+WHOLE = WHOLE.replace("ex0 AS (SELECT qid, n, generate_subscripts(names, 1) AS place FROM (SELECT qid, names, unnest(names) AS n FROM aq) LIMIT 0), ", "")
+
+
+@query(f"WITH {WHOLE} SELECT qid, doc_id, row_number() OVER (PARTITION BY qid, section ORDER BY p2) AS pos, section, exact, round(score, 6) AS score, round(rerank, 6) AS rerank, CASE WHEN NOT is_current THEN superseded_by END AS replacement FROM wp")
+def search_results(spark, sf):
+    """The whole search: questions understood, legs under their filters, fused, exact matches in front, reranked, capped, editions in
+    order, withdrawn ones set apart."""
+    return whole_search(spark, sf).select("qid", "doc_id", "pos", "section", "exact", r6("score"), r6("rerank"), "replacement")
+
+
 @query(f"WITH {BM} SELECT qid, doc_id, round(greatest(0, least(1, score / max(score) OVER (PARTITION BY qid))), 6) AS strength FROM bmr WHERE rank <= 10")
 def match_strength(spark, sf):
     t = index(spark, sf).search(questions(spark, sf), 10)
