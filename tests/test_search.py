@@ -15,7 +15,7 @@ def world(spark):
     rows = []
     for i in range(30):
         key, year = f"IS {i % 6}", 2000 + i // 6
-        words = [f"w{i % 6}", "steel" if i % 2 else "cement", f"u{i}"]
+        words = [f"w{i % 6}", "steel" if i % 2 else "cement", f"uniq{i}"]
         rows.append((i, key, f"{key}:{year}", year, "civil" if i % 3 else "food", year == 2004, None if i == 3 else f"{key}:2004" if year < 2004 else None, words, [f"is{i % 6}"]))
     corpus = spark.createDataFrame(rows, CORPUS)
     me = index.build(corpus.selectExpr("doc_id", "terms AS tokens"))
@@ -62,12 +62,12 @@ def test_cap_and_order_of_editions(spark, world):
     every = found(world, q, OFF)[0]["primary"]
     assert set(every) == {3, 9, 15, 21, 27} and every[0] == 27  # the current one is boosted
     assert len(found(world, q, replace(OFF, diversify=True))[0]["primary"]) == 3
-    old = ask(spark, 1, ["w3", "u3", "u9"], mode="history")
-    assert found(world, old, OFF)[0]["primary"][0] in (3, 9)
-    assert found(world, old, replace(OFF, swap=True))[0]["primary"][0] == 27
+    old = ask(spark, 1, ["w3", "uniq3", "uniq9"], mode="history")
+    assert found(world, old, replace(OFF, rerank=True))[0]["primary"][0] in (3, 9)
+    assert found(world, old, replace(OFF, rerank=True, swap=True))[0]["primary"][0] == 27
     for intent in ("supersession", "latest"):
-        assert found(world, ask(spark, 1, ["w3", "u3", "u9"], mode="history", intent=intent), replace(OFF, swap=True))[0]["primary"][0] != 27
-    assert found(world, ask(spark, 1, ["w3", "u3", "u9"], mode="history", intent="compliance"), replace(OFF, demote=True))[0]["primary"][0] == 27
+        assert found(world, ask(spark, 1, ["w3", "uniq3", "uniq9"], mode="history", intent=intent), replace(OFF, rerank=True, swap=True))[0]["primary"][0] != 27
+    assert found(world, ask(spark, 1, ["w3", "uniq3", "uniq9"], mode="history", intent="compliance"), replace(OFF, rerank=True, demote=True))[0]["primary"][0] == 27
 
 
 def test_withdrawn_editions_by_mode(spark, world):
