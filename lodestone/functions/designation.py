@@ -17,6 +17,9 @@ _TAIL = rf"(?:\s*[:{DASH}]\s*({YEAR})|\s+({YEAR})(?![\d.]))?(?:\s*\(\s*Reaffirm(
 FULL = rf"(?i){_HEAD}{_PART}{_TAIL}\s*$"
 SCAN = rf"(?i){_HEAD}{_PART}{_TAIL}(?!\s*\d)(?!\s*(?:part|sec(?:tion)?|reaffirm(?:ed|ation)?|:|-)\b)"
 
+#: Groups of FULL.
+GROUPS = 12
+#: The plain spelling that pages are scraped for.
 SCRAPE = r"\bIS\s+(\d{1,5})(?:\s*\(Part\s*\d+\))?:(\d{4})"
 
 STRUCT = T.StructType([T.StructField("prefix", T.StringType())] + [T.StructField(n, T.IntegerType()) for n in ("number", "part", "section", "year", "reaffirmed")])
@@ -28,8 +31,16 @@ def parse(c: Column) -> Column:
     A chain `302-2-15` is number, part and section. A two-link chain ending like a year is a number and its year, unless a part
     is named or another year is there. Two readings of one field that differ give null.
     """
-    hit = F.regexp_extract_all(c, F.lit(FULL), F.lit(0))
-    got = lambda g: F.nullif(F.regexp_extract(c, FULL, g), F.lit(""))
+    mark = "\u0001"
+    # one run of the pattern: what stands before it, its groups, and what stands after
+    cut = F.split(F.regexp_replace(c, FULL, mark + mark.join(f"${g}" for g in range(1, GROUPS + 1)) + mark), mark)
+    return F.get(F.transform(F.array(cut), _made), F.lit(0))
+
+
+def _made(cut: Column) -> Column:
+    """The struct of a text that is cut at its groups."""
+    got = lambda g: F.nullif(F.get(cut, F.lit(g)), F.lit(""))
+    whole = (F.size(cut) == GROUPS + 2) & (F.trim(F.get(cut, F.lit(0))) == "")
     chain = F.transform(F.split(got(2), rf"\s*[{DASH}]\s*"), lambda x: x.try_cast("int"))
     number, cp, cs = F.get(chain, F.lit(0)), F.get(chain, F.lit(1)), F.get(chain, F.lit(2))
     keyword, first, second = F.lower(F.coalesce(got(3), got(7))), F.coalesce(got(4), got(8)).try_cast("int"), F.coalesce(got(5), got(9)).try_cast("int")
@@ -55,7 +66,7 @@ def parse(c: Column) -> Column:
         F.coalesce(year, F.when(takes_year, cp)).alias("year"),
         got(12).try_cast("int").alias("reaffirmed"),
     )
-    return F.when((F.size(hit) == 1) & (F.length(F.trim(F.get(hit, F.lit(0)))) == F.length(F.trim(c))) & number.isNotNull() & ~F.coalesce(bad, F.lit(False)), made)
+    return F.when(whole & number.isNotNull() & ~F.coalesce(bad, F.lit(False)), made)
 
 
 def canonical(d: Column) -> Column:

@@ -20,6 +20,8 @@ from . import phrases as P
 K1, B = 1.5, 0.75
 #: Queries that one broadcast carries at most; more are searched block by block.
 QUERY_BLOCK = 5_000
+#: Vectors times queries that are scored at once: 32 MB, and as much again while the best are picked.
+CELLS = 4_000_000
 #: Items whose keys one broadcast carries at most.
 ITEM_BLOCK = 200_000
 
@@ -52,16 +54,17 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None =
         own = _unit(np.array(t.column(1).to_pylist(), dtype=np.float64).reshape(len(ids), width))
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, own=own, width=width) -> Iterator[pa.RecordBatch]:
+            step = max(1, CELLS // max(1, len(ids)))
             for b in batches:
                 b = b.filter(pc.fill_null(pc.equal(pc.list_value_length(b.column(1)), width), False))
-                if not b.num_rows or not len(ids):
-                    continue
-                vec = b.column(0).to_numpy()
-                s = np.round(_unit(np.asarray(b.column(1).flatten()).reshape(len(vec), width)) @ own.T, 6)
-                s[vec[:, None] == ids[None, :]] = -2
-                least = np.partition(s, max(0, len(vec) - k), axis=0)[max(0, len(vec) - k)]  # the k-th best of each query
-                row, q = np.nonzero((s >= np.maximum(least, -1 if floor is None else floor)[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(vec[row]), pa.array(s[row, q])], names=["qid", "vec_id", "score"])
+                for at in range(0, b.num_rows if len(ids) else 0, step):
+                    part = b.slice(at, step)
+                    vec = part.column(0).to_numpy()
+                    s = np.round(_unit(np.asarray(part.column(1).flatten()).reshape(len(vec), width)) @ own.T, 6)
+                    s[vec[:, None] == ids[None, :]] = -2
+                    least = np.partition(s, max(0, len(vec) - k), axis=0)[max(0, len(vec) - k)]  # the k-th best of each query
+                    row, q = np.nonzero((s >= np.maximum(least, -1 if floor is None else floor)[None, :]))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(vec[row]), pa.array(s[row, q])], names=["qid", "vec_id", "score"])
 
         got = top(rows.mapInArrow(run, "qid long, vec_id long, score double"), k, item="vec_id")
         out = got if out is None else out.union(got)

@@ -164,8 +164,12 @@ def temporal_statistics(editions: DataFrame) -> DataFrame:
     return editions.agg(F.min("year").cast("long").alias("earliest_year"), F.max("year").cast("long").alias("latest_year"), F.count("*").alias("total"), F.sum(c).alias("current"), F.sum(1 - c).alias("superseded"), F.floor(F.avg("year")).cast("long").alias("average_year"))
 
 
+#: How descriptions spell grades and sizes.
+GRADE, CONCRETE, SIZE = r"\b(33|43|53)\s+grade\b", r"\b(m\d{2}|m\d{3})\b", r"\b(\d+)\s*mm\b"
+
+
 def attributes(text: Column) -> dict[str, Column]:
     """Grades and sizes that a product description names."""
     t = F.lower(F.coalesce(text, F.lit("")))
     every = lambda p: F.regexp_extract_all(t, F.lit(p), F.lit(1))
-    return {"grade": every(r"\b(33|43|53)\s+grade\b"), "concrete_grade": every(r"\b(m\d{2}|m\d{3})\b"), "size": every(r"\b(\d+)\s*mm\b")}
+    return {"grade": every(GRADE), "concrete_grade": every(CONCRETE), "size": every(SIZE)}
