@@ -22,8 +22,8 @@ from .common import slices, small_batches, texts
 Q = 8
 #: Edits allowed as a share of an item's length.
 RATE = 0.08
-#: Items of fewer bytes in plain form match without edits and as whole words only.
-SHORTEST = 24
+#: Items of fewer bytes in plain form match without edits and as whole words only: with an edit they may share no q-gram at all.
+SHORTEST = 2 * Q
 #: Bytes of the windows in which a longer item is also searched for by `decontaminate`; they overlap by half.
 WINDOW = 160
 #: Bytes of items that go to the workers at once; more items take more passes over the documents.

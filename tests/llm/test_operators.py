@@ -344,6 +344,38 @@ def test_occurrences_against_full_alignment():
     assert not {k for k in got if k[1] in (50, 51)}
 
 
+def test_items_from_two_q_grams_on_have_an_edit():
+    rnd = random.Random(16)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=rnd.randrange(3, 8)))
+    items, n = [], 0
+    while len(items) < 40:
+        p = f"{word()} {word()} {word()}".encode()[: 12 + len(items) % 12]
+        if p == decontam.plain(p):
+            items.append((len(items), p))
+    texts = []
+    for _, p in items:
+        for op in range(4):
+            b, z = bytearray(p), rnd.randrange(len(p))
+            if op == 1:
+                b[z] = ord("z")
+            elif op == 2:
+                del b[z]
+            elif op == 3:
+                b.insert(z, ord("z"))
+            texts.append(decontam.plain(f"{word()} {word()} ".encode() + bytes(b) + f" {word()}".encode()))
+    f = decontam.Finder(items)
+    got = {(d, f.ids[i]): e for d, i, e, _, _ in f.search(texts)}
+    for d, t in enumerate(texts):
+        for i, p in items:
+            e = edit_distance_within(p, t)
+            if len(p) >= 16:
+                assert got.get((d, i)) == (e if e <= 1 else None), (p, t)
+                n += e == 1
+            else:
+                assert ((d, i) in got) == (b" " + p + b" " in b" " + t + b" ")
+    assert n >= 40
+
+
 def test_decontaminate(spark, docs, empty):
     bench = spark.createDataFrame([(1, " ".join((documents()[3][1]).split()[:30]).upper(), 0), (2, None, 0), (2, "", 0)], "item_id long, text string, start int")
     kept = decontam.decontaminate(docs, bench)
