@@ -125,4 +125,17 @@ dup AS (SELECT doc_id, list(i) AS p FROM (SELECT doc_id, i, row_number() OVER (P
 ln AS (SELECT doc_id, i, l[i + 1] AS line, coalesce(list_has_any(p, [i, i - 1, i - 2]), false) AS cut FROM d LEFT JOIN dup USING (doc_id), unnest(range(0, len(l))) AS u(i)),
 o AS (SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(cut AS INT)) AS BIGINT) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT cut), '') AS x FROM ln GROUP BY doc_id)
 SELECT doc_id, n_lines, n_removed, length(x) AS kept_chars, md5(x) AS kept_md5 FROM o""",
+    "op11_resampling": r"""
+WITH ct AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+tx AS (SELECT 0 AS side, row_number() OVER () AS rid, doc_id AS id, coalesce(text, '') AS t FROM documents UNION ALL SELECT 1, row_number() OVER (), item_id, coalesce(text, '') FROM benchmark),
+w AS MATERIALIZED (SELECT side, rid, id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM tx),
+fe AS MATERIALIZED (SELECT side, rid, array_to_string(w[i:i + k - 1], ' ') AS f FROM w, unnest([1, 2, 3]) AS u(k), unnest(range(1, len(w) - k + 2)) AS v(i)),
+hx AS (SELECT f, list_transform(string_split_regex(regexp_replace(hex(encode(f)), '(..)', '\1 ', 'g'), ' ')[:-2], lambda h: CAST('0x' || h AS BIGINT)) AS b FROM (SELECT DISTINCT f FROM fe)),
+bk AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS b FROM hx, ct),
+n AS MATERIALIZED (SELECT b, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS t FROM fe JOIN bk USING (f) GROUP BY b),
+g AS (SELECT b, CAST(floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain FROM n),
+d AS (SELECT rid, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM fe JOIN bk USING (f) JOIN g USING (b) WHERE side = 0 GROUP BY rid),
+sc AS (SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('42:' || coalesce(CAST(id AS VARCHAR), '')), 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score FROM w LEFT JOIN d USING (rid) WHERE side = 0),
+rk AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST) END AS r, count(*) FILTER (WHERE n_words >= 20) OVER () * 5 // 100 AS most FROM sc)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN r <= most THEN r END AS rank FROM rk""",
 }
