@@ -520,7 +520,7 @@ _RUNS = " UNION ALL ".join(f"SELECT '{n}' AS config, qid, doc_id, {'new_rank' if
 SELECT config, round(hit1, 6) AS hit1, round(mrr5, 6) AS mrr5, round(mrr5 - (SELECT mrr5 FROM m WHERE config = 'bm25_only'), 6) AS delta, hit1 >= 0.5 AS gate FROM m""")
 def ablation(spark, sf):
     """Six configurations of legs, fusion and reranking against the same truth, with the difference from terms alone and a gate."""
-    every, truth = legs(spark, sf).persist(), truths(spark, sf).persist()  # 150 rows a query at most, and its few answers
+    every, truth = I._checkpoint(legs(spark, sf)), I._checkpoint(truths(spark, sf))  # 150 rows a query at most, and its few answers
     return E.ablation(CONFIGS, lambda config: search(spark, sf, every, *config), truth, "bm25_only")
 
 
