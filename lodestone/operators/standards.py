@@ -158,6 +158,15 @@ def chains(editions: DataFrame, name: str = "designation", by: str = "superseded
     return g.select("base", "n", F.transform("x", lambda e: F.concat(e["o"], F.lit(" -> "), e["n"])).alias("chain"))
 
 
+def recommend(candidates: DataFrame, query: str = "q", first: int = 5, others: int = 10) -> DataFrame:
+    """`section` and `place` of each query's candidates (query, seq, role, mandatory, score): product standards as `primary`, all else as
+    `related`, each by mandatory, score and seq, cut to `first` and `others` rows."""
+    is_first = F.col("role") == "product_standard"
+    w = Window.partitionBy(query, is_first).orderBy(F.desc("mandatory"), F.round("score", 6).desc(), "seq")
+    ranked = candidates.withColumn("section", F.when(is_first, "primary").otherwise("related")).withColumn("place", F.row_number().over(w).cast("long"))
+    return ranked.where(F.col("place") <= F.when(is_first, first).otherwise(others))
+
+
 def temporal_statistics(editions: DataFrame) -> DataFrame:
     """One row: earliest and latest year, rows in all, current and superseded ones, the mean year cut to a whole number."""
     c = F.col("is_current").cast("long")

@@ -559,19 +559,51 @@ def division_match(spark, sf):
 ALIASES = TITLED + """, al AS (SELECT DISTINCT regexp_extract(lower(full_title), '^(.*) specification$', 1) AS phrase FROM ro), ds AS (SELECT s_suppkey AS id, 'supply of ' || lower(a.p_name) || 's, 43 grade, with ' || upper(b.p_name) || ' of ' || (s_suppkey % 90) || ' mm and M25' AS d FROM supplier JOIN part a ON a.p_partkey = s_suppkey % 200 JOIN part b ON b.p_partkey = (s_suppkey * 7 + 3) % 200)"""
 
 
+def descriptions(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, d): free descriptions, of two products, a grade and a size each."""
+    a, b = (table(spark, sf, "part").select(F.col("p_partkey").alias(k), F.col("p_name").alias(n)) for k, n in (("ka", "a"), ("kb", "b")))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 200).alias("ka"), ((F.col("s_suppkey") * 7 + 3) % 200).alias("kb")).join(a, "ka").join(b, "kb")
+    return s.select("id", F.concat(F.lit("supply of "), F.lower("a"), F.lit("s, 43 grade, with "), F.upper("b"), F.lit(" of "), (F.col("id") % 90).cast("string"), F.lit(" mm and M25")).alias("d"))
+
+
+def aliases(spark: SparkSession, sf: str) -> DataFrame:
+    """(qid, q_text): the product phrases that titles of specifications begin with."""
+    return titled(spark, sf).select(F.regexp_extract(F.lower("full_title"), "^(.*) specification$", 1).alias("q_text")).where("q_text <> ''").distinct().select(F.col("q_text").alias("qid"), "q_text")
+
+
 @query(f"""WITH {ALIASES}, h AS (SELECT id, phrase FROM ds JOIN al ON contains(lower(d), phrase) WHERE phrase <> '') SELECT id, phrase, row_number() OVER (PARTITION BY id ORDER BY length(phrase) DESC, phrase) AS place, '43' AS grades, 'm25' AS concrete, CAST(id % 90 AS VARCHAR) AS sizes FROM h""")
 def product_phrase_match(spark, sf):
     """Product phrases anywhere in free descriptions, the longest first, with the grades and sizes that a description names."""
-    a, b = (table(spark, sf, "part").select(F.col("p_partkey").alias(k), F.col("p_name").alias(n)) for k, n in (("ka", "a"), ("kb", "b")))
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 200).alias("ka"), ((F.col("s_suppkey") * 7 + 3) % 200).alias("kb")).join(a, "ka").join(b, "kb")
-    d = s.select("id", F.concat(F.lit("supply of "), F.lower("a"), F.lit("s, 43 grade, with "), F.upper("b"), F.lit(" of "), (F.col("id") % 90).cast("string"), F.lit(" mm and M25")).alias("d"))
-    phrases = titled(spark, sf).select(F.regexp_extract(F.lower("full_title"), "^(.*) specification$", 1).alias("q_text")).where("q_text <> ''").distinct().select(F.col("q_text").alias("qid"), "q_text")
+    d, phrases = descriptions(spark, sf), aliases(spark, sf)
     hit = R.containment(d.select(F.col("id").alias("doc_id"), F.lower("d").alias("text")), phrases).select(F.col("doc_id").alias("id"), F.col("qid").alias("phrase"))
     hit = hit.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.length("phrase")), "phrase")).cast("long"))
     named = S.attributes(F.col("d"))
     return hit.join(d.select("id", *[F.array_join(named[n], ",").alias(k) for n, k in (("grade", "grades"), ("concrete_grade", "concrete"), ("size", "sizes"))]), "id")
 
 
+ADVICE = ALIASES + f""", {MAND}, h AS (SELECT id, phrase FROM ds JOIN al ON contains(lower(d), phrase) WHERE phrase <> ''), p AS (SELECT id, seq, max(length(phrase)) AS n FROM h JOIN ro ON ro.t = phrase || ' specification' WHERE is_current GROUP BY ALL),
+dw AS (SELECT DISTINCT id, w FROM (SELECT id, unnest({PTOK.format(x='d')}) AS w FROM ds) WHERE length(w) > 3 OR regexp_matches(w, '^[0-9]+$')), tw AS (SELECT DISTINCT seq, unnest({PTOK.format(x='full_title')}) AS w FROM ro WHERE is_current), sz AS (SELECT seq, count(*) AS m FROM tw GROUP BY seq),
+o AS (SELECT id, seq, count(*) AS n FROM dw JOIN tw USING (w) GROUP BY ALL HAVING count(*) >= 2), cd AS (SELECT id, seq, CAST(coalesce(p.n, 0) AS DOUBLE) / length(d) + CAST(coalesce(o.n, 0) AS DOUBLE) / m AS score, p.n IS NOT NULL AS by_phrase FROM p FULL JOIN o USING (id, seq) JOIN ds USING (id) JOIN sz USING (seq)),
+ca AS (SELECT cd.*, designation, {ROLE_SQL} AS role, EXISTS (SELECT 1 FROM mand WHERE mand.key = ro.key) AS mandatory FROM cd JOIN ro USING (seq)), rk AS (SELECT *, row_number() OVER (PARTITION BY id, role = 'product_standard' ORDER BY mandatory DESC, round(score, 6) DESC, seq) AS place FROM ca)"""
+
+
+@query(f"WITH {ADVICE} SELECT id, designation, role, mandatory, by_phrase, round(score, 6) AS score, CASE WHEN role = 'product_standard' THEN 'primary' ELSE 'related' END AS section, place FROM rk WHERE place <= CASE WHEN role = 'product_standard' THEN 5 ELSE 10 END")
+def product_advice(spark, sf):
+    """What applies to each free description: current editions whose product phrase it holds, or whose title shares two of its tokens at
+    least, with role and mandatory flag; product standards first, others as related."""
+    d = descriptions(spark, sf).withColumn("tokens", F.filter(X.product_tokens(F.col("d")), lambda w: (F.length(w) > 3) | w.rlike("^[0-9]+$")))
+    t = titled(spark, sf).where("is_current").withColumn("tokens", F.array_distinct(X.product_tokens(F.col("full_title"))))
+    found = R.containment(d.select(F.col("id").alias("doc_id"), F.lower("d").alias("text")), aliases(spark, sf))
+    named = t.select("seq", F.regexp_extract(F.lower("full_title"), "^(.*) specification$", 1).alias("qid")).where("qid <> ''")
+    by_phrase = found.join(named, "qid").groupBy(F.col("doc_id").alias("id"), "seq").agg(F.max(F.length("qid")).alias("n"))
+    both = by_phrase.join(O.overlap_join(d, t, 2, "id", "seq"), ["id", "seq"], "full")
+    rows = both.join(d.select("id", F.length("d").alias("of")), "id").join(t.select("seq", "key", "designation", "full_title", F.size("tokens").alias("m")), "seq")
+    rows = rows.join(mandatory(spark, sf).select("key").distinct().withColumn("must", F.lit(True)), "key", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    rows = rows.select("id", "seq", "designation", role(F.col("full_title")).alias("role"), F.coalesce("must", F.lit(False)).alias("mandatory"), F.col("n").isNotNull().alias("by_phrase"), (zero("n") / F.col("of") + zero("overlap") / F.col("m")).alias("score"))
+    return S.recommend(rows, "id").select("id", "designation", "role", "mandatory", "by_phrase", F.round("score", 6).alias("score"), "section", "place")
+
+
 STATIC = [("IS 269", "cement", 12), ("IS 1786", "steel", 9), ("IS 694", "cables", 7), ("IS 14543", "water", 5), ("IS 4151", "helmets", 4)]
 
 
