@@ -158,6 +158,32 @@ def chains(editions: DataFrame, name: str = "designation", by: str = "superseded
     return g.select("base", "n", F.transform("x", lambda e: F.concat(e["o"], F.lit(" -> "), e["n"])).alias("chain"))
 
 
+def graded(rows: DataFrame) -> DataFrame:
+    """`score` and `grade` of rows (expected, present, conflicts, current, resolved): 0.7 for what is there of the mandatory, 0.2 for
+    current editions, 0.1 for no conflict; 0.5 and 0.5 if nothing is mandatory. What misses a mandatory key grades PARTIALLY
+    at best, and an unverified list never proves FULLY."""
+    free, ratio = (F.col("conflicts") == 0).cast("double"), F.col("current") / F.col("resolved")
+    score = F.when(F.col("expected") > 0, 0.7 * F.col("present") / F.col("expected") + 0.2 * ratio + 0.1 * free).otherwise(0.5 * ratio + 0.5 * free)
+    missing = F.col("present") < F.col("expected")
+    grade = F.when(missing & (score >= 0.5), "PARTIALLY COMPLIANT").when(missing, "NON-COMPLIANT").when(score >= 0.7, "MOSTLY COMPLIANT").when(score >= 0.5, "PARTIALLY COMPLIANT").otherwise("NON-COMPLIANT")
+    return rows.withColumn("score", score).withColumn("grade", grade)
+
+
+def assess(identified: DataFrame, supplied: DataFrame, mandatory: DataFrame, query: str = "q") -> DataFrame:
+    """One graded row for each query that supplies editions: identified (query, key, verdict) as of `overlap.identify`, supplied (query,
+    key, is_current), mandatory (key). Expected are the key of an identified product and all supplied mandatory keys; what is
+    ambiguous or weak counts as candidates only. A conflict is a key with several supplied editions."""
+    sure = identified.where(F.col("verdict") == "identified").select(query, "key")
+    expected = sure.union(supplied.join(mandatory, "key", "left_semi").select(query, "key")).distinct()
+    held = supplied.groupBy(query, "key").agg(F.count("*").alias("n"), F.sum(F.col("is_current").cast("long")).alias("c"))
+    x = expected.join(held.select(query, "key", F.lit(1).alias("there")), [query, "key"], "left").groupBy(query).agg(F.count("*").alias("expected"), F.count("there").alias("present"))
+    k = held.groupBy(query).agg(F.sum("n").alias("resolved"), F.sum("c").alias("current"), F.sum((F.col("n") > 1).cast("long")).alias("conflicts"))
+    open_ = F.col("verdict").isin("ambiguous", "weak")
+    v = identified.groupBy(query).agg(F.min("verdict").alias("verdict"), F.sum(open_.cast("long")).alias("candidates"), F.min(F.when(open_, F.col("key"))).alias("first_candidate"))
+    rows = k.join(x, query, "left").join(v, query, "left")
+    return graded(rows.fillna(0, ["expected", "present", "candidates"]))
+
+
 def recommend(candidates: DataFrame, query: str = "q", first: int = 5, others: int = 10) -> DataFrame:
     """`section` and `place` of each query's candidates (query, seq, role, mandatory, score): product standards as `primary`, all else as
     `related`, each by mandatory, score and seq, cut to `first` and `others` rows."""

@@ -438,11 +438,7 @@ def compliance(spark: SparkSession, sf: str) -> DataFrame:
     per_key = e.groupBy("division", "key").agg(F.count("*").alias("n"), F.sum(F.col("is_current").cast("long")).alias("c"))
     per_key = per_key.join(m.withColumn("m", F.lit(True)), "key", "left")
     d = per_key.groupBy("division").agg(F.sum("n").alias("resolved"), F.sum("c").alias("current"), F.count("m").alias("present"), F.sum((F.col("n") > 1).cast("long")).alias("conflicts")).join(expected)
-    free, ratio = (F.col("conflicts") == 0).cast("double"), F.col("current") / F.col("resolved")
-    score = F.when(F.col("expected") > 0, 0.7 * F.col("present") / F.col("expected") + 0.2 * ratio + 0.1 * free).otherwise(0.5 * ratio + 0.5 * free)
-    missing = F.col("present") < F.col("expected")
-    grade = F.when(missing & (score >= 0.5), "PARTIALLY COMPLIANT").when(missing, "NON-COMPLIANT").when(score >= 0.7, "MOSTLY COMPLIANT").when(score >= 0.5, "PARTIALLY COMPLIANT").otherwise("NON-COMPLIANT")
-    return d.withColumn("score", score).withColumn("grade", grade)
+    return S.graded(d)
 
 
 @query(f"WITH {COMP} SELECT division, expected, present, conflicts, round(score, 6) AS score, grade FROM gr")
@@ -604,6 +600,29 @@ def product_advice(spark, sf):
     return S.recommend(rows, "id").select("id", "designation", "role", "mandatory", "by_phrase", F.round("score", 6).alias("score"), "section", "place")
 
 
+GRADED = "CASE WHEN expected > 0 THEN 0.7 * present / expected + 0.2 * current / resolved + CASE WHEN conflicts = 0 THEN 0.1 ELSE 0 END ELSE 0.5 * current / resolved + CASE WHEN conflicts = 0 THEN 0.5 ELSE 0 END END"
+CHECKED = ALIASES + f""", {MAND}, en AS (SELECT key, title FROM ed WHERE is_current AND key IN (SELECT key FROM mand)), dw AS (SELECT DISTINCT id, w FROM (SELECT id, unnest({PTOK.format(x='d')}) AS w FROM ds) WHERE length(w) > 3 OR regexp_matches(w, '^[0-9]+$')), ew AS (SELECT DISTINCT key, unnest({PTOK.format(x='title')}) AS w FROM en),
+s AS MATERIALIZED (SELECT id, key, count(*) AS overlap FROM dw JOIN ew USING (w) GROUP BY ALL), b AS (SELECT *, max(overlap) OVER (PARTITION BY id) AS best, row_number() OVER (PARTITION BY id ORDER BY overlap DESC, key) AS rn FROM s), t AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM b WHERE overlap = best AND best >= 2),
+v AS MATERIALIZED (SELECT id, key, CASE WHEN n = 1 THEN 'identified' ELSE 'ambiguous' END AS verdict FROM t UNION ALL SELECT id, key, 'weak' FROM b WHERE best < 2 AND rn <= 5 UNION ALL SELECT id, NULL, 'none' FROM ds WHERE id NOT IN (SELECT id FROM s)),
+su AS MATERIALIZED (SELECT DISTINCT ds.id, ed.seq, ed.key, ed.is_current FROM ds, unnest([3, 7, 11, 13]) AS u(f) JOIN ed ON ed.seq = (ds.id * f) % 500 + 1), ex AS (SELECT id, key FROM v WHERE verdict = 'identified' UNION SELECT id, key FROM su WHERE key IN (SELECT key FROM mand)),
+x AS (SELECT id, count(*) AS expected, count(*) FILTER (WHERE (id, key) IN (SELECT (id, key) FROM su)) AS present FROM ex GROUP BY id), k AS (SELECT id, sum(n) AS resolved, sum(c) AS current, count(*) FILTER (WHERE n > 1) AS conflicts FROM (SELECT id, key, count(*) AS n, count(*) FILTER (WHERE is_current) AS c FROM su GROUP BY ALL) GROUP BY id),
+cn AS (SELECT id, count(*) AS candidates, min(key) AS first_candidate FROM v WHERE verdict IN ('ambiguous', 'weak') GROUP BY id), r AS (SELECT k.id, coalesce(expected, 0) AS expected, coalesce(present, 0) AS present, conflicts, current, resolved FROM k LEFT JOIN x USING (id)), g AS (SELECT *, {GRADED} AS score FROM r)"""
+
+
+@query(f"""WITH {CHECKED} SELECT g.id, (SELECT min(verdict) FROM v WHERE v.id = g.id) AS verdict, expected, present, CAST(conflicts AS BIGINT) AS conflicts, CAST(resolved - current AS BIGINT) AS withdrawn, coalesce(candidates, 0) AS candidates, first_candidate, round(score, 6) AS score,
+CASE WHEN present < expected AND score >= 0.5 THEN 'PARTIALLY COMPLIANT' WHEN present < expected THEN 'NON-COMPLIANT' WHEN score >= 0.7 THEN 'MOSTLY COMPLIANT' WHEN score >= 0.5 THEN 'PARTIALLY COMPLIANT' ELSE 'NON-COMPLIANT' END AS grade FROM g LEFT JOIN cn ON cn.id = g.id""")
+def compliance_check(spark, sf):
+    """Each free description with the editions that its supplier names: what an identified product makes mandatory, what of it is there,
+    and candidates, of which none is asserted, where the description fits several products or hardly any."""
+    d = descriptions(spark, sf).withColumn("tokens", F.filter(X.product_tokens(F.col("d")), lambda w: (F.length(w) > 3) | w.rlike("^[0-9]+$")))
+    e, m = editions(spark, sf), mandatory(spark, sf).select("key").distinct()
+    entries = e.where("is_current").join(m, "key", "left_semi").select("key", X.product_tokens(F.col("title")).alias("tokens"))
+    factors = F.explode(F.array(*[F.lit(f) for f in (3, 7, 11, 13)]))
+    named = d.select("id", factors.alias("f")).select("id", (F.col("id") * F.col("f") % 500 + 1).alias("seq")).distinct()
+    supplied = named.join(e.select("seq", "key", "is_current"), "seq").select("id", "key", "is_current")
+    return S.assess(O.identify(d, entries, 2, 5, "id", "key"), supplied, m, "id").select("id", "verdict", "expected", "present", "conflicts", (F.col("resolved") - F.col("current")).alias("withdrawn"), "candidates", "first_candidate", F.round("score", 6).alias("score"), "grade")
+
+
 STATIC = [("IS 269", "cement", 12), ("IS 1786", "steel", 9), ("IS 694", "cables", 7), ("IS 14543", "water", 5), ("IS 4151", "helmets", 4)]
 
 
