@@ -82,3 +82,31 @@ def test_withdrawn_editions_by_mode(spark, world):
 def test_rerank_prefers_what_the_title_names(spark, world):
     q = ask(spark, 1, ["steel", "w1", "w3"]).selectExpr("*", "array('steel', 'is3') AS rerank_tokens")
     assert set(found(world, q, replace(OFF, rerank=True))[0]["primary"][:5]) == {3, 9, 15, 21, 27}
+
+
+# ------------------------------------------------------------------ reports
+def test_assessment_asserts_only_what_is_identified(spark):
+    from lodestone.operators import standards as S
+
+    found = spark.createDataFrame([(1, "A", "identified"), (2, "A", "ambiguous"), (2, "B", "ambiguous"), (3, "C", "weak"), (4, None, "none"), (5, "A", "identified")], "q long, key string, verdict string")
+    supplied = spark.createDataFrame([(1, "A", True), (1, "X", False), (1, "X", True), (2, "X", True), (3, "B", False), (4, "X", True), (5, "X", True)], "q long, key string, is_current boolean")
+    must = spark.createDataFrame([("A",), ("B",)], "key string")
+    got = {r.q: r for r in S.assess(found, supplied, must).collect()}
+    short = {q: (r.expected, r.present, r.conflicts, r.candidates, r.first_candidate, r.grade) for q, r in got.items()}
+    assert short == {
+        1: (1, 1, 1, 0, None, "MOSTLY COMPLIANT"),  # two editions of X conflict
+        2: (0, 0, 0, 2, "A", "MOSTLY COMPLIANT"),  # nothing is asserted where two fit
+        3: (1, 1, 0, 1, "C", "MOSTLY COMPLIANT"),  # a supplied mandatory key is expected
+        4: (0, 0, 0, 0, None, "MOSTLY COMPLIANT"),
+        5: (1, 0, 0, 0, None, "NON-COMPLIANT"),
+    }
+    assert got[1].score == pytest.approx(0.7 + 0.2 * 2 / 3) and got[5].score == pytest.approx(0.3)
+
+
+def test_recommendations_are_cut_by_section(spark):
+    from lodestone.operators import standards as S
+
+    rows = [(1, i, "product_standard" if i < 8 else "test_method", i == 7, float(i % 3)) for i in range(20)]
+    got = S.recommend(spark.createDataFrame(rows, "q long, seq long, role string, mandatory boolean, score double"), first=3, others=4).collect()
+    by = {s: [r.seq for r in sorted((r for r in got if r.section == s), key=lambda r: r.place)] for s in ("primary", "related")}
+    assert by == {"primary": [7, 2, 5], "related": [8, 11, 14, 17]}
