@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import standards as S
@@ -55,16 +55,32 @@ def provenance(spark: SparkSession, root: str, documents: int, marker: str = "FI
     return {"fixture": made_up, "detail": detail, "documents": documents, "suspiciously_small": small, "certifiable": not made_up and documents >= least}
 
 
-def write_semantic(out: str, rows: DataFrame) -> None:
-    """Five JSON documents over `rows` (designation, division, committee, year, is_current, superseded_by): category_hierarchy,
-    cross_references, domain_ontology, temporal_index, search_facets. A line for each group, never a whole index in one row."""
+def members(rows: DataFrame, groups: dict[str, Column], name: str = "designation") -> DataFrame:
+    """(by, key, n, member): a line for each member of each group, with the group's size. Rows without a key are in no group."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("by"), c.cast("string").alias("key")) for k, c in groups.items()]))
+    long = rows.select(each.alias("g"), F.col(name).alias("member")).select("g.*", "member").where("key is not null and key <> ''").distinct()
+    return long.join(long.groupBy("by", "key").agg(F.count("*").alias("n")), ["by", "key"]).select("by", "key", "n", "member")
+
+
+def write_semantic(out: str, rows: DataFrame, shortest: int = 5) -> None:
+    """Five JSON documents over `rows` (designation, division, committee, year, is_current, superseded_by, and title if there is one):
+    category_hierarchy and temporal_index with the members of their groups, cross_references, domain_ontology (years and
+    committees of each division; concepts: title words of `shortest` letters at least that several titles hold, with their
+    members), search_facets. A line for each group and member, never a whole index in one row."""
     each = lambda k: rows.groupBy(F.col(k).alias("key")).agg(F.count("*").alias("n"), F.min("year").alias("first_year"), F.max("year").alias("last_year")).withColumn("by", F.lit(k))
     put = lambda df, name: df.write.mode("overwrite").json(f"{out}/{name}")
-    put(rows.groupBy("division", "committee").agg(F.count("*").alias("n")), "category_hierarchy")
-    put(S.chains(rows), "cross_references")
-    put(rows.groupBy("division").agg(F.count("*").alias("n"), F.countDistinct("committee").alias("committees"), F.sum(F.col("is_current").cast("long")).alias("current")), "domain_ontology")
-    decade = rows.withColumn("decade", (F.floor(F.col("year") / 10) * 10).cast("long"))
-    put(decade.groupBy("decade", "year").agg(F.count("*").alias("n")).join(F.broadcast(S.temporal_statistics(rows).select(F.struct("*").alias("statistics")))), "temporal_index")
+    put(members(rows, {"division": F.col("division"), "committee": F.col("committee")}), "category_hierarchy")
+    latest = members(rows.where("is_current"), {"latest_editions": F.lit("all")})
+    put(S.chains(rows).unionByName(latest, allowMissingColumns=True), "cross_references")
+    domains = rows.groupBy("division").agg(F.count("*").alias("n"), F.countDistinct("committee").alias("committees"), F.sum(F.col("is_current").cast("long")).alias("current"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    if "title" in rows.columns:
+        words = F.array_distinct(F.filter(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= shortest))
+        held = rows.select("designation", F.explode(words).alias("word"))
+        domains = domains.unionByName(members(held, {"concept": F.col("word")}).where("n > 1"), allowMissingColumns=True)
+    put(domains, "domain_ontology")
+    decade = (F.floor(F.col("year") / 10) * 10).cast("long")
+    when = members(rows, {"year": F.col("year"), "decade": decade})
+    put(when.unionByName(S.temporal_statistics(rows).select(F.lit("statistics").alias("by"), F.struct("*").alias("statistics")), allowMissingColumns=True), "temporal_index")
     put(each("division").unionByName(each("committee")), "search_facets")
 
 

@@ -275,7 +275,16 @@ def test_semantic_documents_and_provenance(spark, tmp_path):
     d = spark.createDataFrame([("IS 1:1990", "D", "C 1", 1990, False, "IS 1:2000"), ("IS 1:2000", "D", "C 1", 2000, True, None)], "designation string, division string, committee string, year int, is_current boolean, superseded_by string")
     reports.write_semantic(str(tmp_path / "s"), d)
     assert sorted(p.name for p in (tmp_path / "s").iterdir()) == ["category_hierarchy", "cross_references", "domain_ontology", "search_facets", "temporal_index"]
-    assert spark.read.json(str(tmp_path / "s" / "cross_references")).first().chain == ["IS 1:1990 -> IS 1:2000"]
+    read = lambda name: spark.read.json(str(tmp_path / "s" / name))
+    assert read("cross_references").where("base is not null").first().chain == ["IS 1:1990 -> IS 1:2000"]
+    assert [r.member for r in read("cross_references").where("by = 'latest_editions'").collect()] == ["IS 1:2000"]
+    assert {(r.by, r.key, r.n, r.member) for r in read("category_hierarchy").collect()} == {(b, k, 2, m) for b, k in (("division", "D"), ("committee", "C 1")) for m in ("IS 1:1990", "IS 1:2000")}
+    assert {(r.by, r.key, r.member) for r in read("temporal_index").where("by <> 'statistics'").collect()} == {("year", "1990", "IS 1:1990"), ("year", "2000", "IS 1:2000"), ("decade", "1990", "IS 1:1990"), ("decade", "2000", "IS 1:2000")}
+    assert read("temporal_index").where("by = 'statistics'").first().statistics.total == 2
+    reports.write_semantic(str(tmp_path / "t"), d.withColumn("title", F.when(F.col("year") < 2000, "Steel pipes, old").otherwise("Steel tubes of iron")))
+    got = spark.read.json(str(tmp_path / "t" / "domain_ontology"))
+    assert {(r.key, r.member) for r in got.where("by = 'concept'").collect()} == {("steel", "IS 1:1990"), ("steel", "IS 1:2000")}
+    assert got.where("division = 'D'").first().last_year == 2000
     assert reports.provenance(spark, str(tmp_path), 60)["certifiable"] and reports.provenance(spark, str(tmp_path), 9)["suspiciously_small"]
     (tmp_path / "FIXTURE").write_text("made up")
     assert reports.provenance(spark, str(tmp_path), 60)["detail"] == "made up" and not reports.provenance(spark, str(tmp_path), 60)["certifiable"]
