@@ -163,6 +163,24 @@ def query_of(f: D.Filter, kinds: dict) -> str | None:
     return None
 
 
+def found(queries: DataFrame, url: str, client: Client | None = None) -> DataFrame:
+    """(q, found, error): how many documents of the collection each distinct query of `queries` (q) has, asked in the tasks and without
+    fetching any. Where the listing doesn't answer, `found` is null and the error says why."""
+    client = client or Client()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for q in b.column(0).to_pylist():
+                n, error = None, None
+                try:
+                    n = int(json.loads(client.get(url, {"q": q, "start": 0, "rows": 0}))["response"]["numFound"])
+                except (OSError, ValueError, KeyError, TypeError) as e:
+                    error = f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_arrays([pa.array([q]), pa.array([n], pa.int64()), pa.array([error], pa.string())], names=["q", "found", "error"])
+
+    return queries.select(F.col("q").cast("string").alias("q")).where("q is not null").distinct().mapInArrow(run, "q string, found long, error string")
+
+
 # --------------------------------------------------------------------------- files
 def fetch(client: Client, url: str, path: str, md5: str | None = None) -> tuple[str, int]:
     """Download to `path` and return (how, bytes that came now): `kept` if it is there with the right checksum, `resumed` or `whole`.

@@ -129,6 +129,12 @@ def test_stream_goes_on_where_it_stopped(spark, server, tmp_path):
     assert len(run()) == 38
 
 
+def test_sizes_of_queries(spark, server):
+    q = spark.createDataFrame([("*:*",), ("year:[2010 TO *]",), ("*:*",), (None,)], "q string")
+    assert {(r.q, r.found, r.error) for r in collection.found(q, f"{server.url}/search").collect()} == {("*:*", 25, None), ("year:[2010 TO *]", 5, None)}
+    assert "404" in collection.found(q.limit(1), f"{server.url}/nowhere", Client(tries=1)).first().error
+
+
 # ------------------------------------------------------------------ downloads
 DATA = bytes(range(256)) * 5_000
 MD5 = hashlib.md5(DATA).hexdigest()
