@@ -121,10 +121,11 @@ def html_strip(spark, sf):
 
 @query("""WITH m AS (SELECT page_id, 'IS ' || (page_id % 50 + 1) || ':' || (1950 + page_id % 60) AS found FROM pages UNION ALL SELECT page_id, 'IS ' || (page_id % 7) || ':1999' FROM pages WHERE page_id % 2 = 0) SELECT found, count(*) AS n, count(DISTINCT page_id) AS pages FROM m GROUP BY found""")
 def regex_scrape(spark, sf):
-    """Dated identifiers on pages, with the part read over, and on how many pages each is."""
+    """Dated identifiers on pages, with the part read over, and on how many pages each is. Invented pages name none, so each gets some
+    at its end."""
     i = F.col("page_id")
     text = lambda c: c.cast("string")
-    body = F.concat(F.lit("<li>IS  "), text(i % 50 + 1), F.lit(" (Part 2):"), text(1950 + i % 60), F.lit("</li>"), F.when(i % 2 == 0, F.concat(F.lit("<b>IS "), text(i % 7), F.lit(":1999</b>"))).otherwise("THIS 1:99"))
+    body = F.concat(F.coalesce("html", F.lit("")), F.lit("<li>IS  "), text(i % 50 + 1), F.lit(" (Part 2):"), text(1950 + i % 60), F.lit("</li>"), F.when(i % 2 == 0, F.concat(F.lit("<b>IS "), text(i % 7), F.lit(":1999</b>"))).otherwise("THIS 1:99"))
     m = table(spark, sf, "pages").select("page_id", F.explode(D.scrape(body)).alias("found"))
     return m.groupBy("found").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
 
@@ -146,12 +147,13 @@ HEADINGS = [["Sl. No", "IS No.", "Product"], ["Product Category", "Indian Standa
 
 @query("""SELECT page_id, CAST(CASE page_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 1 END AS BIGINT) AS target, 'IS ' || (page_id % 900 + 1) AS spelling, 'longest plain text of the row' AS context FROM pages""")
 def column_infer(spark, sf):
-    """The column of identifiers by the headings of a page's table, the cell that holds one, and the longest other cell."""
+    """The column of identifiers by the headings of a page's table, the cell that holds one, and the longest other cell. Invented pages
+    have no table, so each gets one at its end."""
     from ..sources import rest
 
     i = F.col("page_id")
     heads = F.get(F.array(*[F.lit("".join(f"<th>{x}</th>" for x in h)) for h in HEADINGS]), (i % 4).cast("int"))
-    html = F.concat(F.lit("<table><tr>"), heads, F.lit("</tr><tr><td>12.5</td><td>IS&nbsp;"), (i % 900 + 1).cast("string"), F.lit("</td><td>short</td><td>longest plain <b>text</b> of the row</td></tr></table>"))
+    html = F.concat(F.coalesce("html", F.lit("")), F.lit("<table><tr>"), heads, F.lit("</tr><tr><td>12.5</td><td>IS&nbsp;"), (i % 900 + 1).cast("string"), F.lit("</td><td>short</td><td>longest plain <b>text</b> of the row</td></tr></table>"))
     pages = table(spark, sf, "pages").select("page_id", html.alias("html"))
     target = rest.table_rows(pages).where("header").select(F.col("page").alias("page_id"), rest.infer_column(F.col("cells")).cast("long").alias("target"))
     found = rest.table_items(pages).select(F.col("page").alias("page_id"), "spelling", "context")
