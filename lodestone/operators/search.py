@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from . import retrieval as R
 from . import standards as S
 from .index import Index, _checkpoint
+from .metrics import Watch
 
 #: Different predicates in a batch of questions: each is a condition of its own in the plan.
 PREDICATES = 200
@@ -101,19 +102,20 @@ def vector_leg(vectors: DataFrame, questions: DataFrame, stages: Stages, floor:
     return out
 
 
-def search(me: Index, questions: DataFrame, corpus: DataFrame, dense: DataFrame | None = None, stages: Stages = Stages()) -> DataFrame:
+def search(me: Index, questions: DataFrame, corpus: DataFrame, dense: DataFrame | None = None, stages: Stages = Stages(), watch: Watch | None = None) -> DataFrame:
     """(qid, doc_id, pos, section, exact, score, rerank, replacement): the results of each question, in order of `pos`.
 
     Without the exact ones in front, a question is declined if too small a share of its terms, by idf, is in any result. In
     mode `recommend` withdrawn editions come apart, in section `separated`, unless the question names a designation; in mode
     `search` those without a known replacement are left out. A compliance question has current editions first. Elsewhere a
     withdrawn edition that is ahead of the first current one of its document changes places with it, unless the question is
-    about supersession or current editions only.
+    about supersession or current editions only. `watch` notes the scores of the term legs, of what is fused and of the results.
     """
+    note = watch.stage if watch else lambda name, rows, value: rows
     has = F.size("names") > 0
     words = "rerank_tokens" if "rerank_tokens" in questions.columns else "tokens"
     asked = questions.select("qid", F.col(words).alias("_q"), has.alias("_named"), "intent", "mode", "current_only")
-    terms = _checkpoint(term_legs(me, questions, corpus, stages))
+    terms = _checkpoint(note("terms", term_legs(me, questions, corpus, stages), "score"))
     legs = terms if dense is None else terms.unionByName(dense, allowMissingColumns=True)
     front = exact(questions, corpus) if stages.exact else None
     if stages.decline:
@@ -121,7 +123,7 @@ def search(me: Index, questions: DataFrame, corpus: DataFrame, dense: DataFrame
         kept = best if front is None else best.union(front.select("qid")).distinct()
         legs = legs.join(kept, "qid", "left_semi")
     ranked = R.top(R.rrf(legs.drop("coverage"), corpus.select("doc_id", "is_current")), stages.candidates).select("qid", "doc_id", "score", "rank")
-    ranked = ranked.withColumn("exact", F.lit(False))
+    ranked = note("fused", ranked, "score").withColumn("exact", F.lit(False))
     if front is not None:
         ahead = front.select("qid", "doc_id", F.lit(1.0).alias("score"), "rank", F.lit(True).alias("exact"))
         rest = ranked.join(front.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
@@ -147,4 +149,5 @@ def search(me: Index, questions: DataFrame, corpus: DataFrame, dense: DataFrame
         section = F.when(apart, "separated").otherwise("primary")
     rows = rows.withColumn("section", section)
     pos = F.row_number().over(Window.partitionBy("qid", "section").orderBy("pos")).cast("long")
+    rows = note("results", rows, "score")
     return rows.select("qid", "doc_id", pos.alias("pos"), "section", "exact", "score", "rerank", F.when(withdrawn, F.col("superseded_by")).alias("replacement"))

@@ -110,3 +110,36 @@ def test_recommendations_are_cut_by_section(spark):
     got = S.recommend(spark.createDataFrame(rows, "q long, seq long, role string, mandatory boolean, score double"), first=3, others=4).collect()
     by = {s: [r.seq for r in sorted((r for r in got if r.section == s), key=lambda r: r.place)] for s in ("primary", "related")}
     assert by == {"primary": [7, 2, 5], "related": [8, 11, 14, 17]}
+
+
+# ------------------------------------------------------------------ metrics
+def test_stages_are_counted_while_they_run(spark, world):
+    from lodestone.operators.metrics import Watch
+
+    me, corpus = world
+    w = Watch(shares=(0.5,))
+    q = ask(spark, 1, ["w3"]).union(ask(spark, 2, ["cement", "w1"]))
+    got = W.search(me, q, corpus, None, replace(OFF, diversify=True, limit=4), w).collect()
+    rows = {r.stage: r for r in w.report(spark).collect()}
+    assert list(rows) == ["terms", "fused", "results"] and rows["results"].n == len(got) == 7
+    assert rows["terms"].n == W.term_legs(me, q, corpus, OFF).count() and rows["fused"].n > rows["results"].n
+    assert rows["results"].most == max(r.score for r in got) and rows["results"].least <= rows["results"].value <= rows["results"].most
+    with pytest.raises(ValueError):
+        w.stage("terms", q, "qid")
+
+
+def test_percentiles_are_within_the_bound_of_the_sketch(spark, sf):
+    from lodestone.operators.evaluate import percentiles
+    from lodestone.operators.metrics import Watch
+
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    w = Watch(accuracy=200)
+    n = w.stage("events", e, "value").count()
+    got = {r.share: r.value for r in w.report(spark).collect()}
+    ordered = sorted(r.value for r in e.select("value").collect())
+    for r in percentiles(e.selectExpr("1 AS k", "value"), "k", "value", [0.5, 0.95, 0.99]).collect():
+        low, high = (ordered[max(0, min(n - 1, round((r.share + d) * (n - 1))))] for d in (-1 / 200, 1 / 200))
+        assert low <= got[r.share] <= high and low <= r.value <= high
+    empty = Watch()
+    empty.stage("none", e.limit(0), "value").collect()
+    assert {(r.n, r.value) for r in empty.report(spark).collect()} == {(0, None)}
