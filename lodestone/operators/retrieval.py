@@ -142,18 +142,29 @@ def pack_context(rows: DataFrame, context: str, order: list[str], size: str, bud
     return done.where(F.col("cum") <= budget).select(context, *[c for c in order if c != size], "pos", "cum")
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """With the hint to broadcast it if it has so many rows at most."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def of_ids(docs: DataFrame, few: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is in `few`, which is written already; where those are few, no row of `docs` moves before."""
+    return docs.join(small(few.select("doc_id").distinct(), ITEM_BLOCK), "doc_id", "left_semi")
+
+
 def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(qid, doc_id) where a document's text holds an item's text. Only (document, word) rows are joined, on the item's longest
     inner word; texts are fetched for the few documents that have it. Items without an inner word, and so of two words at most,
     are looked for in all documents by one automaton. An empty item is in nothing."""
+    from .index import _checkpoint
+
     w = F.slice(X.words(F.col("q_text")), 2, F.greatest(F.size(X.words(F.col("q_text"))) - 2, F.lit(0)))
     longest = F.element_at(F.array_sort(F.transform(w, lambda x: F.struct(F.length(x).alias("n"), x.alias("w")))), -1)["w"]
     keyed = items.select("qid", "q_text", F.when(F.size(w) > 0, longest).alias("key"))
     by_key = keyed.where("key is not null")
-    small = lambda df, most: F.broadcast(df) if df.count() <= most else df
     at = docs.select("doc_id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("key")).join(small(by_key.select("key", "qid"), ITEM_BLOCK), "key")
-    near = at.select("doc_id", "qid").join(small(by_key.select("qid", "q_text"), QUERY_BLOCK), "qid")
-    hit = docs.select("doc_id", "text").join(near, "doc_id").where(F.contains("text", "q_text")).select("qid", "doc_id")
+    near = _checkpoint(at.select("doc_id", "qid")).join(small(by_key.select("qid", "q_text"), QUERY_BLOCK), "qid")
+    hit = docs.select("doc_id", "text").join(small(near, ITEM_BLOCK), "doc_id").where(F.contains("text", "q_text")).select("qid", "doc_id")
     short = keyed.where("key is null and q_text <> ''").select("qid", "q_text")
     found = P.find(docs, short, phrase_col="q_text")
     return hit.union(found.join(short, found["phrase"] == short["q_text"]).select("qid", F.col("doc").alias("doc_id")))

@@ -19,6 +19,7 @@ from . import retrieval as R
 from . import standards as S
 from .index import Index, _checkpoint
 from .metrics import Watch
+from .scan import Corpus
 
 #: Different predicates in a batch of questions: each is a condition of its own in the plan.
 PREDICATES = 200
@@ -72,9 +73,17 @@ def exact(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     return hit.select("qid", "doc_id", F.row_number().over(Window.partitionBy("qid").orderBy("place", "doc_id")).cast("long").alias("rank"))
 
 
-def term_legs(me: Index, questions: DataFrame, corpus: DataFrame, stages: Stages) -> DataFrame:
+def term_legs(me: Index | Corpus, questions: DataFrame, corpus: DataFrame, stages: Stages) -> DataFrame:
     """(leg, qid, doc_id, score, rank, coverage): the best by BM25 and TF-IDF of the documents that a question's predicate allows."""
     q = questions.select("qid", "tokens")
+    if isinstance(me, Corpus):
+        floors = {"bm25": None, "tfidf": stages.tfidf_floor}
+        each = predicates(questions) if stages.filters else []
+        if not each:
+            return me.legs(q, stages.candidates, floors)
+        ok = corpus.select("doc_id", F.array(*[F.coalesce(S.matches(json.loads(p)), F.lit(False)) for p in each]).alias("ok"))
+        which = {qid: each.index(p) for qid, p in questions.select("qid", "predicate").where("predicate is not null").collect()}  # as many as questions
+        return me.legs(q, stages.candidates, floors, ok, which)
     if not stages.filters:
         asked = me.ask(q)
         one = lambda leg, floor: me.search(asked, stages.candidates, leg, floor).select(F.lit(leg).alias("leg"), "qid", "doc_id", "score", "rank", "coverage")
@@ -102,7 +111,7 @@ def vector_leg(vectors: DataFrame, questions: DataFrame, stages: Stages, floor:
     return out
 
 
-def search(me: Index, questions: DataFrame, corpus: DataFrame, dense: DataFrame | None = None, stages: Stages = Stages(), watch: Watch | None = None) -> DataFrame:
+def search(me: Index | Corpus, questions: DataFrame, corpus: DataFrame, dense: DataFrame | None = None, stages: Stages = Stages(), watch: Watch | None = None) -> DataFrame:
     """(qid, doc_id, pos, section, exact, score, rerank, replacement): the results of each question, in order of `pos`.
 
     Without the exact ones in front, a question is declined if too small a share of its terms, by idf, is in any result. In
@@ -129,8 +138,8 @@ def search(me: Index, questions: DataFrame, corpus: DataFrame, dense: DataFrame
         rest = ranked.join(front.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
         ranked = ahead.unionByName(rest)
     in_order = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*by)).cast("long"))
-    ranked = in_order(ranked, F.desc("exact"), "rank")
-    rows = ranked.join(corpus.select("doc_id", "key", "designation", "is_current", "superseded_by", "terms", "title_terms"), "doc_id").join(asked, "qid")
+    ranked = _checkpoint(in_order(ranked, F.desc("exact"), "rank"))
+    rows = ranked.join(R.of_ids(corpus, ranked).select("doc_id", "key", "designation", "is_current", "superseded_by", "terms", "title_terms"), "doc_id").join(asked, "qid")
     rows = rows.withColumn("rerank", R.rerank_score(F.col("_q"), F.col("terms"), F.col("title_terms")) if stages.rerank else F.lit(None).cast("double")).drop("terms", "title_terms", "_q")
     if stages.rerank:
         rows = R.rerank(rows).withColumn("rank", F.col("new_rank")).drop("new_rank")
