@@ -132,9 +132,9 @@ def first_filled(*tiers: tuple[str, DataFrame]) -> DataFrame:
 
 def by_prefix(queries: DataFrame, rows: DataFrame, q: str, name: str) -> DataFrame:
     """(q, name): for each text the first name, in order of the alphabet, that begins with it, whatever the case. An equality join on
-    the beginnings of names, which are few for each; of rows with the same beginning only the first goes on."""
+    the beginnings of names, which are few for each; of rows with the same name, and of names with the same beginning, only the first goes on."""
     low = F.upper(name)
-    heads = rows.where(F.length(name) > 0).select(F.col(name).alias("_name"), F.explode(F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.substr(low, F.lit(1), i))).alias("_head"))
+    heads = rows.where(F.length(name) > 0).select(name).distinct().select(F.col(name).alias("_name"), F.explode(F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.substr(low, F.lit(1), i))).alias("_head"))
     first = heads.groupBy("_head").agg(F.min("_name").alias("_name"))
     return queries.select(F.col(q).alias("_q")).distinct().join(first, F.upper("_q") == F.col("_head")).select(F.col("_q").alias(q), F.col("_name").alias(name))
 
