@@ -40,7 +40,9 @@ def _rows(batches: Iterator[pa.RecordBatch], at: int, width: int) -> Iterator[tu
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.argmax(2 * x @ c.T - (c * c).sum(axis=1), axis=1)
+    """The nearest of `c` to each of `x`, some at a time, so that what is held doesn't grow with the number of centroids."""
+    step, own = max(1, CELLS // max(1, len(c))), (c * c).sum(axis=1)
+    return np.concatenate([np.argmax(2 * x[i : i + step] @ c.T - own, axis=1) for i in range(0, max(1, len(x)), step)])
 
 
 def kmeans(sample: DataFrame, k: int, width: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -160,10 +162,11 @@ class VectorIndex:
                 code = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, adds.shape[0])
                 for x in np.unique(lists):
                     own, mine = np.flatnonzero(lists == x), asks[x]
+                    add = adds[:, :, mine]  # of the queries that ask for the list only
                     step = max(1, CELLS // max(1, len(mine)))
                     for a in range(0, len(own) if len(mine) else 0, step):
                         at = own[a : a + step]
-                        s = to_list[mine, x][None, :] + sum(adds[j][code[at, j]][:, mine] for j in range(adds.shape[0]))
+                        s = to_list[mine, x][None, :] + sum(add[j][code[at, j]] for j in range(len(add)))
                         s[vec[at][:, None] == ids[mine][None, :]] = -9
                         least = np.partition(s, len(at) - head, axis=0)[len(at) - head] if len(at) > head else np.full(len(mine), -9.0)
                         row, col = np.nonzero((s >= least[None, :]) & (s > -9))
@@ -253,7 +256,7 @@ def build(vectors: DataFrame, keep: list[str] = [], lists: int | None = None, pa
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, x in _rows(batches, 1, width):
-            at = np.concatenate([_nearest(x[i : i + 4_096], c) for i in range(0, len(x), 4_096)])
+            at = _nearest(x, c)
             rest = (x - c[at]).reshape(len(x), parts, -1)
             code = np.stack([_nearest(rest[:, j], books[j]) for j in range(parts)], axis=1).astype(np.uint8)
             cols = [pa.array(at.astype(np.int64)), pa.array([r.tobytes() for r in code], pa.binary()), *b.columns]
