@@ -98,10 +98,11 @@ def yearless(c: Column) -> Column:
     field = lambda i: F.nullif(F.get(parts, F.lit(i)), F.lit("None")).try_cast("int")
     none = F.lit(None).cast("int")
     of_key = F.struct(F.get(parts, F.lit(0)).alias("prefix"), field(1).alias("number"), field(2).alias("part"), field(3).alias("section"), none.alias("year"), none.alias("reaffirmed"))
-    d = parse(c)
-    of_text = F.struct(d["prefix"].alias("prefix"), d["number"].alias("number"), d["part"].alias("part"), d["section"].alias("section"), none.alias("year"), none.alias("reaffirmed"))
+    # bound by a lambda, so that a text is parsed once and not for each field of each spelling
+    bare = lambda d: F.struct(d["prefix"].alias("prefix"), d["number"].alias("number"), d["part"].alias("part"), d["section"].alias("section"), none.alias("year"), none.alias("reaffirmed"))
+    of_text = F.get(F.transform(F.transform(F.array(parse(c)), bare), render), F.lit(0))
     plain = F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    return F.when(c.contains("|"), F.lower(render(of_key))).otherwise(F.coalesce(F.lower(render(of_text)), plain))
+    return F.when(c.contains("|"), F.lower(render(of_key))).otherwise(F.coalesce(F.lower(of_text), plain))
 
 
 def of_identifier(c: Column, start: str = "gov.in.is.") -> Column:
