@@ -77,6 +77,18 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return docs.mapInArrow(run, "k long, fp long")
 
 
+def _fingerprinted(docs: DataFrame, width: int) -> DataFrame:
+    """(k, h, fp) of each document: id, hash of the text, fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, raw in slices(b):
+                fp = np.fromiter((fingerprint(x, width) for x in raw), np.uint64, len(raw)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(fp)], names=["k", "h", "fp"])
+
+    return docs.select("k", "t", F.xxhash64("t").alias("h")).mapInArrow(run, "k long, h long, fp long")
+
+
 def _part_counts(parts: int) -> list:
     bits = 64 // parts
     mask = (1 << bits) - 1
@@ -397,6 +409,23 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     joined = own.join(roots, own.d == roots.v, "left").select("low", F.coalesce("root", "d").alias("root"))
     c = checkpoint(joined.groupBy("root").agg(F.min("low").alias("low")).select("low.k", "low.h"))
     drop_folder(where)
+    return _kept(docs, fp, c)
+
+
+def keep_near(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+    """The documents, one of each component of fingerprints as `classes` links them: the row that `keep_one` would choose."""
+    fp = checkpoint(_fingerprinted(texts(docs), width))
+    own = checkpoint(fp.groupBy("fp").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h")).alias("low")))
+    where = new_folder(docs.sparkSession, "tiles")
+    roots = components(near_links(own.select(F.col("fp").alias("v"), "fp"), where, 4 if own.count() >= FINE_FROM else 2, radius))
+    joined = own.join(roots, own.fp == roots.v, "left").select("low", F.coalesce("root", "fp").alias("root"))
+    c = checkpoint(joined.groupBy("root").agg(F.min("low").alias("low")).select("low.k", "low.h"))
+    drop_folder(where)
+    return _kept(docs, fp, c)
+
+
+def _kept(docs: DataFrame, fp: DataFrame, c: DataFrame) -> DataFrame:
+    """The rows of `docs` with the ids and text hashes `c` (k, h), one for each; `fp` has k and h of all rows."""
     rows = packed(docs).withColumn("h", F.xxhash64(F.coalesce(field("text"), F.lit(""))))
     kept = rows.join(c.withColumnRenamed("h", "ch"), field("doc_id").cast("long").eqNullSafe(F.col("k")) & (F.col("h") == F.col("ch")), "left_semi")
     if fp.groupBy("k", "h").count().where("count > 1").limit(1).count():  # repeated rows: one more pass settles which stays

@@ -710,3 +710,20 @@ def test_lines_against_brute_force(docs, empty):
     assert sorted(map(key, done)) == sorted(key((k, kept(k, t), len(kept(k, t) or ""))) for k, t in rows)
     assert Counter((r.doc_id, r.kept_md5) for r in linededup.report(docs).collect()) == Counter((k, hashlib.md5((kept(k, t) or "").encode()).hexdigest()) for k, t in rows)
     assert linededup.dedup_lines(empty).count() == 0 and linededup.report(empty).count() == 0
+
+
+def test_near_dedup_of_the_pipeline_goes_by_fingerprints(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(3)
+    while True:  # fingerprints within four bits, and less than 0.8 alike in their shingles of five words
+        w = [f"u{rnd.randrange(10**9)}" for _ in range(38)]
+        v = [*w[:19], f"u{rnd.randrange(10**9)}", *w[20:]]
+        if (simhash.fingerprint(" ".join(w).encode()) ^ simhash.fingerprint(" ".join(v).encode())).bit_count() <= 4:
+            break
+    other = with_jaccard(rnd, 90, 10)
+    rows = [(3, " ".join(w)), (4, " ".join(v)), (5, "alone here in the world"), (6, other[0]), (7, other[1]), (None, None), (None, " "), (8, "twice"), (8, "twice")]
+    assert Counter(r.doc_id for r in simhash.keep_one(frame(spark, rows)).select("doc_id").collect()) == Counter([3, 4, 5, 6, None, 8])
+    got = corpus_pipeline.dedup_near(spark, frame(spark, rows), "")
+    assert Counter(r.doc_id for r in got.select("doc_id").collect()) == Counter([3, 5, 6, None, 8])
+    assert simhash.classes(got).agg(F.max("component_rows")).first()[0] == 1
