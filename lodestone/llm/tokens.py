@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from array import array
 from collections.abc import Iterable
-from itertools import chain
 
 import numpy as np
 
@@ -15,7 +15,7 @@ from .common import process_state
 #: The vocabulary file used unless another path is given.
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Chunks whose ids a worker remembers: of two generations each, the older one goes when the newer is full.
-CACHE = 200_000
+CACHE = 400_000
 #: A word of letters that have no other form to be normalised to, and marks after it that begin no contraction.
 _WORD = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{|}~]*)").fullmatch
 
@@ -56,9 +56,10 @@ class Encoder:
         got = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in raw], add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in got]
 
-    def _learn(self, chunks: set[bytes], known: dict[bytes, bytes]) -> None:
-        """Ids of chunks that aren't known. A word of plain letters is one piece of the pre-tokenizer whatever marks follow, so it
-        goes straight to the vocabulary's model and the marks are encoded apart; all else goes through the whole tokenizer."""
+    def _learn(self, chunks: list[bytes], known: dict[bytes, bytes], old: dict[bytes, bytes]) -> None:
+        """Ids of chunks that neither generation knows, though it may know their words. A word of plain letters is one piece of the
+        pre-tokenizer whatever marks follow, so it goes straight to the vocabulary's model and the marks are encoded apart; all else
+        goes through the whole tokenizer."""
         model, code, rest = self.tokenizer.model.tokenize, self.dtype.char, []
         for c in chunks:
             m = _WORD(c)
@@ -66,12 +67,14 @@ class Encoder:
                 rest.append(c)
                 continue
             word, marks = m.groups()
-            ids = known.get(word)
+            ids = known.get(word) or old.get(word)
             if ids is None:
-                ids = known[word] = array(code, [t.id for t in model(word.decode("latin-1").translate(self.letters))]).tobytes()
+                letters = word.decode() if word.isascii() else word.decode("latin-1").translate(self.letters)
+                ids = array(code, [t.id for t in model(letters)]).tobytes()
+            known[word] = ids
             if marks:
                 if marks not in known:
-                    known[marks] = self._encode([marks])[0]
+                    known[marks] = old.get(marks) or self._encode([marks])[0]
                 known[c] = ids + known[marks]
         for i in range(0, len(rest), 20_000):
             known.update(zip(rest[i : i + 20_000], self._encode(rest[i : i + 20_000]), strict=True))
@@ -80,17 +83,21 @@ class Encoder:
         if not self.by_chunk:
             return [np.frombuffer(x, self.dtype) for x in self._encode(raw)]
         # the vocabulary is lower case; only special tokens, which begin with <|, are told by case
-        chunks = [(x if b"<|" in x else x.lower()).split() for x in raw]
+        chunks, ends = [], [0]
+        for x in raw:
+            chunks += (x if b"<|" in x else x.lower()).split()
+            ends.append(len(chunks))
         if len(self.memory[0]) > CACHE:
             self.memory[:] = [{}, self.memory[0]]
         young, old = self.memory
-        kinds = set(chain.from_iterable(chunks))
-        missing = kinds.difference(young)  # a dict here, not its keys, which would be walked whole
-        back = [c for c in missing if c in old]
-        young.update(zip(back, map(old.__getitem__, back), strict=True))
-        self._learn(missing.difference(back), young)
-        ids = {c: young[c] for c in kinds}.__getitem__
-        return [np.frombuffer(b"".join(map(ids, x)), self.dtype) for x in chunks]
+        ids = list(map(young.get, chunks))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        missing = set(map(chunks.__getitem__, gaps))
+        young.update((c, old[c]) for c in missing if c in old)
+        self._learn([c for c in missing if c not in old], young, old)
+        for i in gaps:
+            ids[i] = young[chunks[i]]
+        return [np.frombuffer(b"".join(ids[a:b]), self.dtype) for a, b in itertools.pairwise(ends)]
 
 
 def ended(ids: Iterable[np.ndarray], end: int, dtype: np.dtype) -> Iterable[np.ndarray]:

@@ -255,3 +255,20 @@ def test_whitening_query_takes_every_vector(spark, sf):
     n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
     got = queries.op13_whitening(spark, sf)
     assert got.count() == 8 * n and got.agg(F.max("identity_error")).first()[0] < 1e-4
+
+
+def test_words_of_the_older_generation_are_not_encoded_again(monkeypatch):
+    """A chunk with other marks was new though its word was known; half of the packing's time went there and into looking up twice."""
+    from types import SimpleNamespace
+
+    from lodestone.llm import tokens as T
+
+    monkeypatch.setattr(T, "CACHE", 1)
+    enc, asked = T.Encoder(T.vocabulary()), []
+    enc.memory = [{}, {}]
+    whole, plain = T.Encoder(T.vocabulary(), by_chunk=False), enc.tokenizer
+    model = SimpleNamespace(tokenize=lambda w: asked.append(w) or plain.model.tokenize(w))
+    enc.tokenizer = SimpleNamespace(model=model, encode_batch_fast=plain.encode_batch_fast)
+    for texts in ([b"Alphabet  beta, gr\xc3\xbc\xc3\x9fe"], [b"alphabet! beta? gr\xc3\xbc\xc3\x9fe.", b"", b" \n"], [b"<|x|> alphabet; Beta 12 beta beta"]):
+        assert [x.tolist() for x in enc.encode(texts)] == [x.tolist() for x in whole.encode(texts)]
+    assert asked.count("alphabet") == asked.count("beta") == 1 and len(asked) == 3
