@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices, texts
+from .common import SLICE_BYTES, checkpoint, slices, texts
 from .tokens import Encoder, ended, vocabulary
 
 #: Pieces of one length are ranked in parts: one in so many of all pieces, but neither fewer nor more than these.
@@ -29,16 +29,19 @@ def pieces(docs: DataFrame, size: int = 2048, end_id: int = 0, path: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(path, by_chunk)
-        for b in batches:
-            for part, raw in slices(b, keep_ids=True):
-                rows = ([], [], [], [], [])
-                for k, ids in zip(part.column(0).to_pylist(), ended(enc.encode(raw), end_id, enc.dtype), strict=True):
-                    wide = ids.astype("<u4")
-                    for p, at in enumerate(range(0, len(wide), size)):
-                        own = wide[at : at + size]
-                        for col, v in zip(rows, (k, p, at, len(own), zlib.crc32(own)), strict=True):
-                            col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        try:
+            for b in batches:
+                for part, raw in slices(b, keep_ids=True, most=SLICE_BYTES // 4):
+                    rows = ([], [], [], [], [])
+                    for k, ids in zip(part.column(0).to_pylist(), ended(enc.encode(raw), end_id, enc.dtype), strict=True):
+                        wide = ids.astype("<u4")
+                        for p, at in enumerate(range(0, len(wide), size)):
+                            own = wide[at : at + size]
+                            for col, v in zip(rows, (k, p, at, len(own), zlib.crc32(own)), strict=True):
+                                col.append(v)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        finally:
+            enc.forget()
 
     return texts(docs).mapInArrow(run, PIECE)
 

@@ -10,7 +10,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-from .common import process_state
+from .common import give_back, process_state
 
 #: The vocabulary file used unless another path is given.
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
@@ -49,9 +49,15 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.by_chunk = os.path.basename(path) == DEFAULT_VOCABULARY if by_chunk is None else by_chunk
         self.letters = _byte_letters()
-        # remembered for the life of the worker process, over its tasks
+        # remembered for the life of the worker process, over its tasks, unless `forget` is called
         self.memory = vars(process_state()).setdefault("ids", {}).setdefault(path, [{}, {}])
 
+    def forget(self) -> None:
+        """Give back what is remembered: Spark deals tasks in turn to all workers that an executor has, and earlier stages may have
+        left it more than it has cores, so each would fill a memory of its own."""
+        self.memory[:] = [{}, {}]
+        give_back()
+
     def _encode(self, raw: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in raw], add_special_tokens=False)
         return [np.array(x.ids, self.dtype).tobytes() for x in got]

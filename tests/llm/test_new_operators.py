@@ -272,3 +272,23 @@ def test_words_of_the_older_generation_are_not_encoded_again(monkeypatch):
     for texts in ([b"Alphabet  beta, gr\xc3\xbc\xc3\x9fe"], [b"alphabet! beta? gr\xc3\xbc\xc3\x9fe.", b"", b" \n"], [b"<|x|> alphabet; Beta 12 beta beta"]):
         assert [x.tolist() for x in enc.encode(texts)] == [x.tolist() for x in whole.encode(texts)]
     assert asked.count("alphabet") == asked.count("beta") == 1 and len(asked) == 3
+
+
+def test_packing_leaves_nothing_with_waiting_workers(spark, sf):
+    """Each worker kept the ids of its chunks after its task; the pipeline's earlier stages leave more workers than cores, and all of
+    them filled up."""
+    import sys
+
+    import pyarrow as pa
+
+    from lodestone.llm import packing
+
+    def held(batches):
+        for _ in batches:
+            pass
+        state = vars(sys.modules["_lodestone_state"]) if "_lodestone_state" in sys.modules else {}
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(x) for both in state.get("ids", {}).values() for x in both)], pa.int64())], names=["n"])
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert packing.pieces(docs.repartition(8)).count() >= docs.count()
+    assert spark.range(8).repartition(8).mapInArrow(held, "n long").agg(F.max("n")).first()[0] == 0
