@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.functions import designation as D
+from lodestone.operators import chains
 from lodestone.operators import standards as S
 from lodestone.operators import vectors as V
 from lodestone.plans import standards
@@ -22,6 +23,44 @@ def test_walk_gives_up_after_as_many_steps_as_its_sql(spark, tmp_path):
     assert {"on", "into"} <= {w[2] for w in want.values()} and max(w[1] or 0 for w in want.values()) == 100
 
 
+def test_the_size_that_a_walk_is_planned_for_does_not_double_its_digits(spark):
+    links = spark.range(2000).select(F.col("id").alias("v"), F.when(F.col("id") % 200 < 199, F.col("id") + 1).otherwise(F.col("id") - 1).alias("p"))
+    for most in (None, 100):
+        got = chains.follow(links, "v", "p", most)
+        # it was 58,073 bits without `most`, 3,774,508 with it: multiplying such numbers took the time
+        assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 200
+        assert {(r.cycle, r["count"]) for r in got.groupBy("cycle").count().collect()} == {("on", 20), ("into", 1980)}
+
+
+def test_the_length_of_cycles_takes_no_rounds(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(chains, "stored", lambda df, where, put=chains.stored: tables.append(where) or put(df, where))
+    got = chains.follow(spark.range(3000).select("id", ((F.col("id") + 1) % 3000).alias("to")), "id", "to")
+    assert got.where("cycle = 'on'").count() == 3000 and len(tables) == 2
+
+
+def test_walks_that_give_up_equal_brute_force(spark):
+    rnd, links = np.random.default_rng(5), {}
+    for cycle, tail in [(2, 3), (5, 40), (12, 1), (13, 30), (14, 30), (15, 2), (16, 20), (17, 9), (31, 50), (64, 0), (0, 12), (0, 13), (0, 14), (0, 70)]:
+        ids = (rnd.permutation(1000)[: cycle + tail + 1] + 1000 * len(links)).tolist()  # the smallest may stand anywhere
+        ids = ids[: cycle + tail] if cycle else ids
+        links |= dict(zip(ids, ids[1:], strict=False))
+        if cycle:
+            links[ids[-1]] = ids[tail]
+    links |= {10**8 + i: int(rnd.integers(0, 300)) + 10**8 for i in range(300)}
+    links = {v: p for v, p in links.items() if v != p}
+    df = spark.createDataFrame([*links.items()], "start long, to long")
+    for most in (1, 2, 13, 16, 100):
+        want = {}
+        for v in links:
+            x, way = v, []
+            while x in links and len(way) < most:
+                x = links[x]
+                way.append(x)
+            want[v] = (x, len(way), None) if x not in links else (None, None, "on" if v in way else "into")
+        assert {r.start: (r["last"], r.hops, r.cycle) for r in chains.follow(df, most=most).collect()} == want
+
+
 def test_a_text_is_parsed_once_for_its_yearless_key(spark):
     plan = spark.range(1).select(F.col("id").cast("string").alias("s")).select(D.yearless(F.col("s")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("IS/IEC") <= 2  # it was 63
