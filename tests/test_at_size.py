@@ -39,6 +39,12 @@ def test_the_length_of_cycles_takes_no_rounds(spark, monkeypatch):
     assert got.where("cycle = 'on'").count() == 3000 and len(tables) == 2
 
 
+def test_pointers_are_not_broadcast(spark, tmp_path):
+    at = chains.stored(spark.range(1000).select(F.col("id").alias("v"), ((F.col("id") + 1) % 1000).alias("p"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("ends")), f"{tmp_path}/at")
+    plan = chains._jump(at)._jdf.queryExecution().executedPlan().toString()  # 477,550 of them were 68 MB
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_walks_that_give_up_equal_brute_force(spark):
     rnd, links = np.random.default_rng(5), {}
     for cycle, tail in [(2, 3), (5, 40), (12, 1), (13, 30), (14, 30), (15, 2), (16, 20), (17, 9), (31, 50), (64, 0), (0, 12), (0, 13), (0, 14), (0, 70)]:
